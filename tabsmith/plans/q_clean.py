@@ -1 +1,236 @@
-"""Queries registered by this section."""
+"""Cleaning queries (C1-C16, W1/W2) with DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsmith.functions.core import round_doubles
+from tabsmith.operators import clean as C
+from tabsmith.operators.windows import fill_bfill_ffill
+from tabsmith.plans.registry import register
+from tabsmith.sources.tables import duckdb_view_cte, load
+
+DE = duckdb_view_cte("dirty_events")
+DE_NUM = ["event_id", "user_id", "value", "segment", "const_num"]
+
+
+def _r(e: str) -> str:
+    return f"round({e}, 6)"
+
+
+@register("clean_dedup", DE + "SELECT DISTINCT * FROM dirty_events")
+def q_clean_dedup(spark, sf):
+    return C.drop_duplicates(load(spark, sf, "dirty_events"))
+
+
+def _impute_sql(agg: str) -> str:
+    sel = ", ".join(f"{agg.format(x=f'CAST({x} AS DOUBLE)')} AS a_{x}" for x in DE_NUM)
+    out = {x: _r(f"coalesce(CAST({x} AS DOUBLE), a_{x})") + f" AS {x}" for x in DE_NUM}
+    cols = ["event_id", "ts", "user_id", "event_type", "value", "segment", "const_num", "const_cat"]
+    return DE + f", m AS (SELECT {sel} FROM dirty_events) SELECT " + ", ".join(
+        out.get(x, x) for x in cols) + " FROM dirty_events, m"
+
+
+@register("clean_impute_mean", _impute_sql("avg({x})"))
+def q_clean_impute_mean(spark, sf):
+    df = load(spark, sf, "dirty_events")
+    return round_doubles(C.impute_numeric(df, C.fit_impute_numeric(df, DE_NUM, "mean")))
+
+
+@register("clean_impute_median", _impute_sql("quantile_cont({x}, 0.5)"))
+def q_clean_impute_median(spark, sf):
+    df = load(spark, sf, "dirty_events")
+    return round_doubles(C.impute_numeric(df, C.fit_impute_numeric(df, DE_NUM, "median")))
+
+
+@register("clean_impute_mode", DE + """,
+m1 AS (SELECT event_type AS v FROM dirty_events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1),
+m2 AS (SELECT const_cat AS v FROM dirty_events WHERE const_cat IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1)
+SELECT event_id, ts, user_id, coalesce(event_type, (SELECT v FROM m1)) AS event_type, value, segment, const_num,
+       coalesce(const_cat, (SELECT v FROM m2)) AS const_cat FROM dirty_events""")
+def q_clean_impute_mode(spark, sf):
+    df = load(spark, sf, "dirty_events")
+    return C.impute_categorical(df, C.fit_mode(df, ["event_type", "const_cat"]))
+
+
+def _smooth_sql(part: str) -> str:
+    p = f"PARTITION BY {part} " if part else ""
+    return DE + f""",
+s AS (SELECT *, avg(value) OVER ({p}ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sv FROM dirty_events)
+SELECT event_id, ts, user_id, event_type,
+  round(coalesce(sv, first_value(sv IGNORE NULLS) OVER ({p}ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+                 last_value(sv IGNORE NULLS) OVER ({p}ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS value,
+  segment, const_num, const_cat FROM s"""
+
+
+@register("clean_smooth", _smooth_sql("user_id"))
+def q_clean_smooth(spark, sf):
+    return round_doubles(C.smooth(load(spark, sf, "dirty_events"), ["value"], ["ts", "event_id"], ["user_id"], 3))
+
+
+@register("clean_smooth_hot_keys", _smooth_sql("user_id"))
+def q_clean_smooth_hot_keys(spark, sf):
+    """Same result with every user treated as a hot key split into chunks."""
+    return round_doubles(C.smooth(load(spark, sf, "dirty_events"), ["value"], ["ts", "event_id"], ["user_id"], 3,
+                                  rows_per_chunk=16))
+
+
+@register("clean_smooth_global", _smooth_sql(""))
+def q_clean_smooth_global(spark, sf):
+    """Global row order (no key): range chunks + carry rows, never one task."""
+    return round_doubles(C.smooth(load(spark, sf, "dirty_events"), ["value"], ["ts", "event_id"], [], 3,
+                                  rows_per_chunk=1000))
+
+
+FILL_SQL = DE + """
+SELECT event_id, ts, user_id, event_type,
+  coalesce(value, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+           last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS value,
+  segment, const_num, const_cat FROM dirty_events"""
+
+
+@register("fill_bfill_ffill", FILL_SQL)
+def q_fill_bfill_ffill(spark, sf):
+    return fill_bfill_ffill(load(spark, sf, "dirty_events"), ["value"], ["user_id"], ["ts", "event_id"])
+
+
+@register("fill_bfill_ffill_hot_keys", FILL_SQL)
+def q_fill_bfill_ffill_hot_keys(spark, sf):
+    return fill_bfill_ffill(load(spark, sf, "dirty_events"), ["value"], ["user_id"], ["ts", "event_id"],
+                            rows_per_chunk=16)
+
+
+@register("clean_cap_outliers", """
+WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events)
+SELECT event_id, ts, user_id, event_type,
+  round(CASE WHEN value IS NULL THEN NULL ELSE least(greatest(value, m - 3.0 * sd), m + 3.0 * sd) END, 6) AS value, props
+FROM events, s""")
+def q_clean_cap_outliers(spark, sf):
+    df = load(spark, sf, "events")
+    return round_doubles(C.cap(df, C.fit_cap(df, ["value"], 3.0)))
+
+
+LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("clean_scale", "WITH s AS (SELECT " + ", ".join(
+    f"avg(CAST({x} AS DOUBLE)) AS m_{x}, coalesce(nullif(stddev_pop(CAST({x} AS DOUBLE)), 0), 1.0) AS s_{x}"
+    for x in LI_NUM) + " FROM lineitem) SELECT " + ", ".join(
+    _r(f"(CAST({x} AS DOUBLE) - m_{x}) / s_{x}") + f" AS {x}" for x in LI_NUM)
+    + ", l_returnflag, l_linestatus, l_shipdate FROM lineitem, s")
+def q_clean_scale(spark, sf):
+    df = load(spark, sf, "lineitem")
+    return round_doubles(C.scale(df, C.fit_scale(df, LI_NUM)))
+
+
+@register("clean_reduce_cardinality", """
+WITH t AS (SELECT p_brand AS v FROM part GROUP BY 1 ORDER BY count(*) DESC, v NULLS FIRST LIMIT 20)
+SELECT p_partkey, p_name, CASE WHEN p_brand IS NULL THEN NULL WHEN p_brand IN (SELECT v FROM t) THEN p_brand ELSE 'Other' END AS p_brand,
+  p_type, p_size, p_retailprice FROM part""")
+def q_clean_reduce_cardinality(spark, sf):
+    df = load(spark, sf, "part")
+    return C.reduce_cardinality(df, C.fit_reduce_cardinality(df, ["p_brand"], 20))
+
+
+@register("clean_one_hot", """
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority,
+  coalesce(CAST(o_orderstatus = 'F' AS DOUBLE), 0.0) AS o_orderstatus_F,
+  coalesce(CAST(o_orderstatus = 'O' AS DOUBLE), 0.0) AS o_orderstatus_O,
+  coalesce(CAST(o_orderstatus = 'P' AS DOUBLE), 0.0) AS o_orderstatus_P FROM orders""")
+def q_clean_one_hot(spark, sf):
+    df = load(spark, sf, "orders")
+    return C.one_hot(df, C.fit_one_hot(df, ["o_orderstatus"]))
+
+
+@register("balance_check", """
+WITH g AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+s AS (SELECT count(*) AS n_classes, min(n) AS minority_count, max(n) AS majority_count FROM g)
+SELECT *, CASE WHEN n_classes < 2 THEN 'skip_single_class' WHEN minority_count < 6 THEN 'skip_minority_too_small'
+  WHEN n_classes > 2 THEN 'warn_multiclass' ELSE 'ok' END AS verdict FROM s""")
+def q_balance_check(spark, sf):
+    return C.balance_check(load(spark, sf, "labels"), "quality", ["toxic"])
+
+
+@register("high_cardinality", """
+SELECT * FROM (SELECT 'c_name' AS column_name, count(DISTINCT c_name) AS n_unique FROM customer
+  UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) FROM customer) WHERE n_unique > 100""")
+def q_high_cardinality(spark, sf):
+    return C.high_cardinality(load(spark, sf, "customer"), ["c_name", "c_mktsegment"], 100)
+
+
+_NUM4 = ["event_id", "user_id", "value", "segment"]
+
+
+def _pipeline_sql(smooth: bool, scale: bool, reduce: bool, drop: bool) -> str:
+    """Staged fits exactly as the Spark run: dedup -> drop constants -> impute ->
+    [smooth] -> cap -> [scale]; categorical: mode -> [top-20 + Other]."""
+    q = [DE + ", d AS (SELECT DISTINCT * FROM dirty_events)",
+         "m AS (SELECT " + ", ".join(f"avg(CAST({x} AS DOUBLE)) AS a_{x}" for x in _NUM4) + " FROM d)",
+         "i AS (SELECT " + ", ".join(f"coalesce(CAST({x} AS DOUBLE), a_{x}) AS {x}" for x in _NUM4)
+         + ", ts, event_type FROM d, m)"]
+    cur = "i"
+    if smooth:
+        q.append("sm AS (SELECT ts, event_type, " + ", ".join(
+            f"avg({x}) OVER (ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS {x}" for x in _NUM4)
+            + " FROM i)")
+        cur = "sm"
+    q.append(f"cs AS (SELECT " + ", ".join(f"avg({x}) AS m_{x}, coalesce(stddev_pop({x}), 0.0) AS s_{x}" for x in _NUM4)
+             + f" FROM {cur})")
+    q.append("c AS (SELECT ts, event_type, " + ", ".join(
+        f"CASE WHEN {x} IS NULL THEN NULL ELSE least(greatest({x}, m_{x} - 3.0 * s_{x}), m_{x} + 3.0 * s_{x}) END AS {x}"
+        for x in _NUM4) + f" FROM {cur}, cs)")
+    cur = "c"
+    if scale:
+        q.append("ss AS (SELECT " + ", ".join(
+            f"avg({x}) AS m_{x}, coalesce(nullif(stddev_pop({x}), 0), 1.0) AS s_{x}" for x in _NUM4) + " FROM c)")
+        q.append("sc AS (SELECT ts, event_type, " + ", ".join(f"({x} - m_{x}) / s_{x} AS {x}" for x in _NUM4)
+                 + " FROM c, ss)")
+        cur = "sc"
+    q.append(f"mo AS (SELECT event_type AS v FROM {cur} WHERE event_type IS NOT NULL GROUP BY 1 "
+             "ORDER BY count(*) DESC, v LIMIT 1)")
+    q.append(f"ci AS (SELECT *, coalesce(event_type, (SELECT v FROM mo)) AS et FROM {cur})")
+    et = "et"
+    if reduce:
+        q.append("tp AS (SELECT et AS v FROM ci GROUP BY 1 ORDER BY count(*) DESC, v NULLS FIRST LIMIT 20)")
+        et = "CASE WHEN et IS NULL THEN NULL WHEN et IN (SELECT v FROM tp) THEN et ELSE 'Other' END"
+    sel = [_r(x) + f" AS {x}" for x in _NUM4] + [f"{et} AS event_type"]
+    if not drop:
+        sel.insert(1, "ts")
+    return ",\n".join(q) + "\nSELECT " + ", ".join(sel) + " FROM ci"
+
+
+@register("clean_pipeline_default", _pipeline_sql(False, False, False, False))
+def q_clean_pipeline_default(spark, sf):
+    cfg = C.CleaningConfig(remove_duplicates=True, handle_missing_values=True, handle_outliers=True)
+    return round_doubles(C.clean(load(spark, sf, "dirty_events"), cfg).df)
+
+
+@register("clean_full", _pipeline_sql(True, True, True, True))
+def q_clean_full(spark, sf):
+    cfg = C.CleaningConfig(remove_duplicates=True, handle_missing_values=True, smooth_noisy_data=True,
+                           handle_outliers=True, feature_scaling=True, reduce_cardinality=True,
+                           order_by=("ts", "event_id"), remainder="drop")
+    return round_doubles(C.clean(load(spark, sf, "dirty_events"), cfg).df)
+
+
+@register("clean_preview", DE + """,
+s AS (SELECT """ + ", ".join(f"avg(CAST({x} AS DOUBLE)) AS m_{x}, stddev_samp(CAST({x} AS DOUBLE)) AS s_{x}" for x in DE_NUM)
+          + """ FROM dirty_events),
+a AS (SELECT CAST(sum(""" + " + ".join(f"CASE WHEN {x} IS NULL THEN 1 ELSE 0 END" for x in
+                                     ["event_id", "ts", "user_id", "event_type", "value", "segment", "const_num",
+                                      "const_cat"]) + """) AS BIGINT) AS missing_cells,
+  CAST(sum(""" + " + ".join(f"CASE WHEN abs(CAST({x} AS DOUBLE) - m_{x}) > 3 * s_{x} THEN 1 ELSE 0 END" for x in DE_NUM)
+          + """) AS BIGINT) AS outlier_cells FROM dirty_events, s),
+dup AS (SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM dirty_events
+  GROUP BY event_id, ts, user_id, event_type, value, segment, const_num, const_cat))
+SELECT * FROM a, dup""")
+def q_clean_preview(spark, sf):
+    return C.clean_preview(load(spark, sf, "dirty_events"))
+
+
+@register("clean_report", DE + """
+SELECT (SELECT count(*) FROM dirty_events) AS original_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_events)) AS cleaned_rows,
+  (SELECT count(*) FROM dirty_events) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_events)) AS rows_removed""")
+def q_clean_report(spark, sf):
+    df = load(spark, sf, "dirty_events")
+    return C.clean_report(df, C.drop_duplicates(df))
