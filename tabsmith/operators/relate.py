@@ -1,8 +1,14 @@
-"""Join and relationship operators."""
+"""Join and relationship operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabsmith.functions.core import INTEGRAL_TYPES, c
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list[str], how: str = "inner") -> DataFrame:
@@ -10,8 +16,104 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Column | str | list[str]
 
     No hint: Spark broadcasts ``dim`` only when its estimated size is under
     ``spark.sql.autoBroadcastJoinThreshold`` and AQE re-checks the real size
-    after the shuffle map stage; otherwise it stays a sort-merge join.  That
-    is the size check - a dimension that grows with the data is never forced
-    into every executor's memory.
+    after the shuffle map stage; otherwise it stays a sort-merge join (with
+    AQE splitting skewed partitions).  That is the size check - a dimension
+    that grows with the data is never forced into every executor's memory.
     """
     return fact.join(dim, on, how)
+
+
+def feature_label_join(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Attach the target to the features by a row key (inner)."""
+    return join_dimension(features, labels, key, "inner")
+
+
+def parents_with_children(parent: DataFrame, child: DataFrame, on: Sequence[tuple[str, str]],
+                          child_filter: Column | None = None) -> DataFrame:
+    """Distinct parents having at least one (filtered) child - a left
+    semi join, so a parent never repeats and no child column is carried."""
+    ch = child.where(child_filter) if child_filter is not None else child
+    cond = None
+    for p, k in on:
+        e = parent[p] == ch[k]
+        cond = e if cond is None else (cond & e)
+    return parent.join(ch, cond, "left_semi")
+
+
+def children_in_order(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
+                      order_by: Sequence[str]) -> DataFrame:
+    """One-to-many load ordered by time - every parent (left join) with its
+    children flat and numbered in order.  Flat rows instead of one nested
+    array per parent: a parent with a huge number of children never becomes
+    one giant value."""
+    j = parent.join(child, parent[parent_key] == child[child_key], "left")
+    w = Window.partitionBy(parent[parent_key]).orderBy(*[child[o] for o in order_by])
+    pos = F.when(child[child_key].isNotNull(), F.row_number().over(w)).cast("bigint")
+    return j.withColumn("child_position", pos)
+
+
+def inclusion_dependencies(tables: Mapping[str, DataFrame], key_suffix: str = "key") -> DataFrame:
+    """J4 (re-aimed): discover foreign keys as inclusion dependencies.
+
+    Parent candidates: integer columns whose values are unique and non-null.
+    Child candidates: integer columns named ``*{key_suffix}`` in other tables.
+    A pair is kept when every distinct child value exists in the parent
+    column (left anti join is empty).  Bounded metadata (one row per column)
+    prunes pairs whose value range cannot be contained; the verification
+    is a semi join per pair on distinct values, unioned into one job.
+    """
+    stats = []
+    for t, df in tables.items():
+        ints = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL_TYPES)]
+        if not ints:
+            continue
+        aggs = [F.count(F.lit(1)).alias("_rows")]
+        for i, x in enumerate(ints):
+            aggs += [F.min(c(x)).alias(f"lo{i}"), F.max(c(x)).alias(f"hi{i}"),
+                     F.count_distinct(c(x)).alias(f"d{i}"), F.count(c(x)).alias(f"n{i}")]
+        r = df.agg(*aggs).first()
+        for i, x in enumerate(ints):
+            stats.append((t, x, r[f"lo{i}"], r[f"hi{i}"], r[f"d{i}"], r[f"n{i}"], r["_rows"]))
+    parents = [s for s in stats if s[4] == s[6] and s[5] == s[6] and s[6] > 0]
+    children = [s for s in stats if s[1].lower().endswith(key_suffix) and s[4] > 0]
+    parts = []
+    for ct, cc, clo, chi, cd, _, _ in children:
+        for pt, pc, plo, phi, _, _, _ in parents:
+            if ct == pt or clo < plo or chi > phi:
+                continue
+            ch = tables[ct].select(c(cc).cast("bigint").alias("v")).where(F.col("v").isNotNull()).distinct()
+            pa = tables[pt].select(c(pc).cast("bigint").alias("v"))
+            matched = ch.join(pa, "v", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+            parts.append(matched.select(F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"),
+                                        F.lit(pt).alias("parent_table"), F.lit(pc).alias("parent_column"),
+                                        F.lit(cd).cast("bigint").alias("child_distinct"), "matched"))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "child_table string, child_column string, parent_table string, "
+                                         "parent_column string, child_distinct bigint, matched bigint, coverage double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("coverage", F.col("matched").cast("double") / F.col("child_distinct"))
+    return out.where(F.col("coverage") == 1.0)
+
+
+def related_tables(edges: DataFrame, table: str) -> DataFrame:
+    """Outgoing (table is child) and incoming (table is parent) edges of a table."""
+    out = edges.where(F.col("child_table") == table).withColumn("direction", F.lit("outgoing"))
+    inc = edges.where(F.col("parent_table") == table).withColumn("direction", F.lit("incoming"))
+    return out.unionByName(inc)
+
+
+def category_alignment(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """Full outer alignment of the category counts of two tables."""
+    a = reference.groupBy(c(column).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("ref_count"))
+    b = current.groupBy(c(column).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("cur_count"))
+    j = a.join(b, a["category"].eqNullSafe(b["category"]), "full_outer")
+    return j.select(F.coalesce(a["category"], b["category"]).alias("category"),
+                    F.coalesce(F.col("ref_count"), F.lit(0)).alias("ref_count"),
+                    F.coalesce(F.col("cur_count"), F.lit(0)).alias("cur_count"))
+
+
+def is_integral(dt: T.DataType) -> bool:
+    return isinstance(dt, INTEGRAL_TYPES)
