@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tabsmith.functions.core import HASH_SPACE, c, hash_bucket, numeric_columns, safe_div
+from tabsmith.functions.core import HASH_SPACE, c, hash_bucket, numeric_columns, q, safe_div
 
 try:  # Spark >= 3.4 raises these from pyspark.errors as well
     from pyspark.errors import ParseException
@@ -154,6 +154,27 @@ def with_position(df: DataFrame, order_by: Sequence[Column], name: str = "positi
               .drop("_pid", "_mid", "_off", "_m0")
 
 
+def position_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Column],
+                      name: str = "position", broadcast_limit: int = 1_000_000) -> DataFrame:
+    """1-based rank of each row inside its group, skew-safe.
+
+    ``with_position`` numbers all rows in (group, order) order with a range
+    partitioned sort, which cuts a hot group into many tasks; the first
+    position of every group (one row per group, broadcast when the counted
+    number of groups is small) turns it into the in-group rank."""
+    g = [c(x) for x in group_cols]
+    pos = with_position(df, g + list(order_by), "__gpos")
+    starts = pos.groupBy(*[x.alias(f"__g{i}") for i, x in enumerate(g)]).agg(F.min("__gpos").alias("__gstart"))
+    n_groups = starts.count()
+    starts = F.broadcast(starts) if n_groups <= broadcast_limit else starts
+    cond = None
+    for i, x in enumerate(group_cols):
+        e = pos[q(x)].eqNullSafe(starts[f"__g{i}"])  # null is a group too
+        cond = e if cond is None else (cond & e)
+    out = pos.join(starts, cond).drop(*[f"__g{i}" for i in range(len(g))])
+    return out.withColumn(name, F.col("__gpos") - F.col("__gstart") + 1).drop("__gpos", "__gstart")
+
+
 def sort_table(df: DataFrame, column: str, ascending: bool = True, tie_break: Sequence[str] = ()) -> DataFrame:
     """L4 single-column sort with the UI's null rule, plus the row position."""
     k = sort_key(df, column)

@@ -1 +1,456 @@
-"""Queries registered by this section."""
+"""Modelling queries (M1-M19) with DuckDB oracles where SQL can express them;
+Spark ML fits are registered without an oracle (rows-only check)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsmith.functions.core import round_doubles
+from tabsmith.ml import baselines as BL
+from tabsmith.ml import drift as DR
+from tabsmith.ml import metrics as MT
+from tabsmith.ml import models as MD
+from tabsmith.ml import prep as PR
+from tabsmith.plans.q_rows import LINEITEM_HASH_KEYS, duck_bucket
+from tabsmith.plans.registry import register
+from tabsmith.sources.tables import duckdb_view_cte, load
+
+LF = duckdb_view_cte("label_features")
+CUT = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
+def _halves(spark, sf):
+    ev = load(spark, sf, "events")
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    return ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
+
+
+# ---------------------------------------------------------------------------
+# M1-M3
+# ---------------------------------------------------------------------------
+
+@register("detect_task_type", """
+SELECT 'quality' AS target, CASE WHEN bool_and(CAST(quality AS DOUBLE) IN (0.0, 1.0)) OR count(DISTINCT quality) < 10
+  THEN 'classification' ELSE 'regression' END AS task_type,
+  CASE WHEN bool_and(CAST(quality AS DOUBLE) IN (0.0, 1.0)) THEN 'binary_01' WHEN count(DISTINCT quality) < 10
+  THEN 'few_integer_values' ELSE 'many_integer_values' END AS reason, count(DISTINCT quality) AS n_distinct FROM labels""")
+def q_detect_task_type(spark, sf):
+    return PR.detect_task_type(load(spark, sf, "labels"), "quality")
+
+
+@register("detect_task_type_regression", """
+SELECT 'l_extendedprice' AS target, CASE WHEN count(DISTINCT l_extendedprice) <= 5 THEN 'classification'
+  ELSE 'regression' END AS task_type, CASE WHEN count(DISTINCT l_extendedprice) <= 5 THEN 'float_few_values'
+  ELSE 'float_many_values' END AS reason, count(DISTINCT l_extendedprice) AS n_distinct FROM lineitem""")
+def q_detect_task_type_regression(spark, sf):
+    return PR.detect_task_type(load(spark, sf, "lineitem"), "l_extendedprice")
+
+
+@register("split_train_test", f"""
+SELECT *, CASE WHEN {duck_bucket(['o_orderkey'])} < {int(0.3 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM orders""")
+def q_split_train_test(spark, sf):
+    return PR.split_train_test(load(spark, sf, "orders"), ["o_orderkey"], 0.3)
+
+
+@register("kfold", f"SELECT *, CAST({duck_bucket(['doc_id'])} % 3 AS INTEGER) AS fold FROM labels")
+def q_kfold(spark, sf):
+    return PR.kfold(load(spark, sf, "labels"), ["doc_id"], 3)
+
+
+STRAT_SQL = f"""
+SELECT doc_id, quality, toxic, CAST((row_number() OVER (PARTITION BY quality ORDER BY {duck_bucket(['doc_id'])}, doc_id) - 1) % 3
+  AS INTEGER) AS fold FROM labels"""
+
+
+@register("stratified_kfold", STRAT_SQL)
+def q_stratified_kfold(spark, sf):
+    return PR.stratified_kfold(load(spark, sf, "labels"), "quality", ["doc_id"], 3)
+
+
+# ---------------------------------------------------------------------------
+# M12 / M11 with deterministic scorers
+# ---------------------------------------------------------------------------
+
+OLS_CTE = """WITH st AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
+d AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice AS y, a + b * l_quantity AS p FROM lineitem, st)"""
+
+
+def _ols(spark, sf):
+    li = load(spark, sf, "lineitem")
+    st = li.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
+                F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
+    return li.crossJoin(st).withColumn("p", F.col("a") + F.col("b") * F.col("l_quantity"))  # one-row side
+
+
+@register("regression_metrics", OLS_CTE + """
+SELECT round(avg(abs(y - p)), 6) AS MAE, round(avg((y - p) * (y - p)), 4) AS MSE, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE,
+  round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS R2,
+  round(sqrt(avg(pow(ln(1 + abs(p)) - ln(1 + abs(y)), 2))), 6) AS RMSLE,
+  round(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END), 6) AS MAPE FROM d""")
+def q_regression_metrics(spark, sf):
+    out = MT.regression_metrics(_ols(spark, sf), "l_extendedprice", "p")
+    return round_doubles(out.withColumn("MSE", F.round("MSE", 4)))
+
+
+SCORED = LF + """, d AS (SELECT doc_id, quality AS y, f_spaces / f_chars AS s,
+  CASE WHEN f_spaces / f_chars >= 0.15 THEN 1 ELSE 0 END AS p FROM label_features)"""
+
+
+def _scored(spark, sf):
+    lf = load(spark, sf, "label_features")
+    s = F.col("f_spaces") / F.col("f_chars")
+    return lf.select("doc_id", F.col("quality").alias("y"), s.alias("s"), F.when(s >= 0.15, 1).otherwise(0).alias("p"))
+
+
+@register("classification_metrics", SCORED + """,
+cm AS (SELECT y, p, count(*) AS n FROM d GROUP BY 1, 2),
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS N, CAST(coalesce(sum(n) FILTER (WHERE y = p), 0) AS DOUBLE) AS D,
+  CAST(coalesce(sum(n) FILTER (WHERE y = 1 AND p = 1), 0) AS DOUBLE) AS TP,
+  CAST(coalesce(sum(n) FILTER (WHERE y <> 1 AND p = 1), 0) AS DOUBLE) AS FP,
+  CAST(coalesce(sum(n) FILTER (WHERE y = 1 AND p <> 1), 0) AS DOUBLE) AS FN FROM cm),
+r AS (SELECT y AS k, sum(n) AS r FROM cm GROUP BY 1), cc AS (SELECT p AS k, sum(n) AS c FROM cm GROUP BY 1),
+rc AS (SELECT coalesce(r, 0) AS r, coalesce(c, 0) AS c FROM r FULL OUTER JOIN cc ON r.k = cc.k),
+m AS (SELECT CAST(sum(r * c) AS DOUBLE) AS RC, CAST(sum(r * r) AS DOUBLE) AS RR, CAST(sum(c * c) AS DOUBLE) AS CC FROM rc),
+g AS (SELECT s, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS nn FROM d GROUP BY s),
+w AS (SELECT pp, nn, sum(nn) OVER (ORDER BY s) - nn AS cn FROM g),
+a AS (SELECT sum(pp * (cn + 0.5 * nn)) / (sum(pp) * sum(nn)) AS AUC FROM w),
+pr AS (SELECT *, TP / NULLIF(TP + FP, 0) AS P_, TP / NULLIF(TP + FN, 0) AS R_ FROM t)
+SELECT round(D / N, 6) AS Accuracy, round(coalesce(R_, 0.0), 6) AS Recall, round(coalesce(P_, 0.0), 6) AS Precision,
+  round(coalesce(2 * P_ * R_ / NULLIF(P_ + R_, 0), 0.0), 6) AS F1,
+  round(coalesce((N * D - RC) / NULLIF(N * N - RC, 0), 0.0), 6) AS Kappa,
+  round(coalesce((N * D - RC) / NULLIF(sqrt((N * N - CC) * (N * N - RR)), 0), 0.0), 6) AS MCC,
+  round(AUC, 6) AS AUC FROM pr, m, a""")
+def q_classification_metrics(spark, sf):
+    return round_doubles(MT.classification_metrics(_scored(spark, sf), "y", "p", "s", positive=1))
+
+
+@register("confusion_matrix", SCORED + " SELECT y AS actual, p AS predicted, count(*) AS count FROM d GROUP BY 1, 2")
+def q_confusion_matrix(spark, sf):
+    return MT.confusion_matrix(_scored(spark, sf), "y", "p")
+
+
+@register("roc_curve", SCORED + """,
+g AS (SELECT CAST(s AS DOUBLE) AS threshold, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS nn FROM d GROUP BY 1)
+SELECT round(threshold, 6) AS threshold, round(CAST(sum(nn) OVER (ORDER BY threshold DESC) AS DOUBLE) / sum(nn) OVER (), 6) AS fpr,
+  round(CAST(sum(pp) OVER (ORDER BY threshold DESC) AS DOUBLE) / sum(pp) OVER (), 6) AS tpr FROM g""")
+def q_roc_curve(spark, sf):
+    return round_doubles(MT.roc_curve(_scored(spark, sf), "y", "s"))
+
+
+@register("pr_curve", SCORED + """,
+g AS (SELECT CAST(s AS DOUBLE) AS threshold, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pp, sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS nn FROM d GROUP BY 1),
+c AS (SELECT threshold, sum(pp) OVER (ORDER BY threshold DESC) AS cp, sum(nn) OVER (ORDER BY threshold DESC) AS cn,
+  sum(pp) OVER () AS P FROM g)
+SELECT round(threshold, 6) AS threshold, round(CAST(cp AS DOUBLE) / (cp + cn), 6) AS precision, round(CAST(cp AS DOUBLE) / P, 6) AS recall FROM c""")
+def q_pr_curve(spark, sf):
+    return round_doubles(MT.pr_curve(_scored(spark, sf), "y", "s"))
+
+
+@register("class_report", SCORED + """,
+cm AS (SELECT y, p, count(*) AS n FROM d GROUP BY 1, 2),
+k AS (SELECT y AS k FROM cm UNION SELECT p FROM cm),
+s AS (SELECT k, coalesce((SELECT sum(n) FROM cm WHERE y = k), 0) AS support, coalesce((SELECT sum(n) FROM cm WHERE p = k), 0) AS predicted,
+  coalesce((SELECT sum(n) FROM cm WHERE y = k AND p = k), 0) AS tp FROM k)
+SELECT k AS class_value, round(coalesce(CAST(tp AS DOUBLE) / NULLIF(predicted, 0), 0.0), 6) AS precision,
+  round(coalesce(CAST(tp AS DOUBLE) / NULLIF(support, 0), 0.0), 6) AS recall,
+  round(coalesce(2 * (CAST(tp AS DOUBLE) / NULLIF(predicted, 0)) * (CAST(tp AS DOUBLE) / NULLIF(support, 0)) /
+    NULLIF(CAST(tp AS DOUBLE) / NULLIF(predicted, 0) + CAST(tp AS DOUBLE) / NULLIF(support, 0), 0), 0.0), 6) AS f1,
+  CAST(support AS BIGINT) AS support FROM s""")
+def q_class_report(spark, sf):
+    return round_doubles(MT.class_report(_scored(spark, sf), "y", "p"))
+
+
+@register("residual_summary", OLS_CTE + """
+SELECT count(y - p) AS n, round(avg(y - p), 4) AS mean_residual, round(stddev_samp(y - p), 4) AS std_residual,
+  round(min(y - p), 4) AS min_residual, round(quantile_cont(y - p, 0.25), 4) AS q1_residual,
+  round(quantile_cont(y - p, 0.5), 4) AS median_residual, round(quantile_cont(y - p, 0.75), 4) AS q3_residual,
+  round(max(y - p), 4) AS max_residual, round(corr(y, p), 6) AS pred_actual_corr FROM d""")
+def q_residual_summary(spark, sf):
+    out = MT.residual_summary(_ols(spark, sf), "l_extendedprice", "p")
+    return out.select("n", *[F.round(x, 4).alias(x) for x in out.columns if x.endswith("_residual")],
+                      F.round("pred_actual_corr", 6).alias("pred_actual_corr"))
+
+
+@register("cooks_distance", OLS_CTE + """,
+s AS (SELECT count(*) AS n, avg(l_quantity) AS mx, sum((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) *
+  (l_quantity - (SELECT avg(l_quantity) FROM lineitem))) AS sxx, sum((y - p) * (y - p)) AS sse FROM d),
+h AS (SELECT d.*, 1.0 / n + (l_quantity - mx) * (l_quantity - mx) / sxx AS leverage, sse / (n - 2) AS mse FROM d, s)
+SELECT l_orderkey, l_linenumber, round(leverage * 1e6, 4) AS leverage_e6,
+  round((y - p) * (y - p) / (2 * mse) * leverage / ((1 - leverage) * (1 - leverage)) * 1e6, 4) AS cooks_distance_e6 FROM h""")
+def q_cooks_distance(spark, sf):
+    out = MT.cooks_distance(_ols(spark, sf), ["l_quantity"], "l_extendedprice", "p")
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("leverage") * 1e6, 4).alias("leverage_e6"),
+                      F.round(F.col("cooks_distance") * 1e6, 4).alias("cooks_distance_e6"))
+
+
+# ---------------------------------------------------------------------------
+# M18 / M19 drift between the first and second half of events
+# ---------------------------------------------------------------------------
+
+def _ecdf_sql(col: str) -> str:
+    return f"""d AS (SELECT CAST({col} AS DOUBLE) AS x, 1 AS a FROM events WHERE ts < {CUT} AND {col} IS NOT NULL
+  UNION ALL SELECT CAST({col} AS DOUBLE), 0 FROM events WHERE ts >= {CUT} AND {col} IS NOT NULL),
+g AS (SELECT x, sum(a) AS p, sum(1 - a) AS n FROM d GROUP BY x),
+w AS (SELECT x, CAST(sum(p) OVER (ORDER BY x) AS DOUBLE) / sum(p) OVER () AS f,
+             CAST(sum(n) OVER (ORDER BY x) AS DOUBLE) / sum(n) OVER () AS h, lead(x) OVER (ORDER BY x) AS xn,
+             sum(p) OVER () AS P, sum(n) OVER () AS N FROM g)"""
+
+
+@register("drift_ks", "WITH " + _ecdf_sql("value") + """
+SELECT round(max(abs(f - h)), 6) AS statistic, CAST(max(P) AS BIGINT) AS n_reference, CAST(max(N) AS BIGINT) AS n_current FROM w""")
+def q_drift_ks(spark, sf):
+    a, b = _halves(spark, sf)
+    out = DR.ks_statistic(a, b, "value")
+    return out.select(F.round("statistic", 6).alias("statistic"), F.col("n_reference").cast("bigint").alias("n_reference"),
+                      F.col("n_current").cast("bigint").alias("n_current"))
+
+
+def _wass_sql(col: str) -> str:
+    return "WITH " + _ecdf_sql(col) + f"""
+SELECT round(sum(abs(f - h) * (xn - x)), 6) AS wasserstein,
+  round(sum(abs(f - h) * (xn - x)) / (SELECT stddev_pop(CAST({col} AS DOUBLE)) FROM events WHERE ts < {CUT}), 6) AS statistic
+FROM w WHERE xn IS NOT NULL"""
+
+
+@register("drift_wasserstein", _wass_sql("value"))
+def q_drift_wasserstein(spark, sf):
+    a, b = _halves(spark, sf)
+    return round_doubles(DR.wasserstein_normed(a, b, "value"))
+
+
+def _cat_sql(col: str) -> str:
+    return f"""a AS (SELECT CAST({col} AS VARCHAR) AS k, count(*) AS rc FROM events WHERE ts < {CUT} GROUP BY 1),
+b AS (SELECT CAST({col} AS VARCHAR) AS k, count(*) AS cc FROM events WHERE ts >= {CUT} GROUP BY 1),
+t AS (SELECT coalesce(a.k, b.k) AS k, coalesce(rc, 0) AS rc, coalesce(cc, 0) AS cc FROM a FULL OUTER JOIN b ON a.k IS NOT DISTINCT FROM b.k),
+s AS (SELECT k, rc, cc, CAST(rc AS DOUBLE) / (SELECT sum(rc) FROM t) AS ps, CAST(cc AS DOUBLE) / (SELECT sum(cc) FROM t) AS qs,
+  (SELECT sum(cc) FROM t) AS C FROM t)"""
+
+
+@register("drift_chi2", "WITH " + _cat_sql("event_type") + """
+SELECT round(sum((cc - ps * C) * (cc - ps * C) / (ps * C)), 6) AS statistic, count(*) - 1 AS dof FROM s WHERE rc > 0""")
+def q_drift_chi2(spark, sf):
+    a, b = _halves(spark, sf)
+    return round_doubles(DR.chi_square(a, b, "event_type"))
+
+
+def _js_expr() -> str:
+    return ("sqrt(greatest(0.0, 0.5 * sum(CASE WHEN ps > 0 THEN ps * log2(ps / ((ps + qs) / 2)) ELSE 0 END) + "
+            "0.5 * sum(CASE WHEN qs > 0 THEN qs * log2(qs / ((ps + qs) / 2)) ELSE 0 END)))")
+
+
+@register("drift_js", "WITH " + _cat_sql("event_type") + f" SELECT round({_js_expr()}, 6) AS statistic FROM s")
+def q_drift_js(spark, sf):
+    a, b = _halves(spark, sf)
+    return round_doubles(DR.jensen_shannon(a, b, "event_type"))
+
+
+def _drift_report_sql() -> str:
+    parts = []
+    for col in ("value", "user_id"):
+        w = _wass_sql(col).replace("WITH ", "", 1)
+        body = w[:w.rindex("\nSELECT")]
+        parts.append(f"(WITH {body} SELECT '{col}' AS column, 'num' AS type, 'Wasserstein distance (normed)' AS test, "
+                     f"sum(abs(f - h) * (xn - x)) / (SELECT stddev_pop(CAST({col} AS DOUBLE)) FROM events WHERE ts < {CUT}) "
+                     f"AS drift_score FROM w WHERE xn IS NOT NULL)")
+    parts.append(f"(WITH {_cat_sql('event_type')} SELECT 'event_type', 'cat', 'Jensen-Shannon distance', {_js_expr()} FROM s)")
+    parts = [f"SELECT * FROM {p}" for p in parts]
+    return f"""WITH r AS ({' UNION ALL '.join(parts)}),
+r2 AS (SELECT *, drift_score >= 0.1 AS drift_detected FROM r)
+SELECT column, type, test, round(drift_score, 6) AS drift_score, drift_detected,
+  (SELECT CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) FROM r2) >= 0.5 AS dataset_drift,
+  round((SELECT CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) FROM r2), 6) AS drift_share FROM r2"""
+
+
+@register("drift_report", _drift_report_sql())
+def q_drift_report(spark, sf):
+    a, b = _halves(spark, sf)
+    return round_doubles(DR.drift_report(a, b, ["value", "user_id", "event_type"]))
+
+
+@register("drift_distribution", f"""
+WITH d AS (SELECT value AS x, 1 AS a FROM events WHERE ts < {CUT} AND value IS NOT NULL
+  UNION ALL SELECT value, 0 FROM events WHERE ts >= {CUT} AND value IS NOT NULL),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
+i0 AS (SELECT x, a, lo, hi, least(greatest(CAST(floor((x - lo) * (10.0 / (hi - lo))) AS INTEGER), 0), 9) AS i FROM d, r),
+i1 AS (SELECT x, a, lo, hi, CASE WHEN x < (CASE WHEN i >= 10 THEN hi ELSE lo + CAST(i AS DOUBLE) * ((hi - lo) / 10.0) END) THEN i - 1 ELSE i END AS i FROM i0),
+i2 AS (SELECT a, CASE WHEN i < 9 AND x >= (CASE WHEN i + 1 >= 10 THEN hi ELSE lo + CAST(i + 1 AS DOUBLE) * ((hi - lo) / 10.0) END)
+  THEN i + 1 ELSE i END AS bin FROM i1),
+g AS (SELECT bin, sum(a) AS rc, sum(1 - a) AS cc FROM i2 GROUP BY bin)
+SELECT CAST(b.range AS INTEGER) AS bin, CAST(coalesce(rc, 0) AS BIGINT) AS reference_count, CAST(coalesce(cc, 0) AS BIGINT) AS current_count
+FROM range(0, 10) b LEFT JOIN g ON g.bin = b.range""")
+def q_drift_distribution(spark, sf):
+    a, b = _halves(spark, sf)
+    return DR.drift_distribution(a, b, "value", 10)
+
+
+@register("drift_over_time", f"""
+WITH ref AS (SELECT value AS x FROM events WHERE ts < {CUT} AND value IS NOT NULL),
+cur AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS period, value AS x FROM events WHERE ts >= {CUT} AND value IS NOT NULL),
+rg AS (SELECT x, count(*) AS p FROM ref GROUP BY x),
+cg AS (SELECT period, x, count(*) AS n FROM cur GROUP BY 1, 2),
+u AS (SELECT x, sum(p) AS p FROM (SELECT x, p FROM rg UNION ALL SELECT x, 0 FROM cg) GROUP BY x),
+e AS (SELECT x, CAST(sum(p) OVER (ORDER BY x) AS DOUBLE) / (SELECT sum(p) FROM rg) AS f_le,
+  CAST(sum(p) OVER (ORDER BY x) - p AS DOUBLE) / (SELECT sum(p) FROM rg) AS f_lt FROM u),
+t AS (SELECT cg.period, cg.n, e.f_le, e.f_lt, sum(n) OVER (PARTITION BY period ORDER BY cg.x) AS cn,
+  sum(n) OVER (PARTITION BY period) AS nn FROM cg JOIN e ON cg.x = e.x)
+SELECT period, round(max(greatest(abs(f_le - CAST(cn AS DOUBLE) / nn), abs(f_lt - CAST(cn - n AS DOUBLE) / nn))), 6) AS ks_statistic,
+  CAST(sum(n) AS BIGINT) AS n_current FROM t GROUP BY period""")
+def q_drift_over_time(spark, sf):
+    a, b = _halves(spark, sf)
+    return round_doubles(DR.drift_over_time(a, b, "value", "ts", "week"))
+
+
+# ---------------------------------------------------------------------------
+# M6 / M7 / L11 closed-form baselines, M16 / M17 on least squares
+# ---------------------------------------------------------------------------
+
+def _baseline_sql(outer: str) -> str:
+    return f"""WITH f AS (SELECT CAST({duck_bucket(LINEITEM_HASH_KEYS)} % 3 AS INTEGER) AS fold, l_extendedprice AS y, l_quantity AS x FROM lineitem),
+per AS (SELECT fold, count(y) AS ny, sum(y) AS sy, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n,
+  sum(x) AS sx, sum(y) AS sxy_y, sum(x * y) AS sxy, sum(x * x) AS sxx FROM f GROUP BY fold),
+tot AS (SELECT sum(ny) AS t_ny, sum(sy) AS t_sy, sum(n) AS t_n, sum(sx) AS t_sx, sum(sxy_y) AS t_sxy_y, sum(sxy) AS t_sxy, sum(sxx) AS t_sxx FROM per),
+tr AS (SELECT fold, t_ny - ny AS ny, t_sy - sy AS sy, t_n - n AS n, t_sx - sx AS sx, t_sxy_y - sxy_y AS sxy_y, t_sxy - sxy AS sxy, t_sxx - sxx AS sxx FROM per, tot),
+fits AS (SELECT fold, sy / ny AS train_mean, (n * sxy - sx * sxy_y) / (n * sxx - sx * sx) AS slope, sxy_y, sx, n FROM tr),
+fits2 AS (SELECT fold, train_mean, slope, (sxy_y - slope * sx) / n AS intercept FROM fits),
+pred AS (SELECT 'dummy' AS model, f.fold, y AS label, train_mean AS prediction FROM f JOIN fits2 USING (fold)
+  UNION ALL SELECT 'ols', f.fold, y, intercept + slope * x FROM f JOIN fits2 USING (fold)),
+per_fold AS (SELECT model, fold, avg(abs(label - prediction)) AS MAE, avg((label - prediction) * (label - prediction)) AS MSE,
+  sqrt(avg((label - prediction) * (label - prediction))) AS RMSE,
+  1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(label)) AS R2,
+  sqrt(avg(pow(ln(1 + abs(prediction)) - ln(1 + abs(label)), 2))) AS RMSLE,
+  avg(CASE WHEN label <> 0 THEN abs((label - prediction) / label) END) AS MAPE FROM pred GROUP BY model, fold)
+{outer}"""
+
+
+_M = ["MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE"]
+
+
+def _lineitem_folds(spark, sf):
+    return PR.kfold(load(spark, sf, "lineitem"), LINEITEM_HASH_KEYS, 3)
+
+
+@register("cv_leaderboard_dummy", _baseline_sql(
+    "SELECT model, " + ", ".join(f"round(avg({m}), {4 if m == 'MSE' else 6}) AS {m}" for m in _M)
+    + " FROM per_fold GROUP BY model"))
+def q_cv_leaderboard_dummy(spark, sf):
+    board, _ = BL.baseline_leaderboard(_lineitem_folds(spark, sf), "l_extendedprice", "l_quantity")
+    return round_doubles(board.withColumn("MSE", F.round("MSE", 4)))
+
+
+@register("cv_fold_table", _baseline_sql(
+    "SELECT model, CAST(fold AS VARCHAR) AS Fold, " + ", ".join(f"round({m}, {4 if m == 'MSE' else 6}) AS {m}" for m in _M)
+    + " FROM per_fold UNION ALL SELECT model, 'Mean', " + ", ".join(f"round(avg({m}), {4 if m == 'MSE' else 6})" for m in _M)
+    + " FROM per_fold GROUP BY model UNION ALL SELECT model, 'Std', "
+    + ", ".join(f"round(stddev_pop({m}), {4 if m == 'MSE' else 6})" for m in _M) + " FROM per_fold GROUP BY model"))
+def q_cv_fold_table(spark, sf):
+    _, per = BL.baseline_leaderboard(_lineitem_folds(spark, sf), "l_extendedprice", "l_quantity")
+    out = MD.fold_table(per, _M)
+    return round_doubles(out.withColumn("MSE", F.round("MSE", 4)))
+
+
+@register("best_by_composite", _baseline_sql(
+    "SELECT arg_min(model, RMSE - R2) AS best_model, round(min(RMSE - R2), 6) AS score FROM "
+    "(SELECT model, avg(RMSE) AS RMSE, avg(R2) AS R2 FROM per_fold GROUP BY model)"))
+def q_best_by_composite(spark, sf):
+    board, _ = BL.baseline_leaderboard(_lineitem_folds(spark, sf), "l_extendedprice", "l_quantity")
+    return round_doubles(MD.best_by_composite(board))
+
+
+@register("predict_ols", f"""
+WITH s AS (SELECT *, CASE WHEN {duck_bucket(LINEITEM_HASH_KEYS)} < {int(0.3 * 2**32)} THEN 'test' ELSE 'train' END AS split FROM lineitem),
+t AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(l_extendedprice) AS sy, sum(l_quantity * l_extendedprice) AS sxy,
+  sum(l_quantity * l_quantity) AS sxx FROM s WHERE split = 'train'),
+fit AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, sy, sx, n FROM t)
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+  round((sy - b * sx) / n + b * l_quantity, 6) AS prediction_label FROM s, fit WHERE split = 'test'""")
+def q_predict_ols(spark, sf):
+    s = PR.split_train_test(load(spark, sf, "lineitem"), LINEITEM_HASH_KEYS, 0.3)
+    fits = BL.fold_fits(s, "l_extendedprice", "l_quantity", fold_col="split").where(F.col("fold") == "test")
+    test = s.where(F.col("split") == "test").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    out = test.crossJoin(fits)  # one-row side
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                      F.round(F.col("intercept") + F.col("slope") * F.col("l_quantity"), 6).alias("prediction_label"))
+
+
+@register("explain_linear", """
+WITH t AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(l_extendedprice) AS sy, sum(l_quantity * l_extendedprice) AS sxy,
+  sum(l_quantity * l_quantity) AS sxx FROM lineitem),
+fit AS (SELECT (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, sy, sx, n FROM t),
+fit2 AS (SELECT b, (sy - b * sx) / n AS a, sx / n AS mx FROM fit)
+SELECT l_orderkey, l_linenumber, l_quantity, round(a + b * mx, 6) AS base_value, round(b * (l_quantity - mx), 6) AS contrib_l_quantity
+FROM lineitem, fit2""")
+def q_explain_linear(spark, sf):
+    li = load(spark, sf, "lineitem")
+    r = li.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("sx"), F.sum("l_extendedprice").alias("sy"),
+               F.sum(F.col("l_quantity") * F.col("l_extendedprice")).alias("sxy"),
+               F.sum(F.col("l_quantity") * F.col("l_quantity")).alias("sxx")).first()
+    b = (r["n"] * r["sxy"] - r["sx"] * r["sy"]) / (r["n"] * r["sxx"] - r["sx"] * r["sx"])
+    a = (r["sy"] - b * r["sx"]) / r["n"]
+    out = MD.explain_linear(li.select("l_orderkey", "l_linenumber", "l_quantity"), {"l_quantity": b}, a,
+                            {"l_quantity": r["sx"] / r["n"]})
+    return round_doubles(out)
+
+
+# ---------------------------------------------------------------------------
+# Spark ML estimators (rows-only: no SQL equivalent of the fitted models)
+# ---------------------------------------------------------------------------
+
+LF_FEATURES = ["f_chars", "f_spaces"]
+
+
+@register("cv_leaderboard")
+def q_cv_leaderboard(spark, sf):
+    df = load(spark, sf, "label_features")
+    board, _ = MD.cv_leaderboard(df, "quality", "classification", ["lr", "ridge", "rf", "et", "lightgbm", "dt", "dummy"],
+                                 k=3, key_cols=["doc_id"], features=LF_FEATURES, sort="AUC")
+    return round_doubles(board.drop("TT (Sec)"))
+
+
+@register("cv_leaderboard_regression")
+def q_cv_leaderboard_regression(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                                            "l_extendedprice", *[x for x in LINEITEM_HASH_KEYS if x not in
+                                                                 ("l_returnflag", "l_linestatus")])
+    feats = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    board, _ = MD.cv_leaderboard(li, "l_extendedprice", "regression", ["lr", "ridge", "dt", "lightgbm", "dummy"], k=3,
+                                 key_cols=LINEITEM_HASH_KEYS, features=feats, sort="R2")
+    return round_doubles(board.drop("TT (Sec)"))
+
+
+@register("tune_ridge")
+def q_tune_ridge(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice",
+                                            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate",
+                                            "l_returnflag", "l_linestatus")
+    out, _best = MD.tune(li.select("l_quantity", "l_discount", "l_tax", "l_extendedprice", *LINEITEM_HASH_KEYS),
+                         "l_extendedprice", "regression", "ridge",
+                         {"regParam": [0.01, 0.1, 1.0, 10.0]}, k=3, key_cols=LINEITEM_HASH_KEYS)
+    return out
+
+
+@register("holdout_metrics")
+def q_holdout_metrics(spark, sf):
+    df = load(spark, sf, "label_features")
+    return round_doubles(MD.holdout_metrics(df, "quality", "classification", "lr", ["doc_id"]))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    li = load(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+    model, prep = MD.fit_final(li, "l_extendedprice", "regression", "rf", {"numTrees": 10, "maxDepth": 5})
+    return MD.feature_importance(model, MD.model_input(li, prep, "l_extendedprice"))
+
+
+@register("predict_batch")
+def q_predict_batch(spark, sf):
+    df = load(spark, sf, "label_features")
+    model, prep = MD.fit_final(df, "quality", "classification", "lr", features=LF_FEATURES)
+    return MD.predict(model, prep, df, target="quality")
+
+
+@register("explain_sampled")
+def q_explain_sampled(spark, sf):
+    df = load(spark, sf, "label_features")
+    model, prep = MD.fit_final(df.drop("doc_id"), "quality", "classification", "rf", {"numTrees": 10},
+                               features=LF_FEATURES)
+    return MD.explain_sampled(model, prep, df, ["doc_id"], n_perm=4)
