@@ -249,14 +249,14 @@ def _drift_report_sql() -> str:
     for col in ("value", "user_id"):
         w = _wass_sql(col).replace("WITH ", "", 1)
         body = w[:w.rindex("\nSELECT")]
-        parts.append(f"(WITH {body} SELECT '{col}' AS column, 'num' AS type, 'Wasserstein distance (normed)' AS test, "
+        parts.append(f"(WITH {body} SELECT '{col}' AS \"column\", 'num' AS type, 'Wasserstein distance (normed)' AS test, "
                      f"sum(abs(f - h) * (xn - x)) / (SELECT stddev_pop(CAST({col} AS DOUBLE)) FROM events WHERE ts < {CUT}) "
                      f"AS drift_score FROM w WHERE xn IS NOT NULL)")
     parts.append(f"(WITH {_cat_sql('event_type')} SELECT 'event_type', 'cat', 'Jensen-Shannon distance', {_js_expr()} FROM s)")
     parts = [f"SELECT * FROM {p}" for p in parts]
     return f"""WITH r AS ({' UNION ALL '.join(parts)}),
 r2 AS (SELECT *, drift_score >= 0.1 AS drift_detected FROM r)
-SELECT column, type, test, round(drift_score, 6) AS drift_score, drift_detected,
+SELECT "column", type, test, round(drift_score, 6) AS drift_score, drift_detected,
   (SELECT CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) FROM r2) >= 0.5 AS dataset_drift,
   round((SELECT CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) FROM r2), 6) AS drift_share FROM r2"""
 
