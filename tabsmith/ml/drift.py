@@ -83,8 +83,8 @@ def cumulative_next(df: DataFrame, order_col: str, buckets: int = 256) -> DataFr
     arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else None
     t = df.withColumn("__bk", F.size(F.filter(arr, lambda e: e <= o)) if edges else F.lit(0))
     firsts = t.groupBy("__bk").agg(F.min(o).alias("__first"))
-    wn = Window.orderBy("__bk").rowsBetween(1, Window.unboundedFollowing)  # over buckets only
-    nb = firsts.select("__bk", F.first("__first", ignorenulls=True).over(wn).alias("__next_first"))
+    wn = Window.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
+    nb = firsts.select("__bk", F.last("__first", ignorenulls=True).over(wn).alias("__next_first"))
     wi = Window.partitionBy("__bk").orderBy(o)
     out = t.join(F.broadcast(nb), "__bk").withColumn("x_next", F.coalesce(F.lead(o).over(wi), F.col("__next_first")))
     return out.where(F.col("x_next").isNotNull()).drop("__bk", "__next_first")

@@ -131,8 +131,10 @@ def smooth(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], partitio
         return df
     if not order_by:
         raise ValueError("smoothing needs order_by columns (Spark rows have no order)")
-    sm = trailing_mean(df, cols, partition_by, order_by, window, rows_per_chunk)
-    return fill_bfill_ffill(sm, cols, partition_by, order_by, rows_per_chunk)
+    from tabsmith.operators.windows import assign_chunks
+    chunks = assign_chunks(df, partition_by, order_by, rows_per_chunk)  # shared by both steps
+    sm = trailing_mean(df, cols, partition_by, order_by, window, rows_per_chunk, chunks=chunks, keep_chunks=True)
+    return fill_bfill_ffill(sm, cols, partition_by, order_by, rows_per_chunk, chunks=(sm, chunks[1], chunks[2]))
 
 
 # ---------------------------------------------------------------------------

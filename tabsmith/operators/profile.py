@@ -9,6 +9,7 @@ columns to ``(column_name, value)`` pairs and aggregate them once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -215,21 +216,55 @@ def _pair_corr(a: Column, b: Column) -> Column:
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Tall correlation matrix (col_a, col_b, corr), both orders and the
-    diagonal.  Only the upper triangle is aggregated (one scan), then mirrored."""
+    diagonal; pairwise-complete, undefined -> 0.
+
+    Two light passes: column means (p values to the driver), then plain sums
+    of the mean-shifted values and their products over the rows where both
+    members of a pair are present (shifting keeps the sums well conditioned).
+    Plain ``sum`` aggregates are far cheaper to generate and run than
+    ``covar_pop``/``stddev_pop`` per pair; identical sums are shared by the
+    planner when columns have no nulls.  Only the upper triangle is
+    aggregated; one ``stack`` emits both orders."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     xs = [c(x).cast("double") for x in cols]
-    wide = df.agg(*[_pair_corr(xs[i], xs[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    labels, vals = [], []
+    st = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
+                *[F.count(x).alias(f"c{i}") for i, x in enumerate(xs)]).first()
+    full = [st[f"c{i}"] == st["rows"] for i in range(len(xs))]  # columns without nulls
+    zs = [x - F.lit(st[f"m{i}"] if st[f"m{i}"] is not None else 0.0) for i, x in enumerate(xs)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    aggs = []
+    for i in range(len(xs)):
+        if full[i]:  # shared by every pair of null-free columns
+            aggs += [F.sum(zs[i]).alias(f"s{i}"), F.sum(zs[i] * zs[i]).alias(f"q{i}")]
+    for i, j in pairs:
+        if full[i] and full[j]:
+            aggs.append(F.sum(zs[i] * zs[j]).alias(f"ab{i}_{j}"))
+            continue
+        both = xs[i].isNotNull() & xs[j].isNotNull()
+        a, b = F.when(both, zs[i]), F.when(both, zs[j])
+        aggs += [F.count(F.when(both, 1)).cast("double").alias(f"n{i}_{j}"), F.sum(a).alias(f"sa{i}_{j}"),
+                 F.sum(b).alias(f"sb{i}_{j}"), F.sum(a * a).alias(f"aa{i}_{j}"), F.sum(b * b).alias(f"bb{i}_{j}"),
+                 F.sum(a * b).alias(f"ab{i}_{j}")]
+    # one row of sums: bounded by the schema width, not by the rows
+    s = df.agg(*aggs).first() if aggs else None
+    out = []
     for i, j in pairs:
-        labels.append(f"{i}")
-        vals.append([_lit_str(cols[j]), f"r{i}_{j}", str(i), str(j)])
-    tall = _stack(wide, [cols[i] for i, _ in pairs], vals, ["col_b", "corr", "pos_a", "pos_b"],
-                  label_name="col_a")
-    mirror = tall.where(F.col("pos_a") != F.col("pos_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr",
-        F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b"))
-    return tall.unionByName(mirror)
+        if full[i] and full[j]:
+            n, sa, sb = float(st["rows"]), s[f"s{i}"], s[f"s{j}"]
+            aa, bb, ab = s[f"q{i}"], s[f"q{j}"], s[f"ab{i}_{j}"]
+        else:
+            n, sa, sb = s[f"n{i}_{j}"], s[f"sa{i}_{j}"], s[f"sb{i}_{j}"]
+            aa, bb, ab = s[f"aa{i}_{j}"], s[f"bb{i}_{j}"], s[f"ab{i}_{j}"]
+        r = 0.0
+        if n and sa is not None:
+            va, vb, cov = n * aa - sa * sa, n * bb - sb * sb, n * ab - sa * sb
+            # zero variance shows up as rounding noise relative to the sums: constant column
+            if va > 1e-12 * abs(n * aa) and vb > 1e-12 * abs(n * bb):
+                r = cov / math.sqrt(va * vb)
+        out.append((cols[i], cols[j], float(r), i, j))
+        if i != j:
+            out.append((cols[j], cols[i], float(r), j, i))
+    return df.sparkSession.createDataFrame(out, "col_a string, col_b string, corr double, pos_a int, pos_b int")
 
 
 def corr_extremes(corr: DataFrame) -> DataFrame:
@@ -407,17 +442,16 @@ def quality_alerts(df: DataFrame, exact: bool = True) -> DataFrame:
     """Missing / Unique / Zeros alerts per column with a message."""
     cards = variable_cards(df, exact=exact)
     pct_txt = lambda col: F.round(safe_div(F.col(col), F.col("rows")) * 100.0, 1).cast("string")
-    missing = cards.where(F.col("missing") > 0).select(
-        "column_name", F.lit("Missing").alias("alert_type"),
-        F.concat(F.lit("has "), F.col("missing").cast("string"), F.lit(" ("), pct_txt("missing"),
-                 F.lit("%) missing values")).alias("message"))
-    unique = cards.where(F.col("is_unique")).select(
-        "column_name", F.lit("Unique").alias("alert_type"), F.lit("has unique values").alias("message"))
-    zeros = cards.where(F.col("zeros") > 0).select(
-        "column_name", F.lit("Zeros").alias("alert_type"),
-        F.concat(F.lit("has "), F.col("zeros").cast("string"), F.lit(" ("), pct_txt("zeros"),
-                 F.lit("%) zeros")).alias("message"))
-    return missing.unionByName(unique).unionByName(zeros)
+    # one pass over the cards: every card yields 0-3 alerts (explode), no union re-reading the cards
+    alerts = F.array(
+        F.when(F.col("missing") > 0, F.struct(F.lit("Missing").alias("t"), F.concat(
+            F.lit("has "), F.col("missing").cast("string"), F.lit(" ("), pct_txt("missing"),
+            F.lit("%) missing values")).alias("m"))),
+        F.when(F.col("is_unique"), F.struct(F.lit("Unique").alias("t"), F.lit("has unique values").alias("m"))),
+        F.when(F.col("zeros") > 0, F.struct(F.lit("Zeros").alias("t"), F.concat(
+            F.lit("has "), F.col("zeros").cast("string"), F.lit(" ("), pct_txt("zeros"), F.lit("%) zeros")).alias("m"))))
+    out = cards.select("column_name", F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("a"))
+    return out.select("column_name", F.col("a.t").alias("alert_type"), F.col("a.m").alias("message"))
 
 
 # ---------------------------------------------------------------------------

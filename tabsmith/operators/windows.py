@@ -56,10 +56,11 @@ def assign_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     keys = list(keys)
     counts = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.where(F.col("__n") > rows_per_chunk)
-    n_hot = hot.count()
+    st = hot.agg(F.count(F.lit(1)).alias("n_hot"), F.max("__n").alias("n_max")).first()  # one small job
+    n_hot = st["n_hot"]
     if n_hot == 0:
         return df.withColumn(_CH, F.lit(0)), keys, False
-    m = int(min(max_chunks, max(2, (hot.agg(F.max("__n")).first()[0] // rows_per_chunk) + 1)))
+    m = int(min(max_chunks, max(2, (st["n_max"] // rows_per_chunk) + 1)))
     fracs = [i / m for i in range(1, m)]
     ov = _order_value(df, order_by[0])
     edges = (df.join(_maybe_broadcast(hot.select(*keys), n_hot), keys, "left_semi")
@@ -79,12 +80,14 @@ def assign_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 
 
 def trailing_mean(df: DataFrame, value_cols: Sequence[str], keys: Sequence[str], order_by: Sequence[str],
-                  window: int = 3, rows_per_chunk: int = 2_000_000, suffix: str = "") -> DataFrame:
+                  window: int = 3, rows_per_chunk: int = 2_000_000, suffix: str = "",
+                  chunks: tuple | None = None, keep_chunks: bool = False) -> DataFrame:
     """Mean over the current and ``window-1`` preceding rows (``min_periods=1``,
     nulls ignored) per key in ``order_by`` order.  Output column
-    ``{col}{suffix}`` (replaces the column when ``suffix`` is empty)."""
-    orig_cols = df.columns
-    ch, pkeys, chunked = assign_chunks(df, keys, order_by, rows_per_chunk)
+    ``{col}{suffix}`` (replaces the column when ``suffix`` is empty).
+    ``chunks``: a precomputed ``assign_chunks`` result to share between steps."""
+    orig_cols = [x for x in df.columns if x not in (_K, _CH)]
+    ch, pkeys, chunked = chunks if chunks is not None else assign_chunks(df, keys, order_by, rows_per_chunk)
     ordc = [c(o) for o in order_by]
     w = window - 1
     if chunked and w > 0:
@@ -102,22 +105,27 @@ def trailing_mean(df: DataFrame, value_cols: Sequence[str], keys: Sequence[str],
     out = ch.withColumns({f"{v}{suffix}": F.avg(c(v).cast("double")).over(frame) for v in value_cols})
     out = out.where(~F.col(_CARRY))
     keep = list(orig_cols) + [f"{v}{suffix}" for v in value_cols if suffix]
+    if keep_chunks:
+        keep += [x for x in (_K, _CH) if x in out.columns and x not in keep]
     return out.select(*[c(x) for x in keep])
 
 
 def fill_bfill_ffill(df: DataFrame, value_cols: Sequence[str], keys: Sequence[str], order_by: Sequence[str],
-                     rows_per_chunk: int = 2_000_000) -> DataFrame:
+                     rows_per_chunk: int = 2_000_000, chunks: tuple | None = None) -> DataFrame:
     """Back-fill (next non-null in order), then forward-fill (previous
     non-null), per key.  Exact across chunks of hot keys."""
-    orig_cols = df.columns
-    ch, pkeys, chunked = assign_chunks(df, keys, order_by, rows_per_chunk)
+    orig_cols = [x for x in df.columns if x not in (_K, _CH)]
+    ch, pkeys, chunked = chunks if chunks is not None else assign_chunks(df, keys, order_by, rows_per_chunk)
     ordc = [c(o) for o in order_by]
     part = [c(k) for k in pkeys] + [F.col(_CH)]
-    after = Window.partitionBy(*part).orderBy(*ordc).rowsBetween(0, Window.unboundedFollowing)
+    # "first non-null at or after" = "last non-null so far" in reverse order: a growing
+    # frame is evaluated incrementally, whereas an unbounded-following frame is
+    # re-aggregated for every row (quadratic in the partition size)
+    after = Window.partitionBy(*part).orderBy(*[x.desc() for x in ordc]).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy(*ordc).rowsBetween(Window.unboundedPreceding, 0)
     fills = {}
     for v in value_cols:
-        fills[f"__b_{v}"] = F.first(c(v), ignorenulls=True).over(after)
+        fills[f"__b_{v}"] = F.last(c(v), ignorenulls=True).over(after)
         fills[f"__f_{v}"] = F.last(c(v), ignorenulls=True).over(before)
     out = ch.withColumns(fills)
     if chunked:
@@ -125,11 +133,11 @@ def fill_bfill_ffill(df: DataFrame, value_cols: Sequence[str], keys: Sequence[st
         summ = ch.groupBy(*[c(k) for k in pkeys], _CH).agg(
             *[F.min_by(c(v), F.when(c(v).isNotNull(), ordkey)).alias(f"__fst_{v}") for v in value_cols],
             *[F.max_by(c(v), F.when(c(v).isNotNull(), ordkey)).alias(f"__lst_{v}") for v in value_cols])
-        kw = Window.partitionBy(*[c(k) for k in pkeys]).orderBy(_CH)
-        nxt = kw.rowsBetween(1, Window.unboundedFollowing)
-        prv = kw.rowsBetween(Window.unboundedPreceding, -1)
+        kw = Window.partitionBy(*[c(k) for k in pkeys])
+        nxt = kw.orderBy(F.col(_CH).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        prv = kw.orderBy(_CH).rowsBetween(Window.unboundedPreceding, -1)
         summ = summ.select(*[c(k) for k in pkeys], _CH,
-                           *[F.first(f"__fst_{v}", ignorenulls=True).over(nxt).alias(f"__nb_{v}") for v in value_cols],
+                           *[F.last(f"__fst_{v}", ignorenulls=True).over(nxt).alias(f"__nb_{v}") for v in value_cols],
                            *[F.last(f"__lst_{v}", ignorenulls=True).over(prv).alias(f"__pf_{v}") for v in value_cols])
         out = out.join(summ, pkeys + [_CH], "left")
         for v in value_cols:

@@ -68,9 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing the frame as a Parquet table under the shared
+    checkpoint folder and reading it back.
+
+    One write job (``Dataset.checkpoint`` would run the plan a second time to
+    save the RDD unless it is cached); the stored table survives executor loss
+    and later jobs read it with column pruning and filter pushdown."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
