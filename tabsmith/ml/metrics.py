@@ -19,23 +19,32 @@ from tabsmith.functions.core import c, safe_div
 
 
 def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], buckets: int = 256,
-                    descending: bool = False, prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in ``order_col`` order (one row
-    per distinct order value is expected).  Exact; buckets only spread work."""
+                    descending: bool = False, prefix: str = "cum_", keys: Sequence[str] = ()) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order_col`` order, per
+    ``keys`` group (one row per distinct (keys, order value) is expected).
+
+    Exact; the buckets only spread the work: approximate quantile edges of
+    the order value (a fixed-size sketch per group, computed in-plan) cut each
+    group into ``buckets`` ranges, bucket totals are prefixed with a window
+    over the bucket table (``buckets`` rows per group), and the running sum
+    inside a bucket is a window partitioned by (group, bucket)."""
     o = c(order_col).cast("double")
     key = -o if descending else o
+    ks = list(keys)
     fr = [i / buckets for i in range(1, buckets)]
-    edges_row = df.agg(F.percentile_approx(key, fr, 10 * buckets).alias("e")).first()
-    edges = sorted(set(x for x in (edges_row["e"] or []) if x is not None))  # bounded: < buckets values
-    arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    b = F.size(F.filter(arr, lambda e: e <= key)) if edges else F.lit(0)
-    t = df.withColumn("__bk", b).withColumn("__key", key)
-    tot = t.groupBy("__bk").agg(*[F.sum(c(v)).alias(f"__t_{v}") for v in value_cols])
-    wb = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
-    off = tot.select("__bk", *[F.coalesce(F.sum(f"__t_{v}").over(wb), F.lit(0)).alias(f"__o_{v}")
-                               for v in value_cols])
-    wi = Window.partitionBy("__bk").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    out = t.join(F.broadcast(off), "__bk")  # one row per bucket
+    t = df.withColumn("__key", key)
+    g = t.groupBy(*[c(k) for k in ks]) if ks else t.groupBy()
+    edges = g.agg(F.array_sort(F.array_distinct(F.percentile_approx("__key", fr, 10 * buckets))).alias("__e"))
+    # one row per group; groups are few (models x folds, or one) -> size-checked by Spark's join planning
+    t = t.join(edges, ks) if ks else t.crossJoin(edges)
+    t = t.withColumn("__bk", F.size(F.filter("__e", lambda e: e <= F.col("__key")))).drop("__e")
+    tot = t.groupBy(*[c(k) for k in ks], "__bk").agg(*[F.sum(c(v)).alias(f"__t_{v}") for v in value_cols])
+    wb = (Window.partitionBy(*[c(k) for k in ks]) if ks else Window).orderBy("__bk") \
+        .rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
+    off = tot.select(*[c(k) for k in ks], "__bk",
+                     *[F.coalesce(F.sum(f"__t_{v}").over(wb), F.lit(0)).alias(f"__o_{v}") for v in value_cols])
+    wi = Window.partitionBy(*[c(k) for k in ks], "__bk").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
+    out = t.join(off, ks + ["__bk"])  # buckets x groups rows
     out = out.withColumns({f"{prefix}{v}": F.sum(c(v)).over(wi) + F.col(f"__o_{v}") for v in value_cols})
     return out.drop("__bk", "__key", *[f"__o_{v}" for v in value_cols])
 
@@ -68,40 +77,45 @@ def confusion_matrix(df: DataFrame, label: str, pred: str, by: Sequence[str] = (
              .agg(F.count(F.lit(1)).alias("count"))
 
 
-def auc(df: DataFrame, label: str, score: str, positive=1, buckets: int = 256) -> DataFrame:
-    """Binary ROC AUC by the rank-sum formula with ties counted half."""
+def auc(df: DataFrame, label: str, score: str, positive=1, buckets: int = 256, by: Sequence[str] = ()) -> DataFrame:
+    """Binary ROC AUC by the rank-sum formula with ties counted half (per ``by`` group)."""
     pos = (c(label) == F.lit(positive)).cast("long")
-    g = df.groupBy(c(score).cast("double").alias("s")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    cs = cumulative_sums(g, "s", ["n"], buckets)
-    return cs.agg((F.sum(F.col("p") * (F.col("cum_n") - F.col("n") + 0.5 * F.col("n")))
+    g = df.where(c(score).isNotNull()).groupBy(*[c(x) for x in by], c(score).cast("double").alias("s")).agg(
+        F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
+    cs = cumulative_sums(g, "s", ["n"], buckets, keys=by)
+    gg = cs.groupBy(*[c(x) for x in by]) if by else cs.groupBy()
+    return gg.agg((F.sum(F.col("p") * (F.col("cum_n") - F.col("n") + 0.5 * F.col("n")))
                    / (F.sum("p") * F.sum("n"))).alias("AUC"))
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None,
-                           positive=1) -> DataFrame:
+                           positive=1, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, AUC (binary, when a score is given), Recall, Precision, F1
-    (positive class when binary, support-weighted otherwise), Cohen's Kappa
-    and MCC from the confusion counts."""
-    cm = confusion_matrix(df, label, pred)
+    (positive class), Cohen's Kappa and MCC from the confusion counts -
+    optionally for many (e.g. model, fold) groups in the same jobs."""
+    by = list(by)
+    cm = confusion_matrix(df, label, pred, by)
     n = F.sum("count")
     diag = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0))
-    rows = cm.groupBy("actual").agg(F.sum("count").alias("r"))
-    cols = cm.groupBy(F.col("predicted").alias("actual")).agg(F.sum("count").alias("cc"))
-    rc = rows.join(cols, "actual", "full_outer").fillna(0, ["r", "cc"])
-    tot = cm.agg(n.cast("double").alias("N"), diag.cast("double").alias("D"),
+    rows = cm.groupBy(*[c(x) for x in by], "actual").agg(F.sum("count").alias("r"))
+    cols = cm.groupBy(*[c(x) for x in by], F.col("predicted").alias("actual")).agg(F.sum("count").alias("cc"))
+    rc = rows.join(cols, by + ["actual"], "full_outer").fillna(0, ["r", "cc"])
+    cmg = cm.groupBy(*[c(x) for x in by]) if by else cm.groupBy()
+    tot = cmg.agg(n.cast("double").alias("N"), diag.cast("double").alias("D"),
                  F.sum(F.when((F.col("actual") == positive) & (F.col("predicted") == positive), F.col("count")).otherwise(0))
                  .cast("double").alias("TP"),
                  F.sum(F.when((F.col("actual") != positive) & (F.col("predicted") == positive), F.col("count")).otherwise(0))
                  .cast("double").alias("FP"),
                  F.sum(F.when((F.col("actual") == positive) & (F.col("predicted") != positive), F.col("count")).otherwise(0))
                  .cast("double").alias("FN"))
-    marg = rc.agg(F.sum(F.col("r").cast("double") * F.col("cc")).alias("RC"),
-                  F.sum(F.col("r").cast("double") * F.col("r")).alias("RR"),
-                  F.sum(F.col("cc").cast("double") * F.col("cc")).alias("CC"))
-    m = tot.crossJoin(marg)  # one-row sides
+    rcg = rc.groupBy(*[c(x) for x in by]) if by else rc.groupBy()
+    marg = rcg.agg(F.sum(F.col("r").cast("double") * F.col("cc")).alias("RC"),
+                   F.sum(F.col("r").cast("double") * F.col("r")).alias("RR"),
+                   F.sum(F.col("cc").cast("double") * F.col("cc")).alias("CC"))
+    m = tot.join(marg, by) if by else tot.crossJoin(marg)  # one row per group
     prec = safe_div(F.col("TP"), F.col("TP") + F.col("FP"))
     rec = safe_div(F.col("TP"), F.col("TP") + F.col("FN"))
-    out = m.select(
+    out = m.select(*[c(x) for x in by],
         (F.col("D") / F.col("N")).alias("Accuracy"),
         F.coalesce(rec, F.lit(0.0)).alias("Recall"), F.coalesce(prec, F.lit(0.0)).alias("Precision"),
         F.coalesce(safe_div(2 * prec * rec, prec + rec), F.lit(0.0)).alias("F1"),
@@ -111,7 +125,8 @@ def classification_metrics(df: DataFrame, label: str, pred: str, score: str | No
                             F.sqrt((F.col("N") * F.col("N") - F.col("CC")) * (F.col("N") * F.col("N") - F.col("RR")))),
                    F.lit(0.0)).alias("MCC"))
     if score is not None:
-        out = out.crossJoin(auc(df, label, score, positive))  # one-row side
+        a = auc(df, label, score, positive, by=by)
+        out = out.join(a, by, "left") if by else out.crossJoin(a)  # one row per group
     return out
 
 

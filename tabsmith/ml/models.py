@@ -146,7 +146,7 @@ def _score_col(pred: DataFrame) -> DataFrame:
 
 
 def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[str], fold_col: str = "fold",
-                      k: int | None = None, params: dict | None = None, parallelism: int = 2,
+                      k: int | None = None, params: dict | None = None, parallelism: int = 4,
                       features: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """Fit every (model, fold) on the other folds; return the held-out
     predictions of all pairs as one DataFrame (model, fold, label,
@@ -193,25 +193,16 @@ def fold_metrics(preds: DataFrame, task: str) -> DataFrame:
     """All metrics for all (model, fold) pairs."""
     if task == "regression":
         return regression_metrics(preds, "label", "prediction", by=["model", "fold"])
-    parts = []
-    pairs = preds.groupBy("model", "fold").agg(F.count("__score").alias("scored")).collect()  # one row per pair
-    for m, f, scored in [(r[0], r[1], r[2]) for r in pairs]:
-        sub = preds.where((F.col("model") == m) & (F.col("fold") == f))
-        has_score = scored > 0
-        met = classification_metrics(sub, "label", "prediction", "__score" if has_score else None, positive=1.0)
-        if not has_score:
-            met = met.withColumn("AUC", F.lit(0.0))
-        parts.append(met.select(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"),
-                                *[F.col(x) for x in CLASSIFICATION_METRICS]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # all (model, fold) pairs in the same grouped jobs; models without class
+    # probabilities get AUC 0 (as the reference reports for such models)
+    met = classification_metrics(preds, "label", "prediction", "__score", positive=1.0, by=["model", "fold"])
+    return met.withColumn("AUC", F.coalesce(F.col("AUC"), F.lit(0.0))) \
+              .select("model", "fold", *[F.col(x) for x in CLASSIFICATION_METRICS])
 
 
 def cv_leaderboard(df: DataFrame, target: str, task: str, models: Sequence[str] = DEFAULT_MODELS,
                    k: int = 3, key_cols: Sequence[str] | None = None, sort: str | None = None,
-                   seed: int = 42, parallelism: int = 2, features: Sequence[str] | None = None,
+                   seed: int = 42, parallelism: int = 4, features: Sequence[str] | None = None,
                    stratified: bool = True) -> tuple[DataFrame, DataFrame]:
     """M6: one row per model with the fold-mean of every metric and the mean
     fit seconds ``TT (Sec)``, sorted by ``sort`` (AUC / R2 high, errors low).
@@ -257,7 +248,7 @@ def fold_table(per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def tune(df: DataFrame, target: str, task: str, model_id: str, grid: dict[str, list], k: int = 3,
          metric: str | None = None, key_cols: Sequence[str] | None = None, seed: int = 42,
-         n_iter: int | None = None, parallelism: int = 2) -> tuple[DataFrame, dict]:
+         n_iter: int | None = None, parallelism: int = 4) -> tuple[DataFrame, dict]:
     """M8: grid (or seeded random subset of the grid) search with k folds
     given as a column (``CrossValidator(foldCol=...)``).  Returns one row per
     candidate (params as JSON, mean and std of the metric) and the best params."""
