@@ -234,3 +234,48 @@ SELECT (SELECT count(*) FROM dirty_events) AS original_rows, (SELECT count(*) FR
 def q_clean_report(spark, sf):
     df = load(spark, sf, "dirty_events")
     return C.clean_report(df, C.drop_duplicates(df))
+
+
+# ---------------------------------------------------------------------------
+# C9 SMOTE and J5 kNN
+# ---------------------------------------------------------------------------
+
+def _bucket(*parts: str) -> str:
+    return ("CAST(('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ", '42')), 1, 8)) AS BIGINT)")
+
+
+SMOTE_SQL = duckdb_view_cte("label_features") + f""",
+cnt AS (SELECT quality, count(*) AS n FROM label_features GROUP BY 1),
+mx AS (SELECT max(n) AS M FROM cnt),
+mi AS (SELECT lf.*, n, M FROM label_features lf JOIN cnt USING (quality) CROSS JOIN mx WHERE n < M AND n > 5),
+knn AS (SELECT a.doc_id, b.doc_id AS nb, row_number() OVER (PARTITION BY a.doc_id ORDER BY
+          sqrt((a.f_chars - b.f_chars) * (a.f_chars - b.f_chars) + (a.f_spaces - b.f_spaces) * (a.f_spaces - b.f_spaces)),
+          b.doc_id) AS rk FROM mi a JOIN mi b ON a.quality = b.quality AND a.doc_id <> b.doc_id),
+pos AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_bucket('CAST(doc_id AS VARCHAR)')}, doc_id) AS p FROM mi),
+rep AS (SELECT *, (M - n) // n + CASE WHEN p <= (M - n) % n THEN 1 ELSE 0 END AS q FROM pos),
+ex AS (SELECT rep.*, unnest(range(0, q)) AS j FROM rep WHERE q > 0),
+ex2 AS (SELECT *, CAST({_bucket('CAST(doc_id AS VARCHAR)', 'CAST(j AS VARCHAR)', "'nn'")} % 5 + 1 AS INTEGER) AS rk2,
+          CAST({_bucket('CAST(doc_id AS VARCHAR)', 'CAST(j AS VARCHAR)', "'step'")} AS DOUBLE) / 4294967296.0 AS step FROM ex),
+syn AS (SELECT e.quality, e.f_chars + step * (o.f_chars - e.f_chars) AS f_chars, e.f_spaces + step * (o.f_spaces - e.f_spaces) AS f_spaces
+        FROM ex2 e JOIN knn ON knn.doc_id = e.doc_id AND knn.rk = e.rk2 JOIN label_features o ON o.doc_id = knn.nb)
+SELECT doc_id, quality, round(f_chars, 6) AS f_chars, round(f_spaces, 6) AS f_spaces, false AS is_synthetic FROM label_features
+UNION ALL SELECT NULL, quality, round(f_chars, 6), round(f_spaces, 6), true FROM syn"""
+
+
+@register("clean_smote", SMOTE_SQL)
+def q_clean_smote(spark, sf):
+    from tabsmith.operators.smote import smote
+    out = smote(load(spark, sf, "label_features"), "quality", ["f_chars", "f_spaces"], id_col="doc_id", k=5)
+    return round_doubles(out)
+
+
+@register("knn_join", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rk FROM p)
+SELECT label, vec_id, neighbor_id, CAST(rk AS INTEGER) AS rank, round(d, 6) AS distance FROM r WHERE rk <= 5""")
+def q_knn_join(spark, sf):
+    from tabsmith.operators.neighbors import knn_join
+    out = knn_join(load(spark, sf, "embeddings"), "vec_id", "embedding", k=5, group_col="label", cell_rows=8)
+    return round_doubles(out)
