@@ -75,7 +75,8 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     exprs = []
     for f in df.schema.fields:
         if isinstance(f.dataType, FLOAT_TYPES):
-            exprs.append(F.round(c(f.name).cast("double"), digits).alias(f.name))
+            # "+ 0.0" turns a negative zero into zero (engines differ on -0.0)
+            exprs.append((F.round(c(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name))
         else:
             exprs.append(c(f.name))
     return df.select(*exprs)

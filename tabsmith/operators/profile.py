@@ -260,7 +260,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             va, vb, cov = n * aa - sa * sa, n * bb - sb * sb, n * ab - sa * sb
             # zero variance shows up as rounding noise relative to the sums: constant column
             if va > 1e-12 * abs(n * aa) and vb > 1e-12 * abs(n * bb):
-                r = cov / math.sqrt(va * vb)
+                r = max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
         out.append((cols[i], cols[j], float(r), i, j))
         if i != j:
             out.append((cols[j], cols[i], float(r), j, i))

@@ -66,11 +66,11 @@ def q_chart_mean_by_number(spark, sf):
 
 @register("chart_pie", """
 WITH g AS (SELECT CAST(o_orderpriority AS VARCHAR) AS category, sum(o_totalprice) AS value FROM orders GROUP BY 1)
-SELECT category, round(value, 4) AS value, round(value / (SELECT sum(value) FROM g) * 100, 6) AS percentage,
+SELECT category, round(value, 2) AS value, round(value / (SELECT sum(value) FROM g) * 100, 6) AS percentage,
   (SELECT count(*) FROM g) <= 15 AS ok FROM g""")
 def q_chart_pie(spark, sf):
     out = CH.pie(load(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
-    return round_doubles(out.withColumn("value", F.round("value", 4)))
+    return round_doubles(out.withColumn("value", F.round("value", 2)))
 
 
 @register("chart_grouped", """
@@ -157,9 +157,9 @@ def q_resample_daily_filled(spark, sf):
 
 
 @register("total_per_group", """
-SELECT c.c_mktsegment, round(sum(o.o_totalprice), 4) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1""")
+SELECT c.c_mktsegment, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1""")
 def q_total_per_group(spark, sf):
     o = load(spark, sf, "orders").select("o_custkey", "o_totalprice")
     cu = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     j = join_dimension(o, cu, o["o_custkey"] == cu["c_custkey"])
-    return CH.total_per_group(j, "c_mktsegment", "o_totalprice").withColumn("total", F.round("total", 4))
+    return CH.total_per_group(j, "c_mktsegment", "o_totalprice").withColumn("total", F.round("total", 2))

@@ -83,13 +83,13 @@ def _ols(spark, sf):
 
 
 @register("regression_metrics", OLS_CTE + """
-SELECT round(avg(abs(y - p)), 6) AS MAE, round(avg((y - p) * (y - p)), 4) AS MSE, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE,
+SELECT round(avg(abs(y - p)), 6) AS MAE, round(avg((y - p) * (y - p)), 2) AS MSE, round(sqrt(avg((y - p) * (y - p))), 6) AS RMSE,
   round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS R2,
   round(sqrt(avg(pow(ln(1 + abs(p)) - ln(1 + abs(y)), 2))), 6) AS RMSLE,
   round(avg(CASE WHEN y <> 0 THEN abs((y - p) / y) END), 6) AS MAPE FROM d""")
 def q_regression_metrics(spark, sf):
     out = MT.regression_metrics(_ols(spark, sf), "l_extendedprice", "p")
-    return round_doubles(out.withColumn("MSE", F.round("MSE", 4)))
+    return round_doubles(out.withColumn("MSE", F.round("MSE", 2)))
 
 
 SCORED = LF + """, d AS (SELECT doc_id, quality AS y, f_spaces / f_chars AS s,
@@ -161,7 +161,7 @@ def q_class_report(spark, sf):
 
 
 @register("residual_summary", OLS_CTE + """
-SELECT count(y - p) AS n, round(avg(y - p), 4) AS mean_residual, round(stddev_samp(y - p), 4) AS std_residual,
+SELECT count(y - p) AS n, round(avg(y - p), 4) + 0.0 AS mean_residual, round(stddev_samp(y - p), 4) AS std_residual,
   round(min(y - p), 4) AS min_residual, round(quantile_cont(y - p, 0.25), 4) AS q1_residual,
   round(quantile_cont(y - p, 0.5), 4) AS median_residual, round(quantile_cont(y - p, 0.75), 4) AS q3_residual,
   round(max(y - p), 4) AS max_residual, round(corr(y, p), 6) AS pred_actual_corr FROM d""")
@@ -330,22 +330,22 @@ def _lineitem_folds(spark, sf):
 
 
 @register("cv_leaderboard_dummy", _baseline_sql(
-    "SELECT model, " + ", ".join(f"round(avg({m}), {4 if m == 'MSE' else 6}) AS {m}" for m in _M)
+    "SELECT model, " + ", ".join(f"round(avg({m}), {2 if m == 'MSE' else 6}) AS {m}" for m in _M)
     + " FROM per_fold GROUP BY model"))
 def q_cv_leaderboard_dummy(spark, sf):
     board, _ = BL.baseline_leaderboard(_lineitem_folds(spark, sf), "l_extendedprice", "l_quantity")
-    return round_doubles(board.withColumn("MSE", F.round("MSE", 4)))
+    return round_doubles(board.withColumn("MSE", F.round("MSE", 2)))
 
 
 @register("cv_fold_table", _baseline_sql(
-    "SELECT model, CAST(fold AS VARCHAR) AS Fold, " + ", ".join(f"round({m}, {4 if m == 'MSE' else 6}) AS {m}" for m in _M)
-    + " FROM per_fold UNION ALL SELECT model, 'Mean', " + ", ".join(f"round(avg({m}), {4 if m == 'MSE' else 6})" for m in _M)
+    "SELECT model, CAST(fold AS VARCHAR) AS Fold, " + ", ".join(f"round({m}, {2 if m == 'MSE' else 6}) AS {m}" for m in _M)
+    + " FROM per_fold UNION ALL SELECT model, 'Mean', " + ", ".join(f"round(avg({m}), {2 if m == 'MSE' else 6})" for m in _M)
     + " FROM per_fold GROUP BY model UNION ALL SELECT model, 'Std', "
-    + ", ".join(f"round(stddev_pop({m}), {4 if m == 'MSE' else 6})" for m in _M) + " FROM per_fold GROUP BY model"))
+    + ", ".join(f"round(stddev_pop({m}), {2 if m == 'MSE' else 6})" for m in _M) + " FROM per_fold GROUP BY model"))
 def q_cv_fold_table(spark, sf):
     _, per = BL.baseline_leaderboard(_lineitem_folds(spark, sf), "l_extendedprice", "l_quantity")
     out = MD.fold_table(per, _M)
-    return round_doubles(out.withColumn("MSE", F.round("MSE", 4)))
+    return round_doubles(out.withColumn("MSE", F.round("MSE", 2)))
 
 
 @register("best_by_composite", _baseline_sql(

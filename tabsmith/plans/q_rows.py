@@ -42,13 +42,13 @@ def q_focus_filter_invalid(spark, sf):
 
 @register("focus_impact", """
 SELECT count(*) AS rows_before, count(*) FILTER (WHERE o_orderstatus = 'O') AS rows_after,
-  round(sum(o_totalprice), 4) AS sum_before, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 4) AS sum_after,
+  round(sum(o_totalprice), 2) AS sum_before, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS sum_after,
   round(avg(o_totalprice), 6) AS mean_before, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 6) AS mean_after,
   count(*) - count(*) FILTER (WHERE o_orderstatus = 'O') AS rows_removed FROM orders""")
 def q_focus_impact(spark, sf):
     out = R.focus_impact(load(spark, sf, "orders"), "o_orderstatus = 'O'", "o_totalprice")
-    return out.select("rows_before", "rows_after", F.round("sum_before", 4).alias("sum_before"),
-                      F.round("sum_after", 4).alias("sum_after"), F.round("mean_before", 6).alias("mean_before"),
+    return out.select("rows_before", "rows_after", F.round("sum_before", 2).alias("sum_before"),
+                      F.round("sum_after", 2).alias("sum_after"), F.round("mean_before", 6).alias("mean_before"),
                       F.round("mean_after", 6).alias("mean_after"), "rows_removed")
 
 
