@@ -163,3 +163,14 @@ def q_total_per_group(spark, sf):
     cu = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     j = join_dimension(o, cu, o["o_custkey"] == cu["c_custkey"])
     return CH.total_per_group(j, "c_mktsegment", "o_totalprice").withColumn("total", F.round("total", 2))
+
+
+@register("stream_resample_daily", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, round(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY 1""")
+def q_stream_resample_daily(spark, sf):
+    """A29 on Structured Streaming: the events file read as a stream,
+    watermarked event-time windows, processed with an available-now trigger."""
+    from tabsmith.streaming.stream_ops import read_parquet_stream, run_available_now, windowed_resample
+    schema = load(spark, sf, "events").schema
+    st = read_parquet_stream(spark, f"{sf}/events*.parquet", schema)
+    return round_doubles(run_available_now(windowed_resample(st, "ts", "value", "1 day", "1 day")))
