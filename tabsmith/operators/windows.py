@@ -67,15 +67,12 @@ def assign_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
              .groupBy(*[c(k) for k in keys])
              .agg(F.array_sort(F.array_distinct(F.percentile_approx(ov, fracs, 10 * m))).alias("__edges")))
     tagged = df.join(_maybe_broadcast(edges, n_hot), keys, "left")
-    tagged = tagged.withColumn("__raw", F.coalesce(
+    # chunk j >= 1 is [e_j, e_j+1): the edges are distinct values taken from
+    # the data, so every such chunk holds at least the row equal to e_j; only
+    # chunk 0 (below the first edge) may be empty, and it never sits between
+    # a row and its predecessors - so carries need no renumbering.
+    out = tagged.withColumn(_CH, F.coalesce(
         F.size(F.filter(F.col("__edges"), lambda e: e <= ov)), F.lit(0))).drop("__edges")
-    # dense numbering of the non-empty chunks of hot keys (table: hot keys x chunks)
-    present = tagged.join(_maybe_broadcast(hot.select(*keys), n_hot), keys, "left_semi") \
-        .groupBy(*[c(k) for k in keys], "__raw").agg(F.count(F.lit(1)).alias("__m"))
-    present = present.withColumn(_CH, (F.dense_rank().over(
-        Window.partitionBy(*[c(k) for k in keys]).orderBy("__raw")) - 1)).drop("__m")
-    out = tagged.join(_maybe_broadcast(present, n_hot * (m + 1)), keys + ["__raw"], "left") \
-        .withColumn(_CH, F.coalesce(F.col(_CH), F.lit(0))).drop("__raw")
     return out, keys, True
 
 
