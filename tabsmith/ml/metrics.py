@@ -168,13 +168,15 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1, buckets: int = 2
                     safe_div(F.col("cum_p"), F.col("tot_p")).alias("recall"))
 
 
-def residual_summary(df: DataFrame, label: str, pred: str) -> DataFrame:
+def residual_summary(df: DataFrame, label: str, pred: str, exact: bool = False) -> DataFrame:
     """Residual (y - prediction) distribution: mean, std, min, quartiles, max
-    and the prediction-error correlation between y and prediction."""
+    and the prediction-error correlation between y and prediction.  Quartiles
+    from a bounded sketch unless ``exact`` (which buffers every value)."""
     y, p = c(label).cast("double"), c(pred).cast("double")
     e = y - p
+    qs = F.percentile(e, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(e, [0.25, 0.5, 0.75], 10000)
     return df.agg(F.count(e).alias("n"), F.avg(e).alias("mean_residual"), F.stddev_samp(e).alias("std_residual"),
-                  F.min(e).alias("min_residual"), F.percentile(e, [0.25, 0.5, 0.75]).alias("_q"),
+                  F.min(e).alias("min_residual"), qs.cast("array<double>").alias("_q"),
                   F.max(e).alias("max_residual"),
                   F.coalesce(F.try_divide(F.covar_pop(y, p), F.nullif(F.stddev_pop(y) * F.stddev_pop(p), F.lit(0.0))),
                              F.lit(0.0)).alias("pred_actual_corr")) \

@@ -136,7 +136,7 @@ def kde(df: DataFrame, column: str, grid: int = 100, fine_bins: int = 512, bandw
     return dens.select(F.col("g").cast("int").alias("grid_index"), "x", "density")
 
 
-def boxplot(df: DataFrame, y: str, by: str | None = None, exact: bool = True) -> DataFrame:
+def boxplot(df: DataFrame, y: str, by: str | None = None, exact: bool = False) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (furthest data inside the fences) and the
     number of points beyond them, per group."""
     keys = [by] if by else []

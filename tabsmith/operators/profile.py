@@ -96,7 +96,7 @@ def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.05) -> Dat
 # A1 / A2 describe
 # ---------------------------------------------------------------------------
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False,
                      accuracy: int = 10000) -> DataFrame:
     """pandas ``describe`` for numeric columns: count, mean, std (sample),
     min, 25/50/75 % (linear interpolation), max - one aggregate.
@@ -289,7 +289,7 @@ def corr_strong_pairs(corr: DataFrame, strong: float = 0.6, weak: float = 0.1) -
 # A13-A17 column distributions and profiles
 # ---------------------------------------------------------------------------
 
-def column_distribution_numeric(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
+def column_distribution_numeric(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
     x = c(column).cast("double")
     pc = (F.percentile(x, [0.0, 0.25, 0.5, 0.75, 1.0]) if exact
           else F.percentile_approx(x, [0.0, 0.25, 0.5, 0.75, 1.0], 10000).cast("array<double>"))

@@ -45,11 +45,13 @@ def children_in_order(parent: DataFrame, child: DataFrame, parent_key: str, chil
     """One-to-many load ordered by time - every parent (left join) with its
     children flat and numbered in order.  Flat rows instead of one nested
     array per parent: a parent with a huge number of children never becomes
-    one giant value."""
+    one giant value.  Positions come from ``position_in_group`` (a global
+    range-partitioned sort), so a parent with a third of all children is
+    spread over many tasks instead of one window partition."""
+    from tabsmith.operators.rows import position_in_group
     j = parent.join(child, parent[parent_key] == child[child_key], "left")
-    w = Window.partitionBy(parent[parent_key]).orderBy(*[child[o] for o in order_by])
-    pos = F.when(child[child_key].isNotNull(), F.row_number().over(w)).cast("bigint")
-    return j.withColumn("child_position", pos)
+    j = position_in_group(j, [parent_key], [c(o) for o in order_by], "__pos")
+    return j.withColumn("child_position", F.when(c(child_key).isNotNull(), F.col("__pos")).cast("bigint")).drop("__pos")
 
 
 def inclusion_dependencies(tables: Mapping[str, DataFrame], key_suffix: str = "key") -> DataFrame:

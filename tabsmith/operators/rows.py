@@ -263,10 +263,14 @@ def latest_per_group(df: DataFrame, group: str, ts: str, key: str) -> DataFrame:
 def truncate_history(df: DataFrame, conv: str, turn: str, max_turns: int = 10, keep_head: int = 2) -> DataFrame:
     """Keep the first ``keep_head`` turns and the last ``2*max_turns`` turns of
     each conversation (all turns when it is not longer than that)."""
+    # two top-k selections (each planned with a map-side WindowGroupLimit, so a
+    # very long conversation ships only its first / last rows), then the union
+    # without the rows picked twice (turns are unique within a conversation)
     w_up = Window.partitionBy(c(conv)).orderBy(c(turn).asc())
     w_dn = Window.partitionBy(c(conv)).orderBy(c(turn).desc())
-    out = df.withColumn("_up", F.row_number().over(w_up)).withColumn("_dn", F.row_number().over(w_dn))
-    return out.where((F.col("_up") <= keep_head) | (F.col("_dn") <= 2 * max_turns)).drop("_up", "_dn")
+    head = df.withColumn("_r", F.row_number().over(w_up)).where(F.col("_r") <= keep_head).drop("_r")
+    tail = df.withColumn("_r", F.row_number().over(w_dn)).where(F.col("_r") <= 2 * max_turns).drop("_r")
+    return head.unionByName(tail).dropDuplicates([conv, turn])
 
 
 def assemble_qa_pairs(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",

@@ -107,7 +107,7 @@ w AS (SELECT l.l_returnflag, min(CASE WHEN l_extendedprice BETWEEN lf AND hf THE
 SELECT f.l_returnflag, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
   round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high, n_outliers FROM f JOIN w USING (l_returnflag)""")
 def q_chart_boxplot(spark, sf):
-    return round_doubles(CH.boxplot(load(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
+    return round_doubles(CH.boxplot(load(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", exact=True))
 
 
 @register("chart_heatmap", "SELECT o_orderstatus, o_orderpriority, count(*) AS count FROM orders GROUP BY 1, 2")

@@ -166,7 +166,7 @@ SELECT count(y - p) AS n, round(avg(y - p), 4) + 0.0 AS mean_residual, round(std
   round(quantile_cont(y - p, 0.5), 4) AS median_residual, round(quantile_cont(y - p, 0.75), 4) AS q3_residual,
   round(max(y - p), 4) AS max_residual, round(corr(y, p), 6) AS pred_actual_corr FROM d""")
 def q_residual_summary(spark, sf):
-    out = MT.residual_summary(_ols(spark, sf), "l_extendedprice", "p")
+    out = MT.residual_summary(_ols(spark, sf), "l_extendedprice", "p", exact=True)
     return out.select("n", *[F.round(x, 4).alias(x) for x in out.columns if x.endswith("_residual")],
                       F.round("pred_actual_corr", 6).alias("pred_actual_corr"))
 

@@ -283,3 +283,19 @@ def test_report_single_scan_and_pruning(spark, sf):
 def test_latest_k_uses_group_limit(spark, sf):
     plan = _plan(R.latest_k_per_group(load(spark, sf, "events"), "user_id", "ts", "event_id", 5))
     assert "WindowGroupLimit" in plan
+
+
+def test_approx_distinct_error(spark, sf):
+    li = load(spark, sf, "lineitem")
+    ex = {r.feature_name: r.unique_percentage for r in P.dataset_report(li, exact=True).collect()}
+    ap = {r.feature_name: r.unique_percentage for r in P.dataset_report(li, exact=False).collect()}
+    for k, v in ex.items():
+        assert abs(ap[k] - v) <= max(0.05 * v, 0.02)
+
+
+def test_truncate_history_keeps_head_and_tail(spark):
+    rows = [(1, t) for t in range(1, 31)] + [(2, t) for t in range(1, 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long")
+    out = R.truncate_history(df, "conv_id", "turn", max_turns=3, keep_head=2)
+    got = sorted((r.conv_id, r.turn) for r in out.collect())
+    assert got == [(1, 1), (1, 2)] + [(1, t) for t in range(25, 31)] + [(2, t) for t in range(1, 6)]
