@@ -55,7 +55,7 @@ def dtype_name(dt: T.DataType) -> str:
 # A3 table report (flagship)
 # ---------------------------------------------------------------------------
 
-def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.05) -> DataFrame:
+def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.01) -> DataFrame:
     """Rows, columns, overall missing %, quality score and per-column type /
     missing % / unique % in one scan.
 
