@@ -46,27 +46,33 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 5, group_col: st
     sampled = pts.join(cnt, "__g").where(F.col("__h") < thr).select("__g", "__id", "__v")
     first = pts.groupBy("__g").agg(F.min_by(F.struct("__id", "__v"), F.struct("__h", "__id")).alias("__s")) \
                .select("__g", "__s.__id", "__s.__v")  # every group has a pivot
-    piv = sampled.unionByName(first).dropDuplicates(["__g", "__id"]) \
-                 .select("__g", F.col("__id").alias("__pid"), F.col("__v").alias("__pv"))
-    # point -> pivot distances (rows x pivots of the group)
-    pd = pts.select("__g", "__id", "__v").join(piv, "__g").withColumn("__d", euclidean(F.col("__v"), F.col("__pv")))
-    pd = pd.select("__g", "__id", "__pid", "__d")
-    assign = pd.groupBy("__g", "__id").agg(F.min_by("__pid", F.struct("__d", "__pid")).alias("__cell"),
-                                           F.min("__d").alias("__dc"))
-    cells = assign.groupBy("__g", F.col("__cell").alias("__pid")).agg(F.max("__dc").alias("__r"),
-                                                                      F.count(F.lit(1)).alias("__m"))
-    qc = pd.join(cells, ["__g", "__pid"])
-    tau = qc.where(F.col("__m") >= k + 1).groupBy("__g", "__id").agg(F.min(F.col("__d") + F.col("__r")).alias("__tau"))
+    piv = sampled.unionByName(first).dropDuplicates(["__g", "__id"])
+    # the pivots of a group as one array (at most max_pivots entries per group)
+    pivs = piv.groupBy("__g").agg(F.sort_array(F.collect_list(F.struct("__id", "__v"))).alias("__P"))
+    # point -> pivot distances as an array column: rows are not multiplied by pivots
+    pa = pts.select("__g", "__id", "__v").join(pivs, "__g") \
+            .withColumn("__dist", F.transform("__P", lambda p: euclidean(F.col("__v"), p["__v"]))) \
+            .withColumn("__dc", F.array_min("__dist"))
+    pa = pa.withColumn("__cell", (F.array_position("__dist", F.col("__dc")) - 1).cast("int")) \
+           .select("__g", "__id", "__v", "__dist", "__dc", "__cell")
+    # used by the cell statistics, the queries and the members: write it once
+    from tabsmith.session import cut_lineage
+    pa = cut_lineage(pa)
+    cells = pa.groupBy("__g", "__cell").agg(F.max("__dc").alias("__r"), F.count(F.lit(1)).alias("__m"))
+    carr = cells.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct(
+        "__cell", F.struct(F.col("__r").alias("r"), F.col("__m").alias("m"))))).alias("__C"))  # <= max_pivots per group
+    q = pa.join(carr, "__g")
+    idx = F.sequence(F.lit(0), F.size("__dist") - 1)
+    bound = F.transform(idx, lambda i: F.when(F.col("__C")[i]["m"] >= k + 1,
+                                              F.col("__dist")[i] + F.col("__C")[i]["r"]))
+    q = q.withColumn("__tau", F.array_min(F.filter(bound, lambda b: b.isNotNull())))
     slack = F.lit(1e-9) * (F.lit(1.0) + F.col("__tau"))
-    cand = qc.join(tau, ["__g", "__id"], "left") \
-             .where(F.col("__tau").isNull() | (F.col("__d") - F.col("__r") <= F.col("__tau") + slack)) \
-             .select("__g", F.col("__id").alias("__q"), F.col("__pid").alias("__cell"))
-    members = assign.select("__g", "__cell", F.col("__id").alias("__x"))
-    pairs = cand.join(members, ["__g", "__cell"]).where(F.col("__q") != F.col("__x"))
-    vq = pts.select("__g", F.col("__id").alias("__q"), F.col("__v").alias("__vq"))
-    vx = pts.select("__g", F.col("__id").alias("__x"), F.col("__v").alias("__vx"))
-    d = pairs.join(vq, ["__g", "__q"]).join(vx, ["__g", "__x"]) \
-             .select("__g", "__q", "__x", euclidean(F.col("__vq"), F.col("__vx")).alias("distance"))
+    keep = F.filter(idx, lambda i: F.col("__C")[i].isNotNull() & (
+        F.col("__tau").isNull() | (F.col("__dist")[i] - F.col("__C")[i]["r"] <= F.col("__tau") + slack)))
+    cand = q.select("__g", F.col("__id").alias("__q"), F.col("__v").alias("__vq"), F.explode(keep).alias("__cell"))
+    members = pa.select("__g", "__cell", F.col("__id").alias("__x"), F.col("__v").alias("__vx"))
+    d = cand.join(members, ["__g", "__cell"]).where(F.col("__q") != F.col("__x")) \
+            .select("__g", "__q", "__x", euclidean(F.col("__vq"), F.col("__vx")).alias("distance"))
     w = Window.partitionBy("__g", "__q").orderBy("distance", "__x")
     top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = top.select(F.col("__g").alias(group_col or "__group"), F.col("__q").alias(id_col),
