@@ -29,7 +29,7 @@ def _tagged(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
 def _ecdf_table(reference: DataFrame, current: DataFrame, column: str, buckets: int = 256) -> DataFrame:
     d = _tagged(reference, current, column)
     g = d.groupBy("x").agg(F.sum("a").alias("p"), F.sum(1 - F.col("a")).alias("n"))
-    cs = cumulative_sums(g, "x", ["p", "n"], buckets)
+    cs = cumulative_sums(g, "x", ["p", "n"], buckets, next_col="x_next")
     tot = g.agg(F.sum("p").alias("tot_p"), F.sum("n").alias("tot_n"))
     return cs.crossJoin(tot).withColumn("f", F.col("cum_p") / F.col("tot_p")).withColumn("h", F.col("cum_n") / F.col("tot_n"))
 
@@ -63,33 +63,13 @@ def wasserstein_normed(reference: DataFrame, current: DataFrame, column: str) ->
     divided by the reference standard deviation (population)."""
     t = _ecdf_table(reference, current, column)
     # |F - G| is constant up to the next distinct value: area = gap x width
-    nxt = t.withColumn("gap", F.abs(F.col("f") - F.col("h"))).select("x", "gap")
-    lead = cumulative_next(nxt, "x")
-    area = lead.agg(F.sum(F.col("gap") * (F.col("x_next") - F.col("x"))).alias("w1"))
+    # (the next value comes from the same bucketed pass as the running sums)
+    area = t.agg(F.sum(F.abs(F.col("f") - F.col("h")) * (F.col("x_next") - F.col("x"))).alias("w1"))
     sd = reference.agg(F.stddev_pop(c(column).cast("double")).alias("sd"))
     return area.crossJoin(sd).select(F.col("w1").alias("wasserstein"),
                                      (F.col("w1") / F.col("sd")).alias("statistic"))
 
 
-def cumulative_next(df: DataFrame, order_col: str, buckets: int = 256) -> DataFrame:
-    """Next larger value of ``order_col`` for every (distinct) row, skew-safe:
-    ``lead`` inside order buckets plus the first value of the next non-empty
-    bucket for each bucket's last row."""
-    from pyspark.sql import Window
-    o = F.col(order_col).cast("double")
-    fr = [i / buckets for i in range(1, buckets)]
-    edges_row = df.agg(F.percentile_approx(o, fr, 10 * buckets).alias("e")).first()
-    edges = sorted(set(x for x in (edges_row["e"] or []) if x is not None))
-    arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else None
-    t = df.withColumn("__bk", F.size(F.filter(arr, lambda e: e <= o)) if edges else F.lit(0))
-    firsts = t.groupBy("__bk").agg(F.min(o).alias("__first"))
-    wn = Window.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
-    nb = firsts.select("__bk", F.last("__first", ignorenulls=True).over(wn).alias("__next_first"))
-    wi = Window.partitionBy("__bk").orderBy(o)
-    out = t.join(F.broadcast(nb), "__bk").withColumn("x_next", F.coalesce(F.lead(o).over(wi), F.col("__next_first")))
-    return out.where(F.col("x_next").isNotNull()).drop("__bk", "__next_first")
-
-
 def category_distributions(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """Aligned category shares of both sides (full outer join of two counts)."""
     from tabsmith.operators.relate import category_alignment

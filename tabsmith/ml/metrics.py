@@ -19,7 +19,8 @@ from tabsmith.functions.core import c, safe_div
 
 
 def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], buckets: int = 256,
-                    descending: bool = False, prefix: str = "cum_", keys: Sequence[str] = ()) -> DataFrame:
+                    descending: bool = False, prefix: str = "cum_", keys: Sequence[str] = (),
+                    next_col: str | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in ``order_col`` order, per
     ``keys`` group (one row per distinct (keys, order value) is expected).
 
@@ -38,14 +39,24 @@ def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], bu
     # one row per group; groups are few (models x folds, or one) -> size-checked by Spark's join planning
     t = t.join(edges, ks) if ks else t.crossJoin(edges)
     t = t.withColumn("__bk", F.size(F.filter("__e", lambda e: e <= F.col("__key")))).drop("__e")
-    tot = t.groupBy(*[c(k) for k in ks], "__bk").agg(*[F.sum(c(v)).alias(f"__t_{v}") for v in value_cols])
-    wb = (Window.partitionBy(*[c(k) for k in ks]) if ks else Window).orderBy("__bk") \
-        .rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
+    tot = t.groupBy(*[c(k) for k in ks], "__bk").agg(*[F.sum(c(v)).alias(f"__t_{v}") for v in value_cols],
+                                                     F.min("__key").alias("__first"))
+    wspec = Window.partitionBy(*[c(k) for k in ks]) if ks else Window
+    wb = wspec.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)  # over buckets only
+    extra = []
+    if next_col:  # first order value of the next non-empty bucket (growing frame in reverse order)
+        wn = wspec.orderBy(F.col("__bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        extra.append(F.last("__first", ignorenulls=True).over(wn).alias("__nf"))
     off = tot.select(*[c(k) for k in ks], "__bk",
-                     *[F.coalesce(F.sum(f"__t_{v}").over(wb), F.lit(0)).alias(f"__o_{v}") for v in value_cols])
+                     *[F.coalesce(F.sum(f"__t_{v}").over(wb), F.lit(0)).alias(f"__o_{v}") for v in value_cols],
+                     *extra)
     wi = Window.partitionBy(*[c(k) for k in ks], "__bk").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
     out = t.join(off, ks + ["__bk"])  # buckets x groups rows
     out = out.withColumns({f"{prefix}{v}": F.sum(c(v)).over(wi) + F.col(f"__o_{v}") for v in value_cols})
+    if next_col:
+        wl = Window.partitionBy(*[c(k) for k in ks], "__bk").orderBy("__key")
+        nxt = F.coalesce(F.lead("__key").over(wl), F.col("__nf"))
+        out = out.withColumn(next_col, -nxt if descending else nxt).drop("__nf")
     return out.drop("__bk", "__key", *[f"__o_{v}" for v in value_cols])
 
 
