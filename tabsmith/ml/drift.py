@@ -191,8 +191,7 @@ def drift_over_time(reference: DataFrame, current: DataFrame, column: str, ts: s
     """Per period of the current table, KS statistic of the column
     against the whole reference.  Distinct values are aggregated per
     (period, value), then running sums per period."""
-    from pyspark.sql import Window
-    ref = reference.select(c(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    ref =reference.select(c(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     cur = current.select(F.date_trunc(unit, c(ts).cast("timestamp")).cast("timestamp_ntz").alias("period"),
                          c(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     rg = ref.groupBy("x").agg(F.count(F.lit(1)).alias("p"))
@@ -203,9 +202,9 @@ def drift_over_time(reference: DataFrame, current: DataFrame, column: str, ts: s
     ecdf = ecdf.select("x", (F.col("cum_p") / F.col("tot_p")).alias("f_le"), ((F.col("cum_p") - F.col("p")) / F.col("tot_p"))
                        .alias("f_lt"))
     t = cg.join(ecdf, "x")
-    w = Window.partitionBy("period").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy("period")
-    t = t.withColumn("_cn", F.sum("n").over(w)).withColumn("_N", F.sum("n").over(wt))
+    # running count per period without one window partition per period
+    t = cumulative_sums(t, "x", ["n"], keys=["period"], prefix="_c")  # adds _cn
+    t = t.join(cg.groupBy("period").agg(F.sum("n").alias("_N")), "period")  # one row per period
     g_le = F.col("_cn") / F.col("_N")
     g_lt = (F.col("_cn") - F.col("n")) / F.col("_N")
     # sup |F - G| is reached at a current value or just below it

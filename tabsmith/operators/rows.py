@@ -275,12 +275,16 @@ def truncate_history(df: DataFrame, conv: str, turn: str, max_turns: int = 10, k
 
 def assemble_qa_pairs(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                       text: str = "text", question_role: str = "user", answer_roles: Sequence[str] = ("assistant",),
-                      sep: str = "\n") -> DataFrame:
+                      sep: str = "\n", rows_per_chunk: int = 2_000_000) -> DataFrame:
     """Gaps-and-islands: each question row opens an island closed by the next
     question; answer rows of the island are joined in turn order.  Rows
-    before the first question belong to no pair."""
-    w = Window.partitionBy(c(conv)).orderBy(c(turn)).rowsBetween(Window.unboundedPreceding, 0)
-    isl = df.withColumn("_q", F.sum(F.when(c(role) == question_role, 1).otherwise(0)).over(w))
+    before the first question belong to no pair.  The island number is a
+    running count of questions per conversation (``running_sum``: a very long
+    conversation is cut into order ranges instead of one window partition);
+    the answer text of an island is its own output value."""
+    from tabsmith.operators.windows import running_sum
+    isl = running_sum(df, F.when(c(role) == question_role, 1).otherwise(0), [conv], [turn], "_q",
+                      rows_per_chunk=rows_per_chunk)
     isl = isl.where(F.col("_q") > 0)
     is_q = c(role) == question_role
     is_a = c(role).isin(list(answer_roles))

@@ -142,3 +142,25 @@ def fill_bfill_ffill(df: DataFrame, value_cols: Sequence[str], keys: Sequence[st
             out = out.withColumn(f"__f_{v}", F.coalesce(f"__f_{v}", f"__pf_{v}"))
     out = out.withColumns({v: F.coalesce(c(v), F.col(f"__b_{v}"), F.col(f"__f_{v}")) for v in value_cols})
     return out.select(*[c(x) for x in orig_cols])
+
+
+def running_sum(df: DataFrame, value: Column | str, keys: Sequence[str], order_by: Sequence[str], name: str,
+                rows_per_chunk: int = 2_000_000) -> DataFrame:
+    """Inclusive running sum of ``value`` per key in ``order_by`` order.
+
+    Keys larger than ``rows_per_chunk`` rows are cut into order-range chunks:
+    the sum inside a chunk is a window over (key, chunk) and the totals of the
+    earlier chunks of the key (one row per chunk) are added as an offset."""
+    v = c(value) if isinstance(value, str) else value
+    base = df.withColumn("__val", v)
+    orig_cols = [x for x in base.columns if x not in (_K, _CH)]
+    ch, pkeys, chunked = assign_chunks(base, keys, order_by, rows_per_chunk)
+    kc = [c(k) for k in pkeys]
+    w = Window.partitionBy(*kc, _CH).orderBy(*[c(o) for o in order_by]).rowsBetween(Window.unboundedPreceding, 0)
+    out = ch.withColumn(name, F.sum("__val").over(w))
+    if chunked:
+        tot = ch.groupBy(*kc, _CH).agg(F.sum("__val").alias("__t"))
+        wb = Window.partitionBy(*kc).orderBy(_CH).rowsBetween(Window.unboundedPreceding, -1)
+        off = tot.select(*kc, _CH, F.coalesce(F.sum("__t").over(wb), F.lit(0)).alias("__off"))
+        out = out.join(off, pkeys + [_CH], "left").withColumn(name, F.col(name) + F.coalesce("__off", F.lit(0)))
+    return out.select(*[c(x) for x in orig_cols if x != "__val"], name)

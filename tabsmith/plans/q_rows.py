@@ -265,3 +265,17 @@ def q_stats_as_list(spark, sf):
     g = load(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     pairs = g.groupBy("o_orderstatus").agg(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n"))).alias("p"))
     return pairs.select("o_orderstatus", F.col("p.o_orderpriority").alias("priorities"), F.col("p.n").alias("counts"))
+
+
+@register("assemble_qa_pairs_hot", """
+WITH i AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM conversations)
+SELECT conv_id, CAST(q AS BIGINT) AS pair_index,
+  min(turn) FILTER (WHERE role = 'user') AS question_turn,
+  arg_max(text, turn) FILTER (WHERE role = 'user') AS question,
+  coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS answer,
+  count(*) FILTER (WHERE role = 'assistant') AS n_answer_parts
+FROM i WHERE q > 0 GROUP BY conv_id, q""")
+def q_assemble_qa_pairs_hot(spark, sf):
+    """Same result with every conversation treated as a hot key (chunked running count)."""
+    return R.assemble_qa_pairs(load(spark, sf, "conversations"), rows_per_chunk=2)
