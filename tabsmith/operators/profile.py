@@ -55,7 +55,7 @@ def dtype_name(dt: T.DataType) -> str:
 # A3 table report (flagship)
 # ---------------------------------------------------------------------------
 
-def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.01) -> DataFrame:
+def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.02) -> DataFrame:
     """Rows, columns, overall missing %, quality score and per-column type /
     missing % / unique % in one scan.
 
@@ -63,6 +63,8 @@ def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.01) -> Dat
     fixed-size sketch per column, so the cost does not grow with the number of
     distinct values.  ``exact=True`` uses ``count(DISTINCT)`` (an ``Expand``
     of rows x columns); meant for oracle checks and small tables.
+    ``rsd`` 0.02 keeps 4096 registers per column; 0.01 quadruples the
+    aggregation buffer (measured 4x slower partial aggregation on 11 columns).
     """
     fields = df.schema.fields
     n_feat = len(fields)
