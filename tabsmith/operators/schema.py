@@ -22,6 +22,11 @@ DATE_FORMATS_STRPTIME = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"
 DATE_FORMATS_SPARK = ("yyyy-M-d H:m:s", "yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy/M/d",
                       "d-M-yyyy", "M-d-yyyy")
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
+# Text shape of each format above (same order): a format is only tried on
+# text of its shape, so most failing parses (exception-driven, slow) never run.
+DATE_SHAPES = (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", r"^\d{4}-\d{1,2}-\d{1,2}$",
+               r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{1,2}/\d{1,2}/\d{4}$", r"^\d{4}/\d{1,2}/\d{1,2}$",
+               r"^\d{1,2}-\d{1,2}-\d{4}$", r"^\d{1,2}-\d{1,2}-\d{4}$")
 
 
 def _sample(df: DataFrame, rows: int | None, order_by: Sequence[str] | None) -> DataFrame:
@@ -43,25 +48,19 @@ def datetime_format_vote(df: DataFrame, columns: Sequence[str] | None = None, th
         v = c(x).cast("string")
         aggs.append(F.count(v).alias(f"n{i}"))
         for j, fmt in enumerate(DATE_FORMATS_SPARK):
-            aggs.append(F.count(F.try_to_timestamp(v, F.lit(fmt))).alias(f"p{i}_{j}"))
-    row_df = s.agg(*aggs)
-    parts = []
+            aggs.append(F.count(F.when(v.rlike(DATE_SHAPES[j]), F.try_to_timestamp(v, F.lit(fmt))))
+                        .alias(f"p{i}_{j}"))
+    st = s.agg(*aggs).first()  # one row: 8 counts per column
+    rows = []
     for i, x in enumerate(cols):
-        ratios = [F.coalesce(F.try_divide(F.col(f"p{i}_{j}").cast("double"), F.col(f"n{i}")), F.lit(0.0))
-                  for j in range(len(DATE_FORMATS_SPARK))]
-        # best = max ratio, earliest format on ties: max over (ratio, -index)
-        best = F.array_max(F.array(*[F.struct(r.alias("r"), F.lit(-j).alias("k")) for j, r in enumerate(ratios)]))
-        parts.append(row_df.select(F.lit(x).alias("column_name"), best.alias("_b")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    fmts = F.array(*[F.lit(f) for f in DATE_FORMATS_SPARK])
-    pys = F.array(*[F.lit(f) for f in DATE_FORMATS_STRPTIME])
-    idx = (-F.col("_b.k")).cast("int")
-    ok = F.col("_b.r") > threshold
-    return out.select("column_name", F.col("_b.r").alias("best_ratio"),
-                      F.when(ok, F.element_at(fmts, idx + 1)).alias("spark_format"),
-                      F.when(ok, F.element_at(pys, idx + 1)).alias("strptime_format"))
+        n = st[f"n{i}"]
+        ratios = [(st[f"p{i}_{j}"] / n) if n else 0.0 for j in range(len(DATE_FORMATS_SPARK))]
+        best = max(range(len(ratios)), key=lambda j: (ratios[j], -j))  # earliest format on ties
+        ok = ratios[best] > threshold
+        rows.append((x, float(ratios[best]), DATE_FORMATS_SPARK[best] if ok else None,
+                     DATE_FORMATS_STRPTIME[best] if ok else None))
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, best_ratio double, spark_format string, strptime_format string")
 
 
 def apply_datetime_formats(df: DataFrame, formats: Mapping[str, str]) -> DataFrame:
