@@ -80,8 +80,9 @@ def inclusion_dependencies(tables: Mapping[str, DataFrame], key_suffix: str = "k
     children = [s for s in stats if s[1].lower().endswith(key_suffix) and s[4] > 0]
     parts = []
     for ct, cc, clo, chi, cd, _, _ in children:
-        for pt, pc, plo, phi, _, _, _ in parents:
-            if ct == pt or clo < plo or chi > phi:
+        for pt, pc, plo, phi, pd, _, _ in parents:
+            # necessary conditions from the bounded metadata: value range and distinct count contained
+            if ct == pt or clo < plo or chi > phi or cd > pd:
                 continue
             ch = tables[ct].select(c(cc).cast("bigint").alias("v")).where(F.col("v").isNotNull()).distinct()
             pa = tables[pt].select(c(pc).cast("bigint").alias("v"))

@@ -299,3 +299,26 @@ def test_truncate_history_keeps_head_and_tail(spark):
     out = R.truncate_history(df, "conv_id", "turn", max_turns=3, keep_head=2)
     got = sorted((r.conv_id, r.turn) for r in out.collect())
     assert got == [(1, 1), (1, 2)] + [(1, t) for t in range(25, 31)] + [(2, t) for t in range(1, 6)]
+
+
+def test_sources_and_schema_helpers(spark, sf, tmp_path):
+    from tabsmith.operators.schema import match_columns
+    from tabsmith.sources import files as IO
+    nation = load(spark, sf, "nation")
+    p = str(tmp_path / "n.csv")
+    IO.write_csv(nation, p)
+    back = IO.read_csv(spark, p)
+    assert sorted(back.collect()) == sorted(nation.collect())
+    # Materialise once, later calls keep the stored copy
+    first = IO.materialize_once(nation, str(tmp_path / "clean"))
+    again = IO.materialize_once(nation.limit(1), str(tmp_path / "clean"))
+    assert first.count() == again.count() == nation.count()
+    # records
+    recs = IO.from_records(spark, [{"a": 1, "b": "x"}, {"a": 2, "b": None}], "a long, b string")
+    assert recs.count() == 2
+    # Loose name matching
+    m = {r.requested: r.column_name for r in match_columns(load(spark, sf, "orders"), ["O_Order Key", "o total price", "nope"]).collect()}
+    assert m == {"O_Order Key": "o_orderkey", "o total price": "o_totalprice", "nope": None}
+    # Schema alignment
+    d = {r.column_name: r.side for r in R.schema_diff(load(spark, sf, "orders"), load(spark, sf, "text_orders")).collect()}
+    assert d["o_orderkey"] == "both" and d["price_txt"] == "right_only" and d["o_totalprice"] == "left_only"
