@@ -388,7 +388,6 @@ def explain_sampled(model: PipelineModel, prep: Prepared, df: DataFrame, key_col
     feats = list(prep.numeric)
     p = len(feats)
     means = df.agg(*[F.avg(c(x).cast("double")).alias(x) for x in feats]).first().asDict()
-    rid = hash_bucket(key_cols, seed)
     base = df.withColumn("__rid", F.concat_ws("|", *[c(x).cast("string") for x in key_cols]))
     steps = base.withColumn("__perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))) \
                 .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(p))))
@@ -411,5 +410,4 @@ def explain_sampled(model: PipelineModel, prep: Prepared, df: DataFrame, key_col
     contrib = contrib.select("__rid", *[F.col(str(i)).alias(f"contrib_{x}") for i, x in enumerate(feats)])
     base_val = scored.where(F.col("__step") == 0).groupBy("__rid").agg(F.first("__y").alias("base_value"))
     full = scored.where(F.col("__step") == p).groupBy("__rid").agg(F.first("__y").alias("prediction"))
-    del rid
     return base.join(contrib, "__rid").join(base_val, "__rid").join(full, "__rid").drop("__rid")

@@ -9,10 +9,6 @@ from tabsmith.plans.schemas import SCHEMAS, cols, dq, numeric_cols, sq, string_c
 from tabsmith.sources.tables import duckdb_view_cte, load
 
 
-def _from(table: str) -> str:
-    return table
-
-
 def _cte(table: str) -> str:
     return duckdb_view_cte(table) if table in ("dirty_events", "text_orders", "label_features") else ""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,13 +16,11 @@ TXT = duckdb_view_cte("text_orders")
 
 
 def _vote_sql() -> str:
-    fm = ", ".join(f"({j}, '{sp}', '{py}')" for j, (sp, py) in enumerate(zip(S.DATE_FORMATS_SPARK, S.DATE_FORMATS_STRPTIME)))
-    per = " UNION ALL ".join(
+    per =" UNION ALL ".join(
         f"SELECT '{x}' AS column_name, {j} AS j, '{sp}' AS sp, '{py}' AS py, "
         f"coalesce(CAST(count(try_strptime({x}, '{py}')) AS DOUBLE) / NULLIF(count({x}), 0), 0.0) AS ratio FROM text_orders"
         for x in ("price_txt", "date_txt", "o_orderstatus")
         for j, (sp, py) in enumerate(zip(S.DATE_FORMATS_SPARK, S.DATE_FORMATS_STRPTIME)))
-    del fm
     return TXT + f""",
 r AS ({per}),
 b AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY ratio DESC, j) AS rn FROM r)
@@ -173,5 +170,3 @@ def q_table_schema(spark, sf):
     return meta.join(keys, "column_name").select(
         F.lit("customer").alias("table_name"), "position", "column_name", "type", "null_count", "is_candidate_key")
 
-
-_ = os
