@@ -236,18 +236,34 @@ def fit_one_hot(df: DataFrame, cols: Sequence[str], max_dense: int = 1000) -> di
     return out
 
 
+def _one_hot_wide(df: DataFrame, x: str) -> DataFrame:
+    """Sparse one-hot vector ``{x}_vec`` for a column with many categories,
+    without collecting the labels: categories are numbered in sorted order by
+    a distributed ranking, rows get their number by a join, and unknown or
+    null values take one extra slot that ``dropLast`` removes (all zeros, as
+    in the dense encoding).  Only the category count reaches the driver."""
+    from pyspark.ml.feature import OneHotEncoder
+    from tabsmith.operators.rows import position_in_group
+    xs = c(x).cast("string")
+    vals = df.select(xs.alias("__v")).where(F.col("__v").isNotNull()).distinct().withColumn("__one", F.lit(1))
+    ranked = position_in_group(vals, ["__one"], [F.col("__v")], "__pos")
+    n_cat = ranked.agg(F.max("__pos")).first()[0] or 0
+    idx = ranked.select(F.col("__v").alias("__val"), (F.col("__pos") - 1).cast("double").alias("__i"))
+    out = df.join(idx, xs == F.col("__val"), "left").drop("__val")
+    meta = {"ml_attr": {"type": "nominal", "num_vals": int(n_cat) + 1, "name": f"{x}__idx"}}
+    out = out.withColumn(f"{x}__idx", F.coalesce(F.col("__i"), F.lit(float(n_cat))).alias(f"{x}__idx", metadata=meta)) \
+             .drop("__i")
+    enc = OneHotEncoder(inputCols=[f"{x}__idx"], outputCols=[f"{x}_vec"], dropLast=True, handleInvalid="error")
+    return enc.fit(out).transform(out).drop(f"{x}__idx")
+
+
 def one_hot(df: DataFrame, categories: dict[str, list[str] | None], drop_original: bool = True) -> DataFrame:
     """Dense 0/1 double columns ``{col}_{value}`` in sorted category order;
     unknown or null -> all zeros.  Wide columns -> one sparse vector column."""
     out = df
     for x, cats in categories.items():
         if cats is None:
-            from pyspark.ml.feature import OneHotEncoder, StringIndexer
-            si = StringIndexer(inputCol=x, outputCol=f"{x}__idx", handleInvalid="keep",
-                               stringOrderType="alphabetAsc").fit(out)
-            out = OneHotEncoder(inputCols=[f"{x}__idx"], outputCols=[f"{x}_vec"], dropLast=True,
-                                handleInvalid="keep").fit(si.transform(out)).transform(si.transform(out))
-            out = out.drop(f"{x}__idx")
+            out = _one_hot_wide(out, x)
         else:
             xs = c(x).cast("string")
             out = out.withColumns({f"{x}_{v}": F.coalesce((xs == F.lit(v)).cast("double"), F.lit(0.0)) for v in cats})

@@ -322,3 +322,12 @@ def test_sources_and_schema_helpers(spark, sf, tmp_path):
     # Schema alignment
     d = {r.column_name: r.side for r in R.schema_diff(load(spark, sf, "orders"), load(spark, sf, "text_orders")).collect()}
     assert d["o_orderkey"] == "both" and d["price_txt"] == "right_only" and d["o_totalprice"] == "left_only"
+
+
+def test_wide_one_hot_matches_dense(spark):
+    from pyspark.ml.functions import vector_to_array
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "a")], "id int, s string")
+    dense = C.one_hot(df, C.fit_one_hot(df, ["s"], max_dense=10)).orderBy("id").collect()
+    wide = C.one_hot(df, C.fit_one_hot(df, ["s"], max_dense=1)).select("id", vector_to_array("s_vec").alias("v")) \
+            .orderBy("id").collect()
+    assert [[r.s_a, r.s_b, r.s_c] for r in dense] == [list(r.v) for r in wide]
