@@ -193,7 +193,7 @@ def load(table: pa.Table, space: Space) -> dict:
         kids = below.get(r["node"], [])
         nodes[r["node"]] = (np.frombuffer(r["centre"]), r["radius"], np.array(r["ids"], np.int64), space.unpack([r["vectors"]]),
                             np.array(r["near"]), [c["node"] for c in kids],
-                            np.frombuffer(b"".join(c["centre"] for c in kids)).reshape(len(kids), -1),
+                            np.frombuffer(b"".join(c["centre"] for c in kids)).reshape(len(kids), space.dim + 1),
                             np.array([c["radius"] for c in kids]), np.array([c["up"] for c in kids]))
     return nodes
 
