@@ -287,7 +287,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
 
 def decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` with the text of a column of ids (null: empty)."""
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def decoded(ids: pa.Array) -> pa.Array:
         tool = codec(tokenizer_path)
         return pa.array([tool.decode(i.as_py() or []) for i in ids], pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, mixing, quality, repetition, simhash, topk, urls
+from tabsmith.llm import bpe, chat, htmltext, licences, mixing, quality, repetition, simhash, topk, urls
 from tabsmith.llm.common import pick
 from tabsmith.sources.tables import read_table
 
@@ -101,8 +101,8 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_exact_top_k"] = r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS x FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
@@ -119,6 +119,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept", "dup_line_share", "dup_ngram_excess")
 
 
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = pick(read_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    out = htmltext.extract(pages)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of documents that grant a licence: their line, licence family and its probability."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return licences.Scanner(docs).scan(docs)
+
+
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
