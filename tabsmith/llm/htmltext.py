@@ -2,9 +2,9 @@
 
 Every text node has a root-to-leaf tag path.  Per path, text length and
 punctuation are added up and related to the number of its nodes; these two
-ratios, less the share of text inside links, are smoothed over the paths in
-page order (a Gaussian, so that a heading next to paragraphs counts as part of
-them) and fused into one score.  Paths that reach a share of the page's
+ratios are smoothed over the paths in page order (a Gaussian, so that a heading
+next to paragraphs counts as part of them) and fused into one score, times the
+share of the path's text that isn't inside links.  Paths that reach a share of the page's
 text-weighted mean score are content; a block of text is kept if one of its
 nodes lies on such a path.
 
@@ -152,7 +152,7 @@ def path_scores(found) -> dict:
         s[2] += len(PUNCTUATION.findall(text))
         s[3] += size if link else 0
     paths = list(sums)
-    length = [math.log1p(sums[p][1] / sums[p][0]) * (1 - sums[p][3] / max(1, sums[p][1])) for p in paths]
+    length = [math.log1p(sums[p][1] / sums[p][0]) for p in paths]
     marks = [math.log1p(sums[p][2] / sums[p][0]) for p in paths]
     reach = math.ceil(3 * SIGMA)
     kernel = [math.exp(-d * d / (2 * SIGMA * SIGMA)) for d in range(reach + 1)]
@@ -161,7 +161,8 @@ def path_scores(found) -> dict:
         near = range(max(0, k - reach), min(len(x), k + reach + 1))
         return sum(kernel[abs(k - j)] * x[j] for j in near) / sum(kernel[abs(k - j)] for j in near)
 
-    return {p: smooth(length, k) + smooth(marks, k) for k, p in enumerate(paths)}
+    plain = [1 - sums[p][3] / max(1, sums[p][1]) for p in paths]
+    return {p: plain[k] * (smooth(length, k) + smooth(marks, k)) for k, p in enumerate(paths)}
 
 
 def main_text(page) -> str:

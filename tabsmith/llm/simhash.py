@@ -205,7 +205,10 @@ def shard_links(x: np.ndarray, metrics, max_bits: int) -> tuple[list[int], list[
 def near_links(fps: DataFrame, max_bits: int = 4, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links ``a, b`` between the distinct fingerprints ``fp`` that connect all pairs of at most ``max_bits`` bits."""
     total = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+    # a slice of the hash range with about twice the sample, so that each task sends its share of it only
+    bucket, share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)), min(1.0, 2 * sample_rows / max(1, total))
+    drawn = fps.select("fp", bucket.alias("bucket")).filter(F.col("bucket") < int(share * (1 << 30)) + 1)
+    sample = np.array([r[0] for r in drawn.orderBy("bucket", "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, total / shard_rows)))) + 1) if total > shard_rows else 0
     masks, radius = block_masks(max_bits)
     metrics = [[(mask, radius), (FULL, max_bits)] for mask in masks]
