@@ -134,23 +134,24 @@ def chi2_sf(x: float, k: int) -> float:
 
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: Sequence[str] | None = None,
-                 drop: Sequence[str] = (), small_n: int = 1000, p_threshold: float = 0.05,
+                 drop: Sequence[str] = (), test: str = "distance", p_threshold: float = 0.05,
                  distance_threshold: float = 0.1, share_threshold: float = 0.5) -> DataFrame:
     """Per common column: test, score, drift flag; plus the dataset verdict.
 
-    Defaults follow the documented behaviour of the drift library the
-    reference calls: up to ``small_n`` reference rows -> KS (numeric) or
-    chi-square (categorical) at p < 0.05; larger -> normalised Wasserstein /
-    Jensen-Shannon distance >= 0.1; dataset drift when at least half of the
-    columns drift.  One small job per column; only scalars are collected."""
+    ``test`` is the caller's choice and never depends on the size of the data:
+    "p_value" takes KS (numeric) or chi-square (categorical) at p < 0.05,
+    "distance" normalised Wasserstein / Jensen-Shannon distance >= 0.1.  The
+    dataset drifts when at least half of the columns do.  One small job per
+    column; only scalars are collected."""
+    if test not in ("distance", "p_value"):
+        raise ValueError(f"unknown test {test!r}")
     spark = reference.sparkSession
     common = [x for x in reference.columns if x in current.columns and x not in set(drop)]
     cols = [x for x in (columns or common) if x in common]
-    n_ref = reference.count()
     rows = []
     for x in cols:
         num = is_numeric(reference.schema[x].dataType)
-        if num and n_ref <= small_n:
+        if num and test == "p_value":
             r = ks_statistic(reference, current, x).first()
             score = ks_pvalue(r["statistic"], r["n_reference"], r["n_current"])
             rows.append((x, "num", "K-S p_value", float(score), bool(score < p_threshold)))
@@ -158,7 +159,7 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: Sequence[str
             r = wasserstein_normed(reference, current, x).first()
             rows.append((x, "num", "Wasserstein distance (normed)", float(r["statistic"]),
                          bool(r["statistic"] >= distance_threshold)))
-        elif n_ref <= small_n:
+        elif test == "p_value":
             r = chi_square(reference, current, x).first()
             score = chi2_sf(r["statistic"], r["dof"])
             rows.append((x, "cat", "chi-square p_value", float(score), bool(score < p_threshold)))

@@ -24,7 +24,8 @@ def detect_task_type(df: DataFrame, target: str, threshold: int = 10, float_max_
     dt = df.schema[target].dataType
     y = c(target)
     st = df.agg(F.count_distinct(y).alias("n_distinct"), F.count(y).alias("n"),
-                F.coalesce(F.bool_and(y.cast("double").isin(0.0, 1.0)), F.lit(False)).alias("binary01"))
+                (F.coalesce(F.bool_and(y.cast("double").isin(0.0, 1.0)), F.lit(False)) if is_numeric(dt) else F.lit(False))
+                .alias("binary01"))
     if isinstance(dt, (T.StringType, T.BooleanType)):
         task, reason = F.lit("classification"), F.lit("text_or_bool")
     elif isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
@@ -38,7 +39,8 @@ def detect_task_type(df: DataFrame, target: str, threshold: int = 10, float_max_
                   .when(F.col("n_distinct") < threshold, F.lit("few_integer_values"))
                   .otherwise(F.lit("many_integer_values")))
     else:
-        task, reason = F.lit("unsupported"), F.lit(dt.simpleString())
+        # dates and other types: labels to tell apart
+        task, reason = F.lit("classification"), F.lit(dt.simpleString())
     return st.select(F.lit(target).alias("target"), task.alias("task_type"), reason.alias("reason"), "n_distinct")
 
 

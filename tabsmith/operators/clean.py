@@ -308,6 +308,8 @@ def clean(df: DataFrame, cfg: CleaningConfig, target: str | None = None) -> Clea
     """Composed cleaning run.  Returns the cleaned frame (lazy), the fitted
     values and a small report.  ``remainder='drop'`` reproduces the
     reference, which loses every column no active step touches."""
+    if cfg.handle_imbalanced_data and not target:
+        raise ValueError("balancing classes needs a target")
     fitted: dict = {}
     report: dict = {}
     from pyspark import StorageLevel
@@ -364,10 +366,12 @@ def clean(df: DataFrame, cfg: CleaningConfig, target: str | None = None) -> Clea
         if target:
             keep.append(target)
         out = out.select(*[c(x) for x in keep])
-    if cfg.handle_imbalanced_data and target:
+    if cfg.handle_imbalanced_data:
         from tabsmith.operators.smote import smote
-        feats = [x for x in out.columns if x != target and is_numeric(out.schema[x].dataType)]
-        out = smote(out, target, feats)
+        feats = [x for x in out.columns if x != target]
+        report["balance"] = verdict = balance_check(out, target, feats).first()["verdict"]
+        if not verdict.startswith("skip"):
+            out = smote(out, target, feats)
     return CleanResult(out, fitted, report)
 
 

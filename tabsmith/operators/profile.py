@@ -185,16 +185,11 @@ def column_info(df: DataFrame) -> DataFrame:
                   ["dtype", "non_null_count"], keep=["rows"])
 
 
-def data_context(df: DataFrame, max_unique: int = 20, head: int = 5, order_by: Sequence[str] | None = None,
-                 max_full_rows: int = 50_000, sample_rows: int = 25_000, seed: int = 42) -> dict[str, DataFrame]:
+def data_context(df: DataFrame, max_unique: int = 20, head: int = 5,
+                 order_by: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The pieces of the table context (info, missing, numeric and text
-    describe, small value counts, first rows).  Statistics come from a
-    deterministic ``sample_rows`` sample when the table has more than
-    ``max_full_rows`` rows (one count job decides)."""
-    from tabsmith.operators.rows import sample_n  # local import: avoid a cycle
+    describe, small value counts, first rows), over the whole table."""
     stats_df = df
-    if df.count() > max_full_rows:
-        stats_df = sample_n(df, sample_rows, key_cols=order_by or df.columns, seed=seed)
     ordered = df.orderBy(*[c(x) for x in (order_by or df.columns)])
     out = {"info": column_info(df), "missing": missing_counts(stats_df),
            "value_counts": value_counts_small(stats_df, max_unique), "head": ordered.limit(head)}

@@ -38,7 +38,7 @@ def focus_filter(df: DataFrame, condition: str | None) -> tuple[DataFrame, bool]
         out = df.where(F.expr(condition))
         out.schema  # force analysis now, not at the first action  # noqa: B018
         return out, True
-    except (AnalysisException, ParseException, Exception):  # noqa: BLE001
+    except (AnalysisException, ParseException):
         return df, False
 
 
@@ -215,14 +215,15 @@ def sample_n(df: DataFrame, n: int, key_cols: Sequence[str], seed: int = 42) ->
     return (df.withColumn("_b", b).orderBy(F.col("_b"), *[c(x) for x in key_cols]).limit(n).drop("_b"))
 
 
+# Shares of a table taken for comparing and for tuning models.
+STAGE_FRACTIONS = {"compare": 0.10, "tune": 0.30}
+
+
 def sample_policy(df: DataFrame, key_cols: Sequence[str], stage: str = "compare", seed: int = 42,
-                  threshold: int = 500_000) -> tuple[DataFrame, float]:
-    """Size-driven sampling: at or above ``threshold`` rows take 10 % for model
-    comparison, 30 % for tuning; below it keep everything.  One count job."""
-    n = df.count()
-    frac = 1.0
-    if n >= threshold:
-        frac = 0.10 if stage == "compare" else 0.30
+                  fraction: float | None = None) -> tuple[DataFrame, float]:
+    """The sample a stage of model selection works on: the caller's ``fraction``,
+    or the stage's.  The size of the table decides nothing."""
+    frac = STAGE_FRACTIONS[stage] if fraction is None else fraction
     return sample_fraction(df, frac, key_cols, seed), frac
 
 
@@ -264,13 +265,17 @@ def truncate_history(df: DataFrame, conv: str, turn: str, max_turns: int = 10, k
     """Keep the first ``keep_head`` turns and the last ``2*max_turns`` turns of
     each conversation (all turns when it is not longer than that)."""
     # two top-k selections (each planned with a map-side WindowGroupLimit, so a
-    # very long conversation ships only its first / last rows), then the union
-    # without the rows picked twice (turns are unique within a conversation)
-    w_up = Window.partitionBy(c(conv)).orderBy(c(turn).asc())
-    w_dn = Window.partitionBy(c(conv)).orderBy(c(turn).desc())
+    # very long conversation ships only its first / last rows); they number the
+    # rows by the same total order, turns that repeat included, and the tail
+    # leaves out the ``keep_head`` rows that the head has
+    order = [c(turn), *[c(x) for x in df.columns if x not in (conv, turn)]]
+    w_up = Window.partitionBy(c(conv)).orderBy(*[x.asc_nulls_first() for x in order])
+    w_dn = Window.partitionBy(c(conv)).orderBy(*[x.desc_nulls_last() for x in order])
     head = df.withColumn("_r", F.row_number().over(w_up)).where(F.col("_r") <= keep_head).drop("_r")
-    tail = df.withColumn("_r", F.row_number().over(w_dn)).where(F.col("_r") <= 2 * max_turns).drop("_r")
-    return head.unionByName(tail).dropDuplicates([conv, turn])
+    tail = df.withColumn("_r", F.row_number().over(w_dn)).where(F.col("_r") <= 2 * max_turns)
+    sizes = df.groupBy(c(conv).alias("_conv")).agg(F.count(F.lit(1)).alias("_n"))
+    tail = tail.join(sizes, c(conv).eqNullSafe(F.col("_conv"))).where(F.col("_r") <= F.col("_n") - keep_head)
+    return head.unionByName(tail.select(*[c(x) for x in df.columns]))
 
 
 def assemble_qa_pairs(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",

@@ -69,12 +69,14 @@ def apply_datetime_formats(df: DataFrame, formats: Mapping[str, str]) -> DataFra
                            for x, f in formats.items()})
 
 
-def infer_logical_types(df: DataFrame, sample_rows: int | None = 1000, order_by: Sequence[str] | None = None,
+def infer_logical_types(df: DataFrame, sample_rows: int | None = None, order_by: Sequence[str] | None = None,
                         category_ratio: float = 0.5, min_rows_for_category: int = 100) -> DataFrame:
     """Datetime -> number -> boolean -> category -> string per column.
 
     Text columns: date vote first; otherwise category when
-    distinct / rows < ``category_ratio`` and rows > ``min_rows_for_category``."""
+    distinct / rows < ``category_ratio`` and rows > ``min_rows_for_category``.
+    The whole table decides unless the caller asks for its first
+    ``sample_rows`` rows by ``order_by``."""
     s = _sample(df, sample_rows, order_by)
     fields = s.schema.fields
     strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
@@ -103,21 +105,18 @@ def infer_logical_types(df: DataFrame, sample_rows: int | None = 1000, order_by:
                                                  "spark_type string, date_format string")
 
 
-def simplified_types(df: DataFrame, sample_size: int = 5, key_cols: Sequence[str] | None = None,
-                     seed: int = 42) -> DataFrame:
+def simplified_types(df: DataFrame) -> DataFrame:
     """Integer / float / datetime / boolean / categorical; a text column is
-    datetime when all of ``sample_size`` deterministically sampled non-null
-    values parse as timestamps."""
-    from tabsmith.functions.core import hash_bucket
+    datetime when it has values and all of them parse as timestamps.  One
+    aggregate over the whole table."""
     fields = df.schema.fields
     out = []
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     parsed: dict[str, bool] = {}
-    for x in texts:
-        sub = df.select(c(x).alias("v")).where(F.col("v").isNotNull())
-        sub = sub.withColumn("_b", hash_bucket(["v"], seed)).orderBy("_b", "v").limit(sample_size)
-        r = sub.agg(F.count(F.lit(1)).alias("n"), F.count(F.try_to_timestamp(F.col("v"))).alias("ok")).first()
-        parsed[x] = r["n"] > 0 and r["ok"] == r["n"]
+    if texts:
+        r = df.agg(*[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(texts)],
+                   *[F.count(F.try_to_timestamp(c(x))).alias(f"ok{i}") for i, x in enumerate(texts)]).first()
+        parsed = {x: r[f"n{i}"] > 0 and r[f"ok{i}"] == r[f"n{i}"] for i, x in enumerate(texts)}
     for f in fields:
         dt = f.dataType
         if isinstance(dt, INTEGRAL_TYPES):
@@ -179,7 +178,7 @@ def narrow_types_plan(df: DataFrame, allow_float32: bool = False, category_ratio
         if is_numeric(f.dataType) and st[f"lo{i}"] is not None:
             lo, hi, integral = st[f"lo{i}"], st[f"hi{i}"], st[f"int{i}"]
             if isinstance(f.dataType, INTEGRAL_TYPES) or integral:
-                sug = "bigint"
+                sug = "bigint" if isinstance(f.dataType, INTEGRAL_TYPES) or -2.0**63 <= lo and hi < 2.0**63 else cur
                 for name, a, b in ranges:
                     if lo >= a and hi <= b:
                         sug = name

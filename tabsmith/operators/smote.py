@@ -20,6 +20,14 @@ from tabsmith.functions.core import HASH_SPACE, c, hash_bucket
 from tabsmith.operators.neighbors import knn_join
 
 
+def numbered_rows(df: DataFrame, name: str = "__rid") -> DataFrame:
+    """``df`` with an id per row that depends on the data only: its values, and a number among equal rows."""
+    from tabsmith.operators.rows import position_in_group
+    values = F.to_json(F.struct(*[c(x) for x in df.columns]), {"ignoreNullFields": "false"})
+    out = position_in_group(df.withColumn("__values", values), ["__values"], [], "__nth")
+    return out.withColumn(name, F.concat_ws("#", "__values", F.col("__nth").cast("string"))).drop("__values", "__nth")
+
+
 def smote(df: DataFrame, target: str, features: Sequence[str], id_col: str | None = None, k: int = 5,
           seed: int = 42, synthetic_flag: str = "is_synthetic") -> DataFrame:
     """Original rows plus synthetic minority rows (``is_synthetic`` true;
@@ -27,7 +35,7 @@ def smote(df: DataFrame, target: str, features: Sequence[str], id_col: str | Non
     from tabsmith.operators.rows import position_in_group
     feats = list(features)
     idc = id_col or "__rid"
-    base = df if id_col else df.withColumn("__rid", F.concat_ws("|", *[c(x).cast("string") for x in df.columns]))
+    base = df if id_col else numbered_rows(df)
     cnt = base.groupBy(c(target).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
     mx = cnt.agg(F.max("__n").alias("__M"))
     need = cnt.crossJoin(mx).where((F.col("__n") < F.col("__M")) & (F.col("__n") > k))  # one row per class

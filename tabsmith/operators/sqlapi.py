@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERY_START = re.compile(r"^\s*(\(\s*)*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
@@ -19,24 +21,52 @@ class NotAQuery(ValueError):
 def is_select(sql: str) -> bool:
     """Queries only: commands run eagerly inside ``spark.sql``, so they are
     refused before Spark sees them."""
-    body = _COMMENTS.sub(" ", sql).strip().rstrip(";")
-    return bool(_QUERY_START.match(body)) and ";" not in body
+    return bool(_QUERY_START.match(_COMMENTS.sub(" ", sql).strip()))
 
 
-def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None,
-            args: Mapping[str, object] | None = None) -> DataFrame:
-    """Q1: run a read-only query over named DataFrames.  Tables are passed as
-    ``{name}`` DataFrame parameters (no global temp views); named parameter
-    markers (``:x``) bind ``args`` safely."""
+def check_query(spark: SparkSession, sql: str) -> None:
+    """Refuse a statement unless its parsed plan is a query through and through
+    (``WITH ... INSERT`` and ``FROM ... INSERT`` start like one)."""
     if not is_select(sql):
         raise NotAQuery("only SELECT / WITH / VALUES queries are accepted")
-    tables = dict(tables or {})
-    text = sql
-    for name in tables:
-        text = re.sub(rf"(?<![\w{{`.]){re.escape(name)}(?![\w}}`])", "{" + name + "}", text)
-    if args:
-        return spark.sql(text, args=dict(args), **tables)
-    return spark.sql(text, **tables)
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    kinds = [spark._jvm.java.lang.Class.forName(logical + k) for k in ("Command", "ParsedStatement", "InsertIntoDir")]
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except ParseException as e:
+        raise NotAQuery(f"not one query: {e}") from e
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            raise NotAQuery(f"only queries are accepted, not {node.nodeName()}")
+        for held in (node.children(), node.innerChildren()):
+            todo += [held.apply(i) for i in range(held.size())]
+
+
+@contextmanager
+def named_views(spark: SparkSession, tables: Mapping[str, DataFrame]):
+    """Temp views by the given names while a text is analysed; views that had these names come back after it."""
+    temporary = {r["viewName"].lower() for r in spark.sql("SHOW VIEWS").collect() if r["isTemporary"]}
+    before = {name: spark.table(name) for name in tables if name.lower() in temporary}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
+
+
+def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None,
+            args: Mapping[str, object] | None = None) -> DataFrame:
+    """Q1: run a read-only query over named DataFrames.  The text is left as it
+    is: tables are temp views while it is analysed; named parameter markers
+    (``:x``) bind ``args`` safely."""
+    check_query(spark, sql)
+    with named_views(spark, tables or {}):
+        return spark.sql(sql, args=dict(args)) if args else spark.sql(sql)
 
 
 def explain_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] | None = None,
@@ -44,13 +74,9 @@ def explain_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame] |
     """Q2: the plan as rows (one row per line).  Spark plans without running,
     unlike EXPLAIN ANALYZE."""
     from pyspark.sql import functions as F
-    if not is_select(sql):
-        raise NotAQuery("only SELECT / WITH / VALUES queries are accepted")
-    tables = dict(tables or {})
-    text = sql
-    for name in tables:
-        text = re.sub(rf"(?<![\w{{`.]){re.escape(name)}(?![\w}}`])", "{" + name + "}", text)
-    plan = spark.sql(f"EXPLAIN {mode.upper()} {text}", **tables)
+    check_query(spark, sql)
+    with named_views(spark, tables or {}):
+        plan = spark.sql(f"EXPLAIN {mode.upper()} {sql}")
     return plan.select(F.posexplode(F.split("plan", "\n")).alias("line_no", "plan"))
 
 

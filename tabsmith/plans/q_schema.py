@@ -34,7 +34,7 @@ def q_datetime_format_vote(spark, sf):
 
 
 @register("infer_logical_types", """
-WITH s AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000)
+WITH s AS (SELECT * FROM orders)
 SELECT * FROM (VALUES ('o_orderkey', 'number', 'bigint'), ('o_custkey', 'number', 'bigint'),
   ('o_totalprice', 'number', 'double'), ('o_orderdate', 'datetime', 'timestamp_ntz')) AS t(column_name, logical_type, spark_type),
   (SELECT NULL::VARCHAR AS date_format)
@@ -43,7 +43,7 @@ UNION ALL SELECT 'o_orderstatus', CASE WHEN count(*) > 100 AND CAST(count(DISTIN
 UNION ALL SELECT 'o_orderpriority', CASE WHEN count(*) > 100 AND CAST(count(DISTINCT o_orderpriority) AS DOUBLE) / count(*) < 0.5
   THEN 'category' ELSE 'string' END, 'string', NULL FROM s""")
 def q_infer_logical_types(spark, sf):
-    return S.infer_logical_types(load(spark, sf, "orders"), 1000, ["o_orderkey"])
+    return S.infer_logical_types(load(spark, sf, "orders"))
 
 
 @register("coerce_dates_by_rule", TXT + """
@@ -114,22 +114,17 @@ r AS (SELECT * FROM (VALUES ('bar', 'x', 'string'), ('bar', 'x', 'datetime'), ('
   ('scatter', 'x', 'datetime'), ('scatter', 'y', 'number'), ('histogram', 'x', 'number')) AS t(chart_type, axis, logical_type))
 SELECT chart_type, axis, column_name, logical_type FROM r JOIN lt USING (logical_type)""")
 def q_chart_columns(spark, sf):
-    return S.chart_columns(S.infer_logical_types(load(spark, sf, "orders"), 1000, ["o_orderkey"]))
+    return S.chart_columns(S.infer_logical_types(load(spark, sf, "orders")))
 
 
 @register("simplified_types", """
-WITH s1 AS (SELECT v FROM (SELECT DISTINCT NULL AS d, l_returnflag AS v FROM lineitem) WHERE v IS NOT NULL),
-smp AS (SELECT 'l_returnflag' AS column_name, v FROM lineitem_sample_rf
-        UNION ALL SELECT 'l_linestatus', v FROM lineitem_sample_ls),
+WITH smp AS (SELECT 'l_returnflag' AS column_name, l_returnflag AS v FROM lineitem WHERE l_returnflag IS NOT NULL
+        UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem WHERE l_linestatus IS NOT NULL),
 chk AS (SELECT column_name, count(*) AS n, count(TRY_CAST(v AS TIMESTAMP)) AS ok FROM smp GROUP BY 1)
 SELECT * FROM (VALUES ('l_orderkey', 'integer'), ('l_partkey', 'integer'), ('l_suppkey', 'integer'),
   ('l_linenumber', 'integer'), ('l_quantity', 'float'), ('l_extendedprice', 'float'), ('l_discount', 'float'),
   ('l_tax', 'float'), ('l_shipdate', 'datetime')) AS t(column_name, simplified_type)
-UNION ALL SELECT column_name, CASE WHEN n > 0 AND ok = n THEN 'datetime' ELSE 'categorical' END FROM chk"""
-    .replace("lineitem_sample_rf", "(SELECT l_returnflag AS v FROM lineitem WHERE l_returnflag IS NOT NULL ORDER BY "
-             "CAST(('0x' || substr(md5(concat_ws('|', l_returnflag, '42')), 1, 8)) AS BIGINT), v LIMIT 5)")
-    .replace("lineitem_sample_ls", "(SELECT l_linestatus AS v FROM lineitem WHERE l_linestatus IS NOT NULL ORDER BY "
-             "CAST(('0x' || substr(md5(concat_ws('|', l_linestatus, '42')), 1, 8)) AS BIGINT), v LIMIT 5)"))
+UNION ALL SELECT column_name, CASE WHEN n > 0 AND ok = n THEN 'datetime' ELSE 'categorical' END FROM chk""")
 def q_simplified_types(spark, sf):
     return S.simplified_types(load(spark, sf, "lineitem"))
 

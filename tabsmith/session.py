@@ -42,7 +42,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     active = SparkSession.getActiveSession()
-    if active is None or not active.sparkContext.getConf().get("spark.checkpoint.dir", None):
+    if master and master.startswith("local") and (
+            active is None or not active.sparkContext.getConf().get("spark.checkpoint.dir", None)):
         conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabsmith-ckpt-"))
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabsmith-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

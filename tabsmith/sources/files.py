@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions.core import nan_to_null
+from tabsmith.functions.core import c, nan_to_null
 
 # Tokens pandas reads as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -17,27 +17,43 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             multiline: bool = False, max_partition_bytes: int | None = None,
-             **options) -> DataFrame:
+             multiline: bool = False, na_tokens: Iterable[str] = PANDAS_NA_TOKENS, **options) -> DataFrame:
     """CSV scan with a header.
 
-    Splittable (``multiLine`` off) files are cut into ``maxPartitionBytes``
-    splits and read in parallel.  Prefer an explicit ``schema`` at scale:
-    ``inferSchema`` costs one extra pass over the files.  Float NaN becomes NULL.
+    Splittable (``multiLine`` off) files are cut into splits of
+    ``spark.sql.files.maxPartitionBytes`` and read in parallel.  Prefer an explicit ``schema`` at scale:
+    inferring types costs one extra pass over the files.  Missing-value tokens
+    and float NaN become NULL, before types are inferred.  ``multiline`` reads
+    quoted line breaks; such files aren't cut into splits.
     """
-    if max_partition_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max_partition_bytes))
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
     reader = reader.option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
     for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.csv(path)
     df = df.toDF(*[x.strip() for x in df.columns])  # T7: trim header names
-    return nan_to_null(df)
+    tokens = list(na_tokens)
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    df = df.withColumns({x: F.when(~c(x).isin(tokens), c(x)) for x in texts})
+    return nan_to_null(df if schema is not None else infer_text_types(df))
+
+
+def infer_text_types(df: DataFrame) -> DataFrame:
+    """Text columns whose every value parses as one type get it (whole numbers,
+    numbers, true/false, dates, timestamps, in this order); one aggregate."""
+    kinds = ("int", "bigint", "double", "boolean", "date", "timestamp")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    fits = {"date": lambda v: v.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$") & v.try_cast("date").isNotNull(),
+            "timestamp": lambda v: v.rlike(r"^\s*\d{4}-\d{2}-\d{2}[ T]") & v.try_cast("timestamp").isNotNull()}
+    r = df.agg(*[F.bool_and(fits.get(k, lambda v, k=k: v.try_cast(k).isNotNull())(c(x)) | c(x).isNull()).alias(f"{k}{i}")
+                 for i, x in enumerate(texts) for k in kinds],
+               *[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(texts)]).first()
+    chosen = {x: next((k for k in kinds if r[f"{k}{i}"]), None) for i, x in enumerate(texts) if r[f"n{i}"]}
+    return df.withColumns({x: c(x).try_cast(k) for x, k in chosen.items() if k})
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
