@@ -65,23 +65,24 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     step = cut_lineage(m.join(have, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("length"),
         F.col("score").alias("total")))
-    steps, rounds = [step], math.ceil(math.log2((step.groupBy("tree").count().agg(F.max("count")).first()[0] or 0) + 2))
-    for _ in range(rounds):
-        if not steps[-1].filter("up is not null").take(1):
-            break
-        below = steps[-1]
-        above = below.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
-                             F.col("length").alias("length2"), F.col("total").alias("total2"))
-        steps.append(cut_lineage(below.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
-    whole = steps[-1].filter("up is null")
-    leaves = whole.join(steps[0].select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    rounds = math.ceil(math.log2((step.groupBy("tree").count().agg(F.max("count")).first()[0] or 0) + 2))
+    # only messages whose way to the root isn't known yet are joined again
+    known, open_, steps = step.filter("up is null"), step.filter("up is not null"), []
+    while len(steps) < rounds and open_.take(1):
+        steps.append(open_)
+        above = known.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
+                                                F.col("length").alias("length2"), F.col("total").alias("total2"))
+        further = cut_lineage(open_.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("length") + F.col("length2")).alias("length"),
+            (F.col("total") + F.col("total2")).alias("total")))
+        known, open_ = known.unionByName(further.filter("up is null")), further.filter("up is not null")
+    whole = known
+    leaves = whole.join(step.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy((F.col("total") / F.col("length")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
     found = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node")
     for table in reversed(steps):
-        up = table.filter("up is not null").select("tree", "node", "up")
+        up = table.select("tree", "node", "up")
         found = cut_lineage(found.unionByName(found.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))))
     return found.join(whole.select("tree", "node", F.col("length").alias("depth")), ["tree", "node"])
 
