@@ -45,6 +45,7 @@ SAMPLE_ROWS = 16_384     # fingerprints the tree tops are fitted on
 SHARD_ROWS = 8_192       # fingerprints aimed at in a shard
 BLOCK_ROWS = 192         # below this a shard's tree compares all with all
 HASH_ROWS = 1 << 15      # shingle hashes counted at a time
+HOT_SHARE = 1_000        # a fingerprint held by more than one in so many rows is hot, so there are at most that many
 FULL = (1 << 64) - 1
 
 
@@ -231,6 +232,18 @@ def near_links(fps: DataFrame, max_bits: int = 4, sample_rows: int = SAMPLE_ROWS
             .groupBy("shard").applyInArrow(linked, "a long, b long"))
 
 
+def with_class(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """``own`` with the column ``first`` of its fingerprint's class.
+
+    Rows of a hot fingerprint take it from a broadcast of the hot classes (at
+    most ``HOT_SHARE`` rows, as each holds more than that share of all rows),
+    so no key of the shuffled join holds more than one row in ``HOT_SHARE``."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    hot, rest = F.col("n") * HOT_SHARE > total, classes.select("fp", "first")
+    hot = F.broadcast(classes.filter(hot).select("fp", "first"))
+    return own.join(hot, "fp").unionByName(own.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id",
                 text_col: str = "text", row_key: bool = False) -> DataFrame:
     """``id, fp, component_id`` per document: the smallest id that links reach from it.
@@ -241,13 +254,13 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: st
     own = cut_lineage(with_fingerprint(docs, shingle, text_col).select(
         i.alias("id"), F.xxhash64(F.col(q(text_col))).alias("row_hash"), "fp"))
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")
-    fps = cut_lineage(own.groupBy("fp").agg(F.min(least).alias("first")))
+    fps = cut_lineage(own.groupBy("fp").agg(F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = cut_lineage(connected_components(near_links(fps, max_bits)))
     linked = roots.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "first")
     tops = linked.groupBy("root").agg(F.min("first").alias("top"))
     tops = linked.select("fp", "root").join(tops, "root").select("fp", "top")
-    classes = fps.join(tops, "fp", "left").select("fp", F.coalesce("top", "first").alias("first"))
-    out = own.join(classes, "fp", "left")  # a hot fingerprint is split by AQE's skew join
+    classes = cut_lineage(fps.join(tops, "fp", "left").select("fp", "n", F.coalesce("top", "first").alias("first")))
+    out = with_class(own, classes)
     keep = [F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id")]
     return out.select(*keep, *(["row_hash", "first"] if row_key else []))
 
