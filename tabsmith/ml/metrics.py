@@ -100,17 +100,23 @@ def auc(df: DataFrame, label: str, score: str, positive=1, buckets: int = 256, b
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None,
-                           positive=1, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, AUC (binary, when a score is given), Recall, Precision, F1
-    (positive class), Cohen's Kappa and MCC from the confusion counts -
-    optionally for many (e.g. model, fold) groups in the same jobs."""
+                           positive=1, by: Sequence[str] = (), average: str = "binary") -> DataFrame:
+    """Accuracy, AUC (binary, when a score is given), Recall, Precision, F1,
+    Cohen's Kappa and MCC from the confusion counts - optionally for many
+    (e.g. model, fold) groups in the same jobs.
+
+    ``average="binary"``: Recall, Precision and F1 of the positive class;
+    ``"weighted"``: their means over all classes, weighted by the classes' rows."""
+    if average not in ("binary", "weighted"):
+        raise ValueError(f"average must be binary or weighted, not {average!r}")
     by = list(by)
     cm = confusion_matrix(df, label, pred, by)
     n = F.sum("count")
     diag = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0))
-    rows = cm.groupBy(*[c(x) for x in by], "actual").agg(F.sum("count").alias("r"))
+    rows = cm.groupBy(*[c(x) for x in by], "actual").agg(
+        F.sum("count").alias("r"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count"))).alias("tp"))
     cols = cm.groupBy(*[c(x) for x in by], F.col("predicted").alias("actual")).agg(F.sum("count").alias("cc"))
-    rc = rows.join(cols, by + ["actual"], "full_outer").fillna(0, ["r", "cc"])
+    rc = rows.join(cols, by + ["actual"], "full_outer").fillna(0, ["r", "cc", "tp"])
     cmg = cm.groupBy(*[c(x) for x in by]) if by else cm.groupBy()
     tot = cmg.agg(n.cast("double").alias("N"), diag.cast("double").alias("D"),
                  F.sum(F.when((F.col("actual") == positive) & (F.col("predicted") == positive), F.col("count")).otherwise(0))
@@ -120,16 +126,23 @@ def classification_metrics(df: DataFrame, label: str, pred: str, score: str | No
                  F.sum(F.when((F.col("actual") == positive) & (F.col("predicted") != positive), F.col("count")).otherwise(0))
                  .cast("double").alias("FN"))
     rcg = rc.groupBy(*[c(x) for x in by]) if by else rc.groupBy()
-    marg = rcg.agg(F.sum(F.col("r").cast("double") * F.col("cc")).alias("RC"),
+    hits = F.col("r") * F.col("tp").cast("double")
+    marg = rcg.agg((F.sum("tp") / F.sum("r")).alias("WR"),
+                   (F.sum(F.coalesce(safe_div(hits, F.col("cc")), F.lit(0.0))) / F.sum("r")).alias("WP"),
+                   (F.sum(2 * hits / (F.col("r") + F.col("cc"))) / F.sum("r")).alias("WF"),
+                   F.sum(F.col("r").cast("double") * F.col("cc")).alias("RC"),
                    F.sum(F.col("r").cast("double") * F.col("r")).alias("RR"),
                    F.sum(F.col("cc").cast("double") * F.col("cc")).alias("CC"))
     m = tot.join(marg, by) if by else tot.crossJoin(marg)  # one row per group
     prec = safe_div(F.col("TP"), F.col("TP") + F.col("FP"))
     rec = safe_div(F.col("TP"), F.col("TP") + F.col("FN"))
+    f1 = safe_div(2 * prec * rec, prec + rec)
+    if average == "weighted":
+        prec, rec, f1 = F.col("WP"), F.col("WR"), F.col("WF")
     out = m.select(*[c(x) for x in by],
         (F.col("D") / F.col("N")).alias("Accuracy"),
         F.coalesce(rec, F.lit(0.0)).alias("Recall"), F.coalesce(prec, F.lit(0.0)).alias("Precision"),
-        F.coalesce(safe_div(2 * prec * rec, prec + rec), F.lit(0.0)).alias("F1"),
+        F.coalesce(f1, F.lit(0.0)).alias("F1"),
         F.coalesce(safe_div(F.col("N") * F.col("D") - F.col("RC"), F.col("N") * F.col("N") - F.col("RC")),
                    F.lit(0.0)).alias("Kappa"),
         F.coalesce(safe_div(F.col("N") * F.col("D") - F.col("RC"),

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,11 @@ def build_preprocess(df: DataFrame, target: str, task: str, features: Sequence[s
                      scale: bool | None = None) -> Prepared:
     """M4: mean imputation of numeric features, mode-like handling of text
     features (index with an 'unknown' bucket, one-hot), assembler, and
-    z-scaling for regression - one Spark ML pipeline."""
+    z-scaling for regression - one Spark ML pipeline.
+
+    Spark's scaler divides by the sample deviation; against the population
+    deviation that is one constant factor, which the models here don't see
+    (linear ones standardise by themselves, trees only order values)."""
     feats = [x for x in (features or df.columns) if x != target]
     num = [x for x in feats if is_numeric(df.schema[x].dataType)]
     cat = [x for x in feats if isinstance(df.schema[x].dataType, (T.StringType, T.BooleanType))]
@@ -195,7 +199,11 @@ def fold_metrics(preds: DataFrame, task: str) -> DataFrame:
         return regression_metrics(preds, "label", "prediction", by=["model", "fold"])
     # all (model, fold) pairs in the same grouped jobs; models without class
     # probabilities get AUC 0 (as the reference reports for such models)
-    met = classification_metrics(preds, "label", "prediction", "__score", positive=1.0, by=["model", "fold"])
+    # more than two classes: averages over the classes, weighted by their rows
+    many = preds.select("label").distinct().count() > 2
+    met = classification_metrics(preds.withColumn("__score", F.lit(None).cast("double")) if many else preds, "label",
+                                 "prediction", "__score", positive=1.0, by=["model", "fold"],
+                                 average="weighted" if many else "binary")
     return met.withColumn("AUC", F.coalesce(F.col("AUC"), F.lit(0.0))) \
               .select("model", "fold", *[F.col(x) for x in CLASSIFICATION_METRICS])
 
@@ -246,50 +254,58 @@ def fold_table(per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return rows.unionByName(mean).unionByName(std)
 
 
+def _evaluator(task: str, metric: str | None):
+    """Spark ML evaluator for a metric by its leaderboard name or its Spark name."""
+    from pyspark.ml.evaluation import (
+        BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator,
+    )
+    if task == "regression":
+        return RegressionEvaluator(metricName=(metric or "rmse").lower(), labelCol="label", predictionCol="prediction")
+    name = {"AUC": "areaUnderROC", "Accuracy": "accuracy", "F1": "f1", "Recall": "weightedRecall",
+            "Precision": "weightedPrecision"}.get(metric or "AUC", metric)
+    if name in ("areaUnderROC", "areaUnderPR"):
+        return BinaryClassificationEvaluator(metricName=name, labelCol="label", rawPredictionCol="rawPrediction")
+    return MulticlassClassificationEvaluator(metricName=name, labelCol="label", predictionCol="prediction")
+
+
 def tune(df: DataFrame, target: str, task: str, model_id: str, grid: dict[str, list], k: int = 3,
          metric: str | None = None, key_cols: Sequence[str] | None = None, seed: int = 42,
-         n_iter: int | None = None, parallelism: int = 4) -> tuple[DataFrame, dict]:
+         n_iter: int | None = None, parallelism: int = 4,
+         features: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """M8: grid (or seeded random subset of the grid) search with k folds
-    given as a column (``CrossValidator(foldCol=...)``).  Returns one row per
-    candidate (params as JSON, mean and std of the metric) and the best params."""
+    given as a column (``CrossValidator(foldCol=...)``); imputation, encoding
+    and scaling are fitted inside each fold.  ``metric``: RMSE, MAE, MSE, R2 /
+    AUC, Accuracy, F1, Recall, Precision (or Spark's names).  Returns one row
+    per candidate (params as JSON, mean and std of the metric) and the best params."""
     import itertools
     import random
 
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator
     from tabsmith.ml.prep import kfold
     keys = list(key_cols or df.columns)
     data = kfold(df, keys, k, seed) if "fold" not in df.columns else df
-    prep = build_preprocess(df, target, task)
+    prep = build_preprocess(df, target, task, features or [x for x in df.columns if x != "fold"])
     base = model_input(data, prep, target)
-    pm = prep.pipeline.fit(base)
-    feat = pm.transform(base)
-    est = make_estimator(model_id, task)
+    stages = prep.pipeline.getStages()
+    if isinstance(stages[0], StringIndexer) and stages[0].getOutputCol() == "label":
+        # class numbers are the same in all folds
+        base, stages = stages[0].fit(base).transform(base), stages[1:]
+    est = make_estimator(model_id, task, n_classes=df.select(target).distinct().count() if task == "classification" else 2)
     names = sorted(grid)
     combos = list(itertools.product(*[grid[n] for n in names]))
     if n_iter is not None and n_iter < len(combos):
         combos = random.Random(seed).sample(combos, n_iter)
-    builder = ParamGridBuilder()
-    maps = []
-    for combo in combos:
-        maps.append({est.getParam(n): v for n, v in zip(names, combo)})
-    del builder
-    if task == "regression":
-        metric = metric or "rmse"
-        ev = RegressionEvaluator(metricName=metric.lower(), labelCol="label", predictionCol="prediction")
-    else:
-        metric = metric or "areaUnderROC"
-        ev = BinaryClassificationEvaluator(metricName=metric, labelCol="label", rawPredictionCol="rawPrediction")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
+    maps = [{est.getParam(n): v for n, v in zip(names, combo)} for combo in combos]
+    ev = _evaluator(task, metric)
+    cv = CrossValidator(estimator=Pipeline(stages=[*stages, est]), estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=k,
                         parallelism=parallelism, seed=seed)
-    cvm = cv.fit(feat.withColumn("fold", F.col("fold").cast("int")))
+    cvm = cv.fit(base.withColumn("fold", F.col("fold").cast("int")))
     rows = []
     for combo, avg, std in zip(combos, cvm.avgMetrics, cvm.stdMetrics):
         rows.append((json.dumps(dict(zip(names, combo)), sort_keys=True), float(avg), float(std)))
     out = df.sparkSession.createDataFrame(rows, "params string, mean_metric double, std_metric double")
-    better_high = ev.isLargerBetter()
-    best = max(rows, key=lambda r: r[1]) if better_high else min(rows, key=lambda r: r[1])
-    return out.withColumn("metric", F.lit(metric)), json.loads(best[0])
+    best = max(rows, key=lambda r: r[1]) if ev.isLargerBetter() else min(rows, key=lambda r: r[1])
+    return out.withColumn("metric", F.lit(metric or ev.getMetricName())), json.loads(best[0])
 
 
 def fit_final(df: DataFrame, target: str, task: str, model_id: str, params: dict | None = None,
@@ -311,7 +327,9 @@ def holdout_metrics(df: DataFrame, target: str, task: str, model_id: str, key_co
     pred = _score_col(model.transform(model_input(s.where(F.col("split") == "test").drop("split"), prep, target)))
     if task == "regression":
         return regression_metrics(pred, "label", "prediction")
-    return classification_metrics(pred, "label", "prediction", "__score", positive=1.0)
+    many = df.select(target).distinct().count() > 2
+    return classification_metrics(pred, "label", "prediction", None if many else "__score", positive=1.0,
+                                  average="weighted" if many else "binary")
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
@@ -376,38 +394,49 @@ def explain_linear(df: DataFrame, coef: dict[str, float], intercept: float, mean
     return out
 
 
+def _explained(scored: DataFrame, cls: str) -> Column:
+    """What an explanation adds up to: the probability of class ``cls`` where
+    the model gives probabilities, else the predicted value."""
+    if "probability" not in scored.columns:
+        return F.col("prediction").cast("double")
+    return F.element_at(vector_to_array("probability"), F.col(cls).cast("int") + 1)
+
+
 def explain_sampled(model: PipelineModel, prep: Prepared, df: DataFrame, key_cols: Sequence[str],
                     n_perm: int = 8, seed: int = 42) -> DataFrame:
     """M17 (any model): sampled Shapley values for numeric features.
 
-    Each row gets ``n_perm`` seeded feature orders; walking an order, the
-    features switch from the background mean to the row's value one by one.
-    All walk steps are rows of one DataFrame (explode), scored in one
-    ``model.transform``, and the marginal changes averaged per (row, feature).
-    Contributions of a row sum to prediction - base."""
+    Explained is the predicted value, or for classifiers the probability of the
+    row's predicted class (``predicted_class``).  Each row gets ``n_perm``
+    seeded feature orders; walking an order, the features switch from the
+    background mean to the row's value one by one.  All walk steps are rows of
+    one DataFrame (explode), scored in one ``model.transform``; a feature's
+    contribution is the sum of the values just after its switch less those just
+    before it, so one aggregate per row gives all of them, and they sum to
+    ``prediction - base_value``.  ``key_cols`` identify a row."""
     feats = list(prep.numeric)
     p = len(feats)
     means = df.agg(*[F.avg(c(x).cast("double")).alias(x) for x in feats]).first().asDict()
-    base = df.withColumn("__rid", F.concat_ws("|", *[c(x).cast("string") for x in key_cols]))
-    steps = base.withColumn("__perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))) \
-                .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    # order of features for this (row, perm): sort features by md5(row, perm, feature)
+    keyed = df.withColumn("__rid", F.to_json(F.struct(*[c(x) for x in key_cols]), {"ignoreNullFields": "false"}))
+    base = model.transform(model_input(keyed, prep, None)).select(
+        *[c(x) for x in df.columns], "__rid", F.col("prediction").alias("__cls"))
     order = F.array_sort(F.array(*[F.struct(
         hash_bucket([F.col("__rid"), F.col("__perm").cast("string"), F.lit(x)], seed).alias("h"),
         F.lit(i).alias("i")) for i, x in enumerate(feats)]))
-    steps = steps.withColumn("__order", F.transform(order, lambda s: s["i"]))
-    # feature i uses the row value when its rank in the order is < step
-    for i, x in enumerate(feats):
-        rank = F.array_position(F.col("__order"), F.lit(i)) - 1
-        steps = steps.withColumn(x, F.when(rank < F.col("__step"), c(x).cast("double")).otherwise(F.lit(means[x])))
-    scored = model.transform(model_input(steps, prep, None)).select(
-        "__rid", "__perm", "__step", "__order", F.col("prediction").cast("double").alias("__y"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("__rid", "__perm").orderBy("__step")
-    marg = scored.withColumn("__d", F.col("__y") - F.lag("__y").over(w)).where(F.col("__step") > 0) \
-                 .withColumn("__feat", F.element_at("__order", F.col("__step")))
-    contrib = marg.groupBy("__rid").pivot("__feat", list(range(p))).agg(F.avg("__d"))
-    contrib = contrib.select("__rid", *[F.col(str(i)).alias(f"contrib_{x}") for i, x in enumerate(feats)])
-    base_val = scored.where(F.col("__step") == 0).groupBy("__rid").agg(F.first("__y").alias("base_value"))
-    full = scored.where(F.col("__step") == p).groupBy("__rid").agg(F.first("__y").alias("prediction"))
-    return base.join(contrib, "__rid").join(base_val, "__rid").join(full, "__rid").drop("__rid")
+    steps = (base.withColumn("__perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+             .withColumn("__order", F.transform(order, lambda s: s["i"]))
+             .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(p)))))
+    # feature i uses the row's value when its rank in the order is below the step
+    steps = steps.withColumns({x: F.when(F.array_position(F.col("__order"), F.lit(i)) <= F.col("__step"), c(x).cast("double"))
+                               .otherwise(F.lit(means[x])) for i, x in enumerate(feats)})
+    scored = model.transform(model_input(steps, prep, None))
+    scored = scored.select("__rid", "__step", "__order", _explained(scored, "__cls").alias("__y"))
+    after, before = F.get("__order", F.col("__step") - 1), F.get("__order", F.col("__step"))
+    y = F.col("__y")
+    found = scored.groupBy("__rid").agg(
+        *[((F.sum(F.when(after == i, y)) - F.sum(F.when(before == i, y))) / n_perm).alias(f"contrib_{x}")
+          for i, x in enumerate(feats)],
+        F.avg(F.when(F.col("__step") == 0, y)).alias("base_value"),
+        F.avg(F.when(F.col("__step") == p, y)).alias("prediction"))
+    out = base.join(found, "__rid").drop("__rid")
+    return out.withColumnRenamed("__cls", "predicted_class") if prep.task == "classification" else out.drop("__cls")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import (
-    FLOAT_TYPES, TEMPORAL_TYPES, c, categorical_columns, is_numeric, numeric_columns, q, safe_div,
+    FLOAT_TYPES, TEMPORAL_TYPES, c, categorical_columns, is_numeric, nan_to_null, numeric_columns, q, safe_div,
 )
 
 
@@ -66,6 +66,7 @@ def dataset_report(df: DataFrame, exact: bool = False, rsd: float = 0.02) -> Dat
     ``rsd`` 0.02 keeps 4096 registers per column; 0.01 quadruples the
     aggregation buffer (measured 4x slower partial aggregation on 11 columns).
     """
+    df = nan_to_null(df)
     fields = df.schema.fields
     n_feat = len(fields)
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -106,6 +107,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact:
     ``exact`` percentiles hold each group's distinct values in one buffer;
     use ``exact=False`` (bounded sketch, ``percentile_approx``) on big tables.
     """
+    df = nan_to_null(df)
     cols = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
     for i, name in enumerate(cols):
@@ -169,6 +171,7 @@ def value_counts_small(df: DataFrame, max_unique: int = 20, columns: Sequence[st
 
 
 def missing_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
+    df = nan_to_null(df)
     cols = df.columns
     wide = df.agg(*[F.count_if(c(x).isNull()).alias(f"m{i}") for i, x in enumerate(cols)])
     tall = _stack(wide, cols, [[f"m{i}"] for i in range(len(cols))], ["missing_count"])
@@ -177,6 +180,7 @@ def missing_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
 
 def column_info(df: DataFrame) -> DataFrame:
     """A7 'info' block: rows, dtype and non-null count per column."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     wide = df.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count(c(f.name)).alias(f"n{i}") for i, f in enumerate(fields)])
@@ -340,6 +344,7 @@ def column_distribution(df: DataFrame, column: str, top_n: int = 20) -> DataFram
 def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column null count / rate, distinct count, numeric min / max /
     mean / population std, text average length - one aggregate for all columns."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("rows")]
     per = []
@@ -368,6 +373,7 @@ def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
 def variable_cards(df: DataFrame, exact: bool = True) -> DataFrame:
     """Distinct, missing, infinite, zeros, negatives (count and %),
     mean / min / max for numeric columns, unique flag."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("rows")]
     per = []
@@ -420,6 +426,7 @@ def variable_type(dt: T.DataType) -> str:
 
 def dataset_overview(df: DataFrame) -> DataFrame:
     """Variables, observations, missing cells and %, count per variable type."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     kinds = [variable_type(f.dataType) for f in fields]
     wide = df.agg(F.count(F.lit(1)).alias("observations"),
@@ -468,6 +475,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def candidate_keys(df: DataFrame, exact: bool = True) -> DataFrame:
     """Single-column key test: distinct = rows and no nulls."""
+    df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):

@@ -99,3 +99,53 @@ def test_focus_filter_lets_real_failures_through(spark):
     t = spark.range(3)
     assert rows.focus_filter(t, "id +")[1] is False and rows.focus_filter(t, "missing > 1")[1] is False
     assert rows.focus_filter(t, "id > 1")[1] is True
+
+
+def test_nan_counts_as_missing(spark):
+    from tabsmith.operators import profile as P
+    t = spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, 3.0), (4, None)], "id int, x double")
+    report = {r.feature_name: r for r in P.dataset_report(t, exact=True).collect()}
+    assert report["x"].missing_percentage == 50.0 and report["id"].missing_percentage == 0.0
+    row = P.describe_numeric(t, ["x"], exact=True).first()
+    assert (row["count"], row["mean"], row["max"]) == (2, 2.0, 3.0)
+    assert [r.missing_count for r in P.missing_counts(t).collect()] == [2]
+
+
+def test_weighted_metrics_of_three_classes(spark):
+    from tabsmith.ml.metrics import classification_metrics
+    pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(1, 2)] + [(2, 2)] * 4 + [(2, 0)] * 3
+    t = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "label double, prediction double")
+    got = classification_metrics(t, "label", "prediction", average="weighted").first()
+    prec = rec = f1 = 0.0
+    for k in (0, 1, 2):
+        tp = sum(a == b == k for a, b in pairs)
+        n, m = sum(a == k for a, _ in pairs), sum(b == k for _, b in pairs)
+        prec, rec, f1 = prec + n * tp / m, rec + tp, f1 + n * 2 * tp / (n + m)
+    n = len(pairs)
+    assert (got.Precision, got.Recall, got.F1) == pytest.approx((prec / n, rec / n, f1 / n))
+
+
+def test_tuning_prepares_inside_the_folds_and_takes_metric_names(spark):
+    from tabsmith.ml import models as MD
+    rows = [(i, float(i % 7), "ab"[i % 2], "yes" if i % 7 + i % 2 > 4 else "no") for i in range(60)]
+    t = spark.createDataFrame(rows, "id int, x double, g string, y string")
+    out, best = MD.tune(t, "y", "classification", "lr", {"regParam": [0.0, 5.0]}, k=2, metric="Accuracy", key_cols=["id"],
+                        features=["x", "g"])
+    found = {r.params: r.mean_metric for r in out.collect()}
+    assert len(found) == 2 and all(0.0 <= v <= 1.0 for v in found.values()) and out.first().metric == "Accuracy"
+    assert best == {"regParam": 0.0}
+
+
+def test_explanations_add_up_to_the_probability_of_the_predicted_class(spark):
+    from tabsmith.ml import models as MD
+    t = spark.createDataFrame([(i, float(i % 5), float(i % 3), int(i % 5 > 2)) for i in range(40)],
+                              "id int, a double, b double, y int")
+    model, prep = MD.fit_final(t, "y", "classification", "lr", {"regParam": 0.1}, features=["a", "b"])
+    scores = {r.id: r for r in MD.predict(model, prep, t, "y").collect()}
+    rows = MD.explain_sampled(model, prep, t, ["id"], n_perm=2).collect()
+    assert len(rows) == 40
+    for r in rows:
+        assert r.predicted_class == scores[r.id].prediction_label
+        assert r.prediction == pytest.approx(scores[r.id].prediction_score)
+        assert r.contrib_a + r.contrib_b == pytest.approx(r.prediction - r.base_value, abs=1e-9)
+    assert any(0.01 < abs(r.contrib_a) < 0.99 for r in rows)
