@@ -102,6 +102,17 @@ def test_simhash_shards_equal_brute_force(spark):
     assert slow_components(keys, got) == slow_components(keys, pairs)
 
 
+def test_simhash_hot_and_rare_fingerprints_take_the_same_way_out(spark, monkeypatch):
+    rows = [(i, f"fp {'hot' if i % 2 else i % 7}") for i in range(60)] + [(None, "fp hot"), (7, "fp hot")]
+    own = spark.createDataFrame(rows, "id long, fp string")
+    classes = own.groupBy("fp").agg(simhash.F.count("*").alias("n"), simhash.F.min("id").alias("first"))
+    want = sorted(map(str, own.join(classes, "fp").select("fp", "id", "first").collect()))
+    for share in (1, 3, 1_000):  # no fingerprint, one, all are hot
+        monkeypatch.setattr(simhash, "HOT_SHARE", share)
+        got = simhash.with_class(own, classes).select("fp", "id", "first").collect()
+        assert sorted(map(str, got)) == want
+
+
 def test_simhash_keeps_one_of_each_group(docs, empty):
     groups = simhash.near_groups(docs)
     kept = simhash.drop_near_copies(docs)
