@@ -57,7 +57,7 @@ def focus_impact(df: DataFrame, condition: str, measure: str) -> DataFrame:
 def what_if(df: DataFrame, changes: Mapping[str, str], metric: str) -> DataFrame:
     """Apply hypothetical column changes (SQL expressions over the original
     columns) and report an aggregate ``metric`` (SQL aggregate expression)
-    before, after and the delta - both variants aggregated in one scan."""
+    before, after and the delta: one aggregate for each variant, so two scans."""
     base = F.expr(metric)
     changed = df.withColumns({f"__new_{k}": F.expr(v) for k, v in changes.items()})
     # rewrite the metric over the changed columns by aliasing them back
