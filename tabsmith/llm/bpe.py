@@ -5,7 +5,9 @@ A rolling hash over the code points cuts each text where its value says so
 all of them; a chunk is encoded once by a worker and found again by its text.
 For tokenizers that drop white space, the pieces between the spaces of a new
 chunk are reused in the same way: the library only sees pieces that a worker
-hasn't met.
+hasn't met.  A word and the marks after it are reused apart only where the
+tokenizer also parts them: its own normaliser and pre-tokenizer decide, since a
+word that ends in a letter can end in a combining mark once normalised.
 
 Chunks are encoded apart, so every join is checked: the words at both sides of
 it are encoded as one string, and where its ids differ from those of its parts,
@@ -105,6 +107,7 @@ class Codec:
         self.spaceless = plain and self.raw([" a1\n  b, \né. c?! "])[0] == b"".join(
             self.raw(["a1", "b", ",", "é", ".", "c", "?!"]))
         self.pieces, self.chunks, self.joins = Cache(PIECES), Cache(CHUNKS), Cache(CHUNKS)
+        self.parted = {}  # last characters of words: whether marks after them are pieces of their own
         of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.tokens = [of.get(i, "") for i in range(max(of) + 1)]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -152,12 +155,24 @@ class Codec:
             self.chunks.put(t, found)
         return ids
 
+    def ends_before_marks(self, word: str) -> bool:
+        """Whether the normalised word ends in a character that the tokenizer parts from any mark after it."""
+        last = word[-1:]
+        if not last.isalpha():
+            return False
+        if not last.isascii() and self.tokenizer.normalizer:
+            last = self.tokenizer.normalizer.normalize_str(word)[-1:]
+        if last not in self.parted:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.parted[last] = bool(last) and all(len(cut(last + m)) == 2 for m in MARKS)
+        return self.parted[last]
+
     def fill(self, gaps: dict) -> None:
         """Ids of pieces that aren't among the young; a word and the marks after it are looked up apart."""
         recall = self.pieces.get
         bare = {}
         for p in gaps:
-            if (found := recall(p)) is None and (word := p.rstrip(MARKS)) != p and word[-1:].isalpha():
+            if (found := recall(p)) is None and (word := p.rstrip(MARKS)) != p and self.ends_before_marks(word):
                 bare[p] = (word, p[len(word):])
             gaps[p] = found
         want = {p: None for p, found in gaps.items() if found is None and p not in bare}

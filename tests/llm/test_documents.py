@@ -213,6 +213,23 @@ def test_bpe_joins_are_repaired(file, monkeypatch):
         assert codec.decode(ids.tolist()) == tool.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_words_that_end_in_marks_once_normalised(file):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(file)
+    tool, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    words = ["M\u0130", "\u0130", "KAD\u0130", "k\u0131z", "\u09b9\u09df", "\u09aa\u09dc", "\u09ac\u09be\u0982\u09b2\u09be", "\u0915\u0958",
+             "\u0915\u093c", "\u0939\u0948", "\ufb2a", "\u05e9\ufb2b", "\u05e9\u05dc", "caf\u00e9", "cafe\u0301", "\u1112\u1161", "word", "\u03a3"]
+    texts = [w + m for w in words for m in [*bpe.MARKS, "?!", "...", ""]]
+    texts += [" ".join(texts), "\n".join(reversed(texts)), " ".join(w + "," for w in words for _ in range(3))]
+    for text, ids in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == tool.encode(text, add_special_tokens=False).ids, ascii(text)
+    codec = bpe.Codec(path)
+    for text in reversed(texts):  # one by one, from other caches
+        assert codec.encode([text])[0].tolist() == tool.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 # --------------------------------------------------------------------- rules
 
 def slow_rules(text):
