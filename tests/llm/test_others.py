@@ -165,6 +165,29 @@ def test_licences(spark, sf):
     assert every.filter(~licences.may_hold(F.col("line"))).count() == 0
 
 
+WRAPPED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+     "(the \"Software\"), to deal\nin the Software without restriction", [(0, "mit")]),
+    ("x = 1\n\n# Permission is hereby granted,\n# free of charge, to any\n# person obtaining a copy\n# of this software and\n# associated documentation\n# files", [(2, "mit")]),
+    ("/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as "
+     "published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */",
+     [(1, "gpl-3.0"), (3, "gpl-3.0")]),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following", [(0, "bsd")]),
+    ("REM Licensed under the Apache\nREM License, Version 2.0", [(0, "apache-2.0")]),
+    ("All rights reserved.", [(0, "all-rights-reserved")]),
+    ("Some text.\nCopyright (c) 2020 Acme Inc. All rights reserved.\nMore text.", [(1, "all-rights-reserved")]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software and associated documentation files", []),
+    ("All the rights\nwere reserved", []),
+]
+
+
+def test_wrapped_notices_and_all_rights_reserved(spark, sf):
+    scanner = licences.Scanner(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["place"], r["family"]) for r in scanner.scan(texts).collect())
+    assert got == [(k, place, family) for k, (_, want) in enumerate(WRAPPED) for place, family in want]
+
+
 # ---------------------------------------------------------------------- urls
 
 def test_urls_against_brute_force(spark):
