@@ -18,7 +18,8 @@ break.  One pass, no shuffle; only the html column goes to Python.
 
 Edge cases: a null or empty page, or one without text, gives an empty text;
 broken markup is read leniently (a ``<`` that opens no tag is text; elements
-left open end with what surrounds them; a ``p`` ends at the next block); very
+left open end with what surrounds them; quoted values of any length belong to
+their tag, and one that never closes ends at the first ``>``; a ``p`` ends at the next block); very
 long pages are read whole in one linear pass; a ``main`` element counts even
 inside elements whose names speak against them.
 """
@@ -38,9 +39,10 @@ SHARE = 0.5        # of the text-weighted mean score that a path must reach
 ARTICLE = 0.2      # share of the text that article elements must hold to be taken as the content
 SIGMA = 1.0        # of the smoothing, in paths
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>"""
-                 r"""|<(/?)([a-zA-Z][^\s/>"']*+)([^>]*)>""", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)""", re.S)
+VALUE = re.compile(r"""=\s*+(["'])|>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+NAMES = frozenset("class id role style hidden aria-hidden itemprop".split())
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -69,8 +71,10 @@ def excluded_by_name(tag: str, attributes: str) -> bool:
     """Whether class, id, role or style say that an element isn't part of the article."""
     if tag in ("html", "body", "main"):
         return False
-    for name, value in NAMES.findall(attributes):
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
+        if name not in NAMES:
+            continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -83,23 +87,70 @@ def excluded_by_name(tag: str, attributes: str) -> bool:
     return False
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first ``>`` that isn't in a quoted value, however long that is, or, where
+    a quote never closes, at the first ``>``.  Linear in the page: what follows a quote is looked up once."""
+
+    def __init__(self, page: str):
+        self.page, self.after = page, {}           # opening quote: end of the tag it is in, or -1
+        self.special = self.plain = (0, -1, None)  # last lookups: from, found at, what
+
+    def first(self, at: int):
+        """The first quoted value or ``>`` from ``at``, as its position and match."""
+        start, found, match = self.special
+        if not start <= at <= found:
+            match = VALUE.search(self.page, at)
+            found = match.start() if match else len(self.page)
+            self.special = (at, found, match)
+        return match
+
+    def end(self, at: int) -> int:
+        """The position of the ``>`` that ends a tag whose name ends at ``at``, or -1."""
+        match, seen, result = self.first(at), [], -1
+        while match is not None:
+            if not match[1]:
+                result = match.start()
+                break
+            opening = match.end() - 1
+            if opening in self.after:
+                result = self.after[opening]
+                break
+            seen.append(opening)
+            close = self.page.find(match[1], opening + 1)
+            match = VALUE.search(self.page, close + 1) if close >= 0 else None
+        self.after.update(dict.fromkeys(seen, result))
+        if result < 0:
+            start, found, _ = self.plain
+            if not start <= at <= found:
+                found = self.page.find(">", at)
+                found = len(self.page) if found < 0 else found
+                self.plain = (at, found, None)
+            result = found if found < len(self.page) else -1
+        return result
+
+
 def nodes(page: str):
     """Text nodes as (block number, path, text, never content, excluded by name, inside an article, inside a link)."""
     # open elements: (tag, path, never, by name, article, link)
     stack, block, at = [("", "", False, False, False, False)], 0, 0
-    n = len(page)
+    n, look, ends = len(page), 0, TagEnds(page)
     while at < n:
-        found = TAG.search(page, at)
+        found = TAG.search(page, look)
         if found is None:
             break
+        end = found.end()
+        if found[2]:
+            end = ends.end(end) + 1
+            if end == 0:  # opens no tag: text
+                look = found.end()
+                continue
         if found.start() > at:
             _, path, never, named, article, link = stack[-1]
             yield block, path, page[at:found.start()], never, named, article, link
-        at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
+        at = look = end
+        if not found[2]:
             continue
-        tag, closing, attributes = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
+        tag, closing, attributes = found[2].lower(), found[1], page[found.end():end - 1]
         if tag not in INLINE and tag not in ("script", "style", "noscript", "template"):
             block += 1
         elif tag == "br":
@@ -129,7 +180,7 @@ def nodes(page: str):
                         break
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = look = end.end() if end else n
             continue
         if tag in VOID or attributes.rstrip().endswith("/") and tag in ("path", "svg"):
             continue

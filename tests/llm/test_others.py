@@ -137,6 +137,16 @@ def test_html_is_linear_on_broken_pages():
         htmltext.main_text(page)
 
 
+def test_html_long_quoted_values():
+    for q in "\"'":
+        for size in (100, 9_000, 300_000):
+            page = f"<div data-state={q}{'x ' * size}<p>state, class ad hidden </p> more{q}>Real.</div><p>Next, too."
+            assert htmltext.main_text(page) == "Real.\nNext, too."
+    assert htmltext.main_text('<p title="never closed>Text, here.</p>') == "Text, here."
+    for page in ('<a b="' * 50_000, "<a b='x' " * 50_000, "<a b=\"'" * 50_000, "<a" * 100_000, "<a b='<a b=\"" * 30_000 + ">"):
+        htmltext.main_text(page)
+
+
 def test_html_without_article_prefers_the_dense_paths():
     page = ("<body><ul>" + "<li><a href=x>Link</a></li>" * 20 + "</ul><div>" +
             "<p>This is a long paragraph of prose, with commas, and with full stops. It goes on for a while.</p>" * 5 + "</div></body>")
