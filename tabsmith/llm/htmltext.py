@@ -10,8 +10,9 @@ nodes lies on such a path.
 
 Paths through elements that are never the article (menus, headers, footers,
 asides, forms, scripts, and those that a class, id or role calls an advert, a
-notice, a comment and so on) score 0.  Where ``article`` or ``main`` elements hold
-the bulk of the rest, paths outside them score 0 as well and all inside count.
+notice, a comment and so on) score 0.  ``article`` and ``main`` elements are a
+factor: paths inside them need half the share, and where they hold more than
+half of the rest's text outside links, paths outside them score 0.
 
 Inside a block white space becomes one space; blocks are joined by one line
 break.  One pass, no shuffle; only the html column goes to Python.
@@ -36,7 +37,8 @@ from pyspark.sql import types as T
 from tabsmith.functions.core import q
 
 SHARE = 0.5        # of the text-weighted mean score that a path must reach
-ARTICLE = 0.2      # share of the text that article elements must hold to be taken as the content
+INSIDE = 2.0       # factor of the scores of paths inside article elements
+MAJORITY = 0.5     # share of the text outside links that article elements must exceed to drop what is outside them
 SIGMA = 1.0        # of the smoothing, in paths
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)""", re.S)
@@ -223,19 +225,20 @@ def main_text(page) -> str:
         if not (never or named):
             blocks.setdefault(block, []).append((path, html.unescape(text), article, link))
     every = [x for parts in blocks.values() for x in parts if x[1].strip()]
-    inside = sum(len(x[1]) for x in every if x[2])
-    article = inside > 0 and inside >= ARTICLE * sum(len(x[1]) for x in every)
-    if article:
-        chosen = {x[0] for x in every if x[2]}
-    else:
-        scores = path_scores([(p, t.strip(), link) for p, t, _, link in every])
-        total = sum(len(x[1]) for x in every)
-        mean = sum(scores[x[0]] * len(x[1]) for x in every) / total if total else 0.0
-        chosen = {p for p, s in scores.items() if s >= SHARE * mean}
+    plain = [x for x in every if not x[3]]
+    majority = sum(len(x[1].strip()) for x in plain if x[2]) > MAJORITY * sum(len(x[1].strip()) for x in plain)
+    # a path can be inside an article in one place and outside in another
+    scores = path_scores([((x[0], x[2]), x[1].strip(), x[3]) for x in every if x[2] or not majority])
+    size = {k: 0 for k in scores}
+    for path, text, article, _ in every:
+        if (path, article) in size:
+            size[path, article] += len(text.strip())
+    mean = sum(scores[k] * n for k, n in size.items()) / max(1, sum(size.values()))
+    chosen = {k for k, score in scores.items() if score * (INSIDE if k[1] else 1) >= SHARE * mean}
     out = []
     for parts in blocks.values():
-        parts = [x for x in parts if x[2] or not article]
-        if any(x[0] in chosen and x[1].strip() for x in parts):
+        parts = [x for x in parts if x[2] or not majority]
+        if any((x[0], x[2]) in chosen and x[1].strip() for x in parts):
             if line := " ".join("".join(x[1] for x in parts).split()):
                 out.append(line)
     return "\n".join(out)

@@ -137,6 +137,17 @@ def test_html_is_linear_on_broken_pages():
         htmltext.main_text(page)
 
 
+def test_html_articles_are_a_factor_of_the_path_scores():
+    prose = "<p>This is a long paragraph of the story, with commas, and with full stops. It goes on for a while.</p>"
+    cards = "<article><p>A teaser, short. Read it now, or later.</p></article>" * 6
+    text = htmltext.main_text(f"<body><div class=story>{prose * 7}</div>{cards}</body>")
+    assert text.count("long paragraph") == 7
+    links = "<ul>" + "<li><a href=x>Another link of a list</a></li>" * 20 + "</ul>"
+    text = htmltext.main_text(f"<body><div><p>Outside, small.</p></div><article><h1>Heading</h1>{prose * 5}{links}</article></body>")
+    assert text.startswith("Heading\n") and text.count("long paragraph") == 5 and "Another link" not in text and "Outside" not in text
+    assert htmltext.main_text(f"<body>{links}<article>{prose}</article></body>").count("\n") == 0
+
+
 def test_html_long_quoted_values():
     for q in "\"'":
         for size in (100, 9_000, 300_000):
