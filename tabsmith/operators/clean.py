@@ -41,7 +41,8 @@ class CleaningConfig:
     order_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
     remainder: str = "passthrough"   # or "drop" (reference behaviour)
-    max_dense_categories: int = 1000
+    one_hot_encoding: str = "dense"           # or "sparse": one vector per column
+    max_dense_categories: int | None = None   # a limit of the caller's, above which columns are sparse
 
 
 @dataclass
@@ -216,16 +217,25 @@ def reduce_cardinality(df: DataFrame, tops: dict[str, list], other: str = "Other
     return df.withColumns(exprs)
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], max_dense: int = 1000) -> dict[str, list[str] | None]:
-    """Sorted categories per column when there are at most ``max_dense`` of
-    them (dense columns); ``None`` marks a wide column that is encoded as a
-    sparse vector by Spark ML instead (no category list on the driver)."""
+def fit_one_hot(df: DataFrame, cols: Sequence[str], max_dense: int | None = None,
+                encoding: str = "dense") -> dict[str, list[str] | None]:
+    """Sorted categories per column (``encoding="dense"``: 0/1 columns, however
+    many categories there are; their names reach the driver), or ``None`` per
+    column (``"sparse"``: one vector by Spark ML, no category list on the
+    driver).  Only a caller who gives ``max_dense`` gets dense columns up to
+    that many categories and sparse vectors beyond."""
+    if encoding not in ("dense", "sparse"):
+        raise ValueError(f"encoding must be 'dense' or 'sparse', not {encoding!r}")
+    if encoding == "sparse":
+        return dict.fromkeys(cols)
     if not cols:
         return {}
     from tabsmith.operators.profile import value_counts
     vc = value_counts(df, cols, dropna=True)
-    n = {r[0]: r[1] for r in vc.groupBy("column_name").count().collect()}
-    narrow = [x for x in cols if n.get(x, 0) <= max_dense]
+    narrow = list(cols)
+    if max_dense is not None:
+        n = {r[0]: r[1] for r in vc.groupBy("column_name").count().collect()}
+        narrow = [x for x in cols if n.get(x, 0) <= max_dense]
     out: dict[str, list[str] | None] = {x: None for x in cols if x not in narrow}
     if narrow:
         rows = (vc.where(F.col("column_name").isin(narrow)).groupBy("column_name")
@@ -259,7 +269,7 @@ def _one_hot_wide(df: DataFrame, x: str) -> DataFrame:
 
 def one_hot(df: DataFrame, categories: dict[str, list[str] | None], drop_original: bool = True) -> DataFrame:
     """Dense 0/1 double columns ``{col}_{value}`` in sorted category order;
-    unknown or null -> all zeros.  Wide columns -> one sparse vector column."""
+    unknown or null -> all zeros.  Columns without a category list -> one sparse vector column."""
     out = df
     for x, cats in categories.items():
         if cats is None:
@@ -357,7 +367,7 @@ def clean(df: DataFrame, cfg: CleaningConfig, target: str | None = None) -> Clea
         out = reduce_cardinality(out, fitted["reduce"])
     encoded: list[str] = []
     if cfg.encode_categorical_values and cat:
-        fitted["one_hot"] = fit_one_hot(out, cat, cfg.max_dense_categories)
+        fitted["one_hot"] = fit_one_hot(out, cat, cfg.max_dense_categories, cfg.one_hot_encoding)
         before = set(out.columns)
         out = one_hot(out, fitted["one_hot"])
         encoded = [x for x in out.columns if x not in before]

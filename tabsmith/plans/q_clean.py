@@ -142,6 +142,18 @@ def q_clean_one_hot(spark, sf):
     return C.one_hot(df, C.fit_one_hot(df, ["o_orderstatus"]))
 
 
+@register("clean_one_hot_wide", """
+WITH v AS (SELECT o_custkey, row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS i, count(*) OVER () AS n
+           FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL))
+SELECT o_orderkey, coalesce(v.n, (SELECT max(n) FROM v))::INTEGER AS size, v.i::INTEGER AS category, CASE WHEN v.i IS NOT NULL THEN 1.0::DOUBLE END AS value
+FROM orders LEFT JOIN v ON orders.o_custkey = v.o_custkey""")
+def q_clean_one_hot_wide(spark, sf):
+    df = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    out = C.one_hot(df, C.fit_one_hot(df, ["o_custkey"], encoding="sparse")).withColumn("v", F.unwrap_udt("o_custkey_vec"))
+    return out.select("o_orderkey", F.col("v.size").alias("size"), F.get("v.indices", F.lit(0)).alias("category"),
+                      F.get("v.values", F.lit(0)).alias("value"))
+
+
 @register("balance_check", """
 WITH g AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 s AS (SELECT count(*) AS n_classes, min(n) AS minority_count, max(n) AS majority_count FROM g)

@@ -331,3 +331,12 @@ def test_wide_one_hot_matches_dense(spark):
     wide = C.one_hot(df, C.fit_one_hot(df, ["s"], max_dense=1)).select("id", vector_to_array("s_vec").alias("v")) \
             .orderBy("id").collect()
     assert [[r.s_a, r.s_b, r.s_c] for r in dense] == [list(r.v) for r in wide]
+
+
+def test_one_hot_form_is_the_callers_choice(spark):
+    df = spark.range(1001).select(F.col("id").cast("string").alias("s"))
+    assert [len(v) for v in C.fit_one_hot(df, ["s"]).values()] == [1001]
+    few = df.limit(2)
+    assert C.one_hot(few, C.fit_one_hot(few, ["s"], encoding="sparse")).columns == ["s_vec"]
+    with pytest.raises(ValueError):
+        C.fit_one_hot(few, ["s"], encoding="auto")
