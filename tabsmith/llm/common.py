@@ -28,6 +28,14 @@ def pick(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(q(c)) for c in cols])
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name made from ``name`` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(batch, column: str, max_bytes: int):
     """Cut an Arrow batch into slices with about ``max_bytes`` of text each
     (a slice has one row at least), to bound a worker's memory."""

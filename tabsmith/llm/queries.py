@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, htmltext, licences, mixing, quality, repetition, simhash, topk, urls
-from tabsmith.llm.common import pick
+from tabsmith.llm import bpe, chat, htmltext, licences, merkle, mixing, quality, repetition, runs, simhash, topk, urls
+from tabsmith.llm.common import n_words, pick
+from tabsmith.session import cut_lineage
 from tabsmith.sources.tables import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -169,3 +172,90 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(docs, model)
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document; every tenth gets a tail that repeats."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    h, n = F.crc32(F.col("doc_id").cast("string")), n_words(F.col("text"))
+    docs = docs.withColumn("h", h).withColumn("n", F.when(F.col("h") % 10 == 0, n))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    text = F.when(F.col("a").isNotNull(), runs.repeat_tail(F.col("text"), F.col("a").cast("int"), period.cast("int")))
+    docs = docs.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
+    out = runs.periodic_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    best = out.withColumn("best", runs.longest_run(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("best")["length"] * 1000 / F.col("best")["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and what the proof says of a copy with text lower-cased."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate(F.col("text"), string.ascii_uppercase, string.ascii_lowercase)
+    docs = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("digest"),
+                       F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*fields, lowered)).alias("tampered"))
+    return merkle.prove(cut_lineage(docs), "digest", "source", "doc_id", check_col="tampered").select("doc_id", *merkle.RESULTS)
+
+
+# CRC-32 bit by bit, and the tree level by level: 16 nodes a run, up to 16^8 rows a source.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), "
+        "lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)")
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs ``name``1..: the levels above ``name``0 (tree, pos, d); a tree that has one node keeps it."""
+    out = []
+    for k in range(levels):
+        a, b = f"{name}{k}", f"{name}{k + 1}"
+        out.append(f"{a}n AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {a}), "
+                   f"{b} AS (SELECT tree, CASE WHEN n > 1 THEN pos // 16 ELSE pos END AS pos, "
+                   f"CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d, any_value(n) AS n, "
+                   f"list(d ORDER BY pos) AS ds FROM {a}n GROUP BY tree, CASE WHEN n > 1 THEN pos // 16 ELSE pos END)")
+        out[-1] = out[-1].replace(f"FROM {a}), {b}", f"FROM (SELECT tree, pos, d FROM {a})), {b}")
+    return ", ".join(out)
+
+
+def _walk_sql(name: str, levels: int, start: str, pos: str, proof: str, folded: str) -> str:
+    """Steps of a row up the levels of ``name``: proof and folded digest grow."""
+    out, prev = [], start
+    for k in range(1, levels + 1):
+        step = f"{name}w{k}"
+        i = f"(w.{pos} % 16)"
+        out.append(f"{step} AS (SELECT w.* REPLACE (CASE WHEN l.n > 1 THEN w.{pos} // 16 ELSE w.{pos} END AS {pos}, "
+                   f"CASE WHEN l.n > 1 THEN w.{proof} || array_to_string(l.ds[:{i}] || l.ds[{i} + 2:], '') ELSE w.{proof} END AS {proof}, "
+                   f"CASE WHEN l.n > 1 THEN sha256(array_to_string(l.ds[:{i}], '') || w.{folded} || array_to_string(l.ds[{i} + 2:], '')) "
+                   f"ELSE w.{folded} END AS {folded}) FROM {prev} w JOIN {name}{k} l ON l.tree IS NOT DISTINCT FROM w.{name}tree "
+                   f"AND l.pos = CASE WHEN l.n > 1 THEN w.{pos} // 16 ELSE w.{pos} END)")
+        prev = step
+    return ", ".join(out)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR))::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH x AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_CRC} % 5 = 0
+             THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM x),
+a0 AS (SELECT source AS tree, pos, leaf AS d FROM p), {_tree_sql('a', 8)},
+s AS (SELECT tree AS source, d AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS spos FROM a8),
+b0 AS (SELECT 0 AS tree, spos AS pos, subroot AS d FROM s), {_tree_sql('b', 8)},
+w AS (SELECT doc_id, leaf, subroot, 0 AS btree, p.source AS atree, pos, spos, '' AS proof, coalesce(bad, leaf) AS folded
+      FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source),
+{_walk_sql('a', 8, 'w', 'pos', 'proof', 'folded')}, {_walk_sql('b', 8, 'aw8', 'spos', 'proof', 'folded')}
+SELECT doc_id, leaf, subroot, (SELECT d FROM b8) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT d FROM b8) AS verified FROM bw8
+"""
