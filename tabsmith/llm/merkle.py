@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import q
+from tabsmith.llm.common import free_name
 from tabsmith.operators.rows import position_in_group
 from tabsmith.session import cut_lineage
 
@@ -213,7 +214,7 @@ def prove(rows: DataFrame, leaf_col: str, group_col: str, key_col: str, check_co
     at = rows.select(F.col(q(group_col)).cast("string").alias("tree"), F.col(q(key_col)).alias("key"),
                      F.col(q(leaf_col)).alias("digest"),
                      (F.col(q(check_col)) if check_col else F.lit(None).cast("string")).alias("check"),
-                     F.struct(*[F.col(q(c)) for c in kept], F.lit(0).alias("__one")).alias("row"))
+                     F.struct(*[F.col(q(c)) for c in kept], F.lit(0).alias(free_name("__one", rows))).alias("row"))
     leaves = cut_lineage(position_in_group(at, ["tree"], [F.col("key"), F.col("digest")], "pos")
                          .withColumn("pos", F.col("pos") - 1).drop("key"))
     counts = cut_lineage(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")))

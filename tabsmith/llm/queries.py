@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, chat, htmltext, licences, merkle, mixing, quality, repetition, runs, simhash, topk, urls
+from tabsmith.llm import bpe, chat, classlm, htmltext, licences, merkle, mixing, quality, repetition, runs, simhash, topk, urls
 from tabsmith.llm.common import n_words, pick
 from tabsmith.session import cut_lineage
 from tabsmith.sources.tables import read_table
@@ -259,3 +259,12 @@ w AS (SELECT doc_id, leaf, subroot, 0 AS btree, p.source AS atree, pos, spos, ''
 SELECT doc_id, leaf, subroot, (SELECT d FROM b8) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
        folded = (SELECT d FROM b8) AS verified FROM bw8
 """
+
+
+@query
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by a class-based model learned from those that aren't held out."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return classlm.Model(docs, "text", ~F.col("held_out")).score()
