@@ -100,6 +100,39 @@ def q_fill_bfill_ffill_hot_keys(spark, sf):
                             rows_per_chunk=16)
 
 
+# A third of the rows has no key, the order is text with ties and nulls, and rows repeat.
+_HOT_NULL = DE + """,
+h AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 4 END AS grp, CAST(event_id % 100 AS VARCHAR) AS tie,
+        CAST(event_id AS VARCHAR) AS id_txt FROM dirty_events)"""
+_HOT_ORDER = "PARTITION BY grp ORDER BY event_type NULLS FIRST, tie NULLS FIRST, id_txt NULLS FIRST"
+
+
+def _hot_null(spark, sf):
+    df = load(spark, sf, "dirty_events")
+    return df.withColumns({"grp": F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 4),
+                           "tie": (F.col("event_id") % 100).cast("string"), "id_txt": F.col("event_id").cast("string")})
+
+
+@register("clean_smooth_hot_null_key", _HOT_NULL + f""",
+s AS (SELECT *, avg(value) OVER ({_HOT_ORDER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS sv FROM h)
+SELECT event_id, grp, event_type, tie, id_txt,
+  round(coalesce(sv, first_value(sv IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+                 last_value(sv IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS value FROM s""")
+def q_clean_smooth_hot_null_key(spark, sf):
+    """Hot NULL key, text order column with ties and nulls: cut by rank like any other."""
+    df = _hot_null(spark, sf).select("event_id", "grp", "event_type", "tie", "id_txt", "value")
+    return round_doubles(C.smooth(df, ["value"], ["event_type", "tie", "id_txt"], ["grp"], 3, rows_per_chunk=300))
+
+
+@register("fill_bfill_ffill_hot_null_key", _HOT_NULL + f"""
+SELECT event_id, grp, event_type, tie, id_txt,
+  coalesce(value, first_value(value IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+           last_value(value IGNORE NULLS) OVER ({_HOT_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS value FROM h""")
+def q_fill_hot_null_key(spark, sf):
+    df = _hot_null(spark, sf).select("event_id", "grp", "event_type", "tie", "id_txt", "value")
+    return fill_bfill_ffill(df, ["value"], ["grp"], ["event_type", "tie", "id_txt"], rows_per_chunk=300)
+
+
 @register("clean_cap_outliers", """
 WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events)
 SELECT event_id, ts, user_id, event_type,

@@ -278,3 +278,23 @@ FROM i WHERE q > 0 GROUP BY conv_id, q""")
 def q_assemble_qa_pairs_hot(spark, sf):
     """Same result with every conversation treated as a hot key (chunked running count)."""
     return R.assemble_qa_pairs(load(spark, sf, "conversations"), rows_per_chunk=2)
+
+
+@register("assemble_qa_pairs_null_conv", """
+WITH n AS (SELECT CASE WHEN conv_id % 3 = 0 THEN NULL ELSE conv_id END AS conv_id,
+             lpad(CAST(conv_id AS VARCHAR), 12, '0') || '/' || lpad(CAST(turn AS VARCHAR), 6, '0') AS place, role, text FROM conversations),
+i AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q FROM n)
+SELECT conv_id, CAST(q AS BIGINT) AS pair_index,
+  min(place) FILTER (WHERE role = 'user') AS question_turn,
+  arg_max(text, place) FILTER (WHERE role = 'user') AS question,
+  coalesce(string_agg(text, chr(10) ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS answer,
+  count(*) FILTER (WHERE role = 'assistant') AS n_answer_parts
+FROM i WHERE q > 0 GROUP BY conv_id, q""")
+def q_assemble_qa_pairs_null_conv(spark, sf):
+    """A third of the turns belongs to one conversation without an id; turns are ordered by text."""
+    place = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit("/"), F.lpad(F.col("turn").cast("string"), 6, "0"))
+    df = load(spark, sf, "conversations").select(F.when(F.col("conv_id") % 3 != 0, F.col("conv_id")).alias("conv_id"),
+                                                 place.alias("place"), "role", "text")
+    out = R.assemble_qa_pairs(df, turn="place", rows_per_chunk=100)
+    return out
