@@ -69,6 +69,44 @@ def q_related_tables(spark, sf):
     return J.inclusion_dependencies({t: load(spark, sf, t) for t in _REL})
 
 
+def _keyed(spark, sf):
+    """Tables keyed by text and by date: customers by a code, a calendar, and orders that refer to both."""
+    o = load(spark, sf, "orders")
+    code = lambda x: F.concat(F.lit("C-"), F.col(x).cast("string"))
+    return {"clients": load(spark, sf, "customer").select(code("c_custkey").alias("client_key"), F.col("c_name").alias("client_name_key")),
+            "days": o.select(F.col("o_orderdate").cast("date").alias("day_key")).distinct(),
+            "sales": o.select(code("o_custkey").alias("buyer_key"), F.col("o_orderdate").cast("date").alias("sold_key"),
+                              F.when(F.col("o_orderkey") % 3 != 0, code("o_custkey")).alias("agent_key"),
+                              F.concat(code("o_custkey"), F.lit("?")).alias("other_key"), F.col("o_orderkey").alias("sale_key"))}
+
+
+_KEYED_COLS = {"clients": ["client_key", "client_name_key"], "days": ["day_key"],
+               "sales": ["buyer_key", "sold_key", "agent_key", "other_key", "sale_key"]}
+
+
+def _keyed_sql() -> str:
+    cols = [(t, x) for t, xs in _KEYED_COLS.items() for x in xs]
+    cells = " UNION ALL ".join(f"SELECT '{t}' AS t, '{x}' AS x, typeof({x}) AS k, CAST({x} AS VARCHAR) AS v FROM {t}" for t, x in cols)
+    return f"""WITH clients AS (SELECT 'C-' || c_custkey AS client_key, c_name AS client_name_key FROM customer),
+days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day_key FROM orders),
+sales AS (SELECT 'C-' || o_custkey AS buyer_key, CAST(o_orderdate AS DATE) AS sold_key,
+            CASE WHEN o_orderkey % 3 <> 0 THEN 'C-' || o_custkey END AS agent_key, 'C-' || o_custkey || '?' AS other_key,
+            o_orderkey AS sale_key FROM orders),
+cells AS ({cells}),
+st AS (SELECT t, x, any_value(k) AS k, count(DISTINCT v) AS d, count(v) AS n, count(*) AS rows FROM cells GROUP BY t, x),
+vals AS (SELECT DISTINCT t, x, k, v FROM cells WHERE v IS NOT NULL),
+m AS (SELECT a.t AS child_table, a.x AS child_column, b.t AS parent_table, b.x AS parent_column, count(*) AS matched
+      FROM vals a JOIN vals b ON a.k = b.k AND a.v = b.v AND a.t <> b.t GROUP BY 1, 2, 3, 4)
+SELECT child_table, child_column, parent_table, parent_column, c.d AS child_distinct, matched, CAST(matched AS DOUBLE) / c.d AS coverage
+FROM m JOIN st c ON child_table = c.t AND child_column = c.x JOIN st p ON parent_table = p.t AND parent_column = p.x
+WHERE matched = c.d AND p.d = p.rows AND p.n = p.rows"""
+
+
+@register("related_tables_text_date", _keyed_sql())
+def q_related_tables_text_date(spark, sf):
+    return J.inclusion_dependencies(_keyed(spark, sf))
+
+
 @register("drift_category_table", """
 WITH a AS (SELECT CAST(event_type AS VARCHAR) AS category, count(*) AS ref_count FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
 b AS (SELECT CAST(event_type AS VARCHAR) AS category, count(*) AS cur_count FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
