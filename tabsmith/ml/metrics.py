@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import c, safe_div
+from tabsmith.operators.quantiles import exact_quantiles
 
 
 def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], buckets: int = 256,
@@ -195,18 +196,21 @@ def pr_curve(df: DataFrame, label: str, score: str, positive=1, buckets: int = 2
 def residual_summary(df: DataFrame, label: str, pred: str, exact: bool = False) -> DataFrame:
     """Residual (y - prediction) distribution: mean, std, min, quartiles, max
     and the prediction-error correlation between y and prediction.  Quartiles
-    from a bounded sketch unless ``exact`` (which buffers every value)."""
+    from a bounded sketch, or ``exact`` by distributed selection."""
     y, p = c(label).cast("double"), c(pred).cast("double")
     e = y - p
-    qs = F.percentile(e, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(e, [0.25, 0.5, 0.75], 10000)
-    return df.agg(F.count(e).alias("n"), F.avg(e).alias("mean_residual"), F.stddev_samp(e).alias("std_residual"),
-                  F.min(e).alias("min_residual"), qs.cast("array<double>").alias("_q"),
-                  F.max(e).alias("max_residual"),
-                  F.coalesce(F.try_divide(F.covar_pop(y, p), F.nullif(F.stddev_pop(y) * F.stddev_pop(p), F.lit(0.0))),
-                             F.lit(0.0)).alias("pred_actual_corr")) \
-        .select("n", "mean_residual", "std_residual", "min_residual", F.col("_q")[0].alias("q1_residual"),
-                F.col("_q")[1].alias("median_residual"), F.col("_q")[2].alias("q3_residual"), "max_residual",
-                "pred_actual_corr")
+    aggs = [F.count(e).alias("n"), F.avg(e).alias("mean_residual"), F.stddev_samp(e).alias("std_residual"),
+            F.min(e).alias("min_residual"), F.max(e).alias("max_residual"),
+            F.coalesce(F.try_divide(F.covar_pop(y, p), F.nullif(F.stddev_pop(y) * F.stddev_pop(p), F.lit(0.0))),
+                       F.lit(0.0)).alias("pred_actual_corr")]
+    if exact:
+        found = exact_quantiles(df.select(e.alias("e")), ["e"], [0.25, 0.5, 0.75]).select(F.col("q0").alias("_q"))
+        out = df.agg(*aggs).crossJoin(found)  # one row
+    else:
+        out = df.agg(*aggs, F.percentile_approx(e, [0.25, 0.5, 0.75], 10000).cast("array<double>").alias("_q"))
+    return out.select("n", "mean_residual", "std_residual", "min_residual", F.col("_q")[0].alias("q1_residual"),
+                      F.col("_q")[1].alias("median_residual"), F.col("_q")[2].alias("q3_residual"), "max_residual",
+                      "pred_actual_corr")
 
 
 def cooks_distance(df: DataFrame, features: Sequence[str], label: str, pred: str) -> DataFrame:

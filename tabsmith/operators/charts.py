@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import c, safe_div
+from tabsmith.operators.quantiles import exact_quantiles, join_groups
 
 
 def _range(df: DataFrame, x: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -40,29 +41,22 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return i
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on group keys of which null is a value like any other; the keys come from ``left``."""
-    r = right.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(keys)})
-    on = [left[f"`{k}`"].eqNullSafe(r[f"__r{i}"]) for i, k in enumerate(keys)]
-    return left.join(r, on, how).drop(*[f"__r{i}" for i in range(len(keys))])
-
-
 def histogram(df: DataFrame, column: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram with every bin present (zero counts included),
     optionally per colour group.  Label ``"lo - hi"`` rounded to 2 digits."""
-    x = c(column).cast("double")
+    x = F.nanvl(c(column).cast("double"), F.lit(None).cast("double"))  # NaN is missing, too
     base = df.select(*[c(b) for b in by], x.alias("_x")).where(F.col("_x").isNotNull())
     rng = _range(base, F.col("_x"), by)
     keys = list(by)
     # one row per group: joined back to the data on the group key(s)
-    j = _join_groups(base, rng, keys) if keys else base.crossJoin(rng)
+    j = join_groups(base, rng, keys) if keys else base.crossJoin(rng)
     counts = (j.withColumn("bin", bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins))
               .groupBy(*[c(b) for b in by], "bin").agg(F.count(F.lit(1)).alias("count")))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     lo_e = F.col("_lo") + F.col("bin").cast("double") * step
     hi_e = F.when(F.col("bin") == bins - 1, F.col("_hi")).otherwise(F.col("_lo") + (F.col("bin") + 1).cast("double") * step)
     all_bins = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = _join_groups(all_bins, counts, keys + ["bin"], "left")
+    out = join_groups(all_bins, counts, keys + ["bin"], "left")
     return out.select(*[c(b) for b in by], "bin",
                       lo_e.alias("bin_start"), hi_e.alias("bin_end"),
                       F.concat(F.round(lo_e, 2).cast("string"), F.lit(" - "), F.round(hi_e, 2).cast("string"))
@@ -145,22 +139,26 @@ def kde(df: DataFrame, column: str, grid: int = 100, fine_bins: int = 512, bandw
 
 def boxplot(df: DataFrame, y: str, by: str | None = None, exact: bool = False) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (furthest data inside the fences) and the
-    number of points beyond them, per group."""
+    number of points beyond them, per group.  NaN is missing; ``exact``
+    quartiles come from distributed selection."""
     keys = [by] if by else []
-    yy = c(y).cast("double")
-    pc = F.percentile(yy, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(yy, [0.25, 0.5, 0.75], 10000)
-    g = (df.groupBy(*[c(k) for k in keys]) if keys else df.groupBy()).agg(pc.alias("_q"), F.count(yy).alias("n"))
+    yy = F.nanvl(c(y).cast("double"), F.lit(None).cast("double"))
+    if exact:
+        g = exact_quantiles(df, [y], [0.25, 0.5, 0.75], by=keys).select(*[c(k) for k in keys], F.col("q0").alias("_q"), F.col("n0").alias("n"))
+    else:
+        pc = F.percentile_approx(yy, [0.25, 0.5, 0.75], 10000)
+        g = (df.groupBy(*[c(k) for k in keys]) if keys else df.groupBy()).agg(pc.alias("_q"), F.count(yy).alias("n"))
     g = g.select(*[c(k) for k in keys], "n", F.col("_q")[0].cast("double").alias("q1"),
                  F.col("_q")[1].cast("double").alias("median"), F.col("_q")[2].cast("double").alias("q3"))
     g = g.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("_lf", F.col("q1") - 1.5 * F.col("iqr")).withColumn("_hf", F.col("q3") + 1.5 * F.col("iqr"))
     j = df.select(*[c(k) for k in keys], yy.alias("_y")).where(F.col("_y").isNotNull())
-    j = _join_groups(j, g, keys) if keys else j.crossJoin(g)
+    j = join_groups(j, g, keys) if keys else j.crossJoin(g)
     inside = (F.col("_y") >= F.col("_lf")) & (F.col("_y") <= F.col("_hf"))
     w = j.groupBy(*[c(k) for k in keys]).agg(
         F.min(F.when(inside, F.col("_y"))).alias("whisker_low"), F.max(F.when(inside, F.col("_y"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))
-    out = _join_groups(g, w, keys) if keys else g.crossJoin(w)
+    out = join_groups(g, w, keys) if keys else g.crossJoin(w)
     return out.drop("_lf", "_hf")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import c, is_numeric
+from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.operators.windows import fill_bfill_ffill, trailing_mean
 
 
@@ -87,23 +88,27 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 # C2 / C3 imputation
 # ---------------------------------------------------------------------------
 
+def present(name: str):
+    """A numeric column as double, with NaN as NULL."""
+    return F.nanvl(c(name).cast("double"), F.lit(None).cast("double"))
+
+
 def fit_impute_numeric(df: DataFrame, cols: Sequence[str], strategy: str = "mean") -> dict[str, float | None]:
+    """Mean or exact median (by distributed selection) per column; NaN is missing like NULL."""
     if not cols:
         return {}
     if strategy == "mean":
-        aggs = [F.avg(c(x).cast("double")).alias(f"v{i}") for i, x in enumerate(cols)]
-    elif strategy == "median":
-        aggs = [F.percentile(c(x).cast("double"), 0.5).alias(f"v{i}") for i, x in enumerate(cols)]
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
-    row = df.agg(*aggs).first()
-    return {x: row[f"v{i}"] for i, x in enumerate(cols)}
+        row = df.agg(*[F.avg(present(x)).alias(f"v{i}") for i, x in enumerate(cols)]).first()
+        return {x: row[f"v{i}"] for i, x in enumerate(cols)}
+    if strategy == "median":
+        row = exact_quantiles(df, cols, [0.5]).first()
+        return {x: row[f"q{i}"][0] for i, x in enumerate(cols)}
+    raise ValueError(f"unknown strategy {strategy}")
 
 
 def impute_numeric(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    """NULL -> fitted value; the column becomes double (as pandas does)."""
-    return df.withColumns({x: F.coalesce(c(x).cast("double"), F.lit(v).cast("double"))
-                           for x, v in values.items()})
+    """NULL or NaN -> fitted value; the column becomes double (as pandas does)."""
+    return df.withColumns({x: F.coalesce(present(x), F.lit(v).cast("double")) for x, v in values.items()})
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
@@ -148,7 +153,7 @@ def fit_cap(df: DataFrame, cols: Sequence[str], z: float = 3.0) -> dict[str, tup
         return {}
     aggs = []
     for i, x in enumerate(cols):
-        aggs += [F.avg(c(x).cast("double")).alias(f"m{i}"), F.stddev_pop(c(x).cast("double")).alias(f"s{i}")]
+        aggs += [F.avg(present(x)).alias(f"m{i}"), F.stddev_pop(present(x)).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     out = {}
     for i, x in enumerate(cols):
@@ -162,7 +167,7 @@ def cap(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) ->
     """Clip into the bounds, nulls stay null."""
     exprs = {}
     for x, (lo, hi) in bounds.items():
-        v = c(x).cast("double")
+        v = present(x)
         if lo is not None:
             v = F.when(v.isNull(), v).otherwise(F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
         exprs[x] = v
@@ -176,13 +181,13 @@ def fit_scale(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | Non
         return {}
     aggs = []
     for i, x in enumerate(cols):
-        aggs += [F.avg(c(x).cast("double")).alias(f"m{i}"), F.stddev_pop(c(x).cast("double")).alias(f"s{i}")]
+        aggs += [F.avg(present(x)).alias(f"m{i}"), F.stddev_pop(present(x)).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     return {x: (row[f"m{i}"], 1.0 if not row[f"s{i}"] else row[f"s{i}"]) for i, x in enumerate(cols)}
 
 
 def scale(df: DataFrame, params: dict[str, tuple[float | None, float]]) -> DataFrame:
-    return df.withColumns({x: (c(x).cast("double") - F.lit(m)) / F.lit(s) for x, (m, s) in params.items()})
+    return df.withColumns({x: (present(x) - F.lit(m)) / F.lit(s) for x, (m, s) in params.items()})
 
 
 # ---------------------------------------------------------------------------

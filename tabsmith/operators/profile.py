@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.functions.core import (
     FLOAT_TYPES, TEMPORAL_TYPES, c, categorical_columns, is_numeric, nan_to_null, numeric_columns, q, safe_div,
 )
@@ -104,23 +105,25 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact:
     """pandas ``describe`` for numeric columns: count, mean, std (sample),
     min, 25/50/75 % (linear interpolation), max - one aggregate.
 
-    ``exact`` percentiles hold each group's distinct values in one buffer;
-    use ``exact=False`` (bounded sketch, ``percentile_approx``) on big tables.
+    ``exact`` percentiles come from distributed selection (``quantiles``), the
+    others from a bounded sketch in the same aggregate.
     """
     df = nan_to_null(df)
     cols = list(columns) if columns is not None else numeric_columns(df)
     aggs = []
     for i, name in enumerate(cols):
         x = c(name).cast("double")
-        pc = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-              else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>"))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), pc.alias(f"p{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"q{i}"))
     wide = df.agg(*aggs)
-    wide = wide.select(*[F.col(x) for x in wide.columns if not x.startswith("p")],
-                       *[F.col(f"p{i}")[j].alias(f"p{i}_{j}") for i in range(len(cols)) for j in range(3)])
+    if exact and cols:
+        wide = wide.crossJoin(exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(*[f"q{i}" for i in range(len(cols))]))  # one row
+    wide = wide.select(*[F.col(x) for x in wide.columns if not x.startswith("q")],
+                       *[F.col(f"q{i}")[j].alias(f"q{i}_{j}") for i in range(len(cols)) for j in range(3)])
     return _stack(wide, cols,
-                  [[f"n{i}", f"a{i}", f"s{i}", f"lo{i}", f"p{i}_0", f"p{i}_1", f"p{i}_2", f"hi{i}"]
+                  [[f"n{i}", f"a{i}", f"s{i}", f"lo{i}", f"q{i}_0", f"q{i}_1", f"q{i}_2", f"hi{i}"]
                    for i in range(len(cols))],
                   ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
@@ -208,16 +211,9 @@ def data_context(df: DataFrame, max_unique: int = 20, head: int = 5,
 # A8-A10 correlation
 # ---------------------------------------------------------------------------
 
-def _pair_corr(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are present; undefined -> 0 (ANSI safe)."""
-    sa = F.stddev_pop(F.when(b.isNotNull(), a))
-    sb = F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.coalesce(F.try_divide(F.covar_pop(a, b), F.nullif(sa * sb, F.lit(0.0))), F.lit(0.0))
-
-
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Tall correlation matrix (col_a, col_b, corr), both orders and the
-    diagonal; pairwise-complete, undefined -> 0.
+    diagonal; pairwise-complete, undefined -> 0.  NaN counts as missing.
 
     Two light passes: column means (p values to the driver), then plain sums
     of the mean-shifted values and their products over the rows where both
@@ -227,6 +223,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     planner when columns have no nulls.  Only the upper triangle is
     aggregated; one ``stack`` emits both orders."""
     cols = list(columns) if columns is not None else numeric_columns(df)
+    df = nan_to_null(df.select(*[c(x) for x in cols]))
     xs = [c(x).cast("double") for x in cols]
     st = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
                 *[F.count(x).alias(f"c{i}") for i, x in enumerate(xs)]).first()
@@ -291,17 +288,20 @@ def corr_strong_pairs(corr: DataFrame, strong: float = 0.6, weak: float = 0.1) -
 # ---------------------------------------------------------------------------
 
 def column_distribution_numeric(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
+    """Counts, mean, population std, extremes and quartiles (``exact``: by distributed selection)."""
+    df = nan_to_null(df.select(c(column)))
     x = c(column).cast("double")
-    pc = (F.percentile(x, [0.0, 0.25, 0.5, 0.75, 1.0]) if exact
-          else F.percentile_approx(x, [0.0, 0.25, 0.5, 0.75, 1.0], 10000).cast("array<double>"))
-    agg = df.agg(F.count(F.lit(1)).alias("total_count"), F.count(x).alias("non_null_count"),
-                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), pc.alias("p"))
+    aggs = [F.count(F.lit(1)).alias("total_count"), F.count(x).alias("non_null_count"), F.min(x).alias("min"),
+            F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev")]
+    if exact:
+        agg = df.agg(*aggs).crossJoin(exact_quantiles(df, [column], [0.25, 0.5, 0.75]).select(F.col("q0").alias("p")))  # one row
+    else:
+        agg = df.agg(*aggs, F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).cast("array<double>").alias("p"))
     return agg.select(
         F.lit(column).alias("column_name"), "total_count", "non_null_count",
         (F.col("total_count") - F.col("non_null_count")).alias("null_count"),
-        F.col("p")[0].alias("min"), F.col("p")[1].alias("percentile_25"),
-        F.col("p")[2].alias("percentile_50_median"), F.col("p")[3].alias("percentile_75"),
-        F.col("p")[4].alias("max"), "mean", "stddev")
+        "min", F.col("p")[0].alias("percentile_25"), F.col("p")[1].alias("percentile_50_median"),
+        F.col("p")[2].alias("percentile_75"), "max", "mean", "stddev")
 
 
 def column_distribution_categorical(df: DataFrame, column: str, top_n: int = 20,

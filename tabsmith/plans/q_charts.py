@@ -8,7 +8,7 @@ from tabsmith.functions.core import round_doubles
 from tabsmith.operators import charts as CH
 from tabsmith.operators.relate import join_dimension
 from tabsmith.plans.registry import register
-from tabsmith.sources.tables import load
+from tabsmith.sources.tables import load, nan_as_null_cte
 
 
 def _hist_sql(table: str, col: str, bins: int, by: str | None = None) -> str:
@@ -43,6 +43,15 @@ def q_chart_histogram_hue(spark, sf):
     return round_doubles(CH.histogram(load(spark, sf, "events"), "value", 10, ["event_type"]))
 
 
+_PLAIN = nan_as_null_cte("nan_events", ("value", "segment"))
+
+
+@register("chart_histogram_nan", _PLAIN + ", " + _hist_sql("plain", "value", 10).lstrip()[5:])
+def q_chart_histogram_nan(spark, sf):
+    """NaN is missing: it has no bin and doesn't widen the range."""
+    return round_doubles(CH.histogram(load(spark, sf, "nan_events"), "value", 10))
+
+
 @register("chart_mean_by_category", """
 SELECT CAST(o_orderpriority AS VARCHAR) AS x, round(avg(o_totalprice), 6) AS y, round(-avg(o_totalprice), 6) AS sort_key
 FROM orders WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY o_orderpriority""")
@@ -96,6 +105,27 @@ def q_chart_kde(spark, sf):
     return round_doubles(CH.kde(load(spark, sf, "events"), "value", 100, 512))
 
 
+def _boxplot_sql(table: str, y: str, by: str) -> str:
+    return f"""q AS (SELECT {by}, count({y}) AS n, quantile_cont({y}, 0.25) AS q1,
+             quantile_cont({y}, 0.5) AS median, quantile_cont({y}, 0.75) AS q3 FROM {table} GROUP BY 1),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS hf FROM q),
+w AS (SELECT f.{by}, min(CASE WHEN {y} BETWEEN lf AND hf THEN {y} END) AS whisker_low,
+             max(CASE WHEN {y} BETWEEN lf AND hf THEN {y} END) AS whisker_high,
+             count(*) FILTER (WHERE NOT ({y} BETWEEN lf AND hf)) AS n_outliers
+      FROM {table} l JOIN f ON l.{by} IS NOT DISTINCT FROM f.{by} WHERE {y} IS NOT NULL GROUP BY 1)
+SELECT f.{by}, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+  round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high, n_outliers
+FROM f JOIN w ON f.{by} IS NOT DISTINCT FROM w.{by}"""
+
+
+@register("chart_boxplot_nan", _PLAIN + ", v AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind, value FROM plain), "
+          + _boxplot_sql("v", "value", "kind"))
+def q_chart_boxplot_nan(spark, sf):
+    """Exact quartiles by selection with a third of the rows in the null group, nulls and NaN among the values."""
+    df = load(spark, sf, "nan_events").select(F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"), "value")
+    return round_doubles(CH.boxplot(df, "value", "kind", exact=True))
+
+
 @register("chart_boxplot", """
 WITH q AS (SELECT l_returnflag, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
              quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),

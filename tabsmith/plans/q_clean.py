@@ -8,7 +8,7 @@ from tabsmith.functions.core import round_doubles
 from tabsmith.operators import clean as C
 from tabsmith.operators.windows import fill_bfill_ffill
 from tabsmith.plans.registry import register
-from tabsmith.sources.tables import duckdb_view_cte, load
+from tabsmith.sources.tables import duckdb_view_cte, load, nan_as_null_cte
 
 DE = duckdb_view_cte("dirty_events")
 DE_NUM = ["event_id", "user_id", "value", "segment", "const_num"]
@@ -43,6 +43,40 @@ def q_clean_impute_median(spark, sf):
     return round_doubles(C.impute_numeric(df, C.fit_impute_numeric(df, DE_NUM, "median")))
 
 
+_PLAIN = nan_as_null_cte("nan_events", ("value", "segment"))
+
+
+def _impute_nan_sql(agg: str) -> str:
+    return _PLAIN + f""", m AS (SELECT {agg.format(x='value')} AS a, {agg.format(x='segment')} AS b FROM plain)
+SELECT event_id, event_type, round(coalesce(value, a), 6) AS value, round(coalesce(segment, b), 6) AS segment, user_num FROM plain, m"""
+
+
+@register("clean_impute_mean_nan", _impute_nan_sql("avg({x})"))
+def q_clean_impute_mean_nan(spark, sf):
+    """NaN is missing: it doesn't enter the mean, and gets it."""
+    df = load(spark, sf, "nan_events")
+    return round_doubles(C.impute_numeric(df, C.fit_impute_numeric(df, ["value", "segment"], "mean")))
+
+
+@register("clean_impute_median_nan", _impute_nan_sql("quantile_cont({x}, 0.5)"))
+def q_clean_impute_median_nan(spark, sf):
+    df = load(spark, sf, "nan_events")
+    return round_doubles(C.impute_numeric(df, C.fit_impute_numeric(df, ["value", "segment"], "median")))
+
+
+@register("clean_cap_scale_nan", _PLAIN + """,
+s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM plain),
+k AS (SELECT * REPLACE (least(greatest(value, m - 2.0 * sd), m + 2.0 * sd) AS value) FROM plain, s WHERE value IS NOT NULL
+      UNION ALL SELECT * FROM plain, s WHERE value IS NULL),
+z AS (SELECT avg(value) AS zm, stddev_pop(value) AS zs FROM k)
+SELECT event_id, event_type, round((value - zm) / zs, 6) AS value, segment, user_num FROM k, z""")
+def q_clean_cap_scale_nan(spark, sf):
+    """Bounds and scale from the present values; NaN stays missing."""
+    df = load(spark, sf, "nan_events").withColumn("segment", C.present("segment"))
+    df = C.cap(df, C.fit_cap(df, ["value"], 2.0))
+    return round_doubles(C.scale(df, C.fit_scale(df, ["value"])))
+
+
 @register("clean_impute_mode", DE + """,
 m1 AS (SELECT event_type AS v FROM dirty_events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1),
 m2 AS (SELECT const_cat AS v FROM dirty_events WHERE const_cat IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1)

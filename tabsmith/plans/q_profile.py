@@ -6,7 +6,7 @@ from tabsmith.functions.core import round_doubles
 from tabsmith.operators import profile as P
 from tabsmith.plans.registry import register
 from tabsmith.plans.schemas import SCHEMAS, cols, dq, numeric_cols, sq, string_cols
-from tabsmith.sources.tables import duckdb_view_cte, load
+from tabsmith.sources.tables import duckdb_view_cte, load, nan_as_null_cte
 
 
 def _cte(table: str) -> str:
@@ -144,8 +144,8 @@ def q_data_context_info(spark, sf):
 # A8-A10 correlation
 # ---------------------------------------------------------------------------
 
-def corr_sql(table: str) -> str:
-    nc = numeric_cols(table)
+def corr_sql(table: str, nc: list[str] | None = None) -> str:
+    nc = nc or numeric_cols(table)
     parts = []
     for i, a in enumerate(nc):
         for j, b in enumerate(nc):
@@ -168,6 +168,14 @@ def q_corr_matrix(spark, sf):
     return round_doubles(P.corr_matrix(load(spark, sf, "lineitem")))
 
 
+@register("corr_matrix_nan", nan_as_null_cte("nan_events", ("value", "segment")) + ", cm AS ("
+          + corr_sql("plain", ["event_id", "value", "segment", "user_num"]) + """)
+SELECT col_a, col_b, round(corr, 6) AS corr, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b FROM cm""")
+def q_corr_matrix_nan(spark, sf):
+    """NaN is missing, pair by pair."""
+    return round_doubles(P.corr_matrix(load(spark, sf, "nan_events")))
+
+
 @register("corr_extremes", _corr_oracle(
     "lineitem", "SELECT round(max(corr), 6) AS max_corr, round(min(corr), 6) AS min_corr, "
                 "round(avg(corr), 6) AS avg_corr FROM cm WHERE pos_a <> pos_b"))

@@ -53,7 +53,14 @@ SELECT d.doc_id, l.quality, CAST(d.n_chars AS DOUBLE) AS f_chars,
   CAST(length(d.text) - length(replace(d.text, ' ', '')) AS DOUBLE) AS f_spaces
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"""
 
+NAN_EVENTS_SQL = """
+SELECT event_id, event_type,
+  CASE WHEN event_id % 10 = 3 THEN NULL WHEN event_id % 10 = 6 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value,
+  CASE WHEN event_id % 8 = 2 THEN CAST('NaN' AS DOUBLE) ELSE CAST(user_id % 7 AS DOUBLE) END AS segment,
+  CAST(user_id AS DOUBLE) AS user_num FROM {events}"""
+
 VIEW_SQL = {
+    "nan_events": (NAN_EVENTS_SQL, ("events",)),
     "dirty_events": (DIRTY_EVENTS_SQL, ("events",)),
     "text_orders": (TEXT_ORDERS_SQL, ("orders",)),
     "label_features": (LABEL_FEATURES_SQL, ("documents", "labels")),
@@ -75,6 +82,12 @@ def duckdb_view_cte(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def nan_as_null_cte(view: str, columns: tuple[str, ...], name: str = "plain") -> str:
+    """The CTE of a derived view, and ``name``: the same with NaN as NULL in these columns (for oracles)."""
+    mended = ", ".join(f"CASE WHEN isnan({x}) THEN NULL ELSE {x} END AS {x}" for x in columns)
+    return duckdb_view_cte(view) + f", {name} AS (SELECT * REPLACE ({mended}) FROM {view})"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table or derived view by name."""
     if name in VIEW_SQL:
