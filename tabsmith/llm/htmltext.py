@@ -9,10 +9,16 @@ text-weighted mean score are content; a block of text is kept if one of its
 nodes lies on such a path.
 
 Paths through elements that are never the article (menus, headers, footers,
-asides, forms, scripts, and those that a class, id or role calls an advert, a
-notice, a comment and so on) score 0.  ``article`` and ``main`` elements are a
-factor: paths inside them need half the share, and where they hold more than
-half of the rest's text outside links, paths outside them score 0.
+asides, forms, scripts, what is hidden) score 0.  So do elements that a class, id or role calls
+an advert, a notice, a comment and so on, unless they hold at least half of the
+page's text outside links, as page wrappers do (and no article or main element
+with text lies outside them).  Where such a name also has a word of page
+structure (``content-sidebar-wrap``, ``category-social``), it only halves the
+score.  A header outside the article is kept if it holds the page's first h1,
+has no more text in links than outside, and the article has no title.
+``article`` and ``main`` elements are a factor: paths inside them need half the
+share, and where they hold more than half of the rest's text outside links,
+paths outside them score 0.  A table inside them is scored as one text.
 
 Inside a block white space becomes one space; blocks are joined by one line
 break.  One pass, no shuffle; only the html column goes to Python.
@@ -66,27 +72,49 @@ NOT_CONTENT = frozenset(
     "notice notices popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside masthead topbar footer comment comments disqus replies respond share sharing social related recommended widget widgets "
     "toolbar pagination pager paywall alert form search complementary contentinfo tags".split())
-NOT_NAMES = frozenset(["with", "has", "no", "not", "without", "wp", "is"])
+# words of page structure: with one of them, a name speaks of where an element is rather than what
+STRUCTURE = frozenset("content contents wrap wrapper container page layout main body post article entry story text category tag "
+                      "results free with has no not without wp is".split())
+HIDDEN, NAMED, DOUBTED = 3, 2, 1
+OWN = 0.05  # share of the plain text that an article element must hold outside a named element, to leave that unprotected
 
 
-def excluded_by_name(tag: str, attributes: str) -> bool:
-    """Whether class, id, role or style say that an element isn't part of the article."""
+def spoken_against(tag: str, attributes: str) -> int:
+    """What class, id, role or style say: the element is hidden, named as no part of the article, or doubted (0: nothing)."""
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    most = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name not in NAMES:
             continue
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HIDDEN
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return HIDDEN
         if name in ("class", "id", "role"):
             for part in value.split():
                 words = [w.lower() for w in WORDS.findall(part)]
-                if words and words[0] not in NOT_NAMES and any(w in NOT_CONTENT for w in words):
-                    return True
-    return False
+                if any(w in NOT_CONTENT for w in words):
+                    most = max(most, DOUBTED if tag == "article" or any(w in STRUCTURE for w in words) else NAMED)
+    return most
+
+
+class Inside:
+    """Where a text node lies: whether it is never content, in an article, a link or (the number of) a table of an
+    article, and the elements around it whose names speak against them, or that are headers."""
+    __slots__ = ("never", "article", "link", "table", "named")
+
+    def __init__(self, never=False, article=False, link=False, table=0, named=()):
+        self.never, self.article, self.link, self.table, self.named = never, article, link, table, named
+
+
+class Element:
+    """A named element or header of a page, and its text in and outside links."""
+    __slots__ = ("kind", "plain", "linked", "article", "title")
+
+    def __init__(self, kind):
+        self.kind, self.plain, self.linked, self.article, self.title = kind, 0, 0, 0, False
 
 
 class TagEnds:
@@ -131,10 +159,10 @@ class TagEnds:
         return result
 
 
-def nodes(page: str):
-    """Text nodes as (block number, path, text, never content, excluded by name, inside an article, inside a link)."""
-    # open elements: (tag, path, never, by name, article, link)
-    stack, block, at = [("", "", False, False, False, False)], 0, 0
+def nodes(page: str, titles: list):
+    """Text nodes as (block number, path, text, ``Inside``); ``titles`` gets the tag of each h1 and h2 and where it is."""
+    # open elements: (tag, path, inside)
+    stack, block, at, tables = [("", "", Inside())], 0, 0, 0
     n, look, ends = len(page), 0, TagEnds(page)
     while at < n:
         found = TAG.search(page, look)
@@ -147,8 +175,7 @@ def nodes(page: str):
                 look = found.end()
                 continue
         if found.start() > at:
-            _, path, never, named, article, link = stack[-1]
-            yield block, path, page[at:found.start()], never, named, article, link
+            yield block, stack[-1][1], page[at:found.start()], stack[-1][2]
         at = look = end
         if not found[2]:
             continue
@@ -156,7 +183,7 @@ def nodes(page: str):
         if tag not in INLINE and tag not in ("script", "style", "noscript", "template"):
             block += 1
         elif tag == "br":
-            yield block, stack[-1][1], " ", *stack[-1][2:]
+            yield block, stack[-1][1], " ", stack[-1][2]
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -186,21 +213,36 @@ def nodes(page: str):
             continue
         if tag in VOID or attributes.rstrip().endswith("/") and tag in ("path", "svg"):
             continue
-        _, path, never, named, article, link = stack[-1]
-        stack.append((tag, f"{path}/{tag}", never or tag in NEVER or tag == "header" and not article,
-                      tag != "main" and (named or excluded_by_name(tag, attributes)), article or tag in ("article", "main") or "articleBody" in attributes,
-                      link or tag == "a"))
+        _, path, around = stack[-1]
+        says = spoken_against(tag, attributes)
+        article = around.article or tag in ("article", "main") or "articleBody" in attributes
+        own = Inside(around.never or tag in NEVER or says == HIDDEN, article, around.link or tag == "a", around.table, around.named)
+        if tag == "main":
+            own.named = ()
+        elif tag == "header" and not article:
+            own.named = (*own.named, Element("header"))
+        elif says in (NAMED, DOUBTED):
+            own.named = (*own.named, Element(says))
+        if tag == "table" and article and not own.table:
+            tables += 1
+            own.table = tables
+        if tag in ("h1", "h2"):
+            titles.append((tag, own))
+        # all of a table has one path
+        stack.append((tag, path if around.table else f"{path}/{tag}", own))
     if at < n:
-        yield block, stack[-1][1], page[at:], *stack[-1][2:]
+        yield block, stack[-1][1], page[at:], stack[-1][2]
 
 
 def path_scores(found) -> dict:
-    """Smoothed and fused score per path, from (path, text, inside a link)."""
+    """Smoothed and fused score per path, from (path, text, inside a link, table or 0); a table is one text."""
     sums: dict = {}
-    for path, text, link in found:
+    tables = set()
+    for path, text, link, table in found:
         s = sums.setdefault(path, [0, 0, 0, 0])
         size = len(text)
-        s[0] += 1
+        s[0] += not table or table not in tables
+        tables.add(table)
         s[1] += size
         s[2] += len(PUNCTUATION.findall(text))
         s[3] += size if link else 0
@@ -218,27 +260,60 @@ def path_scores(found) -> dict:
     return {p: plain[k] * (smooth(length, k) + smooth(marks, k)) for k, p in enumerate(paths)}
 
 
+def judged(found: list, titles: list) -> dict:
+    """Whether each named element or header counts (1), counts half (0.5) or not at all (0)."""
+    every: dict = {}
+    total = articles = 0
+    for _, text, at in found:
+        size = len(text.strip())
+        total += 0 if at.link else size
+        articles += size if at.article and not at.link else 0
+        for e in at.named:
+            every.setdefault(id(e), e)
+            e.plain += 0 if at.link else size
+            e.linked += size if at.link else 0
+            e.article += size if at.article and not at.link else 0
+    first = next((at for tag, at in titles if tag == "h1" and not at.never), None)
+    titled = any(at.article and not at.never for _, at in titles)
+    out = {}
+    for key, e in every.items():
+        if e.kind == "header":
+            out[key] = float(first is not None and any(x is e for x in first.named) and not titled and e.linked <= e.plain)
+        elif 2 * e.plain >= total and articles - e.article < OWN * total:
+            out[key] = 1.0
+        else:
+            out[key] = 0.5 if e.kind == DOUBTED else 0.0
+    return out
+
+
 def main_text(page) -> str:
     """The main text of one page."""
+    titles: list = []
+    found = [(block, path, html.unescape(text), at) for block, path, text, at in nodes(page or "", titles) if not at.never]
+    weight = judged([x[1:] for x in found], titles)
     blocks: dict = {}
-    for block, path, text, never, named, article, link in nodes(page or ""):
-        if not (never or named):
-            blocks.setdefault(block, []).append((path, html.unescape(text), article, link))
+    for block, path, text, at in found:
+        counts = min((weight.get(id(e), 1.0) for e in at.named), default=1.0)
+        if counts:
+            # a title's header stays with the article
+            article = at.article or any(e.kind == "header" for e in at.named)
+            blocks.setdefault(block, []).append((path, text, article, at.link, at.table, counts))
     every = [x for parts in blocks.values() for x in parts if x[1].strip()]
     plain = [x for x in every if not x[3]]
     majority = sum(len(x[1].strip()) for x in plain if x[2]) > MAJORITY * sum(len(x[1].strip()) for x in plain)
-    # a path can be inside an article in one place and outside in another
-    scores = path_scores([((x[0], x[2]), x[1].strip(), x[3]) for x in every if x[2] or not majority])
+    # a path can be inside an article, or a doubted element, in one place and outside in another
+    scores = path_scores([((x[0], x[2], x[5]), x[1].strip(), x[3], x[4]) for x in every if x[2] or not majority])
+    scores = {k: score * k[2] for k, score in scores.items()}
     size = {k: 0 for k in scores}
-    for path, text, article, _ in every:
-        if (path, article) in size:
-            size[path, article] += len(text.strip())
+    for path, text, article, _, _, counts in every:
+        if (path, article, counts) in size:
+            size[path, article, counts] += len(text.strip())
     mean = sum(scores[k] * n for k, n in size.items()) / max(1, sum(size.values()))
     chosen = {k for k, score in scores.items() if score * (INSIDE if k[1] else 1) >= SHARE * mean}
     out = []
     for parts in blocks.values():
         parts = [x for x in parts if x[2] or not majority]
-        if any((x[0], x[2]) in chosen and x[1].strip() for x in parts):
+        if any((x[0], x[2], x[5]) in chosen and x[1].strip() for x in parts):
             if line := " ".join("".join(x[1] for x in parts).split()):
                 out.append(line)
     return "\n".join(out)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import q
-from tabsmith.llm.common import n_words
+from tabsmith.llm.common import free_name, n_words
 from tabsmith.operators.rows import with_position
 from tabsmith.session import cut_lineage
 
@@ -78,10 +78,11 @@ def with_rates(docs: DataFrame, targets: DataFrame, source_col: str = "source")
     The table of sources is broadcast only when its measured size is small;
     beyond that the join shuffles and AQE splits a hot source."""
     size = targets.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)))).first()
-    t = targets.withColumnRenamed("source", "__source")
+    name = free_name("__source", docs, targets)
+    t = targets.withColumnRenamed("source", name)
     if size[0] * 40 + (size[1] or 0) <= BROADCAST_BYTES:
         t = F.broadcast(t)
-    return docs.join(t, F.col(q(source_col)).eqNullSafe(F.col("__source")), "left").drop("__source")
+    return docs.join(t, F.col(q(source_col)).eqNullSafe(F.col(name)), "left").drop(name)
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, seed: int = 0,
@@ -100,9 +101,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     sized = docs.select(F.col(q(source_col)).alias("source"), n_words(F.col(q(text_col))).alias("size"))
-    targets = cut_lineage(source_targets(sized, weights, max_repeat)).select("source", F.col("rate").alias("__rate"))
+    rate, n = free_name("__rate", docs), free_name("__n", docs)
+    targets = cut_lineage(source_targets(sized, weights, max_repeat)).select("source", F.col("rate").alias(rate))
     return (with_rates(docs, targets, source_col)
-            .withColumn("__n", copies(F.col("__rate"), F.col(q(id_col)), F.col(q(text_col)), seed))
-            .filter(F.col("__n") > 0)
-            .withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+            .withColumn(n, copies(F.col(rate), F.col(q(id_col)), F.col(q(text_col)), seed))
+            .filter(F.col(n) > 0)
+            .withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
             .select(*[F.col(q(c)) for c in docs.columns]))

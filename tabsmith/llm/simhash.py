@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import q
-from tabsmith.llm.common import words_of
+from tabsmith.llm.common import free_name, words_of
 from tabsmith.llm.components import connected_components
 from tabsmith.session import cut_lineage
 
@@ -273,9 +273,12 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_co
                      text_col: str = "text") -> DataFrame:
     """One row of each group of ``docs``: its first by id (nulls last), then by the hash of the text.
 
-    The texts are shuffled once, by the key that also finds repeated rows."""
+    The texts are shuffled once, by a hash of (id, hash of the text): rows that
+    are dropped as repeats have it in common, so they already lie together."""
     found = near_groups(docs, shingle, max_bits, id_col, text_col, row_key=True)
-    first = found.select(F.col("first.id").alias("__id"), F.col("first.row_hash").alias("__first")).distinct()
-    d = docs.withColumn("__hash", F.xxhash64(F.col(q(text_col))))
-    mine = F.col(q(id_col)).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__first"))
-    return d.join(first, mine, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash")
+    key, own, other_key, other_id, other = (free_name(x, docs) for x in ("__key", "__hash", "__first_key", "__first_id", "__first"))
+    first = found.select(F.col("first.id").alias(other_id), F.col("first.row_hash").alias(other)).distinct()
+    first = first.withColumn(other_key, F.xxhash64(other_id, other))
+    d = docs.withColumn(own, F.xxhash64(F.col(q(text_col)))).withColumn(key, F.xxhash64(F.col(q(id_col)), F.col(own)))
+    mine = (F.col(key) == F.col(other_key)) & F.col(q(id_col)).eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other))
+    return d.join(first, mine, "left_semi").dropDuplicates([key, id_col, own]).drop(key, own)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import q
+from tabsmith.llm.common import free_name
 from tabsmith.session import cut_lineage
 
 LAST = "\U0010ffff"  # sorts after every key that begins with what stands before it
@@ -106,13 +107,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_
     points = pairs.select("host", "path", F.explode(parents(F.col("host"))).alias("domain"))
     points = points.select(canonical(F.col("domain"), F.col("path")).alias("key"), "host", "path")
     found = sweep(points, rule_events(rules)).filter("top is not null")
-    best = found.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(
-        F.max(F.struct(F.length("top.rule").alias("length"), F.col("top"))).alias("best"))
-    best = best.select("h", "p", F.col("best.top.rule").alias("__rule"), F.col("best.top.verdict").alias("__verdict"))
-    out = d.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("length"), F.col("top"))).alias("best"))
+    h, p, top = (free_name(x, d) for x in ("__h", "__p", "__top"))  # names that the pages don't have
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.top").alias(top))
+    out = d.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     keep = [c for c in d.columns if c.lower() not in ("rule", "verdict")]
-    return out.select(*[F.col(q(c)) for c in keep], F.col("__rule").alias("rule"),
-                      F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+    return out.select(*[F.col(q(c)) for c in keep], F.col(top)["rule"].alias("rule"),
+                      F.coalesce(F.col(top)["verdict"], F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:

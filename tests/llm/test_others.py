@@ -148,6 +148,105 @@ def test_html_articles_are_a_factor_of_the_path_scores():
     assert htmltext.main_text(f"<body>{links}<article>{prose}</article></body>").count("\n") == 0
 
 
+PROSE = "<p>This is a long paragraph of the story, with commas, and with full stops. It goes on for a while.</p>"
+
+
+def test_html_names_of_wrappers():
+    """A word of a wrapper's class doesn't cost the article inside."""
+    menu = "<ul class=nav><li><a href=x>Menu</a></li></ul>"
+    for name in ("content-sidebar-wrap", "post category-social", "page-with-sidebar", "free-form text", "site search-results",
+                 "l-form-content", "ad-free", "sidebar", "comments", "content form"):
+        for page in (f"<body>{menu}<div class='{name}'>{PROSE * 4}</div></body>", f"<div id='{name}'><div><div>{PROSE * 4}</div></div></div>",
+                     f"<div class='{name}'><article class='post'>{PROSE * 4}</article></div>"):
+            text = htmltext.main_text(page)
+            assert text.count("long paragraph") == 4 and "Menu" not in text
+    assert htmltext.main_text(f'<article class="post tag-social category-sponsored">{PROSE * 4}</article>').count("long") == 4
+    # and the same names on the smaller part are still menus, adverts and comments
+    small = "<p>This is said by somebody else, at some length, and ends here.</p>"
+    for name in ("sidebar", "site-ad", "comment-list", "cookie-notice", "newsletter-signup", "related", "socialShare"):
+        text = htmltext.main_text(f"<body><div>{PROSE * 4}</div><div class='{name}'>{small}</div></body>")
+        assert text.count("long paragraph") == 4 and "somebody" not in text
+    # comments longer than the article don't become the article
+    text = htmltext.main_text(f"<article>{PROSE * 3}</article><div class=comments>{small * 30}</div>")
+    assert text.count("long paragraph") == 3 and "somebody" not in text
+    assert htmltext.main_text(f"<div hidden>{PROSE * 9}</div><p>Seen, here.</p>") == "Seen, here."
+
+
+def test_html_tables_and_headers():
+    cells = "<table><tr><th>Year</th><td>1</td></tr><tr><td>1999</td><td>2</td></tr></table>"
+    assert htmltext.main_text(f"<article>{PROSE * 3}{cells}{PROSE}</article>").split("\n")[3:7] == ["Year", "1", "1999", "2"]
+    title = htmltext.main_text(f"<header><h1>Its title</h1><a href=x>Home</a></header><article>{PROSE * 3}</article>")
+    assert title.startswith("Its title")
+    for page in (f"<header><h1>Site</h1></header><article><h1>Own</h1>{PROSE * 3}</article>",
+                 f"<header><h1>Site</h1><a href=a>Many links</a><a href=b>and more of them</a></header><article>{PROSE * 3}</article>",
+                 f"<header>Site</header><article>{PROSE * 3}</article>"):
+        assert "Site" not in htmltext.main_text(page)
+
+
+def _plain_article(page):
+    """Text of the article element by the standard library's parser: blocks in page order."""
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.lines = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            if tag == "br" and self.inside:
+                self.lines[-1] += " "
+            elif tag not in htmltext.INLINE:
+                self.lines.append("")
+
+        def handle_endtag(self, tag):
+            if tag not in htmltext.INLINE:
+                self.lines.append("")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.lines[-1] += data
+    reader = Reader()
+    reader.feed(re.sub(r"(?is)<(script|style)\b.*?</\1>", "", page or ""))
+    reader.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in reader.lines) if x)
+
+
+def test_html_all_pages_against_another_parser(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    out = {r["page_id"]: r for r in queries.op7_html_extraction(spark, sf).collect()}
+    rows = pages.collect()
+    assert len(out) == len(rows)
+    for r in rows:
+        want = _plain_article(r["html"])
+        assert out[r["page_id"]]["text"] == want and out[r["page_id"]]["n_chars"] == len(want)
+
+
+def test_html_generated_pages():
+    """Pages without article elements, with wrappers of any name and decoys: the story, and nothing else."""
+    rng = random.Random(11)
+    names = ["content-sidebar-wrap", "page", "post category-social", "ad-free", "wrap", "main-content", "entry"]
+    for _ in range(60):
+        story = [" ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "omega"]) for _ in range(rng.randrange(25, 60))) for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        for _ in range(rng.randrange(0, 3)):
+            body = f'<div class="{rng.choice(names)}">{body}</div>'
+        decoys = ["<nav>" + "<a href=x>Decoy</a> " * 5 + "</nav>", "<div class=ad>Decoy, buy it now.</div>", "<footer>Decoy, all of it.</footer>",
+                  "<aside>Decoy, too.</aside>", "<script>var decoy = '</p>Decoy';</script>", "<div class='cookie-notice'>Decoy. We bake, we eat.</div>",
+                  "<form>Decoy <input></form>", "<div id=comments><p>Decoy, said a reader.</p></div>"]
+        before, after = rng.sample(decoys, 3), rng.sample(decoys, 3)
+        assert htmltext.main_text("<body>" + "".join(before) + body + "".join(after) + "</body>") == "\n".join(story)
+
+
+def test_html_repeated_rows_and_columns(spark):
+    rows = [(1, f"<article>{PROSE}</article>", "t"), (1, f"<article>{PROSE}</article>", "t"), (2, None, "t"), (2, "", "t")]
+    out = htmltext.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
+    assert sorted(len(r["text"]) for r in out) == [0, 0, 100, 100] or sorted(r["text"] for r in out)[:2] == ["", ""]
+
+
 def test_html_long_quoted_values():
     for q in "\"'":
         for size in (100, 9_000, 300_000):
@@ -173,7 +272,7 @@ def test_licences(spark, sf):
     out = {(r["doc_id"], r["place"]): r["family"] for r in scanner.scan(docs).collect()}
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit",
              "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
-             "Licensed under the Apache License, Version 2.0.": "apache-2.0"}
+             "Licensed under the Apache License, Version 2.0.": "apache-2.0", "All rights reserved.": "all-rights-reserved"}
     want = {(r["doc_id"], k): lines[line] for r in docs.collect() for k, line in enumerate(r["text"].split("\n")) if line in lines}
     assert out == want and want
     held = [(1, "Dieses Werk: licensed under the Mozilla Public License, version 2.0"), (2, None), (3, ""), (4, "the license of the public"),
@@ -287,3 +386,23 @@ def test_pipeline_stages_on_odd_tables(spark, sf):
             assert stage(spark, docs, sf).columns == odd.columns
             stage(spark, docs, sf).collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+
+
+def test_columns_of_the_operators_own_names(spark):
+    """Extra columns may have any name: they come through, with their values."""
+    from tabsmith.llm import mixing, simhash
+    names = ["h", "p", "__h", "__p", "__top", "__rate", "__n", "__hash", "__key", "__first", "__source", "rate", "id", "fp"]
+    extra = [F.lit(k).alias(x) for k, x in enumerate(names)]
+
+    def same(rows):
+        return all(r[x] == k for r in rows for k, x in enumerate(names))
+    pages = spark.createDataFrame([(1, "https://a.net/x"), (2, None), (2, None)], "page_id long, url string").select("*", *extra)
+    out = urls.filter_urls(pages, urls.rule_table(spark, queries.URL_RULES)).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in out) == [(1, "block"), (2, "allow"), (2, "allow")] and same(out)
+    docs = spark.createDataFrame([(k, f"word{k % 3} " * 30, "s") for k in range(30)] + [(0, "word0 " * 30, "s"), (None, "word0 " * 30, None)],
+                                 "doc_id long, text string, source string").select("*", *extra)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and same(mixed.collect())
+    kept = simhash.drop_near_copies(docs)
+    rows = kept.collect()
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in rows) == [0, 1, 2] and same(rows)
