@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the code points cuts each text where its value says so
-(moved to the next space, which begins the next chunk), so a passage that documents share is cut alike in
+(moved to the next white space, which begins the next chunk), so a passage that documents share is cut alike in
 all of them; a chunk is encoded once by a worker and found again by its text.
 For tokenizers that drop white space, the pieces between the spaces of a new
 chunk are reused in the same way: the library only sees pieces that a worker
@@ -16,20 +16,24 @@ latest: the two whole chunks), and its ids replace theirs.  Results are those
 of encoding the whole text.
 
 The job is one pass over the texts without a shuffle, so the reuse holds within
-a worker (its caches live as long as it does, and are bounded in entries; an
-evicted entry is encoded again).  Sharing chunks between workers would shuffle
+a worker (its caches live as long as it does, and are bounded in entries and in
+bytes; an evicted entry is encoded again, and one of more than ``LARGEST`` bytes
+isn't kept at all).  Sharing chunks between workers would shuffle
 every chunk's text and ids, several times the input.
 
 Decoding joins the vocabulary's strings of the ids, as the library does for a
 tokenizer without a decoder part; for others the library's decode is called.
 
 Edge cases: a null text counts as empty and gives no ids and an empty text;
-very long texts are cut like others; a batch is worked on in slices of
+very long texts are cut like others (a text without white space is one chunk,
+encoded as a whole and not kept); a batch is worked on in slices of
 ``SLICE_BYTES``; special tokens' strings in a text become their ids, as in the
 library's default.
 """
 
 import os
+import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +50,15 @@ GROUP = 64                     # words encoded as one string
 MEAN_CHUNK = 1024              # code points between cuts, on average
 PIECES = 600_000               # pieces,
 CHUNKS = 8_000                 # chunks and windows a worker remembers
+PIECE_BYTES, CHUNK_BYTES = 128 << 20, 48 << 20  # and their bytes, about
+LARGEST = 64 << 10             # bytes of the largest entry that is kept
+SPACE = re.compile("[ \\t-\\r]")
 MARKS = ".,;:!?"               # marks that a word may be followed by
 _BASE = 0x01000193
 
 
 def chunk_ends(text: str, mean: int = MEAN_CHUNK) -> list[int]:
-    """Where chunks end: at the first space after a window whose rolling hash is 0 modulo ``mean``."""
+    """Where chunks end: at the first white space after a window whose rolling hash is 0 modulo ``mean``."""
     if len(text) < 2 * WINDOW:
         return [len(text)]
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -64,21 +71,23 @@ def chunk_ends(text: str, mean: int = MEAN_CHUNK) -> list[int]:
     ends, at = [], 0
     for hit in hits.tolist():
         if hit >= at:
-            at = text.find(" ", hit)
-            if at < 0:
+            found = SPACE.search(text, hit)
+            if found is None:
                 break
+            at = found.start()
             ends.append(at)
     return [*ends, len(text)]
 
 
 class Cache:
-    """The last ``most / 2`` to ``most`` entries used: a young and an old half.
+    """The last ``most / 2`` to ``most`` entries used, of about ``size`` bytes at most: a young and an old half.
 
     When the young half is full it becomes the old one, and what was old and
     not asked for since is forgotten (to be computed again if it comes back)."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, size: int):
         self.half, self.young, self.old = most // 2, {}, {}
+        self.half_size, self.size = size // 2, 0  # of the young half
 
     def get(self, key):
         found = self.young.get(key)
@@ -87,9 +96,13 @@ class Cache:
         return found
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
+        size = sys.getsizeof(key) + sys.getsizeof(value) + 100  # and its place in the table
+        if size > LARGEST:
+            return
+        if len(self.young) >= self.half or self.size + size > self.half_size:
+            self.old, self.young, self.size = self.young, {}, 0
         self.young[key] = value
+        self.size += size
 
 
 class Codec:
@@ -106,7 +119,8 @@ class Codec:
         plain = not any(set(t.content) & set(MARKS + " \n") for t in self.tokenizer.get_added_tokens_decoder().values())
         self.spaceless = plain and self.raw([" a1\n  b, \né. c?! "])[0] == b"".join(
             self.raw(["a1", "b", ",", "é", ".", "c", "?!"]))
-        self.pieces, self.chunks, self.joins = Cache(PIECES), Cache(CHUNKS), Cache(CHUNKS)
+        self.pieces = Cache(PIECES, PIECE_BYTES)
+        self.chunks, self.joins = Cache(CHUNKS, CHUNK_BYTES), Cache(CHUNKS, CHUNK_BYTES)
         self.parted = {}  # last characters of words: whether marks after them are pieces of their own
         of = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.tokens = [of.get(i, "") for i in range(max(of) + 1)]

@@ -230,6 +230,29 @@ def test_bpe_words_that_end_in_marks_once_normalised(file):
         assert codec.encode([text])[0].tolist() == tool.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_texts_without_spaces_dont_fill_the_caches(file, monkeypatch):
+    import sys
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1 << 20)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 1 << 20)
+    path = public_tokenizers.path(file)
+    tool, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("漢字かな交じり文の例", k=20_000)) for _ in range(6)]
+    texts += ["".join(rng.choices("ABCDEFGHabcdefgh0123+/", k=20_000)) for _ in range(6)]
+    texts += ["\n".join(rng.choices(["one", "zwei", "trois,", "漢字", "4\t5"], k=8_000)) for _ in range(6)]
+    texts += ["\t".join(f"w{rng.randrange(9 ** 6)}" for _ in range(4_000)) for _ in range(6)]
+    assert max(len(bpe.chunk_ends(t)) for t in texts[:12]) == 1 and min(len(bpe.chunk_ends(t)) for t in texts[12:]) > 5
+    for text in texts:
+        assert codec.encode([text])[0].tolist() == tool.encode(text, add_special_tokens=False).ids
+    for cache in (codec.pieces, codec.chunks, codec.joins):
+        held = sum(sys.getsizeof(k) + sys.getsizeof(v) for half in (cache.young, cache.old) for k, v in half.items())
+        assert held <= 1 << 20
+
+
 # --------------------------------------------------------------------- rules
 
 def slow_rules(text):
