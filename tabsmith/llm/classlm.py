@@ -166,7 +166,8 @@ def pairs_of(encoded: DataFrame, clustered: int) -> DataFrame:
                    .groupBy("a", "b").agg(F.sum("n").alias("n"))
     sides = F.array(F.struct(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("o"), F.col("n")),
                     F.struct(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("o"), F.col("n")))
-    rows = pairs.select(F.inline(sides))
+    # the rounds read the table again and again: dealt out once, for all of them
+    rows = pairs.select(F.inline(sides)).repartition(4 * encoded.sparkSession.sparkContext.defaultParallelism, "w")
     return cut_lineage(rows.groupBy("w").agg(F.collect_list(F.struct("side", "o", "n")).alias("near")))
 
 
@@ -211,7 +212,6 @@ def _near(batch):
 def exchange(near: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the clustered words (the end has class ``classes``) and their class bigrams."""
     k = classes + 1
-    spark = near.sparkSession
 
     def bigrams(own: np.ndarray) -> np.ndarray:
         def run(batches):
@@ -241,7 +241,7 @@ def exchange(near: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[
                 mine = np.flatnonzero((w % 2 == half) & (w < n_words))
                 new = [best_class(n, fn, own[w[i]], seen[i, 0], seen[i, 1], twice[i], classes) for i in mine.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(w[mine], pa.int32()), pa.array(new, pa.int32())], ["w", "c"])
-        return {r["w"]: r["c"] for r in near.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, "w int, c int").collect()}
+        return {r["w"]: r["c"] for r in near.mapInArrow(run, "w int, c int").collect()}
 
     own = np.append(np.arange(n_words) % classes, classes).astype(np.int64)
     n = bigrams(own)
@@ -280,7 +280,8 @@ def place(contexts: DataFrame, bigrams: np.ndarray, classes: int) -> DataFrame:
                 out[a:b] = np.round(sums, 6).argmax(1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("word"), pa.array(out)], ["id", "word", "c"])
     assert gain.shape == (2 * k, classes)
-    packed = contexts.groupBy("id", "word", "code").agg(F.sum("n").alias("n")) \
+    # one shuffle: words that aren't clustered are rare, so none fills a partition
+    packed = contexts.repartition("id", "word").groupBy("id", "word", "code").agg(F.sum("n").alias("n")) \
                      .groupBy("id", "word").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("seen"))
     return packed.mapInArrow(run, "id int, word string, c int")
 
