@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.core import c, is_numeric
+from tabsmith.operators.frequent import top_values
 from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.operators.windows import fill_bfill_ffill, trailing_mean
 
@@ -112,13 +113,11 @@ def impute_numeric(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent non-null value per column; smallest value on ties.
-    Value counts of all columns in one aggregation, then one ``min_by`` per column."""
+    """Most frequent non-null value per column; smallest value on ties.  Only
+    proposed values are counted and shuffled (``frequent``)."""
     if not cols:
         return {}
-    from tabsmith.operators.profile import describe_categorical
-    rows = describe_categorical(df, cols).select("column_name", "top").collect()
-    got = {r[0]: r[1] for r in rows}
+    got = {r["column_name"]: r["value"] for r in top_values(df, cols, 1).collect()}
     return {x: got.get(x) for x in cols}
 
 
@@ -196,19 +195,13 @@ def scale(df: DataFrame, params: dict[str, tuple[float | None, float]]) -> DataF
 
 def fit_reduce_cardinality(df: DataFrame, cols: Sequence[str], max_unique: int = 20) -> dict[str, list]:
     """Top ``max_unique`` values per column by (count desc, value asc), null
-    counted as a value.  Result bounded by max_unique x columns."""
+    counted as a value.  Only proposed values are counted and shuffled
+    (``frequent``); the result is bounded by max_unique x columns."""
     if not cols:
         return {}
-    from pyspark.sql import Window
-    from tabsmith.operators.profile import value_counts
-    vc = value_counts(df, cols, dropna=False)
-    # per-column window over distinct values after a top-k filter pushed below
-    # the shuffle (WindowGroupLimit): each task keeps max_unique rows per column
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
-    top = vc.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_unique)
     out: dict[str, list] = {x: [] for x in cols}
-    for r in top.select("column_name", "value").collect():
-        out[r[0]].append(r[1])
+    for r in sorted(top_values(df, cols, max_unique, include_null=True).collect(), key=lambda r: r["rank"]):
+        out[r["column_name"]].append(r["value"])
     return out
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabsmith.operators.frequent import small_value_counts, top_values
 from tabsmith.operators.quantiles import exact_quantiles
 from tabsmith.functions.core import (
     FLOAT_TYPES, TEMPORAL_TYPES, c, categorical_columns, is_numeric, nan_to_null, numeric_columns, q, safe_div,
@@ -163,14 +164,10 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 def value_counts_small(df: DataFrame, max_unique: int = 20, columns: Sequence[str] | None = None) -> DataFrame:
     """Value counts (nulls included) of the categorical columns that have at
-    most ``max_unique`` distinct non-null values."""
+    most ``max_unique`` distinct non-null values.  A column with more is found
+    out by its sketch: its values are never counted or shuffled."""
     cols = list(columns) if columns is not None else categorical_columns(df)
-    vc = value_counts(df, cols, dropna=False)
-    per_col = (vc.where(F.col("value").isNotNull()).groupBy("column_name")
-               .agg(F.count(F.lit(1)).alias("n_unique"))
-               .where(F.col("n_unique") <= max_unique))
-    # one row per column: size bounded by the schema width
-    return vc.join(F.broadcast(per_col), "column_name").select("column_name", "value", "count", "n_unique")
+    return small_value_counts(df, cols, max_unique)
 
 
 def missing_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
@@ -308,19 +305,11 @@ def column_distribution_categorical(df: DataFrame, column: str, top_n: int = 20,
                                     include_null: bool = False) -> DataFrame:
     """Top-N values with counts (ties by value) plus table-level counts."""
     x = c(column).cast("string")
-    base = df.select(x.alias("value"))
-    counts = base.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
-    totals = counts.agg(F.sum("count").cast("bigint").alias("total_count"),
-                        F.sum(F.when(F.col("value").isNull(), F.col("count")).otherwise(0))
-                        .cast("bigint").alias("null_count"),
-                        F.count("value").alias("distinct_count"))
-    pool = counts if include_null else counts.where(F.col("value").isNotNull())
-    top = pool.orderBy(F.col("count").desc(), F.col("value").asc_nulls_first()).limit(top_n)
-    from pyspark.sql import Window
-    top = top.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())).cast("bigint"))
+    totals = df.agg(F.count(F.lit(1)).alias("total_count"), F.count_if(x.isNull()).alias("null_count"),
+                    F.count_distinct(x).alias("distinct_count"))
+    top = top_values(df, [column], top_n, include_null)
     return (top.crossJoin(totals)  # one-row side
-            .select(F.lit(column).alias("column_name"), "rank", "value", "count", "total_count",
+            .select(F.lit(column).alias("column_name"), F.col("rank").cast("bigint").alias("rank"), "value", "count", "total_count",
                     "null_count", (F.col("total_count") - F.col("null_count")).alias("non_null_count"),
                     "distinct_count"))
 
@@ -534,8 +523,7 @@ def summary_facts(df: DataFrame) -> DataFrame:
 
 def typical_row(df: DataFrame) -> DataFrame:
     """One row - mean of numeric columns, most frequent value (smallest on
-    ties) of the others.  ``mode`` keeps a value->count map per column, so
-    high-cardinality text columns use the shared value-count table instead."""
+    ties) of the others, for which only proposed values are counted."""
     out = []
     for f in df.schema.fields:
         if is_numeric(f.dataType):
@@ -543,8 +531,7 @@ def typical_row(df: DataFrame) -> DataFrame:
     num = df.agg(*out) if out else None
     cats = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
     if cats:
-        dc = describe_categorical(df, cats)
-        wide = dc.groupBy().pivot("column_name", cats).agg(F.first("top"))
+        wide = top_values(df, cats, 1).groupBy().pivot("column_name", cats).agg(F.first("value"))
         wide = wide.select(*[c(x) for x in cats])
         res = num.crossJoin(wide) if num is not None else wide  # one-row sides
     else:
