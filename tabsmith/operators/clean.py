@@ -10,6 +10,7 @@ smooth after impute), as the reference pipeline does.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -45,6 +46,7 @@ class CleaningConfig:
     remainder: str = "passthrough"   # or "drop" (reference behaviour)
     one_hot_encoding: str = "dense"           # or "sparse": one vector per column
     max_dense_categories: int | None = None   # a limit of the caller's, above which columns are sparse
+    id_col: str | None = None                 # row key: never cleaned; new rows of a balanced class have none
 
 
 @dataclass
@@ -312,74 +314,138 @@ def high_cardinality(df: DataFrame, cols: Sequence[str], threshold: int = 100, e
 # C12 / C13 composed runs, C14 / C15 reports
 # ---------------------------------------------------------------------------
 
+def _numeric_aggs(cols: Sequence[str], tag: str = "") -> list:
+    aggs = []
+    for i, x in enumerate(cols):
+        v = present(x)
+        aggs += [F.count(v).alias(f"{tag}n{i}"), F.avg(v).alias(f"{tag}m{i}"), F.stddev_pop(v).alias(f"{tag}s{i}"),
+                 F.min(v).alias(f"{tag}lo{i}"), F.max(v).alias(f"{tag}hi{i}")]
+    return aggs
+
+
+def _moments(row, cols: Sequence[str], tag: str = "") -> dict[str, dict]:
+    return {x: {k: row[f"{tag}{k}{i}"] for k in ("n", "m", "s", "lo", "hi")} for i, x in enumerate(cols)}
+
+
+def _imputed(st: dict, rows: int, value: float | None) -> dict:
+    """Statistics of a column once its gaps hold ``value``: with mean m and M2 of the n present values, and g gaps,
+    mean' = (n m + g v) / (n + g) and M2' = M2 + n (m - mean')^2 + g (v - mean')^2."""
+    gaps = rows - st["n"]
+    if value is None or not gaps:
+        return st
+    if not st["n"]:
+        return {"n": rows, "m": value, "s": 0.0, "lo": value, "hi": value}
+    mean = (st["n"] * st["m"] + gaps * value) / rows
+    m2 = st["n"] * (st["s"] or 0.0) ** 2 + st["n"] * (st["m"] - mean) ** 2 + gaps * (value - mean) ** 2
+    return {"n": rows, "m": mean, "s": math.sqrt(m2 / rows), "lo": min(st["lo"], value), "hi": max(st["hi"], value)}
+
+
 def clean(df: DataFrame, cfg: CleaningConfig, target: str | None = None) -> CleanResult:
     """Composed cleaning run.  Returns the cleaned frame (lazy), the fitted
     values and a small report.  ``remainder='drop'`` reproduces the
-    reference, which loses every column no active step touches."""
+    reference, which loses every column no active step touches.
+
+    The steps are fitted together: one aggregate gives the moments of the
+    numeric columns, the sketches of the text columns and the constant columns;
+    the statistics after imputation follow from them, so do the cap's bounds,
+    and the scale unless the cap changes a column (those columns are scanned
+    once more).  A second scan counts the text columns' proposed values, from
+    which mode, kept categories and one-hot columns follow.  Smoothing and
+    removing duplicates store their result."""
     if cfg.handle_imbalanced_data and not target:
         raise ValueError("balancing classes needs a target")
     fitted: dict = {}
     report: dict = {}
-    from pyspark import StorageLevel
+    from tabsmith.operators.frequent import candidates
     from tabsmith.session import cut_lineage
-    out = df
-    if cfg.remove_duplicates:
-        # later fits re-read this frame several times: keep it (spills to disk)
-        out = drop_duplicates(out).persist(StorageLevel.MEMORY_AND_DISK)
-        report["persisted"] = [out]
-    roles = column_roles(out, exclude=[target] if target else [])
+    out = cut_lineage(drop_duplicates(df)) if cfg.remove_duplicates else df
+    roles = column_roles(out, exclude=[x for x in (target, cfg.id_col) if x])
     num, cat = list(roles["numeric"]), list(roles["categorical"])
-    # constant columns (numeric variance 0, text <= 1 distinct incl. null)
-    from tabsmith.operators.rows import constant_columns
-    consts = [r[0] for r in constant_columns(out.select(*[c(x) for x in num + cat])).where("is_constant")
-              .select("column_name").collect()] if (num or cat) else []
+    num_active = cfg.handle_missing_values or cfg.smooth_noisy_data or cfg.handle_outliers or cfg.feature_scaling
+    cat_active = cfg.handle_missing_values or cfg.reduce_cardinality or cfg.encode_categorical_values
+    # scan 1: everything that is known without another column's or step's result
+    aggs = _numeric_aggs(num, "v_")
+    for i, x in enumerate(cat):
+        aggs += [F.count(c(x)).alias(f"c{i}"), (F.min(c(x)) == F.max(c(x))).alias(f"same{i}"), F.approx_count_distinct(c(x)).alias(f"d{i}")]
+    proposed = candidates(out, cat if cat_active else [], aggs)
+    row = proposed[2]
+    rows, stats = row["rows"], _moments(row, num, "v_")
+    # constant: numeric columns without two different values, text columns of one value (null is one)
+    filled = {x: row[f"c{i}"] for i, x in enumerate(cat)}
+    consts = [x for x in num if stats[x]["n"] < 2 or stats[x]["lo"] == stats[x]["hi"]]
+    consts += [x for i, x in enumerate(cat) if not filled[x] or filled[x] == rows and row[f"same{i}"]]
     report["dropped_constant"] = consts
-    num = [x for x in num if x not in consts]
-    cat = [x for x in cat if x not in consts]
-    out = out.drop(*consts)
     if cfg.reduce_cardinality or cfg.encode_categorical_values:
-        report["high_cardinality"] = [r[0] for r in high_cardinality(
-            out, cat, cfg.high_cardinality_warning_threshold, exact=False).collect()] if cat else []
+        report["high_cardinality"] = [x for i, x in enumerate(cat) if x not in consts and row[f"d{i}"] > cfg.high_cardinality_warning_threshold]
+    num, cat = [x for x in num if x not in consts], [x for x in cat if x not in consts]
+    out = out.drop(*consts)
+    base = out
     # numeric chain
-    num_active = cfg.handle_missing_values or cfg.smooth_noisy_data or cfg.handle_outliers or cfg.feature_scaling
     if cfg.handle_missing_values and num:
-        fitted["impute_numeric"] = fit_impute_numeric(out, num, cfg.numeric_missing_strategy)
-        out = impute_numeric(out, fitted["impute_numeric"])
+        fill = {x: stats[x]["m"] for x in num} if cfg.numeric_missing_strategy == "mean" else \
+            fit_impute_numeric(out, num, cfg.numeric_missing_strategy)
+        fitted["impute_numeric"] = fill
+        out = impute_numeric(out, fill)
+        stats = {x: _imputed(stats[x], rows, fill[x]) for x in num}
     if cfg.smooth_noisy_data and num:
-        # windows + fills are the costly part; write them once to the shared
-        # checkpoint folder so the following fits do not recompute them
         out = cut_lineage(smooth(out, num, cfg.order_by, cfg.partition_by, cfg.smooth_window))
+        if cfg.handle_outliers or cfg.feature_scaling:
+            stats = _moments(out.agg(*_numeric_aggs(num)).first(), num)
     if cfg.handle_outliers and num:
-        fitted["cap"] = fit_cap(out, num, cfg.outlier_z)
-        out = cap(out, fitted["cap"])
+        bounds = {x: (None, None) if st["m"] is None else (st["m"] - cfg.outlier_z * (st["s"] or 0.0), st["m"] + cfg.outlier_z * (st["s"] or 0.0))
+                  for x, st in stats.items() if x in num}
+        fitted["cap"] = bounds
+        out = cap(out, bounds)
+        # scan 2, if any: only columns that the cap changes
+        cut = [x for x in num if bounds[x][0] is not None and (stats[x]["lo"] < bounds[x][0] or stats[x]["hi"] > bounds[x][1])]
+        if cfg.feature_scaling and cut:
+            stats |= _moments(out.agg(*_numeric_aggs(cut)).first(), cut)
     if cfg.feature_scaling and num:
-        fitted["scale"] = fit_scale(out, num)
+        fitted["scale"] = {x: (stats[x]["m"], stats[x]["s"] or 1.0) for x in num}
         out = scale(out, fitted["scale"])
     # categorical chain
-    cat_active = cfg.handle_missing_values or cfg.reduce_cardinality or cfg.encode_categorical_values
-    if cfg.handle_missing_values and cat:
-        fitted["impute_categorical"] = fit_mode(out, cat)
-        out = impute_categorical(out, fitted["impute_categorical"])
-    if cfg.reduce_cardinality and cat:
-        fitted["reduce"] = fit_reduce_cardinality(out, cat, cfg.max_unique_categories)
-        out = reduce_cardinality(out, fitted["reduce"])
     encoded: list[str] = []
-    if cfg.encode_categorical_values and cat:
-        fitted["one_hot"] = fit_one_hot(out, cat, cfg.max_dense_categories, cfg.one_hot_encoding)
-        before = set(out.columns)
-        out = one_hot(out, fitted["one_hot"])
-        encoded = [x for x in out.columns if x not in before]
+    if cat_active and cat:
+        k = cfg.max_unique_categories
+        tops: dict[str, list] = {x: [] for x in cat}
+        for r in top_values(base, cat, k + 1, include_null=True, proposed=proposed).collect():
+            tops[r["column_name"]].append((-r["count"], r["value"] is not None, r["value"]))
+        if cfg.handle_missing_values:
+            mode = {x: next((v for _, known, v in sorted(t) if known), None) for x, t in tops.items()}
+            fitted["impute_categorical"] = mode
+            out = impute_categorical(out, mode)
+            for x, t in tops.items():  # the gaps now hold the mode
+                gaps = rows - filled[x]
+                if mode[x] is not None:
+                    tops[x] = [(n - gaps * (v == mode[x]), True, v) for n, known, v in t if known]
+        kept = {x: [v for _, _, v in sorted(t)[:k]] for x, t in tops.items()}
+        if cfg.reduce_cardinality:
+            fitted["reduce"] = kept
+            out = reduce_cardinality(out, kept)
+        if cfg.encode_categorical_values:
+            if cfg.reduce_cardinality and cfg.one_hot_encoding == "dense" and cfg.max_dense_categories is None:
+                gaps = {x: 0 if cfg.handle_missing_values and mode[x] is not None else rows - filled[x] for x in cat}
+                names = {x: {v for v in kept[x] if v is not None} for x in cat}
+                for x in cat:  # rows with a value that isn't kept are "Other"
+                    if -sum(n for n, _, v in sorted(tops[x])[:k] if v is not None) + gaps[x] < rows:
+                        names[x].add("Other")
+                fitted["one_hot"] = {x: sorted(v, key=lambda s: s.encode()) for x, v in names.items()}
+            else:
+                fitted["one_hot"] = fit_one_hot(out, cat, cfg.max_dense_categories, cfg.one_hot_encoding)
+            before = set(out.columns)
+            out = one_hot(out, fitted["one_hot"])
+            encoded = [x for x in out.columns if x not in before]
     if cfg.remainder == "drop":
         keep = (num if num_active else []) + ((encoded if encoded else cat) if cat_active else [])
-        if target:
-            keep.append(target)
+        keep = ([cfg.id_col] if cfg.id_col else []) + keep + ([target] if target else [])
         out = out.select(*[c(x) for x in keep])
     if cfg.handle_imbalanced_data:
         from tabsmith.operators.smote import smote
-        feats = [x for x in out.columns if x != target]
+        out = cut_lineage(out)  # the neighbours are looked up in it several times
+        feats = [x for x in out.columns if x not in (target, cfg.id_col)]
         report["balance"] = verdict = balance_check(out, target, feats).first()["verdict"]
         if not verdict.startswith("skip"):
-            out = smote(out, target, feats)
+            out = smote(out, target, feats, id_col=cfg.id_col)
     return CleanResult(out, fitted, report)
 
 

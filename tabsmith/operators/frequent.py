@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import c
@@ -33,25 +33,29 @@ def _cells(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
-def candidates(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """(column_name, value) of the proposed values, and per column the rows and the non-null rows."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
+def candidates(df: DataFrame, cols: Sequence[str], others: Sequence[Column] = ()) -> tuple[DataFrame, dict[str, tuple[int, int]], Row]:
+    """(column_name, value) of the proposed values, per column the rows and the non-null rows, and the values of
+    ``others``: further aggregates of the same scan."""
+    aggs = [F.count(F.lit(1)).alias("rows"), *others]
     for i, x in enumerate(cols):
         aggs += [F.call_function("approx_top_k", c(x).cast("string"), F.lit(CANDIDATES), F.lit(TRACKED)).alias(f"t{i}"), F.count(c(x)).alias(f"n{i}")]
     from tabsmith.session import cut_lineage
     wide = cut_lineage(df.agg(*aggs))
-    known = wide.select("rows", *[f"n{i}" for i in range(len(cols))]).first()
+    known = wide.drop(*[f"t{i}" for i in range(len(cols))]).first()
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, value string"), {}, known
     tops = F.array(*[F.struct(F.lit(x).alias("column_name"), F.transform(f"t{i}", lambda t: t["item"]).alias("values"))
                      for i, x in enumerate(cols)])
     named = wide.select(F.inline(tops)).select("column_name", F.explode("values").alias("value")).where(F.col("value").isNotNull()).distinct()
-    return named, {x: (known["rows"], known[f"n{i}"]) for i, x in enumerate(cols)}
+    return named, {x: (known["rows"], known[f"n{i}"]) for i, x in enumerate(cols)}, known
 
 
-def counted(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, dict]]:
+def counted(df: DataFrame, cols: Sequence[str], proposed: tuple | None = None) -> tuple[DataFrame, dict[str, dict]]:
     """Exact (column_name, value, count) of the candidates and of null, and per column what they leave open:
     ``rows``, ``filled``, ``complete`` (they are all values there are) and ``bound`` (most rows of another value)."""
     from tabsmith.session import cut_lineage
-    named, sizes = candidates(df, cols)
+    named, sizes = (proposed or candidates(df, cols))[:2]
+    sizes = {x: sizes[x] for x in cols}
     counts = cut_lineage(_cells(df, cols).where(F.col("value").isNotNull()).join(named, ["column_name", "value"], "left_semi")
                          .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
     sums = {r[0]: r[1] for r in counts.groupBy("column_name").agg(F.sum("count")).collect()}
@@ -62,12 +66,14 @@ def counted(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, di
     return counts, open_
 
 
-def top_values(df: DataFrame, cols: Sequence[str], k: int, include_null: bool = False) -> DataFrame:
-    """(column_name, value, count, rank): the ``k`` most frequent values of each column, ties by value, null first."""
+def top_values(df: DataFrame, cols: Sequence[str], k: int, include_null: bool = False,
+               proposed: tuple | None = None) -> DataFrame:
+    """(column_name, value, count, rank): the ``k`` most frequent values of each column, ties by value, null first.
+    ``proposed``: the result of ``candidates``, if a caller has it."""
     cols = list(cols)
     if not 0 < k <= CANDIDATES:
         raise ValueError(f"k must be between 1 and {CANDIDATES}")
-    counts, state = counted(df, cols)
+    counts, state = counted(df, cols, proposed)
     if not include_null:
         counts = counts.where(F.col("value").isNotNull())
     # counted value by value: columns where a value outside the candidates may belong to the top

@@ -348,6 +348,54 @@ def q_clean_smote(spark, sf):
     return round_doubles(out)
 
 
+def _job_sql() -> str:
+    """Impute, cap, scale, mode, top 2 + Other, one-hot, then SMOTE on the result, in the same order."""
+    return duckdb_view_cte("label_features") + f""",
+src AS (SELECT lf.doc_id, lf.quality, CASE WHEN lf.doc_id % 9 = 4 THEN NULL ELSE f_chars END AS f_chars, f_spaces,
+          CASE WHEN lf.doc_id % 7 = 2 THEN NULL ELSE lang END AS lang FROM label_features lf JOIN documents d USING (doc_id)),
+m AS (SELECT avg(f_chars) AS a, avg(f_spaces) AS b FROM src),
+i AS (SELECT doc_id, quality, coalesce(f_chars, a) AS f_chars, coalesce(f_spaces, b) AS f_spaces, lang FROM src, m),
+cs AS (SELECT avg(f_chars) AS ma, stddev_pop(f_chars) AS sa, avg(f_spaces) AS mb, stddev_pop(f_spaces) AS sb FROM i),
+k AS (SELECT doc_id, quality, least(greatest(f_chars, ma - 2 * sa), ma + 2 * sa) AS f_chars,
+        least(greatest(f_spaces, mb - 2 * sb), mb + 2 * sb) AS f_spaces, lang FROM i, cs),
+ss AS (SELECT avg(f_chars) AS ma, stddev_pop(f_chars) AS sa, avg(f_spaces) AS mb, stddev_pop(f_spaces) AS sb FROM k),
+mo AS (SELECT lang AS v FROM src WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1),
+z AS (SELECT doc_id, quality, (f_chars - ma) / sa AS f_chars, (f_spaces - mb) / sb AS f_spaces, coalesce(lang, (SELECT v FROM mo)) AS lang FROM k, ss),
+tp AS (SELECT lang AS v FROM z GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 2),
+w AS (SELECT doc_id, quality, f_chars, f_spaces, CASE WHEN lang IN (SELECT v FROM tp) THEN lang ELSE 'Other' END AS lang FROM z),
+names AS (SELECT list(DISTINCT lang ORDER BY lang) AS l FROM w),
+f AS (SELECT doc_id, quality, list_concat([f_chars, f_spaces], list_transform(l, lambda x: (lang = x)::DOUBLE)) AS v FROM w, names),
+cnt AS (SELECT quality, count(*) AS n FROM f GROUP BY 1),
+mx AS (SELECT max(n) AS M FROM cnt),
+mi AS (SELECT f.*, n, M FROM f JOIN cnt USING (quality) CROSS JOIN mx WHERE n < M AND n > 5),
+knn AS (SELECT a.doc_id, b.doc_id AS nb, row_number() OVER (PARTITION BY a.doc_id ORDER BY
+          round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))), 12), b.doc_id) AS rk
+        FROM mi a JOIN mi b ON a.quality = b.quality AND a.doc_id <> b.doc_id),
+pos AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_bucket('CAST(doc_id AS VARCHAR)')}, doc_id) AS p FROM mi),
+rep AS (SELECT *, (M - n) // n + CASE WHEN p <= (M - n) % n THEN 1 ELSE 0 END AS q FROM pos),
+ex AS (SELECT rep.*, unnest(range(0, q)) AS j FROM rep WHERE q > 0),
+ex2 AS (SELECT *, CAST({_bucket('CAST(doc_id AS VARCHAR)', 'CAST(j AS VARCHAR)', "'nn'")} % 5 + 1 AS INTEGER) AS rk2,
+          CAST({_bucket('CAST(doc_id AS VARCHAR)', 'CAST(j AS VARCHAR)', "'step'")} AS DOUBLE) / 4294967296.0 AS step FROM ex),
+syn AS (SELECT NULL AS doc_id, e.quality, list_transform(list_zip(e.v, o.v), lambda t: t[1] + e.step * (t[2] - t[1])) AS v, true AS is_synthetic
+        FROM ex2 e JOIN knn ON knn.doc_id = e.doc_id AND knn.rk = e.rk2 JOIN f o ON o.doc_id = knn.nb)
+SELECT doc_id, quality, list_transform(v, lambda x: round(x, 6) + 0.0) AS features, is_synthetic
+FROM (SELECT doc_id, quality, v, false AS is_synthetic FROM f UNION ALL SELECT * FROM syn)"""
+
+
+@register("clean_full_balanced", _job_sql())
+def q_clean_full_balanced(spark, sf):
+    """The whole cleaning job with a target: imputation, cap, scale, categories, one-hot columns and balanced classes."""
+    lf = load(spark, sf, "label_features").join(load(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    src = lf.select("doc_id", "quality", F.when(F.col("doc_id") % 9 != 4, F.col("f_chars")).alias("f_chars"), "f_spaces",
+                    F.when(F.col("doc_id") % 7 != 2, F.col("lang")).alias("lang"))
+    cfg = C.CleaningConfig(handle_missing_values=True, handle_outliers=True, outlier_z=2.0, feature_scaling=True, reduce_cardinality=True,
+                           max_unique_categories=2, encode_categorical_values=True, handle_imbalanced_data=True, id_col="doc_id",
+                           remainder="drop")
+    out = C.clean(src, cfg, target="quality").df
+    feats = [x for x in out.columns if x not in ("doc_id", "quality", "is_synthetic")]
+    return out.select("doc_id", "quality", F.array(*[F.round(x, 6) + F.lit(0.0) for x in feats]).alias("features"), "is_synthetic")
+
+
 @register("knn_join", """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d

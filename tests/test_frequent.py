@@ -64,5 +64,5 @@ def test_small_counts(table, spark):
 
 def test_the_shuffle_holds_candidates(spark):
     df = spark.range(200_000).select((F.col("id") % 50_000).cast("string").alias("v"))
-    named, sizes = frequent.candidates(df, ["v"])
+    named, sizes, _ = frequent.candidates(df, ["v"])
     assert sizes == {"v": (200_000, 200_000)} and named.count() <= frequent.CANDIDATES
