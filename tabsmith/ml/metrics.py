@@ -100,9 +100,31 @@ def auc(df: DataFrame, label: str, score: str, positive=1, buckets: int = 256, b
                    / (F.sum("p") * F.sum("n"))).alias("AUC"))
 
 
+def auc_one_vs_rest(df: DataFrame, label: str, probs: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """AUC of each class against the rest, averaged by the classes' rows (per ``by`` group).
+
+    ``label`` numbers the classes from 0, ``probs`` is the array of their
+    probabilities.  All classes share one bucketed running sum over (class,
+    score); rows are counted per distinct score before the shuffle.  Classes
+    without rows, or without other rows, have no AUC."""
+    keys = [*by, "__class"]
+    cells = df.where(c(probs).isNotNull()).select(*[c(x) for x in by], c(label).cast("int").alias("__y"),
+                                                  F.posexplode(c(probs)).alias("__class", "__s"))
+    pos = (F.col("__y") == F.col("__class")).cast("long")
+    g = cells.groupBy(*[c(x) for x in keys], "__s").agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
+    cs = cumulative_sums(g, "__s", ["n"], buckets, keys=keys)
+    per = cs.groupBy(*[c(x) for x in keys]).agg(
+        F.sum("p").alias("P"), F.try_divide(F.sum(F.col("p") * (F.col("cum_n") - 0.5 * F.col("n"))),
+                                            (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
+    per = per.where(F.col("auc").isNotNull())
+    g = per.groupBy(*[c(x) for x in by]) if by else per.groupBy()
+    return g.agg(F.try_divide(F.sum(F.col("auc") * F.col("P")), F.sum("P").cast("double")).alias("AUC"))
+
+
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None,
-                           positive=1, by: Sequence[str] = (), average: str = "binary") -> DataFrame:
-    """Accuracy, AUC (binary, when a score is given), Recall, Precision, F1,
+                           positive=1, by: Sequence[str] = (), average: str = "binary", probs: str | None = None) -> DataFrame:
+    """Accuracy, AUC (binary, when a score is given; one against the rest,
+    when the array of class probabilities ``probs`` is), Recall, Precision, F1,
     Cohen's Kappa and MCC from the confusion counts - optionally for many
     (e.g. model, fold) groups in the same jobs.
 
@@ -149,8 +171,8 @@ def classification_metrics(df: DataFrame, label: str, pred: str, score: str | No
         F.coalesce(safe_div(F.col("N") * F.col("D") - F.col("RC"),
                             F.sqrt((F.col("N") * F.col("N") - F.col("CC")) * (F.col("N") * F.col("N") - F.col("RR")))),
                    F.lit(0.0)).alias("MCC"))
-    if score is not None:
-        a = auc(df, label, score, positive, by=by)
+    if probs is not None or score is not None:
+        a = auc(df, label, score, positive, by=by) if probs is None else auc_one_vs_rest(df, label, probs, by)
         out = out.join(a, by, "left") if by else out.crossJoin(a)  # one row per group
     return out
 

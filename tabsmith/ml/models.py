@@ -140,7 +140,11 @@ def _dummy_predict(train: DataFrame, test: DataFrame, task: str) -> DataFrame:
 
 
 def _score_col(pred: DataFrame) -> DataFrame:
-    """Positive-class probability for binary AUC (null when absent)."""
+    """``__score``, the positive class's probability, and ``__probs``, those of all classes (null when absent)."""
+    if "probability" in pred.columns and not isinstance(pred.schema["probability"].dataType, T.ArrayType):
+        pred = pred.withColumn("__probs", vector_to_array("probability"))
+    else:
+        pred = pred.withColumn("__probs", F.lit(None).cast("array<double>"))
     if "probability" in pred.columns and "__score" not in pred.columns:
         arr = vector_to_array("probability")
         return pred.withColumn("__score", F.when(F.size(arr) > 1, arr[1]).otherwise(F.lit(None).cast("double")))
@@ -178,7 +182,7 @@ def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[st
         pred = _score_col(pred)
         return m, f, secs, pred.select(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"),
                                        F.col("label").cast("double").alias("label"),
-                                       F.col("prediction").cast("double").alias("prediction"), "__score")
+                                       F.col("prediction").cast("double").alias("prediction"), "__score", "__probs")
 
     pairs = [(m, f) for m in models for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -201,9 +205,8 @@ def fold_metrics(preds: DataFrame, task: str) -> DataFrame:
     # probabilities get AUC 0 (as the reference reports for such models)
     # more than two classes: averages over the classes, weighted by their rows
     many = preds.select("label").distinct().count() > 2
-    met = classification_metrics(preds.withColumn("__score", F.lit(None).cast("double")) if many else preds, "label",
-                                 "prediction", "__score", positive=1.0, by=["model", "fold"],
-                                 average="weighted" if many else "binary")
+    met = classification_metrics(preds, "label", "prediction", "__score", positive=1.0, by=["model", "fold"],
+                                 average="weighted" if many else "binary", probs="__probs" if many else None)
     return met.withColumn("AUC", F.coalesce(F.col("AUC"), F.lit(0.0))) \
               .select("model", "fold", *[F.col(x) for x in CLASSIFICATION_METRICS])
 
@@ -328,8 +331,8 @@ def holdout_metrics(df: DataFrame, target: str, task: str, model_id: str, key_co
     if task == "regression":
         return regression_metrics(pred, "label", "prediction")
     many = df.select(target).distinct().count() > 2
-    return classification_metrics(pred, "label", "prediction", None if many else "__score", positive=1.0,
-                                  average="weighted" if many else "binary")
+    return classification_metrics(pred, "label", "prediction", "__score", positive=1.0,
+                                  average="weighted" if many else "binary", probs="__probs" if many else None)
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
@@ -356,13 +359,16 @@ def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     return sample.sparkSession.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
 
 
-def save_model(model: PipelineModel, path: str, meta: dict) -> None:
-    """Model directory plus a one-row metadata table next to it."""
+def save_model(model: PipelineModel, path: str, meta: dict, reference: DataFrame | None = None) -> None:
+    """Model directory plus a one-row metadata table next to it, and the
+    features' bounded distributions (``gate.reference_profile``), if given."""
     from pyspark.sql import SparkSession
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(meta, sort_keys=True), time.time())], "meta string, saved_at double") \
         .write.mode("overwrite").parquet(f"{path}/meta")
+    if reference is not None:
+        reference.write.mode("overwrite").parquet(f"{path}/reference")
 
 
 def load_model(spark, path: str) -> tuple[PipelineModel, dict]:

@@ -454,3 +454,125 @@ def q_explain_sampled(spark, sf):
     model, prep = MD.fit_final(df.drop("doc_id"), "quality", "classification", "rf", {"numTrees": 10},
                                features=LF_FEATURES)
     return MD.explain_sampled(model, prep, df, ["doc_id"], n_perm=4)
+
+
+# ---------------------------------------------------------------------------
+# M10, M12, M16 through the fitted models: least squares has a closed form
+# ---------------------------------------------------------------------------
+
+_OLS2 = """st AS (SELECT covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12,
+  covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM train),
+fit AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM st),
+co AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM fit)"""
+
+
+def _permutation_sql() -> str:
+    from tabsmith.ml.importance import bijection  # fixed by feature, repeat and seed; a is raised until it is prime to n
+    parts = []
+    for x, col in (("o_shippriority", "x1"), ("o_custkey", "x2")):
+        a0, b0 = bijection(1, x, 0)
+        parts.append(f"SELECT '{x}' AS feature, (SELECT min(a) FROM range({a0}, {a0} + 200) t(a) WHERE gcd(a, (SELECT count(*) FROM r)) = 1) AS a, {b0} AS b")
+    return f"""WITH train AS (SELECT o_orderkey % 13 AS x1, o_custkey AS x2, o_totalprice + 5000 * (o_orderkey % 13) + 20 * o_custkey AS y, o_orderkey FROM orders),
+{_OLS2},
+r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, (SELECT count(*) FROM train) AS n FROM train),
+t AS ({' UNION ALL '.join(parts)}),
+v AS (SELECT t.feature, r.y, CASE WHEN t.feature = 'o_shippriority' THEN o.x1 ELSE r.x1 END AS x1,
+        CASE WHEN t.feature = 'o_custkey' THEN o.x2 ELSE r.x2 END AS x2
+      FROM r CROSS JOIN t JOIN r o ON o.pos = (r.pos * t.a + t.b) % r.n),
+w AS (SELECT 1 - sum((y - b0 - b1 * x1 - b2 * x2) ** 2) / (var_pop(y) * count(y)) AS score FROM train, co),
+s AS (SELECT feature, 1 - sum((y - b0 - b1 * x1 - b2 * x2) ** 2) / (var_pop(y) * count(y)) AS s FROM v, co GROUP BY 1)
+SELECT feature, round(score - s, 6) AS importance, 0.0::DOUBLE AS std, round(score, 6) AS score FROM s, w"""
+
+
+def _priced(spark, sf):
+    o = load(spark, sf, "orders")
+    return o.select("o_orderkey", (F.col("o_orderkey") % 13).alias("o_shippriority"), "o_custkey",
+                    (F.col("o_totalprice") + 5000 * (F.col("o_orderkey") % 13) + 20 * F.col("o_custkey")).alias("price"))
+
+
+@register("feature_importance_permutation", _permutation_sql())
+def q_feature_importance_permutation(spark, sf):
+    from tabsmith.ml.importance import permutation_importance
+    df, feats = _priced(spark, sf), ["o_shippriority", "o_custkey"]
+    model, prep = MD.fit_final(df, "price", "regression", "lr", features=feats)
+    return round_doubles(permutation_importance(model, prep, df, "price", ["o_orderkey"], feats))
+
+
+def _gated_sql() -> str:
+    def bin_(k: int) -> str:
+        return (f"CASE WHEN x{k} IS NULL THEN -2 WHEN x{k} < lo{k} THEN -1 WHEN x{k} > hi{k} THEN 32 "
+                f"ELSE CAST(least(floor((x{k} - lo{k}) / ((hi{k} - lo{k}) / 32)), 31) AS INTEGER) END")
+    js = ("sqrt(greatest(0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + "
+          "0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)))")
+    return f"""WITH o AS (SELECT o_orderkey, o_orderkey % 13 AS x1, o_custkey AS x2,
+        o_totalprice + 5000 * (o_orderkey % 13) + 20 * o_custkey AS y FROM orders),
+train AS (SELECT * FROM o WHERE o_orderkey % 5 <> 0), {_OLS2},
+batch AS (SELECT 'same' AS batch, o_orderkey, x1, CAST(x2 AS DOUBLE) AS x2 FROM o WHERE o_orderkey % 5 = 0
+          UNION ALL SELECT 'moved', o_orderkey, x1, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE x2 * 1.5 + 400 END FROM o WHERE o_orderkey % 5 = 0),
+e AS (SELECT min(x1) AS lo1, max(x1) AS hi1, min(x2) AS lo2, max(x2) AS hi2, avg(x2) AS fill FROM train),
+c AS (SELECT 'train' AS side, 'x1' AS f, {bin_(1)} AS bin FROM train, e
+      UNION ALL SELECT 'train', 'x2', {bin_(2)} FROM train, e
+      UNION ALL SELECT batch, 'x1', {bin_(1)} FROM batch, e
+      UNION ALL SELECT batch, 'x2', {bin_(2)} FROM batch, e),
+h AS (SELECT side, f, bin, count(*) AS n, sum(count(*)) OVER (PARTITION BY side, f) AS m FROM c GROUP BY 1, 2, 3),
+k AS (SELECT b.batch, f.f, g.bin FROM (SELECT DISTINCT batch FROM batch) b, (SELECT DISTINCT f FROM h) f, (SELECT DISTINCT f, bin FROM h) g WHERE f.f = g.f),
+j AS (SELECT k.batch, k.f, coalesce(t.n / t.m, 0) AS p, coalesce(u.n / u.m, 0) AS q FROM k
+      LEFT JOIN h t ON t.side = 'train' AND t.f = k.f AND t.bin = k.bin LEFT JOIN h u ON u.side = k.batch AND u.f = k.f AND u.bin = k.bin),
+s AS (SELECT batch, f, {js} AS score FROM j GROUP BY 1, 2),
+d AS (SELECT batch, avg(CASE WHEN score >= 0.2 THEN 1.0 ELSE 0.0 END)::DOUBLE AS drift_share FROM s GROUP BY 1)
+SELECT batch.batch, o_orderkey, round(b0 + b1 * x1 + b2 * coalesce(x2, fill), 2) AS price_predicted, drift_share >= 0.5 AS drift_detected, drift_share
+FROM batch JOIN d USING (batch), co, e"""
+
+
+@register("predict_gated", _gated_sql())
+def q_predict_gated(spark, sf):
+    """Saved model with its features' distributions; a batch like the training rows, and one that has moved."""
+    import uuid
+
+    from tabsmith.ml import gate
+    from tabsmith.session import scratch_path
+    df, feats = _priced(spark, sf), ["o_shippriority", "o_custkey"]
+    train, rest = df.where(F.col("o_orderkey") % 5 != 0), df.where(F.col("o_orderkey") % 5 == 0)
+    model, prep = MD.fit_final(train, "price", "regression", "lr", features=feats)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    MD.save_model(model, path, {"task": "regression"}, gate.reference_profile(train, feats))
+    model, _ = MD.load_model(spark, path)
+    moved = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey") * 1.5 + 400)
+    batches = {"same": rest.withColumn("o_custkey", F.col("o_custkey").cast("double")), "moved": rest.withColumn("o_custkey", moved)}
+    out = None
+    for name, batch in batches.items():
+        one = gate.predict_gated(model, prep, gate.load_reference(spark, path), batch, target="price", threshold=0.2,
+                                 label_name="price_predicted").withColumn("batch", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("batch", "o_orderkey", F.round("price_predicted", 2).alias("price_predicted"), "drift_detected", "drift_share")
+
+
+_MULTI = """WITH r AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y,
+  (o_totalprice % 97) / 97 + CASE WHEN o_orderstatus = 'F' THEN 0.3 ELSE 0 END AS a, (o_orderkey % 89) / 89 AS b, (o_custkey % 83) / 83 AS c FROM orders),
+d AS (SELECT y, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2,
+  CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS p FROM r WHERE a + b + c > 0)"""
+
+
+@register("classification_metrics_multi", _MULTI + """,
+cell AS (SELECT 0 AS k, p0 AS s, y FROM d UNION ALL SELECT 1, p1, y FROM d UNION ALL SELECT 2, p2, y FROM d),
+g AS (SELECT k, s, sum((y = k)::INT) AS pp, sum((y <> k)::INT) AS nn FROM cell GROUP BY 1, 2),
+w AS (SELECT k, pp, nn, sum(nn) OVER (PARTITION BY k ORDER BY s) - nn AS cn FROM g),
+au AS (SELECT k, sum(pp) AS P, sum(pp * (cn + 0.5 * nn)) / (sum(pp) * sum(nn)) AS auc FROM w GROUP BY 1),
+cm AS (SELECT y, p, count(*) AS n FROM d GROUP BY 1, 2),
+per AS (SELECT k, (SELECT sum(n) FROM cm WHERE y = k) AS r, coalesce((SELECT sum(n) FROM cm WHERE p = k), 0) AS c,
+          coalesce((SELECT sum(n) FROM cm WHERE y = k AND p = k), 0) AS tp FROM (SELECT unnest([0, 1, 2]) AS k)),
+t AS (SELECT sum(r) AS n, sum(tp) AS tp, sum(tp) / sum(r) AS wr, sum(r * coalesce(tp / nullif(c, 0), 0)) / sum(r) AS wp,
+        sum(r * 2 * tp / (r + c)) / sum(r) AS wf, sum(r * c) AS rc, sum(r * r) AS rr, sum(c * c) AS cc FROM per)
+SELECT round(tp / n, 6) AS Accuracy, round(wr, 6) AS Recall, round(wp, 6) AS Precision, round(wf, 6) AS F1,
+  round((n * tp - rc) / (n * n - rc), 6) AS Kappa, round((n * tp - rc) / sqrt((n * n - cc)::DOUBLE * (n * n - rr)), 6) AS MCC,
+  round((SELECT sum(auc * P) / sum(P) FROM au), 6) AS AUC FROM t""")
+def q_classification_metrics_multi(spark, sf):
+    """Three classes: averages by class, and AUC of each class against the rest."""
+    o = load(spark, sf, "orders")
+    y = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    a = (F.col("o_totalprice") % 97) / 97 + F.when(F.col("o_orderstatus") == "F", 0.3).otherwise(0.0)
+    d = o.select(y.alias("y"), a.alias("a"), (F.col("o_orderkey") % 89 / 89).alias("b"), (F.col("o_custkey") % 83 / 83).alias("c"))
+    total = F.col("a") + F.col("b") + F.col("c")
+    p = F.when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), 0).when(F.col("b") >= F.col("c"), 1).otherwise(2)
+    d = d.where(total > 0).select("y", F.array(*[F.col(x) / total for x in "abc"]).alias("probs"), p.alias("p"))
+    return round_doubles(MT.classification_metrics(d, "y", "p", average="weighted", probs="probs"))

@@ -408,3 +408,51 @@ def q_approx_distinct(spark, sf):
     fixed-size sketch per column.  Engines' sketches differ, so no SQL oracle;
     tests bound the error against the exact report."""
     return P.dataset_report(load(spark, sf, "lineitem"), exact=False)
+
+
+# ---------------------------------------------------------------------------
+# A3 / A4 / A16 from stored parts
+# ---------------------------------------------------------------------------
+
+_MERGED_NUM = ["event_id", "user_id", "value", "segment"]
+
+
+def _merged_sql() -> str:
+    """Counts, extremes, mean and std exactly; of the estimates, that they are inside their bounds."""
+    num = [f"SELECT '{x}' AS column_name, count(*) AS total_rows, count(*) - count({x}) AS null_count, CAST(min({x}) AS DOUBLE) AS min, "
+           f"CAST(max({x}) AS DOUBLE) AS max, round(avg({x}), 6) AS mean, round(stddev_pop({x}), 6) AS stddev, CAST(NULL AS DOUBLE) AS avg_length, "
+           f"true AS distinct_in_bounds, true AS quantiles_in_bounds FROM dirty_events" for x in _MERGED_NUM]
+    txt = ("SELECT 'event_type', count(*), count(*) - count(event_type), NULL, NULL, NULL, NULL, round(avg(length(event_type)), 6), true, NULL "
+           "FROM dirty_events")
+    return duckdb_view_cte("dirty_events") + " UNION ALL ".join([*num, txt])
+
+
+@register("profile_merged", _merged_sql())
+def q_profile_merged(spark, sf):
+    """Profiles stored by day in two goes (half of the days is appended later) and merged; the estimates are held
+    against exact counts of the table: distinct values within 5 %, ranks of the quantiles within 1.5 %."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tabsmith.operators import stored_profile as S
+    from tabsmith.session import scratch_path
+    cols = [*_MERGED_NUM, "event_type"]
+    df = load(spark, sf, "dirty_events").select("ts", *cols)
+    path = scratch_path(spark, f"profile-{uuid.uuid4().hex}")
+    day, late = F.to_date("ts"), F.dayofmonth("ts") > 15
+    S.store_parts(S.profile_parts(df.where(~late), day, cols), path)
+    S.store_parts(S.profile_parts(df.where(late), day, cols), path)
+    merged = S.merged_profile(S.read_parts(spark, path))
+    found = {r["column_name"]: r for r in merged.collect()}  # one row per column
+    aggs = []
+    for x in cols:
+        aggs.append((F.abs(F.count_distinct(x) - found[x]["distinct_count"]) <= 0.05 * F.count_distinct(x)).alias(f"d_{x}"))
+        if x in _MERGED_NUM:
+            near = [(F.count_if(F.col(x) < v) <= (f + 0.015) * F.count(x)) & (F.count_if(F.col(x) <= v) >= (f - 0.015) * F.count(x))
+                    for f, v in zip((0.25, 0.5, 0.75), found[x]["q"])]
+            aggs.append((near[0] & near[1] & near[2]).alias(f"q_{x}"))
+    held = df.agg(*aggs).first()
+    flags = spark.createDataFrame([(x, held[f"d_{x}"], held[f"q_{x}"] if x in _MERGED_NUM else None) for x in cols],
+                                  "column_name string, distinct_in_bounds boolean, quantiles_in_bounds boolean")
+    return round_doubles(merged.drop("type", "distinct_count", "q").join(flags, "column_name"))
