@@ -576,3 +576,35 @@ def q_classification_metrics_multi(spark, sf):
     p = F.when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), 0).when(F.col("b") >= F.col("c"), 1).otherwise(2)
     d = d.where(total > 0).select("y", F.array(*[F.col(x) / total for x in "abc"]).alias("probs"), p.alias("p"))
     return round_doubles(MT.classification_metrics(d, "y", "p", average="weighted", probs="probs"))
+
+
+def _shapley_sql() -> str:
+    """All six orders of three features, by the function that the tree has learned."""
+    import itertools
+    f = lambda a, b, c: f"(10 * {a} + 5 * {b} + 7 * {a} * {b} - 3 * {b} * {c} + {c})"
+    terms = {x: [] for x in "abc"}
+    for order in itertools.permutations("abc"):
+        at = {x: f"{x}0" for x in "abc"}
+        for x in order:
+            before = f(*[at[k] for k in "abc"])
+            at[x] = x
+            terms[x].append(f"{f(*[at[k] for k in 'abc'])} - {before}")
+    sums = ", ".join(f"round(({' + '.join(t)}) / 6.0, 6) + 0.0 AS contrib_{x}" for x, t in terms.items())
+    return f"""WITH d AS (SELECT o_orderkey, (o_orderkey % 3 = 0)::INT AS a, (o_custkey % 4 = 0)::INT AS b, (o_orderkey % 5 <> 0)::INT AS c FROM orders),
+m AS (SELECT 0 AS a0, 0 AS b0, 1 AS c0)
+SELECT o_orderkey, {sums}, round({f('a0', 'b0', 'c0')}, 6)::DOUBLE AS base_value, round({f('a', 'b', 'c')}, 6)::DOUBLE AS prediction FROM d, m"""
+
+
+@register("explain_trees", _shapley_sql())
+def q_explain_trees(spark, sf):
+    """Exact contributions of a tree, equal to walking all orders of its three features."""
+    from tabsmith.ml.explain_trees import explain_trees
+    d = load(spark, sf, "orders").select("o_orderkey", *[e.cast("int").alias(x) for x, e in (
+        ("a", F.col("o_orderkey") % 3 == 0), ("b", F.col("o_custkey") % 4 == 0), ("c", F.col("o_orderkey") % 5 != 0))])
+    a, b, c = (F.col(x) for x in "abc")
+    d = d.withColumn("y", 10 * a + 5 * b + 7 * a * b - 3 * b * c + c)
+    model, prep = MD.fit_final(d, "y", "regression", "dt", {"maxDepth": 4}, features=["a", "b", "c"])
+    # the row to compare with: the most frequent values
+    common = spark.createDataFrame([(0, 0, 1)], "a int, b int, c int")
+    out = explain_trees(model, prep, d.select("o_orderkey", "a", "b", "c"), common)
+    return round_doubles(out.drop("a", "b", "c"))
