@@ -302,7 +302,7 @@ def balance_check(df: DataFrame, target: str, feature_cols: Sequence[str], min_m
     return s.withColumn("verdict", verdict)
 
 
-def high_cardinality(df: DataFrame, cols: Sequence[str], threshold: int = 100, exact: bool = True) -> DataFrame:
+def high_cardinality(df: DataFrame, cols: Sequence[str], threshold: int = 100, exact: bool = False) -> DataFrame:
     from tabsmith.operators.profile import _stack
     aggs = [(F.count_distinct(c(x)) if exact else F.approx_count_distinct(c(x))).alias(f"d{i}")
             for i, x in enumerate(cols)]

@@ -330,9 +330,10 @@ def column_distribution(df: DataFrame, column: str, top_n: int = 20) -> DataFram
     return column_distribution_other(df, column)
 
 
-def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
+def profile_table(df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column null count / rate, distinct count, numeric min / max /
-    mean / population std, text average length - one aggregate for all columns."""
+    mean / population std, text average length - one aggregate for all columns.
+    Distinct counts are sketches unless ``exact``."""
     df = nan_to_null(df)
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("rows")]
@@ -359,7 +360,7 @@ def profile_table(df: DataFrame, exact: bool = True) -> DataFrame:
         "distinct_count", "min", "max", "mean", "stddev", "avg_length")
 
 
-def variable_cards(df: DataFrame, exact: bool = True) -> DataFrame:
+def variable_cards(df: DataFrame, exact: bool = False) -> DataFrame:
     """Distinct, missing, infinite, zeros, negatives (count and %),
     mean / min / max for numeric columns, unique flag."""
     df = nan_to_null(df)
@@ -431,7 +432,7 @@ def dataset_overview(df: DataFrame) -> DataFrame:
     return out
 
 
-def quality_alerts(df: DataFrame, exact: bool = True) -> DataFrame:
+def quality_alerts(df: DataFrame, exact: bool = False) -> DataFrame:
     """Missing / Unique / Zeros alerts per column with a message."""
     cards = variable_cards(df, exact=exact)
     pct_txt = lambda col: F.round(safe_div(F.col(col), F.col("rows")) * 100.0, 1).cast("string")
@@ -462,19 +463,27 @@ def duplicate_count(df: DataFrame) -> DataFrame:
                  F.sum(F.col("n") - 1).cast("bigint").alias("duplicate_rows"))
 
 
-def candidate_keys(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Single-column key test: distinct = rows and no nulls."""
+def candidate_keys(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Single-column key test: distinct = rows and no nulls.
+
+    The verdict is exact.  Sketches first rule out the columns with nulls or far
+    fewer values than rows; only the others are counted exactly.  So
+    ``distinct_count`` is an estimate for columns that aren't near keys, unless
+    ``exact``."""
     df = nan_to_null(df)
-    fields = df.schema.fields
+    names = df.columns
     aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(fields):
-        d = F.count_distinct(c(f.name)) if exact else F.approx_count_distinct(c(f.name))
-        aggs += [d.alias(f"d{i}"), F.count_if(c(f.name).isNull()).alias(f"m{i}")]
-    tall = _stack(df.agg(*aggs), [f.name for f in fields], [[f"d{i}", f"m{i}"] for i in range(len(fields))],
-                  ["distinct_count", "null_count"], keep=["rows"])
-    return tall.select("column_name", "distinct_count", "null_count",
-                       ((F.col("distinct_count") == F.col("rows")) & (F.col("null_count") == 0))
-                       .alias("is_candidate_key"))
+    for i, x in enumerate(names):
+        aggs += [F.approx_count_distinct(c(x), 0.02).alias(f"d{i}"), F.count_if(c(x).isNull()).alias(f"m{i}")]
+    st = df.agg(*aggs).first()
+    # a key's estimate lies within five standard errors of the rows
+    near = [i for i in range(len(names)) if exact or not st[f"m{i}"] and st[f"d{i}"] >= 0.9 * st["rows"]]
+    counts = {}
+    for i in near:  # a column at a time: one aggregate over several distinct counts expands every row by their number
+        counts[i] = df.agg(F.count_distinct(c(names[i]))).first()[0]
+    rows = [(x, counts.get(i, st[f"d{i}"]), st[f"m{i}"], i in counts and counts[i] == st["rows"] and st[f"m{i}"] == 0)
+            for i, x in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, distinct_count bigint, null_count bigint, is_candidate_key boolean")
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

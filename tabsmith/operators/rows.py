@@ -155,18 +155,20 @@ def with_position(df: DataFrame, order_by: Sequence[Column], name: str = "positi
 
 
 def position_in_group(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Column],
-                      name: str = "position", broadcast_limit: int = 1_000_000) -> DataFrame:
+                      name: str = "position", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """1-based rank of each row inside its group, skew-safe.
 
     ``with_position`` numbers all rows in (group, order) order with a range
     partitioned sort, which cuts a hot group into many tasks; the first
-    position of every group (one row per group, broadcast when the counted
-    number of groups is small) turns it into the in-group rank."""
+    position of every group (one row per group, broadcast when their measured
+    size is small) turns it into the in-group rank."""
     g = [c(x) for x in group_cols]
     pos = with_position(df, g + list(order_by), "__gpos")
     starts = pos.groupBy(*[x.alias(f"__g{i}") for i, x in enumerate(g)]).agg(F.min("__gpos").alias("__gstart"))
-    n_groups = starts.count()
-    starts = F.broadcast(starts) if n_groups <= broadcast_limit else starts
+    size = starts.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.octet_length(F.col(f"__g{i}").cast("string"))).alias(f"b{i}")
+                                                      for i in range(len(g))]).first()
+    if size["n"] * 40 + sum(size[f"b{i}"] or 0 for i in range(len(g))) <= broadcast_bytes:
+        starts = F.broadcast(starts)
     cond = None
     for i, x in enumerate(group_cols):
         e = pos[q(x)].eqNullSafe(starts[f"__g{i}"])  # null is a group too

@@ -223,8 +223,10 @@ def conform_to_schema(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
 
 def feature_schema(df: DataFrame, features: Sequence[str] | None = None, max_values: int = 20) -> DataFrame:
     """Per feature its kind and, for categorical features with at most
-    ``max_values`` distinct values, the sorted value list.  Value lists come
-    from one value-count aggregation; only small columns are collected."""
+    ``max_values`` distinct values, the sorted value list.  Values are counted
+    first; lists are made of the columns that are small enough, so no list has
+    more than ``max_values`` entries."""
+    from tabsmith.operators.frequent import small_value_counts
     from tabsmith.operators.profile import value_counts
     feats = list(features) if features is not None else df.columns
     num = [x for x in feats if is_numeric(df.schema[x].dataType)]
@@ -236,12 +238,10 @@ def feature_schema(df: DataFrame, features: Sequence[str] | None = None, max_val
                      .withColumn("n_distinct", F.lit(None).cast("bigint"))
                      .withColumn("values", F.lit(None).cast("array<string>")))
     if cat:
-        vc = value_counts(df, cat, dropna=True)
-        g = vc.groupBy(F.col("column_name").alias("feature")).agg(
-            F.count(F.lit(1)).alias("n_distinct"),
-            F.sort_array(F.collect_list(F.col("value"))).alias("_v"))
-        g = g.select("feature", F.lit("categorical").alias("kind"), "n_distinct",
-                     F.when(F.col("n_distinct") <= max_values, F.col("_v")).alias("values"))
+        n = value_counts(df, cat, dropna=True).groupBy(F.col("column_name").alias("feature")).agg(F.count(F.lit(1)).alias("n_distinct"))
+        small = small_value_counts(df, cat, max_values).where(F.col("value").isNotNull())
+        lists = small.groupBy(F.col("column_name").alias("feature")).agg(F.sort_array(F.collect_list("value")).alias("values"))
+        g = n.join(lists, "feature", "left").select("feature", F.lit("categorical").alias("kind"), "n_distinct", "values")
         parts.append(g)
     out = parts[0]
     for p in parts[1:]:

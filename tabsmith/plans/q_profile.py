@@ -248,7 +248,7 @@ def profile_table_sql(table: str) -> str:
 
 @register("profile_table", profile_table_sql("customer"))
 def q_profile_table(spark, sf):
-    return round_doubles(P.profile_table(load(spark, sf, "customer")))
+    return round_doubles(P.profile_table(load(spark, sf, "customer"), exact=True))
 
 
 def variable_cards_sql(table: str) -> str:
@@ -284,7 +284,7 @@ def _variable_cards_body(table: str) -> str:
 
 @register("variable_cards", variable_cards_sql("customer"))
 def q_variable_cards(spark, sf):
-    return round_doubles(P.variable_cards(load(spark, sf, "customer")))
+    return round_doubles(P.variable_cards(load(spark, sf, "customer"), exact=True))
 
 
 def dataset_overview_sql(table: str) -> str:
@@ -328,7 +328,7 @@ FROM cards WHERE zeros > 0""")
 
 @register("quality_alerts", quality_alerts_sql("dirty_events"))
 def q_quality_alerts(spark, sf):
-    return P.quality_alerts(load(spark, sf, "dirty_events"))
+    return P.quality_alerts(load(spark, sf, "dirty_events"), exact=True)
 
 
 @register("duplicate_count", duckdb_view_cte("dirty_events") + """
@@ -349,7 +349,7 @@ def candidate_keys_sql(table: str) -> str:
 
 @register("candidate_keys", candidate_keys_sql("orders"))
 def q_candidate_keys(spark, sf):
-    return P.candidate_keys(load(spark, sf, "orders"))
+    return P.candidate_keys(load(spark, sf, "orders"), exact=True)
 
 
 @register("class_balance", """

@@ -238,11 +238,11 @@ def q_extract_image_refs(spark, sf):
 
 
 @register("clean_list_lines", r"""
-SELECT doc_id, list_slice(list_transform(list_filter(string_split(text, chr(10)),
+SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)),
     lambda s: length(regexp_replace(s, '^\s+|\s+$', '', 'g')) > 0),
-    lambda s: regexp_replace(regexp_replace(s, '^\s*[-*+]?\s*', ''), '^\s+|\s+$', '', 'g')), 1, 5) AS lines FROM documents""")
+    lambda s: regexp_replace(regexp_replace(s, '^\s*[-*+]?\s*', ''), '^\s+|\s+$', '', 'g')) AS lines FROM documents""")
 def q_clean_list_lines(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", TX.clean_list_lines("text", 5).alias("lines"))
+    return load(spark, sf, "documents").select("doc_id", TX.clean_list_lines("text").alias("lines"))
 
 
 @register("json_payload", """

@@ -159,7 +159,7 @@ def q_list_tables(spark, sf):
 def q_table_schema(spark, sf):
     from tabsmith.operators.profile import candidate_keys
     df = load(spark, sf, "customer")
-    keys = candidate_keys(df)
+    keys = candidate_keys(df, exact=True)
     meta = spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
                                  "position int, column_name string, type string")
     return meta.join(keys, "column_name").select(

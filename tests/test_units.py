@@ -340,3 +340,37 @@ def test_one_hot_form_is_the_callers_choice(spark):
     assert C.one_hot(few, C.fit_one_hot(few, ["s"], encoding="sparse")).columns == ["s_vec"]
     with pytest.raises(ValueError):
         C.fit_one_hot(few, ["s"], encoding="auto")
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT k FROM t WHERE k = java_method('java.lang.Math', 'abs', -1)",
+    "SELECT * FROM text.`/etc/hostname`", "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a",
+    "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM t", "SELECT k FROM t WHERE k IN (SELECT try_reflect('java.lang.Math', 'abs', -1))",
+    "SELECT * FROM other", "SELECT * FROM t JOIN parquet.`/tmp/x` USING (k)"])
+def test_user_sql_reads_the_given_tables_only(spark, sql):
+    with pytest.raises(NotAQuery):
+        run_sql(spark, sql, {"t": spark.range(3).withColumnRenamed("id", "k")})
+
+
+def test_user_sql_ctes_and_subqueries(spark):
+    t = {"t": spark.range(5).withColumnRenamed("id", "k")}
+    assert run_sql(spark, "WITH a AS (SELECT k FROM T WHERE k > 1), b AS (SELECT * FROM a) SELECT count(*) AS n FROM b WHERE k < (SELECT max(k) FROM t)", t).first()["n"] == 2
+    assert run_sql(spark, "SELECT * FROM range(3)").count() == 3
+
+
+def test_candidate_keys_by_sketch_and_exact(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 4999).alias("nearly"), (F.col("id") % 7).alias("few"), F.when(F.col("id") > 0, F.col("id")).alias("gap"))
+    for exact in (False, True):
+        got = {r.column_name: r for r in P.candidate_keys(df, exact=exact).collect()}
+        assert {x for x, r in got.items() if r.is_candidate_key} == {"id"} and got["nearly"].distinct_count == 4999
+    assert P.candidate_keys(df.limit(0)).count() == 4
+
+
+def test_entry_without_a_module_of_the_subpackage():
+    import os
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['xxhash'] = None; import __spark_entry__ as E; q = E.queries(); "
+            "assert 'dataset_report' in q and not any(k.startswith('op1_') for k in q) and set(E.oracle_sql()) <= set(q)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
