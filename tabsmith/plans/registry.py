@@ -28,5 +28,5 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from tabsmith.plans import (  # noqa: F401
-        q_charts, q_clean, q_ml, q_profile, q_relate, q_rows, q_schema, q_sql,
+        q_charts, q_clean, q_ml, q_profile, q_relate, q_rows, q_schema, q_sources, q_sql,
     )

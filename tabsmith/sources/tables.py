@@ -67,10 +67,13 @@ VIEW_SQL = {
 }
 
 
+def spark_view(spark: SparkSession, sf_dir: str, sql: str, deps: tuple[str, ...]) -> DataFrame:
+    """A projection over given tables by the SQL text that the oracle uses, too."""
+    return spark.sql(sql, **{d: read_table(spark, sf_dir, d) for d in deps})
+
+
 def read_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql, deps = VIEW_SQL[name]
-    kwargs = {d: read_table(spark, sf_dir, d) for d in deps}
-    return spark.sql(sql, **kwargs)
+    return spark_view(spark, sf_dir, *VIEW_SQL[name])
 
 
 def duckdb_view_cte(*names: str) -> str:
