@@ -75,7 +75,7 @@ def _wide(ends: DataFrame, keys: list, n_cols: int, n_frac: int) -> DataFrame:
 
 
 def _count(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_frac: int) -> DataFrame:
-    """Exact counts per interval: rows below ``lo``, at it, between, and at ``hi``."""
+    """Exact counts per interval: rows below ``lo``, at it, between, and at ``hi`` (none if that is ``lo``)."""
     j = join_groups(df, _wide(ends, keys, len(cols), n_frac), keys)
     aggs = []
     for i, x in enumerate(cols):
@@ -83,7 +83,7 @@ def _count(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_fr
         for k in range(i * n_frac, (i + 1) * n_frac):
             lo, hi = F.col("__ends")[k]["lo"], F.col("__ends")[k]["hi"]
             aggs += [F.count_if(v < lo).alias(f"b{k}"), F.count_if(v == lo).alias(f"l{k}"),
-                     F.count_if((v > lo) & (v < hi)).alias(f"m{k}"), F.count_if(v == hi).alias(f"h{k}")]
+                     F.count_if((v > lo) & (v < hi)).alias(f"m{k}"), F.count_if((v == hi) & (hi > lo)).alias(f"h{k}")]
     got = _group(j, keys).agg(*aggs)
     cells = [F.struct(F.lit(k // n_frac).alias("i"), F.lit(k % n_frac).alias("j"), F.col(f"b{k}").alias("below"), F.col(f"l{k}").alias("at_lo"),
                       F.col(f"m{k}").alias("inside"), F.col(f"h{k}").alias("at_hi")) for k in range(len(cols) * n_frac)]
@@ -119,7 +119,7 @@ def _narrow(rows: DataFrame, keys: list, state: DataFrame) -> tuple[DataFrame, D
     marked = join_groups(rows, new.select(*by, "lo", "hi", "b0", "l0"), by)
     v = F.col("v")
     counts = _group(marked, by).agg((F.first("b0") + F.first("l0") + F.count_if(v < F.col("lo"))).alias("below"), F.count_if(v == F.col("lo")).alias("at_lo"),
-                                    F.count_if((v > F.col("lo")) & (v < F.col("hi"))).alias("inside"), F.count_if(v == F.col("hi")).alias("at_hi"))
+                                    F.count_if((v > F.col("lo")) & (v < F.col("hi"))).alias("inside"), F.count_if((v == F.col("hi")) & (F.col("hi") > F.col("lo"))).alias("at_hi"))
     state = join_groups(new.drop("b0", "l0"), counts, by)
     kept = marked.where((v > F.col("lo")) & (v < F.col("hi"))).select(*by, "v")
     return _with_wanted(state), kept

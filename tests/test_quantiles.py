@@ -43,6 +43,17 @@ def test_against_numpy(spark, accuracy, most):
             assert r[f"q{i}"] == want or np.allclose(r[f"q{i}"], want, rtol=1e-12)
 
 
+def test_small_groups(spark):
+    """Few rows: both ends of an interval are one value, and the upper neighbour lies beyond it."""
+    rng = np.random.default_rng(7)
+    rows = [(n, float(x)) for n in range(1, 60) for x in rng.integers(0, 4 * n, n)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r["g"]: r["q0"] for r in exact_quantiles(df, ["x"], FRACTIONS, by=["g"]).collect()}
+    assert len(got) == 59
+    for n, q in got.items():
+        assert np.allclose(q, np.quantile([x for g, x in rows if g == n], FRACTIONS), rtol=1e-12)
+
+
 def test_wrong_proposals_are_mended(spark, monkeypatch):
     _, df = _frame(spark, 900)
     from tabsmith.operators import quantiles
