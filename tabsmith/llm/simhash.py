@@ -280,5 +280,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_co
     first = found.select(F.col("first.id").alias(other_id), F.col("first.row_hash").alias(other)).distinct()
     first = first.withColumn(other_key, F.xxhash64(other_id, other))
     d = docs.withColumn(own, F.xxhash64(F.col(q(text_col)))).withColumn(key, F.xxhash64(F.col(q(id_col)), F.col(own)))
-    mine = (F.col(key) == F.col(other_key)) & F.col(q(id_col)).eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other))
+    # the key alone deals the rows out, so the rest of the condition is no equality that the planner would shuffle by
+    same = F.least(F.col(q(id_col)).eqNullSafe(F.col(other_id)).cast("int"), (F.col(own) == F.col(other)).cast("int"))
+    mine = (F.col(key) == F.col(other_key)) & (same == 1)
     return d.join(first, mine, "left_semi").dropDuplicates([key, id_col, own]).drop(key, own)
