@@ -32,7 +32,7 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document adds to the mix of all sources by weights 1, 2, 3."""
     docs = read_table(spark, sf_dir, "documents")
-    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "seed")
 
 
 ORACLES["op2_mix_sources"] = r"""
@@ -47,11 +47,14 @@ o AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, p ROWS
 f AS (SELECT total - below AS rest, wsum FROM o WHERE (total - below) * weight <= most * wsum ORDER BY n LIMIT 1),
 t AS (SELECT source, source_size, least(most::DOUBLE, weight::DOUBLE * rest::DOUBLE / wsum::DOUBLE) AS target FROM w, f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t),
-c AS (SELECT doc_id, size, source_size, target, rate,
-             CAST('0x' || substr(md5('0' || chr(31) || doc_id::VARCHAR || chr(31) || h), 1, 12) AS BIGINT)::DOUBLE / 281474976710656 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM k
+c AS (SELECT doc_id, d.source, size, source_size, target, rate, seed::INTEGER AS seed,
+             CAST('0x' || substr(md5(seed::VARCHAR || chr(31) || doc_id::VARCHAR || chr(31) || h), 1, 12) AS BIGINT)::DOUBLE / 281474976710656 AS u
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN range(16) g(seed)),
+k AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM c),
+z AS (SELECT source, seed, abs(sum(copies * size) - any_value(target)) AS gap FROM k GROUP BY source, seed),
+b AS (SELECT source, arg_min(seed, (gap, seed)) AS seed FROM z GROUP BY source)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, k.seed
+FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.seed = b.seed
 """
 
 

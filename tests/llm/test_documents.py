@@ -156,7 +156,7 @@ def test_mix_plan(docs, empty):
         assert r["size"] == len(re.findall(WORD, t or "")) and r["source_size"] == sizes[source]
         assert r["target"] == pytest.approx(want[source])
         rate = want[source] / sizes[source] if sizes[source] else 0
-        key = hashlib.md5(f"0\x1f{r['doc_id']}\x1f{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+        key = hashlib.md5(f"{r['seed']}\x1f{r['doc_id']}\x1f{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
         assert r["copies"] == int(rate) + (int(key[:12], 16) / 2 ** 48 < rate - int(rate))
         assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
     assert sorted(map(str, mixing.plan_mix(docs.repartition(3)).collect())) == sorted(map(str, out))
@@ -173,6 +173,30 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r[1] - r[0]) < 0.1 * r[0] for r in got)
 
 
+def test_mix_takes_the_nearest_seed(spark, sf):
+    """Small sources, too: each takes what the best of the seeds gives, near its target unless one text is too large."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    rows = {r["doc_id"]: (r["source"], r["text"]) for r in docs.collect()}
+    out = mixing.plan_mix(docs).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(rows[r["doc_id"]][0], []).append(r)
+    for source, own in groups.items():
+        target, rate = own[0]["target"], own[0]["target"] / own[0]["source_size"]
+
+        def taken(seed):
+            total = 0
+            for r in own:
+                digest = hashlib.md5((rows[r["doc_id"]][1] or "").encode()).hexdigest()
+                u = int(hashlib.md5(f"{seed}\x1f{r['doc_id']}\x1f{digest}".encode()).hexdigest()[:12], 16) / 2 ** 48
+                total += (int(rate) + (u < rate - int(rate))) * r["size"]
+            return total
+        gaps = [abs(taken(s) - target) for s in range(mixing.SEEDS)]
+        assert {r["seed"] for r in own} == {gaps.index(min(gaps))}
+        assert sum(r["taken"] for r in own) == taken(own[0]["seed"])
+        assert min(gaps) <= max(0.1 * target, max(r["size"] for r in own))
+
+
 # ----------------------------------------------------------------------- BPE
 
 def test_bpe_equals_the_library(docs, empty):
