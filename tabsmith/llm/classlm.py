@@ -46,7 +46,7 @@ from tabsmith.session import cut_lineage
 END = "\n"  # the end's entry among the words: no word holds a line break
 CLASSES, ROUNDS = 128, 8
 CLUSTERED, DICTIONARY, WORD_BYTES = 1 << 14, 1 << 18, 64
-SLICE_BYTES = 8 << 20
+TEXT_BYTES, ID_BYTES = 4 << 20, 2 << 20  # of texts, or of their word numbers, that a worker looks at together
 RESULTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -61,7 +61,7 @@ def count(rows: DataFrame, text_col: str) -> DataFrame:
     """Words of the texts and the end: (word, n)."""
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE_BYTES):
+            for part in text_slices(batch, "text", TEXT_BYTES):
                 seen = Counter(itertools.chain.from_iterable(words_lowered(part.column("text"))))
                 seen[END.encode()] = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()),
@@ -103,7 +103,7 @@ def encode(rows: DataFrame, text_col: str, train: Column, shared) -> DataFrame:
     def run(batches):
         numbers = _numbers(shared.value)
         for batch in batches:
-            for part in text_slices(batch, "text", SLICE_BYTES):
+            for part in text_slices(batch, "text", TEXT_BYTES):
                 ids, tails = [], []
                 for words in words_lowered(part.column("text")):
                     own = np.fromiter(map(numbers.get, words, itertools.repeat(-1)), np.int32, len(words))
@@ -140,11 +140,12 @@ def _counted(codes: np.ndarray, most: int, weights=None):
 
 
 def pairs_of(encoded: DataFrame, clustered: int) -> DataFrame:
-    """Neighbours of each clustered word (the end is number ``clustered``) among them: (w, near: array of (side, o, n));
-    side 0 is after the word, 1 before it."""
+    """Neighbours of each clustered word (the end is number ``clustered``) among them: (w, near, n), where ``near`` packs
+    2 * neighbour + side as 32-bit numbers (side 0 is after the word, 1 before it) and ``n`` their counts as 64-bit ones:
+    the rounds read this table again and again, so it isn't stored as arrays of structs."""
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "ids", SLICE_BYTES):
+            for part in text_slices(batch, "ids", ID_BYTES):
                 flat, _ = _sequence(part.column("ids"), clustered)
                 flat = np.where(flat > clustered, -1, flat).astype(np.int64)
                 a, b = flat[:-1], flat[1:]
@@ -168,7 +169,18 @@ def pairs_of(encoded: DataFrame, clustered: int) -> DataFrame:
                     F.struct(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("o"), F.col("n")))
     # the rounds read the table again and again: dealt out once, for all of them
     rows = pairs.select(F.inline(sides)).repartition(4 * encoded.sparkSession.sparkContext.defaultParallelism, "w")
-    return cut_lineage(rows.groupBy("w").agg(F.collect_list(F.struct("side", "o", "n")).alias("near")))
+
+    def pack(batches):
+        for batch in batches:
+            flat, at = batch.column("near").flatten(), batch.column("near").offsets.to_numpy()
+            side, other, n = (flat.field(k).to_numpy() for k in range(3))
+            near = (other * 2 + side).astype(np.int32)
+            cuts = list(zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("w"), pa.array([near[a:b].tobytes() for a, b in cuts], pa.binary()),
+                 pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], ["w", "near", "n"])
+    lists = rows.groupBy("w").agg(F.collect_list(F.struct("side", "o", "n")).alias("near"))
+    return cut_lineage(lists.mapInArrow(pack, "w int, near binary, n binary"))
 
 
 # ------------------------------------------------------------------- exchange
@@ -202,11 +214,11 @@ def best_class(n, fn, own, after, before, twice, classes) -> int:
 
 
 def _near(batch):
-    """Flat (row, side, other word, n) of the ``near`` lists of a batch."""
-    near = batch.column("near")
-    flat = near.flatten()
-    row = np.repeat(np.arange(batch.num_rows), np.diff(near.offsets.to_numpy()))
-    return (row, *[flat.field(k).to_numpy() for k in range(3)])
+    """Flat (row, side, other word, n) of a batch of packed neighbours."""
+    near, n = ([np.frombuffer(x, kind) for x in batch.column(name).to_pylist()] for name, kind in (("near", np.int32), ("n", np.int64)))
+    row = np.repeat(np.arange(batch.num_rows), [len(x) for x in near])
+    flat = np.concatenate([np.zeros(0, np.int32), *near])
+    return row, flat & 1, flat >> 1, np.concatenate([np.zeros(0, np.int64), *n])
 
 
 def exchange(near: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +304,7 @@ def contexts_of(encoded: DataFrame, own: np.ndarray, clustered: int, classes: in
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "ids", SLICE_BYTES):
+            for part in text_slices(batch, "ids", ID_BYTES):
                 flat, _ = _sequence(part.column("ids"), -2)
                 flat = flat.astype(np.int64)
                 beside = np.where(flat == -2, classes, np.where((flat >= 0) & (flat < clustered), own[np.clip(flat, 0, max(clustered - 1, 0))], -1))
@@ -372,7 +384,7 @@ class Model:
         def run(batches):
             of = np.append(shared.value, np.int16(-1)).astype(np.int64)
             for batch in batches:
-                for part in text_slices(batch, "ids", SLICE_BYTES):
+                for part in text_slices(batch, "ids", ID_BYTES):
                     flat, begins = _sequence(part.column("ids"), -2)
                     yield from fn(part, flat, np.where(flat == -2, end, of[np.maximum(flat, -1)]), begins)
         rows = self.encoded.filter("train") if train_only else self.encoded

@@ -102,8 +102,8 @@ def test_clusters_and_places(spark, small):
             pairs.update((a, b) for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0)
     found = Counter()
     for r in near.collect():
-        for x in r["near"]:
-            found[(r["w"], x["o"]) if x["side"] == 0 else (x["o"], r["w"])] += x["n"]
+        for x, n in zip(np.frombuffer(r["near"], np.int32).tolist(), np.frombuffer(r["n"], np.int64).tolist()):
+            found[(r["w"], x >> 1) if x & 1 == 0 else (x >> 1, r["w"])] += n
     assert found == Counter({p: 2 * n for p, n in pairs.items()})
 
     def bigrams(own):
