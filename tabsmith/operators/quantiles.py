@@ -53,7 +53,7 @@ def _intervals(df: DataFrame, keys: list, cols: Sequence[str], fractions: Sequen
     near = [min(max(f + d, 0.0), 1.0) for f in fractions for d in (-slack, slack)]
     aggs = []
     for i, x in enumerate(cols):
-        v = _value(x)
+        v = F.col(x)
         aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, near, accuracy).alias(f"p{i}"),
                  F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")]
     wide = _group(df, keys).agg(*aggs)
@@ -74,14 +74,23 @@ def _wide(ends: DataFrame, keys: list, n_cols: int, n_frac: int) -> DataFrame:
     return _group(ends, keys).agg(at.alias("__ends"))
 
 
+def _bounded(df: DataFrame, keys: list, ends: DataFrame, n_cols: int, n_frac: int):
+    """``df`` and, by i * n_frac + j, the ends of the row's interval: constants without groups (a few values, which the
+    driver may hold), else joined by group."""
+    if keys:
+        return join_groups(df, _wide(ends, keys, n_cols, n_frac), keys), lambda k: (F.col("__ends")[k]["lo"], F.col("__ends")[k]["hi"])
+    found = {r["i"] * n_frac + r["j"]: (r["lo"], r["hi"]) for r in ends.select("i", "j", "lo", "hi").collect()}
+    return df, lambda k: tuple(F.lit(x).cast("double") for x in found[k])
+
+
 def _count(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_frac: int) -> DataFrame:
     """Exact counts per interval: rows below ``lo``, at it, between, and at ``hi`` (none if that is ``lo``)."""
-    j = join_groups(df, _wide(ends, keys, len(cols), n_frac), keys)
+    j, at = _bounded(df, keys, ends, len(cols), n_frac)
     aggs = []
     for i, x in enumerate(cols):
-        v = _value(x)
+        v = F.col(x)
         for k in range(i * n_frac, (i + 1) * n_frac):
-            lo, hi = F.col("__ends")[k]["lo"], F.col("__ends")[k]["hi"]
+            lo, hi = at(k)
             aggs += [F.count_if(v < lo).alias(f"b{k}"), F.count_if(v == lo).alias(f"l{k}"),
                      F.count_if((v > lo) & (v < hi)).alias(f"m{k}"), F.count_if((v == hi) & (hi > lo)).alias(f"h{k}")]
     got = _group(j, keys).agg(*aggs)
@@ -92,12 +101,13 @@ def _count(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_fr
 
 def _inside(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_frac: int) -> DataFrame:
     """(group, i, j, v): the rows strictly inside the intervals, one row each."""
-    j = join_groups(df, _wide(ends, keys, len(cols), n_frac), keys)
+    j, at = _bounded(df, keys, ends, len(cols), n_frac)
     cells = []
     for i, x in enumerate(cols):
-        v = _value(x)
+        v = F.col(x)
         for k in range(i * n_frac, (i + 1) * n_frac):
-            inside = (v > F.col("__ends")[k]["lo"]) & (v < F.col("__ends")[k]["hi"])
+            lo, hi = at(k)
+            inside = (v > lo) & (v < hi)
             cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(k - i * n_frac).alias("j"), v.alias("v"))))
     return j.select(*[c(k) for k in keys], F.inline(F.array_compact(F.array(*cells))))
 
@@ -142,7 +152,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[f
     if not cols:
         raise ValueError("no columns")
     names = [f"__k{i}" for i in range(len(keys))]
-    df = df.select(*[c(k).alias(n) for k, n in zip(keys, names)], *[c(x).alias(f"__v{i}") for i, x in enumerate(cols)])
+    df = df.select(*[c(k).alias(n) for k, n in zip(keys, names)], *[_value(x).alias(f"__v{i}") for i, x in enumerate(cols)])
     vals = [f"__v{i}" for i in range(len(cols))]
     ends = _intervals(df, names, vals, frac, accuracy)
     step = [*names, "i", "j"]
