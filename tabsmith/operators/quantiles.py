@@ -102,14 +102,16 @@ def _count(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_fr
 def _inside(df: DataFrame, keys: list, cols: Sequence[str], ends: DataFrame, n_frac: int) -> DataFrame:
     """(group, i, j, v): the rows strictly inside the intervals, one row each."""
     j, at = _bounded(df, keys, ends, len(cols), n_frac)
-    cells = []
+    cells, some = [], F.lit(False)
     for i, x in enumerate(cols):
         v = F.col(x)
         for k in range(i * n_frac, (i + 1) * n_frac):
             lo, hi = at(k)
             inside = (v > lo) & (v < hi)
+            some = some | F.coalesce(inside, F.lit(False))
             cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(k - i * n_frac).alias("j"), v.alias("v"))))
-    return j.select(*[c(k) for k in keys], F.inline(F.array_compact(F.array(*cells))))
+    # few rows are inside any interval: the others are gone before the cells are made
+    return j.where(some).select(*[c(k) for k in keys], F.inline(F.array_compact(F.array(*cells))))
 
 
 def _narrow(rows: DataFrame, keys: list, state: DataFrame) -> tuple[DataFrame, DataFrame]:
