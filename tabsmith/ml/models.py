@@ -95,6 +95,15 @@ def model_input(df: DataFrame, prep: Prepared, target: str | None) -> DataFrame:
     return df.withColumns(cols)
 
 
+def stored_input(df: DataFrame, prep: Prepared, target: str, fold_col: str) -> DataFrame:
+    """``model_input`` of a table that is read by many fits: only its typed columns and the fold,
+    written once, so that no fit computes the fold of a row (a hash of its key) or reads other columns again."""
+    from tabsmith.session import cut_lineage
+    base = model_input(df, prep, target)
+    keep = [x for x in base.columns if x == "label" or x.startswith(("__d_", "__s_", "__y_"))]
+    return cut_lineage(base.select(*[c(x) for x in keep], c(fold_col)))
+
+
 def make_estimator(model_id: str, task: str, params: dict | None = None, n_classes: int = 2, seed: int = 42):
     """M5: candidate model ids -> Spark ML estimators."""
     p = dict(params or {})
@@ -160,17 +169,21 @@ def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[st
     predictions of all pairs as one DataFrame (model, fold, label,
     prediction, __score) and the fit seconds per pair."""
     prep = build_preprocess(df, target, task, features)
-    base = model_input(df, prep, target)
-    folds = list(range(k)) if k is not None else sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    base = stored_input(df, prep, target, fold_col)
+    folds = list(range(k)) if k is not None else sorted(r[0] for r in base.select(fold_col).distinct().collect())
     n_classes = 2
     if task == "classification":
         n_classes = df.select(target).distinct().count()
 
+    def prepare(f):
+        t0 = time.time()
+        return prep.pipeline.fit(base.where(F.col(fold_col) != f)), time.time() - t0
+
     def one(pair):
         m, f = pair
         train, test = base.where(F.col(fold_col) != f), base.where(F.col(fold_col) == f)
+        pm, prepared = fitted[f]
         t0 = time.time()
-        pm = prep.pipeline.fit(train)
         tr, te = pm.transform(train), pm.transform(test)
         if m == "dummy":
             pred = _dummy_predict(tr, te, task)
@@ -178,7 +191,7 @@ def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[st
             est = make_estimator(m, task, (params or {}).get(m), n_classes)
             model = est.fit(tr)
             pred = model.transform(te)
-        secs = time.time() - t0
+        secs = prepared + time.time() - t0
         pred = _score_col(pred)
         return m, f, secs, pred.select(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"),
                                        F.col("label").cast("double").alias("label"),
@@ -186,6 +199,8 @@ def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[st
 
     pairs = [(m, f) for m in models for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        # imputation, encoding and scaling of a fold are the same for all models
+        fitted = dict(zip(folds, ex.map(prepare, folds)))
         res = list(ex.map(one, pairs))
     out = res[0][3]
     for r in res[1:]:

@@ -149,3 +149,15 @@ def test_explanations_add_up_to_the_probability_of_the_predicted_class(spark):
         assert r.prediction == pytest.approx(scores[r.id].prediction_score)
         assert r.contrib_a + r.contrib_b == pytest.approx(r.prediction - r.base_value, abs=1e-9)
     assert any(0.01 < abs(r.contrib_a) < 0.99 for r in rows)
+
+
+def test_leaderboard_prepares_each_fold_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from tabsmith.ml import models as MD
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: fits.append(df) or fit(self, df, *a))
+    t = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], float(3 * (i % 7) + i % 2)) for i in range(60)], "id int, x double, g string, y double")
+    board, per = MD.cv_leaderboard(t, "y", "regression", ["lr", "dt", "dummy"], k=2, key_cols=["id"], features=["x", "g"])
+    assert board.first()["Model"] == "lr" and per.count() == 6
+    # folds are read from the stored columns, not made from keys again by each fit
+    assert len(fits) == 2 and all("md5" not in str(df._jdf.queryExecution().optimizedPlan()) for df in fits)
