@@ -161,3 +161,20 @@ def test_leaderboard_prepares_each_fold_once(spark, monkeypatch):
     assert board.first()["Model"] == "lr" and per.count() == 6
     # folds are read from the stored columns, not made from keys again by each fit
     assert len(fits) == 2 and all("md5" not in str(df._jdf.queryExecution().optimizedPlan()) for df in fits)
+
+
+def test_tuning_prepares_each_fold_once(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from tabsmith.ml import models as MD
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df, *a: fits.append(df) or fit(self, df, *a))
+    t = spark.createDataFrame([(i, float(i % 7), float(3 * (i % 7) + i % 2)) for i in range(60)], "id int, x double, y double")
+    out, best = MD.tune(t, "y", "regression", "ridge", {"regParam": [0.1, 10.0]}, k=2, key_cols=["id"], features=["x"])
+    assert best == {"regParam": 0.1} and len(fits) == 2
+    folds, want = prep.kfold(t, ["id"], 2), []
+    for f in (0, 1):
+        model, p = MD.fit_final(folds.where(F.col("fold") != f), "y", "regression", "ridge", {"regParam": 0.1}, features=["x"])
+        want.append(RegressionEvaluator().evaluate(model.transform(MD.model_input(folds.where(F.col("fold") == f), p, "y"))))
+    row = out.where("params like '%0.1%'").first()
+    assert (row.mean_metric, row.std_metric) == pytest.approx((sum(want) / 2, abs(want[0] - want[1]) / 2))
