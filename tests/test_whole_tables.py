@@ -178,3 +178,17 @@ def test_tuning_prepares_each_fold_once(spark, monkeypatch):
         want.append(RegressionEvaluator().evaluate(model.transform(MD.model_input(folds.where(F.col("fold") == f), p, "y"))))
     row = out.where("params like '%0.1%'").first()
     assert (row.mean_metric, row.std_metric) == pytest.approx((sum(want) / 2, abs(want[0] - want[1]) / 2))
+
+
+def test_exact_distinct_counts_keep_no_other_buffers(spark):
+    from tabsmith.operators import profile as P
+    t = spark.createDataFrame([(0.0, "a", dt.date(2024, 1, 1), [1, 2], True), (-0.0, "", None, [1, 2], False), (float("nan"), None, None, [2], True)],
+                              "x double, s string, d date, l array<int>, b boolean")
+    for report in (P.profile_table, P.variable_cards):
+        out = report(t, exact=True)
+        name = "distinct_count" if report is P.profile_table else "distinct"
+        assert {r["column_name"]: r[name] for r in out.collect()} == {"x": 1, "s": 2, "d": 1, "l": 2, "b": 2}
+        assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["feature_name"]: r["unique_percentage"] for r in P.dataset_report(t, exact=True).collect()}["s"] == 66.67
+    empty = P.profile_table(t.limit(0), exact=True).collect()
+    assert [(r["total_rows"], r["distinct_count"]) for r in empty] == [(0, 0)] * 5
