@@ -11,35 +11,75 @@ Brute force would pair every row with every row of its group.  Instead:
    distance by d(q, pivot) + radius (triangle inequality), so cells with
    d(q, pivot) - radius above that bound cannot hold a neighbour and are
    pruned;
-5. distances are computed only against members of the surviving cells,
-   and ``row_number() <= k`` (a map-side WindowGroupLimit) keeps k per query.
+5. neighbouring cells are packed into blocks of about ``BLOCK`` rows (a larger
+   cell into several); a block of queries meets each block that holds a
+   surviving cell of one of them.  A pair of blocks is one matrix product, which
+   proposes; the distances of what it can't rule out are then summed exactly,
+   and at most k rows of a query leave a pair;
+6. ``row_number() <= k`` (a map-side WindowGroupLimit) keeps k per query.
 
 Exact for every input; how much is pruned depends on how clustered the
 data are (in high dimensions pruning weakens and the join approaches the
-brute-force pair count).  Vectors are ``array<double>`` and the distance is
-a JVM higher-order function, no Python in the loop.
+brute-force pair count, in blocks of bounded size).  Ids identify rows.  Rows
+without an id or a group, and vectors that are null or hold null or non-finite
+values, take no part; vectors of different lengths aren't compared.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as arrow
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import HASH_SPACE, c, hash_bucket
 
+BLOCK = 1000  # rows of a block
+
 
 def euclidean(a: Column, b: Column) -> Column:
     sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
 
 
+def nearest_of_block(ids: np.ndarray, vectors: np.ndarray, other_ids: np.ndarray, others: np.ndarray,
+                     k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of queries, positions of their (at most k) nearest others and the distances; ties by id.
+
+    The matrix product's squares are off by less than ``slack``; distances are summed value by value."""
+    # numbers in the order of the ids, the same for equal ids
+    number = np.unique(np.concatenate([ids, other_ids]), return_inverse=True)[1]
+    own, other = number[:len(ids)], number[len(ids):]
+    shift = others.mean(axis=0)
+    a, b = vectors - shift, others - shift
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    near = aa[:, None] + bb[None, :] - 2.0 * (a @ b.T)
+    near[own[:, None] == other[None, :]] = np.inf
+    size = np.abs(vectors).max(initial=0.0) + np.abs(others).max(initial=0.0)
+    slack = 64 * (vectors.shape[1] + 4) ** 2 * np.finfo(float).eps * size * size
+    last = np.partition(near, min(k, len(others)) - 1, axis=1)[:, min(k, len(others)) - 1]
+    at, to = np.nonzero((near <= last[:, None] + 2 * slack) & (near < np.inf))
+    total = np.zeros(len(at))
+    for i in range(vectors.shape[1]):
+        step = vectors[at, i] - others[to, i]
+        total += step * step
+    distance = np.sqrt(total)
+    order = np.lexsort((other[to], distance, at))
+    at, to, distance = at[order], to[order], distance[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[rank < k], to[rank < k], distance[rank < k]
+
+
 def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 5, group_col: str | None = None,
              cell_rows: int = 2000, max_pivots: int = 64, seed: int = 42) -> DataFrame:
     """k nearest other rows of the same group for every row:
     (group, id, neighbor_id, rank, distance); ties by neighbour id."""
     g = c(group_col) if group_col else F.lit(0)
-    pts = df.select(g.alias("__g"), c(id_col).alias("__id"), c(vec_col).cast("array<double>").alias("__v"),
+    pts = df.select(g.alias("__own"), c(id_col).alias("__id"), c(vec_col).cast("array<double>").alias("__v"),
                     hash_bucket([id_col], seed).alias("__h"))
+    pts = pts.where(F.col("__own").isNotNull() & F.col("__id").isNotNull() & (F.size("__v") > 0)
+                    & F.forall("__v", lambda x: F.abs(x) < F.lit(float("inf"))))
+    pts = pts.select(F.struct("__own", F.size("__v").alias("__size")).alias("__g"), "__id", "__v", "__h")
     cnt = pts.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     n_piv = F.least(F.lit(max_pivots), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(cell_rows)))))
     thr = n_piv.cast("double") / F.col("__n") * F.lit(float(HASH_SPACE))
@@ -69,10 +109,38 @@ def knn_join(df: DataFrame, id_col: str, vec_col: str, k: int = 5, group_col: st
     slack = F.lit(1e-9) * (F.lit(1.0) + F.col("__tau"))
     keep = F.filter(idx, lambda i: F.col("__C")[i].isNotNull() & (
         F.col("__tau").isNull() | (F.col("__dist")[i] - F.col("__C")[i]["r"] <= F.col("__tau") + slack)))
-    cand = q.select("__g", F.col("__id").alias("__q"), F.col("__v").alias("__vq"), F.explode(keep).alias("__cell"))
-    members = pa.select("__g", "__cell", F.col("__id").alias("__x"), F.col("__v").alias("__vx"))
-    d = cand.join(members, ["__g", "__cell"]).where(F.col("__q") != F.col("__x")) \
-            .select("__g", "__q", "__x", euclidean(F.col("__vq"), F.col("__vx")).alias("distance"))
+    # cells to blocks: a cell begins at block floor(rows before it / BLOCK) of its group and may span several
+    before = F.transform(idx, lambda i: F.aggregate(F.slice(idx, 1, i), F.lit(0).cast("long"),
+                                                    lambda s, j: s + F.coalesce(F.col("__C")[j]["m"], F.lit(0).cast("long"))))
+    first = F.floor(before[F.col("__cell")] / BLOCK)
+    span = F.ceil(F.col("__C")[F.col("__cell")]["m"] / BLOCK)
+    block = first + F.pmod(F.xxhash64("__id"), span)
+    need = F.array_distinct(F.flatten(F.transform(F.col("__keep"), lambda i: F.sequence(
+        F.floor(before[i] / BLOCK), F.floor(before[i] / BLOCK) + F.ceil(F.col("__C")[i]["m"] / BLOCK) - 1))))
+    # one row for each row of the table, with the block it is in and those it needs
+    rows = cut_lineage(q.withColumn("__keep", keep).select("__g", "__id", "__v", block.alias("__b"), need.alias("__need")))
+    packed = rows.groupBy("__g", "__b").agg(F.collect_list(F.struct("__id", "__v")).alias("__s"))
+    packed = cut_lineage(packed.select("__g", "__b", F.col("__s.__id").alias("__ids"), F.flatten("__s.__v").alias("__vs")))
+    wanted = rows.select("__g", "__b", F.explode("__need").alias("__to")).distinct()
+    queries = packed.join(wanted, ["__g", "__b"])
+    members = packed.select("__g", F.col("__b").alias("__to"), F.col("__ids").alias("__ids2"), F.col("__vs").alias("__vs2"))
+    pairs = queries.join(members, ["__g", "__to"]).withColumn("__own", F.col("__g.__own"))
+
+    def nearest(table: arrow.Table) -> arrow.Table:
+        parts = []
+        for r in range(table.num_rows):
+            ids, other_ids = table["__ids"][r].values, table["__ids2"][r].values
+            vectors = table["__vs"][r].values.to_numpy().reshape(len(ids), -1)
+            others = table["__vs2"][r].values.to_numpy().reshape(len(other_ids), -1)
+            at, to, distance = nearest_of_block(ids.to_numpy(zero_copy_only=False), vectors,
+                                                other_ids.to_numpy(zero_copy_only=False), others, k)
+            own = table["__own"].slice(r, 1).combine_chunks().take(arrow.array(np.zeros(len(at), np.int64)))
+            parts.append(arrow.table({"__g": own, "__q": ids.take(arrow.array(at)), "__x": other_ids.take(arrow.array(to)), "distance": distance}))
+        return arrow.concat_tables(parts)
+
+    kinds = pts.select(F.col("__g.__own").alias("__g"), "__id").schema
+    schema = f"__g {kinds['__g'].dataType.simpleString()}, __q {kinds['__id'].dataType.simpleString()}, __x {kinds['__id'].dataType.simpleString()}, distance double"
+    d = pairs.select("__g", "__b", "__to", "__own", "__ids", "__vs", "__ids2", "__vs2").groupBy("__g", "__to", "__b").applyInArrow(nearest, schema)
     w = Window.partitionBy("__g", "__q").orderBy("distance", "__x")
     top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     out = top.select(F.col("__g").alias(group_col or "__group"), F.col("__q").alias(id_col),

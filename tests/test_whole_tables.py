@@ -192,3 +192,18 @@ def test_exact_distinct_counts_keep_no_other_buffers(spark):
     assert {r["feature_name"]: r["unique_percentage"] for r in P.dataset_report(t, exact=True).collect()}["s"] == 66.67
     empty = P.profile_table(t.limit(0), exact=True).collect()
     assert [(r["total_rows"], r["distinct_count"]) for r in empty] == [(0, 0)] * 5
+
+
+def test_knn_by_blocks_of_odd_rows(spark, monkeypatch):
+    from tabsmith.operators import neighbors as N
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rows = [(f"r{i}", "a" if i % 3 else "b", [float(i % 11), float(i // 20)]) for i in range(120)]
+    odd = [("n", "a", None), ("m", "a", [1.0, None]), ("f", "a", [float("nan"), 1.0]), ("i", "b", [float("inf"), 1.0]), ("g", None, [1.0, 1.0]),
+           ("s", "a", [1.0])]
+    t = spark.createDataFrame(rows, "id string, y string, v array<double>")
+    both = t.unionByName(spark.createDataFrame(odd, "id string, y string, v array<double>"))
+    got = N.knn_join(both, "id", "v", 4, "y", cell_rows=10)
+    want = N.knn_brute_force(t, "id", "v", 4, "y")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    # pairs are made in blocks, not as rows of a join
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
