@@ -35,7 +35,10 @@ def smote(df: DataFrame, target: str, features: Sequence[str], id_col: str | Non
     from tabsmith.operators.rows import position_in_group
     feats = list(features)
     idc = id_col or "__rid"
-    base = df if id_col else numbered_rows(df)
+    # read by the counts, the neighbours, the draws and the result: made once
+    from tabsmith.session import cut_lineage
+    df = cut_lineage(df)
+    base = df if id_col else cut_lineage(numbered_rows(df))
     cnt = base.groupBy(c(target).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
     mx = cnt.agg(F.max("__n").alias("__M"))
     need = cnt.crossJoin(mx).where((F.col("__n") < F.col("__M")) & (F.col("__n") > k))  # one row per class
