@@ -37,7 +37,7 @@ def q_scan_csv_missing_and_breaks(spark, sf):
                   F.when(k % 3 == 0, "NULL").otherwise(F.col("o_totalprice").cast("string")).alias(" price "),
                   F.col("o_orderdate").cast("date").alias("day"))
     path = _path(spark, "csv")
-    IO.write_csv(df.repartition(4), path)
+    IO.write_csv(df.repartition(4), path, rows_per_file=100_000)
     return IO.read_csv(spark, path, multiline=True).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 

@@ -49,18 +49,26 @@ def infer_text_types(df: DataFrame) -> DataFrame:
         return df
     fits = {"date": lambda v: v.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$") & v.try_cast("date").isNotNull(),
             "timestamp": lambda v: v.rlike(r"^\s*\d{4}-\d{2}-\d{2}[ T]") & v.try_cast("timestamp").isNotNull()}
-    r = df.agg(*[F.bool_and(fits.get(k, lambda v, k=k: v.try_cast(k).isNotNull())(c(x)) | c(x).isNull()).alias(f"{k}{i}")
-                 for i, x in enumerate(texts) for k in kinds],
-               *[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(texts)]).first()
-    chosen = {x: next((k for k in kinds if r[f"{k}{i}"]), None) for i, x in enumerate(texts) if r[f"n{i}"]}
+    def aggs(left):
+        return [F.bool_and(fits.get(k, lambda v, k=k: v.try_cast(k).isNotNull())(c(texts[i])) | c(texts[i]).isNull()).alias(f"{k}{i}")
+                for i, k in left]
+
+    cells = [(i, k) for i in range(len(texts)) for k in kinds]
+    # a type that one of the first rows refutes is not tried on the others; all rows must fit the chosen one
+    few = df.limit(200).agg(*aggs(cells)).first()
+    left = [(i, k) for i, k in cells if few[f"{k}{i}"] is not False]
+    r = df.agg(*aggs(left), *[F.count(c(x)).alias(f"n{i}") for i, x in enumerate(texts)]).first().asDict()
+    chosen = {x: next((k for k in kinds if r.get(f"{k}{i}")), None) for i, x in enumerate(texts) if r[f"n{i}"]}
     return df.withColumns({x: c(x).try_cast(k) for x, k in chosen.items() if k})
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite", rows_per_file: int | None = None) -> None:
     """CSV sink with a header and no index (S3/S11).  One file only on request:
-    ``coalesce(1)`` funnels all rows through one task."""
+    ``coalesce(1)`` funnels all rows through one task.  ``rows_per_file`` bounds
+    files that hold quoted line breaks: each of those is read by one task."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = out.write.mode(mode).option("header", True).option("escape", '"')
+    (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",

@@ -207,3 +207,14 @@ def test_knn_by_blocks_of_odd_rows(spark, monkeypatch):
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
     # pairs are made in blocks, not as rows of a join
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_files_with_line_breaks_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "t")
+    t = spark.range(1000).select("id", F.concat_ws("\n", F.lit("a"), F.col("id").cast("string")).alias("s"),
+                                 F.when(F.col("id") < 999, F.col("id").cast("string")).otherwise("x").alias("v"))
+    files.write_csv(t.repartition(1), path, rows_per_file=100)
+    assert len([x for x in os.listdir(path) if x.endswith(".csv")]) == 10
+    out = files.read_csv(spark, path, multiline=True)
+    assert dict(out.dtypes) == {"id": "int", "s": "string", "v": "string"} and out.rdd.getNumPartitions() > 1
+    assert sorted(r["s"] for r in out.collect()) == sorted(f"a\n{i}" for i in range(1000))
