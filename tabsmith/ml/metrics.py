@@ -37,9 +37,10 @@ def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], bu
     t = df.withColumn("__key", key)
     g = t.groupBy(*[c(k) for k in ks]) if ks else t.groupBy()
     edges = g.agg(F.array_sort(F.array_distinct(F.percentile_approx("__key", fr, 10 * buckets))).alias("__e"))
-    # one row per group; groups are few (models x folds, or one) -> size-checked by Spark's join planning
-    t = t.join(edges, ks) if ks else t.crossJoin(edges)
-    t = t.withColumn("__bk", F.size(F.filter("__e", lambda e: e <= F.col("__key")))).drop("__e")
+    # one row per group, and groups are few (models x folds, or one): broadcast, as a shuffle by group would gather
+    # the whole table in as many tasks as there are groups
+    t = t.join(F.broadcast(edges), ks) if ks else t.crossJoin(F.broadcast(edges))
+    t = t.withColumn("__bk", _edges_below(F.col("__e"), F.col("__key"), buckets)).drop("__e")
     tot = t.groupBy(*[c(k) for k in ks], "__bk").agg(*[F.sum(c(v)).alias(f"__t_{v}") for v in value_cols],
                                                      F.min("__key").alias("__first"))
     wspec = Window.partitionBy(*[c(k) for k in ks]) if ks else Window
@@ -61,6 +62,15 @@ def cumulative_sums(df: DataFrame, order_col: str, value_cols: Sequence[str], bu
     return out.drop("__bk", "__key", *[f"__o_{v}" for v in value_cols])
 
 
+def _edges_below(edges: Column, key: Column, buckets: int) -> Column:
+    """How many of the ascending ``edges`` (fewer than ``buckets``) are at most ``key``, by halving: 8 comparisons for
+    256 buckets where a filter of the array needs 255."""
+    steps = [1 << k for k in range(max(1, (buckets - 1).bit_length()) - 1, -1, -1)]
+    found = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda lo, step:
+                        F.when(F.get(edges, lo + step - 1) <= key, lo + step).otherwise(lo))
+    return F.when(edges.isNotNull(), found)
+
+
 # ---------------------------------------------------------------------------
 # regression
 # ---------------------------------------------------------------------------

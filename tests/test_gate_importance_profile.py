@@ -77,6 +77,22 @@ def test_one_vs_rest_auc(spark):
     assert MT.auc_one_vs_rest(df.limit(0), "y", "p").first()["AUC"] is None
 
 
+def test_buckets_of_running_sums_are_found_by_halving(spark):
+    rows = []
+    for n in (0, 1, 2, 3, 7, 8, 254, 255):
+        edges = sorted({round(0.5 * k, 1) for k in range(n)})
+        rows += [(edges, x) for x in [-1.0, 0.0, 0.25, 0.5, 3.0, 63.5, 127.0, 500.0, float("nan"), None]]
+    df = spark.createDataFrame(rows + [(None, 1.0)], "e array<double>, x double")
+    out = df.select("e", "x", MT._edges_below(F.col("e"), F.col("x"), 256).alias("got")).collect()
+    for r in out:
+        want = None if r["e"] is None else 0 if r["x"] is None else sum(e <= r["x"] or r["x"] != r["x"] for e in r["e"])
+        assert r["got"] == want
+    # a row takes 8 comparisons (a filter of all edges: 255), and the few groups aren't what rows are shuffled by
+    scores = spark.range(50).select((F.col("id") % 3).alias("k"), F.col("id").alias("s"), F.lit(1).alias("n"))
+    plan = MT.cumulative_sums(scores, "s", ["n"], keys=["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(__e" not in plan and "strategy=broadcast" in plan
+
+
 def test_leaderboard_of_three_classes(spark, sf):
     from tabsmith.sources.tables import load
     o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 3).alias("y"), (F.col("o_orderkey") % 3 * 2.0).alias("x"))
