@@ -5,10 +5,14 @@ text is preferred over a bad one) by logistic loss on the differences of their
 features; the scores of the pairs' documents then give the cut: the quantile at
 the share of bad labels is mapped to the probability ``cut``.
 
-The model is fitted on a bounded, documented sample of labelled rows (the
-``sample_rows`` smallest hashes of the ids, ``n_pairs`` hash-drawn pairs); its
-50 numbers go to the tasks, and scoring is one pass over the texts without a
-shuffle.  Ids, languages, sources and labels are no inputs of a score.
+The model is fitted on every labelled row that isn't held out, and on all pairs
+of a good and a bad one: the texts' features (15 numbers) are made in one pass
+and stored with their labels, without a shuffle of texts; mean, deviation, cut
+and each Newton step are aggregates over the stored table.  The loss of a pair
+depends on the difference of two scores only, so its sums over all pairs follow
+from sums over the rows of a grid of scores (``GRID`` steps at most), which
+weigh a row on its two nearest grid points.  Scoring is one pass over the texts
+without a shuffle.  Ids, languages, sources and labels are no inputs of a score.
 
 Edge cases: a null text counts as empty and gets a score like any other; null
 labels or ids are not learned from; of repeated labels for an id the largest
@@ -25,9 +29,13 @@ from pyspark.sql import types as T
 from tabsmith.functions.core import q
 from tabsmith.llm.common import words_of
 from tabsmith.llm.repetition import covered, repeats, rolling_hashes
+from tabsmith.operators.quantiles import exact_quantiles
+from tabsmith.session import cut_lineage
 
-SAMPLE_ROWS = 6_000
-N_PAIRS = 60_000
+GRID = 4_096           # most steps of the grid of scores (either sign),
+STEP = 1 / 32          # and the width of a step where they suffice
+RIDGE = 1e-3
+STEPS = 30             # most Newton steps
 FEATURES = ["log_words", "mean_word", "upper", "shouted", "symbols", "digits", "bars", "bangs", "stops", "distinct",
             "adjacent", "repeat_5", "dup_lines", "short_lines", "top_word"]
 _SYMBOLS = list(b"#*$%&<>@^~_=+\\")
@@ -59,38 +67,118 @@ def features(text) -> list:
     ]
 
 
-def draw(size: int, n: int, seed: int) -> np.ndarray:
-    """``n`` positions below ``size``, from a fixed seed."""
-    return np.random.default_rng(seed).integers(0, size, n)
-
-
-def fit_pairs(good: np.ndarray, bad: np.ndarray, n_pairs: int = N_PAIRS, ridge: float = 1e-3) -> np.ndarray:
-    """Bradley-Terry weights: Newton steps on the mean of log(1 + exp(-w . (good - bad))) + ridge |w|^2 / 2."""
-    d = good[draw(len(good), n_pairs, 1)] - bad[draw(len(bad), n_pairs, 2)]
-    w = np.zeros(d.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d * p[:, None]).mean(0) + ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+def standard(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / sd, -8, 8)
+
+
+def grid_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slots (twice the grid point, one more for good rows) and per slot the sums of 1, z and the products of z's
+    numbers (upper triangle), each row shared between the two grid points around its score."""
+    i, j = np.triu_indices(z.shape[1])
+    rows = np.hstack([np.ones((len(z), 1)), z, z[:, i] * z[:, j]])
+    at = z @ w / step
+    low = np.floor(at)
+    share = (at - low)[:, None]
+    slot = np.concatenate([low, low + 1]).astype(np.int64) * 2 + np.concatenate([y, y])
+    rows = np.vstack([rows * (1 - share), rows * share])
+    slots, place = np.unique(slot, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(slots)))
+    return slots, np.add.reduceat(rows[order], starts, axis=0)
+
+
+def pair_sums(slots: np.ndarray, sums: np.ndarray, step: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean over all pairs of log(1 + exp(bad score - good score)), from ``grid_sums``."""
+    i, j = np.triu_indices(size)
+    good, bad = slots % 2 == 1, slots % 2 == 0
+    g, b = sums[good], sums[bad]
+    at_g, at_b = (slots[good] // 2) * step, (slots[bad] // 2) * step
+    n_g, n_b = g[:, 0], b[:, 0]
+    pull_g, bend_g = np.zeros(len(g)), np.zeros(len(g))
+    pull_b, bend_b, cross = np.zeros(len(b)), np.zeros(len(b)), np.zeros((size, size))
+    for k in range(0, len(g), 256):  # bounded: 256 grid points against all
+        part = slice(k, k + 256)
+        p = 1 / (1 + np.exp(np.clip(at_g[part, None] - at_b[None, :], -30, 30)))
+        bend = p * (1 - p)
+        pull_g[part], bend_g[part] = p @ n_b, bend @ n_b
+        pull_b += n_g[part] @ p
+        bend_b += n_g[part] @ bend
+        cross += g[part, 1:size + 1].T @ bend @ b[:, 1:size + 1]
+    pairs = n_g.sum() * n_b.sum()
+    grad = (pull_b @ b[:, 1:size + 1] - pull_g @ g[:, 1:size + 1]) / pairs
+    own = np.zeros((size, size))
+    own[i, j] = bend_g @ g[:, size + 1:] + bend_b @ b[:, size + 1:]
+    own = own + np.triu(own, 1).T
+    return grad, (own - cross - cross.T) / pairs
+
+
+def summed_on_grid(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, w: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """``grid_sums`` of all ``rows``: partial sums per task, added up by slot.
+
+    The slots that reach the driver are bounded by the grid, whatever the number of rows."""
+    def partial(batches):
+        kept: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(w))
+                for k, m in zip(*grid_sums(standard(x, mean, sd), batch.column("y").to_numpy().astype(np.int64), w, step)):
+                    kept[k] = kept[k] + m if k in kept else m
+        yield from as_batch(kept)
+
+    def added(batches):
+        kept: dict = {}
+        for batch in batches:
+            m = batch.column("m").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for k, row in zip(batch.column("slot").to_pylist(), m):
+                kept[k] = kept[k] + row if k in kept else row
+        yield from as_batch(kept)
+
+    def as_batch(kept):
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([m.tolist() for m in kept.values()], pa.list_(pa.float64()))],
+                                             ["slot", "m"])
+
+    # a task's partial rows come in any order: sorted, so that reruns add them up alike
+    parts = rows.mapInArrow(partial, "slot long, m array<double>").repartition("slot").sortWithinPartitions("slot", "m")
+    found = sorted(parts.mapInArrow(added, "slot long, m array<double>").collect())
+    return np.array([r["slot"] for r in found], np.int64), np.array([r["m"] for r in found], float)
+
+
+def fit_pairs(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Bradley-Terry weights: Newton steps on the mean of log(1 + exp(-w . (good - bad))) over all pairs + ridge |w|^2 / 2."""
+    size = len(mean)
+    w = np.zeros(size)
+    for _ in range(STEPS):
+        step = max(STEP, 8 * np.abs(w).sum() / GRID)  # scores lie within 8 times the sum of the weights
+        grad, hess = pair_sums(*summed_on_grid(rows, mean, sd, w, step), step, size)
+        move = np.linalg.solve(hess + ridge * np.eye(size), grad + ridge * w)
+        w = w - move
+        if np.abs(move).max() < 1e-6:
             break
-    return w
+    return np.round(w, 9)
+
+
+def fit(rows: DataFrame, cut: float) -> dict:
+    """Model from all ``rows`` (``x`` features, ``y`` label); at the score quantile of the share of bad labels the
+    probability is ``cut``."""
+    n = len(FEATURES)
+    each = [F.col("x")[k] for k in range(n)]
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"),
+                    F.array(*[F.avg(e) for e in each]).alias("mean"), F.array(*[F.stddev_pop(e) for e in each]).alias("sd")).first()
+    if not seen["bad"] or not seen["good"]:
+        return {"weights": [0.0] * n, "at": 0.0, "slope": 1.0, "lift": 0.0}
+    # rounded, as sums of doubles depend on the order in which tasks end
+    mean, sd = np.round(seen["mean"], 12), np.round(np.array(seen["sd"]) + 1e-9, 12)
+    w = fit_pairs(rows.filter(F.col("y").isin(0, 1)), mean, sd)
 
+    @F.arrow_udf(T.DoubleType())
+    def raw(x: pa.Array) -> pa.Array:
+        return pa.array(standard(x.flatten().to_numpy().reshape(len(x), n), mean, sd) @ w)
 
-def fit(x: np.ndarray, y: np.ndarray, cut: float) -> dict:
-    """Model from features and labels; at the score quantile of the share of bad labels the probability is ``cut``."""
-    if len(set(y.tolist())) < 2:
-        return {"weights": [0.0] * x.shape[1], "at": 0.0, "slope": 1.0, "lift": 0.0}
-    mean, sd = x.mean(0), x.std(0) + 1e-9
-    z = np.clip((x - mean) / sd, -8, 8)
-    w = fit_pairs(z[y == 1], z[y == 0])
-    raw = z @ w
     # the cut: quantile at the share of bad labels, midway to the nearest score on either side of it
-    ordered = np.sort(raw)
-    k = min(max(1, int((y == 0).sum())), len(raw) - 1)
-    at = float((ordered[k - 1] + ordered[k]) / 2)
+    k = min(max(1, seen["bad"]), seen["n"] - 1)
+    scores = cut_lineage(rows.select(raw(F.col("x")).alias("score")))
+    at = exact_quantiles(scores, ["score"], [(k - 0.5) / (seen["n"] - 1)]).first()["q0"][0]
     return {"mean": mean.tolist(), "sd": sd.tolist(), "weights": w.tolist(), "at": at,
             "slope": 1.0, "lift": float(np.log(cut / (1 - cut)))}
 
@@ -98,7 +186,7 @@ def fit(x: np.ndarray, y: np.ndarray, cut: float) -> dict:
 def probability(x: np.ndarray, model: dict) -> np.ndarray:
     if "mean" not in model:
         return np.full(len(x), 0.5)
-    z = np.clip((x - np.array(model["mean"])) / np.array(model["sd"]), -8, 8)
+    z = standard(x, np.array(model["mean"]), np.array(model["sd"]))
     s = z @ np.array(model["weights"]) - model["at"]
     return 1 / (1 + np.exp(-np.clip(model["slope"] * s + model["lift"], -30, 30)))
 
@@ -113,21 +201,18 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows: int = SAMPLE_ROWS,
+def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3,
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Fit on at most ``sample_rows`` labelled ids that aren't held out (smallest hashes of the id).
+    """Fit on all labelled ids that aren't held out.
 
-    The sample (ids and labels only) is small by its bound, so it is broadcast
-    and the documents are read once without a shuffle."""
+    Features are made before the join, so that no text is shuffled: a row of them is some 150 bytes."""
     i, y = F.col(q(id_col)), F.col(q(label_col))
-    sample = (labels.filter(i.isNotNull() & y.isNotNull() & ~held_out(i)).groupBy(i.alias("__id"))
-              .agg(F.max(y).alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    found = (docs.select(i.alias("__id"), F.col(q(text_col)).alias("__t")).join(F.broadcast(sample), "__id")
-             .select("__id", "__y", F.xxhash64("__t").alias("__h"), _features(F.col("__t")).alias("__x")))
-    # one row for an id, so at most sample_rows rows reach the driver
-    rows = found.groupBy("__id").agg(F.min_by(F.struct("__y", "__x"), "__h").alias("r")).orderBy("__id").collect()
-    x = np.array([r["r"]["__x"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([r["r"]["__y"] for r in rows], int), cut)
+    known = (labels.filter(i.isNotNull() & y.isNotNull() & ~held_out(i)).groupBy(i.alias("id")).agg(F.max(y).cast("int").alias("y")))
+    made = (docs.filter(i.isNotNull() & ~held_out(i))
+            .select(i.alias("id"), F.xxhash64(F.col(q(text_col))).alias("h"), _features(F.col(q(text_col))).alias("x")))
+    # one row for an id
+    rows = made.join(known, "id").groupBy("id", "y").agg(F.min_by("x", "h").alias("x"))
+    return fit(cut_lineage(rows.select("x", "y")), cut)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:

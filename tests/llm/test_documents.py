@@ -354,3 +354,23 @@ def test_classifier_edges(spark, docs, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
     d = docs.select(quality.held_out(quality.F.col("doc_id")).alias("h"), "doc_id").collect()
     assert all(r["h"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in d)
+
+
+def test_classifier_learns_from_all_labelled_rows_and_pairs(spark):
+    rng = np.random.default_rng(5)
+    words = ["The", "cat", "sat,", "on", "it.", "#", "12", "AND", "dogs", "ran!", "|", "trees"]
+    texts = [" ".join(rng.choice(words[:8] if i % 3 else words[3:], rng.integers(3, 30))) for i in range(9000)]
+    good = [int(rng.random() < (0.7 if i % 3 else 0.4)) for i in range(9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "x"), (1, texts[1])], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int"))
+    own = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(texts[i]) for i in own]), np.array([good[i] for i in own])
+    assert len(own) > 6000 and np.allclose(model["mean"], x.mean(0)) and np.allclose(model["sd"], x.std(0) + 1e-9)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8)
+    w = np.array(model["weights"])
+    raw = z @ w
+    lost = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0][None, :]))  # of every pair
+    grad = (lost.mean(0) @ z[y == 0] / (y == 0).sum() - lost.mean(1) @ z[y == 1] / (y == 1).sum()) + quality.RIDGE * w
+    assert np.abs(w).max() > 0.1 and np.abs(grad).max() < 2e-5
+    ordered, k = np.sort(raw), int((y == 0).sum())
+    assert model["at"] == pytest.approx((ordered[k - 1] + ordered[k]) / 2, abs=1e-9)
