@@ -3,11 +3,15 @@
 Paragraphs (lines of a text, and runs of lines without a blank one between)
 are counted as sparse vectors of word 1- to 3-grams; a multinomial logistic regression (Spark ML) names a licence family or
 ``unknown``.  It is trained on notices made from templates and, for the unknown
-class, on a bounded sample of the corpus' own paragraphs; the probability a
-family needs is calibrated on the half of that sample that isn't trained on, so
-that at most one in a thousand of its paragraphs would pass.  A prediction
-counts only if the paragraph also holds most words of one of the family's
-templates, in runs of three.
+class, on the corpus' own paragraphs: all lines that hold no template, a half
+of them (by a hash of the line).  The probability a family needs is calibrated
+on the other half, so that at most one in a thousand of its paragraphs would
+pass.  A prediction counts only if the paragraph also holds most words of one
+of the family's templates, in runs of three.
+
+For these two steps the lines are cut down to the words that the templates know
+(the rest of a line has no feature) and counted; equal ones are one row with a
+weight.  So no text is shuffled, and the fit reads rows of a few words.
 
 A run of lines counts if it holds a family's template and no shorter run in it
 does (the first, where such runs of a family overlap), so a notice is found
@@ -17,14 +21,14 @@ Comment marks aren't words.
 
 Paragraphs without any of a few long words can't hold enough of any template
 (``needed_words`` derives them from the templates), so they aren't scored; this
-changes no result.  One pass over the texts without a shuffle of texts; DataFrame
-and Spark ML operations only.
+changes no result.  Two passes over the texts without a shuffle of texts;
+DataFrame and Spark ML operations only.
 
 Edge cases: a null or empty text has no paragraphs and no licence; very long
 texts are cut into paragraphs like others; repeated rows are repeated in the
-result; a null id is kept as null (and not trained on); with no paragraphs to
-sample the bar is ``MIN_BAR``; an empty table gives an empty result; extra
-columns are ignored.
+result; a null id is kept as null (and not trained on); with no paragraphs the
+bar is ``MIN_BAR``; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.core import q
+from tabsmith.ml.metrics import cumulative_sums
 from tabsmith.session import cut_lineage
 
-SAMPLE_DOCS = 300      # documents that unknown paragraphs are drawn from (smallest hashes of the id),
-SAMPLE_ROWS = 3_000    # and paragraphs of them
+UNKNOWN = 7.0          # weight of all the corpus' paragraphs against that of the notices made from templates
+PASSING = 0.001        # share of the paragraphs without a template that may pass
 MIN_BAR = 0.5          # least probability of a family
 HOLDS = 0.75           # share of a template's 3-grams that a paragraph must hold
 GRAMS = (1, 2, 3)
@@ -183,25 +188,47 @@ class Scanner:
         made = known.select("family", "text", leads.alias("lead")).withColumn("line", F.concat_ws(" ", "lead", "text")).withColumn("words", word_list(F.col("line")))
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")).cast("double")  # 0: unknown
         made = made.select(label.alias("label"), "words")
-        # the corpus' own paragraphs, without those that hold a template
-        own = docs.filter(F.col(q(id_col)).isNotNull()).select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text"))
-        own = own.withColumn("place_in_draw", F.xxhash64("id"))
-        # the bar of the draw first (ids only), so that no task gathers texts of more documents
-        last = own.select("place_in_draw").orderBy("place_in_draw").limit(SAMPLE_DOCS).agg(F.max("place_in_draw")).first()[0]
-        drawn = own.filter(F.col("place_in_draw") <= F.lit(last)).drop("place_in_draw")
-        drawn = cut_lineage(paragraphs(drawn).transform(self.held_templates).filter(F.array_max("held") < HOLDS)
-                 .orderBy(F.xxhash64("line"), "line").limit(SAMPLE_ROWS)
-                 .withColumn("half", F.pmod(F.xxhash64("line", F.lit(7)), F.lit(2))).select("words", "half"))
+        own = docs.filter(F.col(q(id_col)).isNotNull()).select(F.col(q(text_col)).alias("text"))
+        own = cut_lineage(self.vectorize(self.unknown(own)).select("features", "half", "n"))
+        sizes = own.groupBy("half").agg(F.sum("n")).collect()  # two rows
+        total = {r[0]: r[1] for r in sizes}
         # the words of templates in another order, and single ones of them, are unknown too
         mixed = made.select(F.lit(0.0).alias("label"), F.array_sort("words").alias("words")).unionByName(
             known.select(F.lit(0.0).alias("label"), F.explode(F.transform("words", lambda w: F.array(w))).alias("words")).distinct())
-        training = made.unionByName(mixed).unionByName(drawn.filter("half = 0").select(F.lit(0.0).alias("label"), "words"))
-        # a few thousand rows by its bounds: one stored part, read by every iteration
-        training = cut_lineage(training.coalesce(1))
-        self.model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60).fit(self.vectorize(training))
-        top = self.probabilities(self.vectorize(drawn.filter("half = 1")))
-        bar = top.filter("label > 0").agg(F.percentile_approx("p", 0.999, 10_000)).first()[0]
-        self.bar = max(MIN_BAR, bar or 0.0)
+        made = cut_lineage(made.unionByName(mixed).coalesce(1))  # some hundred rows by the templates
+        notices = made.filter("label > 0").count()
+        share = UNKNOWN * notices / max(1, total.get(0, 0))
+        training = self.vectorize(made).select("label", "features", F.lit(1.0).alias("weight")).unionByName(
+            own.filter("half = 0").select(F.lit(0.0).alias("label"), "features", (F.col("n") * share).alias("weight")))
+        # one stored table, read by every iteration
+        self.model = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=60, weightCol="weight").fit(cut_lineage(training))
+        self.bar = self.calibrated(self.probabilities(own.filter("half = 1")), total.get(1, 0))
+
+    def unknown(self, docs: DataFrame) -> DataFrame:
+        """``words, half, n``: all lines of ``text`` that have a word and hold no template, counted by their words.
+
+        Words that no template has are empty ones here, and runs of them one: the n-grams in the vocabulary stay the same."""
+        singles = [w for w in self.vocabulary if " " not in w]
+        lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+        lines = once(lines.withColumn("words", word_list(F.col("line"))), "words").filter(F.size("words") > 0)
+        kept = F.array_join(F.transform("words", lambda w: F.when(w.isin(singles), w).otherwise("")), " ")
+        lines = lines.select(F.regexp_replace(F.trim(kept), " {2,}", "  ").alias("kept"), F.pmod(F.xxhash64("line", F.lit(7)), F.lit(2)).alias("half"))
+        lines = lines.groupBy("kept", "half").agg(F.count(F.lit(1)).alias("n"))
+        # only what holds a needed word is held against the templates
+        words = F.split("kept", " ")
+        lines = lines.select(words.alias("kept"), F.when(may_hold(F.col("kept")), words).otherwise(F.array().cast("array<string>")).alias("words"), "half", "n")
+        lines = self.held_templates(lines).filter(F.array_max("held") < HOLDS)
+        return lines.select(F.col("kept").alias("words"), "half", "n")
+
+    def calibrated(self, scored: DataFrame, total: int) -> float:
+        """The least bar above which at most ``PASSING`` of the ``total`` paragraphs in ``scored`` (``n`` each) lie, of any
+        family; ``MIN_BAR`` at least."""
+        over = scored.filter((F.col("label") > 0) & (F.col("p") > MIN_BAR)).groupBy("p").agg(F.sum("n").alias("n"))
+        over = cut_lineage(over)
+        if (over.agg(F.sum("n")).first()[0] or 0) <= PASSING * total:
+            return MIN_BAR
+        sums = cumulative_sums(over, "p", ["n"], descending=True)
+        return sums.filter(F.col("cum_n") > PASSING * total).agg(F.max("p")).first()[0]
 
     def vectorize(self, df: DataFrame) -> DataFrame:
         return self.vectors.transform(once(df.withColumn("grams", features(F.col("words"))), "grams"))
@@ -209,8 +236,9 @@ class Scanner:
     def probabilities(self, df: DataFrame) -> DataFrame:
         """``df`` with the likeliest class ``label`` (0: unknown) and its probability ``p``."""
         scored = self.model.transform(df.drop("label") if "label" in df.columns else df)
-        p = vector_to_array("probability")
-        best = scored.withColumn("p", F.array_max(p)).withColumn("label", F.col("prediction").cast("int"))
+        # rounded, as the sums of a fit depend on the order in which tasks end
+        p = F.round(F.array_max(vector_to_array("probability")), 6)
+        best = scored.withColumn("p", p).withColumn("label", F.col("prediction").cast("int"))
         return once(best.drop("rawPrediction", "probability", "prediction", "features", "grams"), "p", "label")
 
     def held_templates(self, df: DataFrame) -> DataFrame:
@@ -239,7 +267,7 @@ class Scanner:
                              lambda h, x: (h >= HOLDS) & (x["without_last"] < HOLDS) & (x["without_first"] < HOLDS))
         found = once(found.withColumn("own", own_run), "own").filter(F.exists("own", lambda x: x))
         found = found.select(id_col, "__row", "place", "last", "words", "own")
-        found = self.probabilities(self.vectorize(found)).filter((F.col("label") > 0) & (F.col("p") >= self.bar))
+        found = self.probabilities(self.vectorize(found)).filter((F.col("label") > 0) & (F.col("p") > self.bar))
         names = F.array(*[F.lit(f) for f in self.families])
         found = found.filter(F.element_at("own", F.col("label"))).withColumn("family", F.element_at(names, F.col("label")))
         # of runs of a family that overlap in a text, the first

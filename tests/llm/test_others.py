@@ -308,6 +308,30 @@ def test_wrapped_notices_and_all_rights_reserved(spark, sf):
     assert got == [(k, place, family) for k, (_, want) in enumerate(WRAPPED) for place, family in want]
 
 
+def test_unknown_class_and_bar_come_from_all_paragraphs(spark):
+    rng = random.Random(3)
+    words = "the of software may copy this license is granted apple tree river under public any and".split()
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(5)) for _ in range(900)] + [None, "", "All rights reserved."]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "river of software")], "doc_id long, text string")
+    scanner = licences.Scanner(docs)
+    lines = [x for t in texts[:900] for x in t.split("\n") if x]
+    found = scanner.unknown(docs.filter("doc_id IS NOT NULL").select("text")).collect()
+    assert sum(r["n"] for r in found) == len(lines) > 3000  # the line that holds a template isn't one of them
+    grams = lambda ws: sorted(g for n in (1, 2, 3) for g in (" ".join(ws[k:k + n]) for k in range(len(ws) - n + 1)) if g in known)
+    known, want, got = set(scanner.vocabulary), {}, {}
+    for x in lines:
+        key = tuple(grams(x.split()))
+        want[key] = want.get(key, 0) + 1
+    for r in found:
+        key = tuple(grams(r["words"]))
+        got[key] = got.get(key, 0) + r["n"]
+    assert got == want
+    # of 10,000 paragraphs, 10 may pass
+    scored = spark.createDataFrame([(0, 0.99, 9900), (1, 0.6, 50), (2, 0.7, 42), (1, 0.8, 3), (3, 0.9, 5)], "label int, p double, n long")
+    assert scanner.calibrated(scored, 10_000) == 0.7
+    assert scanner.calibrated(scored.filter("p > 0.7"), 10_000) == licences.MIN_BAR
+
+
 # ---------------------------------------------------------------------- urls
 
 def test_urls_against_brute_force(spark):
