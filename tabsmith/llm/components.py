@@ -24,12 +24,13 @@ def _star(edges: DataFrame, neighbours: DataFrame, larger: bool) -> DataFrame:
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges`` (its first two columns); the
-    root is the component's smallest node.  Self-links and nulls are ignored."""
+    root is the component's smallest node.  Self-links and nulls are ignored.
+    ``rows``: about how many edges there are, if known (``cut_lineage``)."""
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    e, before = cut_lineage(e), None
+    e, before = cut_lineage(e, rows), None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -37,6 +38,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(e, both, larger=True)
-        e = cut_lineage(_star(large, large, larger=False))
+        e = cut_lineage(_star(large, large, larger=False), 2 * now[0])  # a round adds a link to a node's smallest at most
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -254,12 +254,15 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: st
     own = cut_lineage(with_fingerprint(docs, shingle, text_col).select(
         i.alias("id"), F.xxhash64(F.col(q(text_col))).alias("row_hash"), "fp"))
     least = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash")
-    fps = cut_lineage(own.groupBy("fp").agg(F.min(least).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = cut_lineage(connected_components(near_links(fps, max_bits)))
+    fps = cut_lineage(own.groupBy("fp").agg(F.min(least).alias("first"), F.count(F.lit(1)).alias("n")), own.count())
+    total = fps.count()
+    # a link for a fingerprint in the shard that it has in each block's tree, more at the shards' boundaries
+    links = len(block_masks(max_bits)[0]) * total
+    roots = cut_lineage(connected_components(near_links(fps, max_bits), links), 2 * total)
     linked = roots.join(fps, F.col("node") == F.col("fp")).select("fp", "root", "first")
     tops = linked.groupBy("root").agg(F.min("first").alias("top"))
     tops = linked.select("fp", "root").join(tops, "root").select("fp", "top")
-    classes = cut_lineage(fps.join(tops, "fp", "left").select("fp", "n", F.coalesce("top", "first").alias("first")))
+    classes = cut_lineage(fps.join(tops, "fp", "left").select("fp", "n", F.coalesce("top", "first").alias("first")), total)
     out = with_class(own, classes)
     keep = [F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id")]
     return out.select(*keep, *(["row_hash", "first"] if row_key else []))

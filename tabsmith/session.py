@@ -70,20 +70,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def cut_lineage(df):
+FILE_ROWS = 100_000  # rows aimed at in a file of a stored table whose size is known
+
+
+def cut_lineage(df, rows: int | None = None):
     """Cut the lineage by writing the frame as a Parquet table under the shared
     checkpoint folder and reading it back.
 
+    ``rows``: about how many rows the last stage of ``df`` reads and makes at
+    most, where the caller knows it.  A small table is then not spread over as
+    many files as there are shuffle partitions, but over one for each
+    ``FILE_ROWS`` rows (as many as the cluster has cores at least).
+
     One write job (``Dataset.checkpoint`` would run the plan a second time to
     save the RDD unless it is cached); the stored table survives executor loss
     and later jobs read it with column pruning and filter pushdown."""
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    if rows is not None:
+        df = df.coalesce(files_for(spark, rows))
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files (and tasks) for a stored table of ``rows`` rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

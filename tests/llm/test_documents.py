@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and very long texts, ties, repeated rows, empty
 tables and extra columns with clashing names."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -10,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from tabsmith.llm import bpe, mixing, quality, repetition, simhash
+from tabsmith import session
+from tabsmith.llm import bpe, components, mixing, quality, repetition, simhash
 from tabsmith.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, source string, fp string, size string, kept string, score string"
@@ -29,6 +31,19 @@ def sample_texts(n=120, seed=3):
                     "line one is here\nline two\nline one is here\n\n", "# a * b & c <|im_end|> $%"]
 
 
+@contextlib.contextmanager
+def many_partitions(spark):
+    values = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     texts = sample_texts()
@@ -124,6 +139,23 @@ def test_simhash_keeps_one_of_each_group(docs, empty):
     assert simhash.drop_near_copies(empty).count() == 0 and simhash.near_groups(empty).count() == 0
 
 
+def test_simhash_stores_small_tables_in_few_files(spark, docs, monkeypatch):
+    """With many shuffle partitions that nothing merges, each file costs a task and, on a local disk, three processes."""
+    files, stored = [], session.cut_lineage
+
+    def seen(df, *rows):
+        out = stored(df, *rows)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "cut_lineage", seen)
+    monkeypatch.setattr(components, "cut_lineage", seen)
+    with many_partitions(spark):
+        found = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+        assert len(files) > 4 and max(files) <= max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    assert found == {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+
+
 # -------------------------------------------------------------------- mixing
 
 def slow_targets(sizes):
