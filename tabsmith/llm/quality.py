@@ -30,7 +30,7 @@ from tabsmith.functions.core import q
 from tabsmith.llm.common import words_of
 from tabsmith.llm.repetition import covered, repeats, rolling_hashes
 from tabsmith.operators.quantiles import exact_quantiles
-from tabsmith.session import cut_lineage
+from tabsmith.session import cut_lineage, files_for
 
 GRID = 4_096           # most steps of the grid of scores (either sign),
 STEP = 1 / 32          # and the width of a step where they suffice
@@ -138,8 +138,9 @@ def summed_on_grid(rows: DataFrame, mean: np.ndarray, sd: np.ndarray, w: np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([m.tolist() for m in kept.values()], pa.list_(pa.float64()))],
                                              ["slot", "m"])
 
-    # a task's partial rows come in any order: sorted, so that reruns add them up alike
-    parts = rows.mapInArrow(partial, "slot long, m array<double>").repartition("slot").sortWithinPartitions("slot", "m")
+    # no more tasks than cores, as the slots are few; a task's partial rows come in any order: sorted, so that reruns add them up alike
+    parts = rows.mapInArrow(partial, "slot long, m array<double>").repartition("slot")
+    parts = parts.coalesce(files_for(rows.sparkSession, 0)).sortWithinPartitions("slot", "m")
     found = sorted(parts.mapInArrow(added, "slot long, m array<double>").collect())
     return np.array([r["slot"] for r in found], np.int64), np.array([r["m"] for r in found], float)
 
@@ -212,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, cut: float = 0.3,
             .select(i.alias("id"), F.xxhash64(F.col(q(text_col))).alias("h"), _features(F.col(q(text_col))).alias("x")))
     # one row for an id
     rows = made.join(known, "id").groupBy("id", "y").agg(F.min_by("x", "h").alias("x"))
-    return fit(cut_lineage(rows.select("x", "y")), cut)
+    # the labelled rows alone are dealt out again, so that each step of the fit scans a file for each FILE_ROWS of them
+    return fit(cut_lineage(rows.select("x", "y").repartition(files_for(docs.sparkSession, known.count()))), cut)
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -406,3 +406,29 @@ def test_classifier_learns_from_all_labelled_rows_and_pairs(spark):
     assert np.abs(w).max() > 0.1 and np.abs(grad).max() < 2e-5
     ordered, k = np.sort(raw), int((y == 0).sum())
     assert model["at"] == pytest.approx((ordered[k - 1] + ordered[k]) / 2, abs=1e-9)
+
+
+def test_classifier_steps_have_few_tasks_whatever_the_partitions(spark, sf, monkeypatch):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    files, stored, cores = [], session.cut_lineage, spark.sparkContext.defaultParallelism
+
+    def seen(df, *rows):
+        out = stored(df, *rows)
+        files.append(len(out.inputFiles()))
+        return out
+
+    want = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "cut_lineage", seen)
+    with many_partitions(spark):
+        model = quality.train(docs, labels)
+        assert 0 < max(files) <= cores
+        spark.sparkContext.setJobGroup("one-step", "")
+        rows = spark.range(200).selectExpr("transform(sequence(1, 15), k -> cast(sin(id * k) as double)) as x", "int(id % 2) as y").coalesce(1)
+        size = len(quality.FEATURES)
+        slots, sums = quality.summed_on_grid(rows, np.zeros(size), np.ones(size), np.ones(size), quality.STEP)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup("one-step") for k in tracker.getJobInfo(j).stageIds]
+        assert max(k.numTasks for k in stages if k) <= cores
+    assert len(set(slots.tolist())) == len(slots) and sums[:, 0].sum() == pytest.approx(200)
+    assert model["at"] == pytest.approx(want["at"], abs=1e-6) and np.allclose(model["weights"], want["weights"], atol=1e-6)
