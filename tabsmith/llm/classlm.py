@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +47,26 @@ END = "\n"  # the end's entry among the words: no word holds a line break
 CLASSES, ROUNDS = 128, 8
 CLUSTERED, DICTIONARY, WORD_BYTES = 1 << 14, 1 << 18, 64
 TEXT_BYTES, ID_BYTES = 4 << 20, 2 << 20  # of texts, or of their word numbers, that a worker looks at together
+PLACED = 1 << 13  # entries of the neighbours' classes that it looks at together
 RESULTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def words_lowered(texts) -> list[list[bytes]]:
-    """Words of each text of an Arrow array, A-Z lowered."""
-    return [x.lower().split() if x else [] for x in texts.cast(pa.binary()).to_pylist()]
+def words_lowered(texts):
+    """Words of all texts of an Arrow array, A-Z lowered, and where each text's begin (and the last one's end).
+
+    They stay in Arrow: as Python objects they would take ten times their bytes, of which a worker keeps a part."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), before[lists.offsets.to_numpy()]
+
+
+def parts(batches, column: str, most: int):
+    """Slices of the batches with about ``most`` bytes of a column; what a batch took is given back, as workers stay on."""
+    for batch in batches:
+        yield from text_slices(batch, column, most)
+        pa.default_memory_pool().release_unused()
 
 
 # -------------------------------------------------------------------- counts
@@ -60,12 +74,10 @@ def words_lowered(texts) -> list[list[bytes]]:
 def count(rows: DataFrame, text_col: str) -> DataFrame:
     """Words of the texts and the end: (word, n)."""
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", TEXT_BYTES):
-                seen = Counter(itertools.chain.from_iterable(words_lowered(part.column("text"))))
-                seen[END.encode()] = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()),
-                                                  pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for part in parts(batches, "text", TEXT_BYTES):
+            seen = words_lowered(part.column("text"))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([seen.field("values"), pa.array([END])]),
+                                              pa.concat_arrays([seen.field("counts"), pa.array([part.num_rows])])], ["word", "n"])
     texts = rows.select(F.coalesce(F.col(q(text_col)), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -89,9 +101,10 @@ def dictionary(vocab: DataFrame, most: int) -> tuple[list, int]:
 
 # ------------------------------------------------------- texts as word numbers
 
-@functools.lru_cache(maxsize=2)
-def _numbers(blob: bytes) -> dict:
-    return {w: i for i, w in enumerate(blob.split(b"\n"))} if blob else {}
+@functools.lru_cache(maxsize=1)
+def _entries(blob: bytes):
+    """The dictionary's words by number."""
+    return pc.split_pattern(pa.array([blob], pa.string()), "\n").flatten() if blob else pa.array([], pa.string())
 
 
 def encode(rows: DataFrame, text_col: str, train: Column, shared) -> DataFrame:
@@ -101,17 +114,15 @@ def encode(rows: DataFrame, text_col: str, train: Column, shared) -> DataFrame:
     kept = [c for c in rows.columns if c != text_col]
 
     def run(batches):
-        numbers = _numbers(shared.value)
-        for batch in batches:
-            for part in text_slices(batch, "text", TEXT_BYTES):
-                ids, tails = [], []
-                for words in words_lowered(part.column("text")):
-                    own = np.fromiter(map(numbers.get, words, itertools.repeat(-1)), np.int32, len(words))
-                    ids.append(own.tobytes())
-                    tails.append([words[i] for i in np.flatnonzero(own < 0).tolist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("row"), part.column("train"), pa.array(ids, pa.binary()),
-                     pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))], ["key", "row", "train", "ids", "tails"])
+        entries = _entries(shared.value)
+        for part in parts(batches, "text", TEXT_BYTES):
+            words, begins = words_lowered(part.column("text"))
+            own = pc.fill_null(pc.index_in(words, value_set=entries), -1).to_numpy()
+            other = own < 0
+            ids = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((begins * 4).astype(np.int32)), pa.py_buffer(own)])
+            tails = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(other)])[begins].astype(np.int32)), words.filter(pa.array(other)))
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("row"), part.column("train"), ids, tails],
+                                             ["key", "row", "train", "ids", "tails"])
     d = rows.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(q(c)) for c in kept], F.lit(0).alias(free_name("__one", rows))).alias("row"),
                     F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(q(text_col)), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("key", T.LongType()), d.schema["row"], T.StructField("train", T.BooleanType()),
@@ -144,27 +155,16 @@ def pairs_of(encoded: DataFrame, clustered: int) -> DataFrame:
     2 * neighbour + side as 32-bit numbers (side 0 is after the word, 1 before it) and ``n`` their counts as 64-bit ones:
     the rounds read this table again and again, so it isn't stored as arrays of structs."""
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "ids", ID_BYTES):
-                flat, _ = _sequence(part.column("ids"), clustered)
-                flat = np.where(flat > clustered, -1, flat).astype(np.int64)
-                a, b = flat[:-1], flat[1:]
-                both = (a >= 0) & (b >= 0)
-                code, n = np.unique(a[both] * (clustered + 1) + b[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((code // (clustered + 1)).astype(np.int32)),
-                                                  pa.array((code % (clustered + 1)).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
-    # the end keeps its number apart from the dictionary's: word number ``clustered`` is not clustered
-    shifted = encoded.filter("train").select("ids")
-
-    def renumber(batches):
-        for batch in batches:
-            out = []
-            for x in batch.column("ids").to_pylist():
-                own = np.frombuffer(x, np.int32)
-                out.append(np.where(own >= clustered, -1, own).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
-    pairs = shifted.mapInArrow(lambda batches: run(renumber(batches)), "a int, b int, n long") \
-                   .groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for part in parts(batches, "ids", ID_BYTES):
+            # the end's number is not one of the dictionary's: word number ``clustered`` is not clustered
+            flat, _ = _sequence(part.column("ids"), -2)
+            flat = np.where(flat == -2, clustered, np.where(flat >= clustered, -1, flat)).astype(np.int64)
+            a, b = flat[:-1], flat[1:]
+            both = (a >= 0) & (b >= 0)
+            code, n = np.unique(a[both] * (clustered + 1) + b[both], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code // (clustered + 1)).astype(np.int32)),
+                                              pa.array((code % (clustered + 1)).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+    pairs = encoded.filter("train").select("ids").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     sides = F.array(F.struct(F.col("a").alias("w"), F.lit(0).alias("side"), F.col("b").alias("o"), F.col("n")),
                     F.struct(F.col("b").alias("w"), F.lit(1).alias("side"), F.col("a").alias("o"), F.col("n")))
     # the rounds read the table again and again: dealt out once, for all of them
@@ -228,9 +228,9 @@ def exchange(near: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[
     def bigrams(own: np.ndarray) -> np.ndarray:
         def run(batches):
             total = np.zeros(k * k)
-            for batch in batches:
-                row, side, other, n = _near(batch)
-                w = batch.column("w").to_numpy()
+            for part in parts(batches, "near", ID_BYTES):
+                row, side, other, n = _near(part)
+                w = part.column("w").to_numpy()
                 after = side == 0
                 total += np.bincount(own[w[row[after]]] * k + own[other[after]], n[after], minlength=k * k)
             at = np.flatnonzero(total)
@@ -243,9 +243,9 @@ def exchange(near: DataFrame, n_words: int, classes: int, rounds: int) -> tuple[
     def moves(own: np.ndarray, n: np.ndarray, half: int) -> dict:
         def run(batches):
             fn = f(n)
-            for batch in batches:
-                w = batch.column("w").to_numpy()
-                row, side, other, times = _near(batch)
+            for part in parts(batches, "near", ID_BYTES):
+                w = part.column("w").to_numpy()
+                row, side, other, times = _near(part)
                 self_ = other == w[row]
                 code = (row * 2 + side) * k + own[other]
                 seen = np.bincount(code[~self_], times[~self_], minlength=2 * k * len(w)).reshape(len(w), 2, k)
@@ -285,8 +285,8 @@ def place(contexts: DataFrame, bigrams: np.ndarray, classes: int) -> DataFrame:
             ends, flat = seen.offsets.to_numpy(), seen.flatten()
             code, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             out = np.zeros(batch.num_rows, np.int32)
-            for a in range(0, batch.num_rows, 512):
-                b = min(a + 512, batch.num_rows)
+            cuts = np.flatnonzero(np.diff((ends[:-1] - ends[0]) // PLACED)) + 1
+            for a, b in itertools.pairwise([0, *cuts.tolist(), batch.num_rows] if batch.num_rows else []):
                 lo, hi = ends[a] - ends[0], ends[b] - ends[0]
                 sums = np.add.reduceat(gain[code[lo:hi]] * n[lo:hi, None], ends[a:b] - ends[a], axis=0)
                 out[a:b] = np.round(sums, 6).argmax(1)
@@ -303,28 +303,25 @@ def contexts_of(encoded: DataFrame, own: np.ndarray, clustered: int, classes: in
     k = classes + 1
 
     def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "ids", ID_BYTES):
-                flat, _ = _sequence(part.column("ids"), -2)
-                flat = flat.astype(np.int64)
-                beside = np.where(flat == -2, classes, np.where((flat >= 0) & (flat < clustered), own[np.clip(flat, 0, max(clustered - 1, 0))], -1))
-                names: dict = {}
-                tails = part.column("tails").flatten().to_pylist()
-                tail = np.fromiter((names.setdefault(w, len(names)) for w in tails), np.int64, len(tails))
-                word = flat.copy()
-                word[flat == -1] = -3 - tail  # words beyond the dictionary: -3, -4, ...
-                free = np.flatnonzero((flat >= clustered) | (flat == -1))
-                out = []
-                for side, at in ((0, free + 1), (1, free - 1)):
-                    ok = beside[at] >= 0
-                    out.append(((word[free[ok]] + 3 + len(names)) * 2 + side) * k + beside[at[ok]])
-                code, n = np.unique(np.concatenate(out), return_counts=True)
-                code, side_class = code // (2 * k), code % (2 * k)
-                w = code - 3 - len(names)
-                known = np.array([*names, None], object)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(w >= 0, w, -1).astype(np.int32)), pa.array(known[np.where(w >= 0, len(names), -3 - w)], pa.string()),
-                     pa.array(side_class.astype(np.int32)), pa.array(n)], ["id", "word", "code", "n"])
+        for part in parts(batches, "ids", ID_BYTES):
+            flat, _ = _sequence(part.column("ids"), -2)
+            flat = flat.astype(np.int64)
+            beside = np.where(flat == -2, classes, np.where((flat >= 0) & (flat < clustered), own[np.clip(flat, 0, max(clustered - 1, 0))], -1))
+            tails = part.column("tails").flatten().dictionary_encode()
+            names, tail = tails.dictionary, tails.indices.to_numpy().astype(np.int64)
+            word = flat.copy()
+            word[flat == -1] = -3 - tail  # words beyond the dictionary: -3, -4, ...
+            free = np.flatnonzero((flat >= clustered) | (flat == -1))
+            out = []
+            for side, at in ((0, free + 1), (1, free - 1)):
+                ok = beside[at] >= 0
+                out.append(((word[free[ok]] + 3 + len(names)) * 2 + side) * k + beside[at[ok]])
+            code, n = np.unique(np.concatenate(out), return_counts=True)
+            code, side_class = code // (2 * k), code % (2 * k)
+            w = code - 3 - len(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(w >= 0, w, -1).astype(np.int32)), names.take(pa.array(np.maximum(-3 - w, -1), mask=w >= 0)),
+                 pa.array(side_class.astype(np.int32)), pa.array(n)], ["id", "word", "code", "n"])
     return encoded.filter("train").select("ids", "tails").mapInArrow(run, "id int, word string, code int, n long")
 
 
@@ -383,10 +380,9 @@ class Model:
 
         def run(batches):
             of = np.append(shared.value, np.int16(-1)).astype(np.int64)
-            for batch in batches:
-                for part in text_slices(batch, "ids", ID_BYTES):
-                    flat, begins = _sequence(part.column("ids"), -2)
-                    yield from fn(part, flat, np.where(flat == -2, end, of[np.maximum(flat, -1)]), begins)
+            for part in parts(batches, "ids", ID_BYTES):
+                flat, begins = _sequence(part.column("ids"), -2)
+                yield from fn(part, flat, np.where(flat == -2, end, of[np.maximum(flat, -1)]), begins)
         rows = self.encoded.filter("train") if train_only else self.encoded
         return rows.select("key", "train", "ids", *(["tails"] if tails else [])).mapInArrow(run, schema)
 

@@ -2,9 +2,11 @@
 
 import itertools
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,71 @@ def test_one_class_is_word_frequencies():
     t = classlm.Tables(np.array([[6.0, 2.0], [2.0, 0.0]]), np.array([8.0, 2.0]), np.array([1.0, 0.0]))
     assert np.allclose((10 ** t.step)[:, :2].sum(1), 1)
     assert list(itertools.chain(t.step.shape)) == [3, 3]
+
+
+class Local:
+    """A table of Arrow batches whose steps run here, one after the other: what a worker does."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, fn, schema):
+        return Local(fn(iter(self.batches)))
+
+    def __getattr__(self, name):  # the rest of the plan leaves the rows as they are
+        return lambda *a, **k: self
+
+    def collect(self):
+        return [r for b in self.batches for r in b.to_pylist()]
+
+
+def traced(run):
+    """What ``run`` returns, and the MB of Python and numpy objects that it held at most."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_texts():
+    texts = ["", None, " a  B\x1c\x1d b\x0b\x0c\r\n\u00c9 x  \x85 Z", "\t", "x", "a\x00b \x1e\x1f c", "\u0130I \u212a"]
+    words, begins = classlm.words_lowered(pa.array(["cut", *texts]).slice(1))
+    assert [words[a:b].to_pylist() for a, b in itertools.pairwise(begins.tolist())] == [tokens(x)[:-1] for x in texts]
+
+
+def test_words_of_a_slice_are_not_python_objects(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(500_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text])], ["text"])
+    batches, most = traced(lambda: list(classlm.count(Local([batch]), "text").batches))
+    found = Counter()
+    for b in batches:
+        for r in b.to_pylist():
+            found[r["word"]] += r["n"]
+    assert found == Counter({f"w{i}": 200 for i in range(5000)} | {classlm.END: 2})
+    assert most < 15  # of 3 MB a text; 23 bytes for each word's place, 60 MB as Python objects
+
+
+def test_exchange_takes_slices_of_a_batch(spark):
+    words, each, rng = 400, 5000, np.random.default_rng(1)
+    near, n = ([rng.integers(0, top, each).astype(kind) for _ in range(words)] for top, kind in ((2 * words, np.int32), (9, np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(words), pa.int32()), pa.array([x.tobytes() for x in near], pa.binary()),
+                                        pa.array([x.tobytes() for x in n], pa.binary())], ["w", "near", "n"])
+    table = Local([batch])
+    (own, bigrams), most = traced(lambda: classlm.exchange(table, words, 4, 2))
+    assert len(own) == words + 1 and bigrams.sum() == sum(k[x % 2 == 0].sum() for x, k in zip(near, n))
+    assert most < 70  # 2,000,000 neighbours; 170 MB if all are taken together
+
+
+def test_places_take_bounded_entries(spark):
+    words, k, rng = 1024, 129, np.random.default_rng(1)
+    seen = pa.ListArray.from_arrays(pa.array(np.arange(words + 1) * 2 * k, pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(np.tile(np.arange(2 * k), words), pa.int32()), pa.array(rng.integers(1, 9, 2 * k * words))], ["code", "n"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(words), pa.int32()), pa.nulls(words, pa.string()), seen], ["id", "word", "seen"])
+    bigrams = rng.integers(0, 99, (k, k)).astype(float)
+    rows, most = traced(lambda: classlm.place(Local([batch]), bigrams, k - 1).collect())
+    smooth = bigrams + 0.5
+    gain = np.vstack([np.log(smooth / smooth.sum(1, keepdims=True))[:-1].T, np.log(smooth / smooth.sum(0, keepdims=True))[:, :-1]])
+    n = seen.flatten().field(1).to_numpy().reshape(words, 2 * k)
+    assert [r["c"] for r in rows] == np.round(n @ gain, 6).argmax(1).tolist()
+    assert most < 60  # 264,192 entries; 270 MB for 512 words at once
