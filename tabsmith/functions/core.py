@@ -87,6 +87,13 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """a / b of doubles as DuckDB divides them: x / 0 is infinite, 0 / 0 is NaN (an error in ANSI Spark)."""
+    a, b = a.cast("double"), b.cast("double")
+    by_zero = F.when((a == 0) | F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
 def pct(a: Column, b: Column) -> Column:
     return F.coalesce(safe_div(a, b) * F.lit(100.0), F.lit(0.0))
 

@@ -222,7 +222,7 @@ def fold_metrics(preds: DataFrame, task: str) -> DataFrame:
     # more than two classes: averages over the classes, weighted by their rows
     many = preds.select("label").distinct().count() > 2
     met = classification_metrics(preds, "label", "prediction", "__score", positive=1.0, by=["model", "fold"],
-                                 average="weighted" if many else "binary", probs="__probs" if many else None)
+                                 average="weighted" if many else "binary", probs="__probs" if many else None, stored=True)
     return met.withColumn("AUC", F.coalesce(F.col("AUC"), F.lit(0.0))) \
               .select("model", "fold", *[F.col(x) for x in CLASSIFICATION_METRICS])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.functions.core import round_doubles
+from tabsmith.functions.core import ieee_div, round_doubles
 from tabsmith.ml import baselines as BL
 from tabsmith.ml import drift as DR
 from tabsmith.ml import metrics as MT
@@ -98,7 +98,7 @@ SCORED = LF + """, d AS (SELECT doc_id, quality AS y, f_spaces / f_chars AS s,
 
 def _scored(spark, sf):
     lf = load(spark, sf, "label_features")
-    s = F.col("f_spaces") / F.col("f_chars")
+    s = ieee_div(F.col("f_spaces"), F.col("f_chars"))
     return lf.select("doc_id", F.col("quality").alias("y"), s.alias("s"), F.when(s >= 0.15, 1).otherwise(0).alias("p"))
 
 

@@ -218,3 +218,39 @@ def test_csv_files_with_line_breaks_are_bounded(spark, tmp_path):
     out = files.read_csv(spark, path, multiline=True)
     assert dict(out.dtypes) == {"id": "int", "s": "string", "v": "string"} and out.rdd.getNumPartitions() > 1
     assert sorted(r["s"] for r in out.collect()) == sorted(f"a\n{i}" for i in range(1000))
+
+
+def test_scores_of_empty_documents_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    con, path = duckdb.connect(), str(tmp_path)
+    texts = ["a b c d e", "abc", "", "x y", "", "a  b", "pqrs t", "ab cd"]
+    docs = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)] + [(8, "a b", "en", "web", 0)]
+    labels = [(i, int(i % 3 == 0 or i == 4), 0) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    for key in ("classification_metrics", "confusion_matrix", "class_report", "roc_curve", "pr_curve"):
+        got = entry.queries()[key](spark, path)
+        want = con.sql(entry.oracle_sql()[key])
+        rows = [tuple(str(r[x]) for x in want.columns) for r in got.collect()]
+        assert sorted(rows) == sorted(tuple(str(v) for v in r) for r in want.fetchall()), key
+
+
+def test_auc_of_one_class_is_null(spark):
+    from tabsmith.ml.metrics import auc
+    t = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    assert auc(t, "y", "s").first()["AUC"] is None
+
+
+def test_texts_are_counted_before_the_join(spark, sf):
+    from tabsmith.sources.tables import load
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load(spark, sf, "label_features")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "text" not in plan[plan.index("Join"):plan.index("Project", plan.index("Join"))]
+    assert plan.index("replace(") > plan.index("Join")
