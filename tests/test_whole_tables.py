@@ -254,3 +254,52 @@ def test_texts_are_counted_before_the_join(spark, sf):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "text" not in plan[plan.index("Join"):plan.index("Project", plan.index("Join"))]
     assert plan.index("replace(") > plan.index("Join")
+
+
+def test_knn_of_values_whose_squares_are_too_large(spark):
+    from tabsmith.operators import neighbors as N
+    t = spark.createDataFrame([(i, [x, 0.0]) for i, x in enumerate([0.0, 1.0, 3.0, 1e200, -1e200])], "id int, v array<double>")
+    assert sorted(N.knn_join(t, "id", "v", 2).collect()) == sorted(N.knn_brute_force(t, "id", "v", 2).collect())
+
+
+def test_knn_in_many_cells_and_blocks(spark, monkeypatch):
+    import time
+
+    import numpy as np
+
+    from tabsmith.operators import neighbors as N
+    monkeypatch.setattr(N, "BLOCK", 40)
+    monkeypatch.setattr(N, "SLAB", 3)
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 2, [float(x) for x in rng.integers(0, 60, 2)]) for i in range(1500)]
+    t = spark.createDataFrame(rows, "id int, y int, v array<double>")
+    want = sorted(N.knn_brute_force(t, "id", "v", 5, "y").collect())
+    began = time.time()
+    assert sorted(N.knn_join(t, "id", "v", 5, "y", cell_rows=8).collect()) == want
+    # what a block needs is found once for each block, not from all cells for each row and cell: 64 cells took minutes
+    assert time.time() - began < 60
+
+
+def test_knn_meets_few_blocks_of_points_on_a_line(spark):
+    import numpy as np
+
+    from tabsmith.operators import neighbors as N
+    x = np.arange(1000.0)[:, None]
+    pivots = np.array([[100.0], [600.0]])
+    d = N.distances(x, pivots)
+    cell = d.argmin(axis=1)
+    order = np.lexsort((d.min(axis=1), cell))
+    block = np.empty(1000, int)
+    block[order] = np.arange(1000) // 50
+    pieces = [(int(j), b, d.min(axis=1)[(block == b) & (cell == j)]) for b in range(20) for j in np.unique(cell[block == b])]
+    rings = {"cell": np.array([p[0] for p in pieces]), "block": np.array([p[1] for p in pieces]), "lo": np.array([p[2].min() for p in pieces]),
+             "hi": np.array([p[2].max() for p in pieces]), "rows": np.array([len(p[2]) for p in pieces])}
+    near, met = np.abs(x - x.T), []
+    for b in range(20):
+        rows = block == b
+        bound = np.sort(near[np.ix_(rows, rows)], axis=1)[:, 5]
+        got = N.needed_blocks(d[rows], bound, rings, 5)
+        nearest = np.argsort(near[rows], axis=1, kind="stable")[:, :6]
+        assert set(block[nearest].ravel().tolist()) <= set(got.tolist())
+        met.append(len(got))
+    assert np.median(met) <= 4
