@@ -385,9 +385,11 @@ FROM (SELECT doc_id, quality, v, false AS is_synthetic FROM f UNION ALL SELECT *
 @register("clean_full_balanced", _job_sql())
 def q_clean_full_balanced(spark, sf):
     """The whole cleaning job with a target: imputation, cap, scale, categories, one-hot columns and balanced classes."""
+    from tabsmith.session import cut_lineage
     lf = load(spark, sf, "label_features").join(load(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     src = lf.select("doc_id", "quality", F.when(F.col("doc_id") % 9 != 4, F.col("f_chars")).alias("f_chars"), "f_spaces",
                     F.when(F.col("doc_id") % 7 != 2, F.col("lang")).alias("lang"))
+    src = cut_lineage(src)  # five columns that the job's steps scan several times; documents are read once
     cfg = C.CleaningConfig(handle_missing_values=True, handle_outliers=True, outlier_z=2.0, feature_scaling=True, reduce_cardinality=True,
                            max_unique_categories=2, encode_categorical_values=True, handle_imbalanced_data=True, id_col="doc_id",
                            remainder="drop")

@@ -303,3 +303,11 @@ def test_knn_meets_few_blocks_of_points_on_a_line(spark):
         assert set(block[nearest].ravel().tolist()) <= set(got.tolist())
         met.append(len(got))
     assert np.median(met) <= 4
+
+
+def test_balanced_cleaning_reads_the_documents_once(spark, sf, monkeypatch):
+    from tabsmith.plans import q_clean
+    seen, clean = [], q_clean.C.clean
+    monkeypatch.setattr(q_clean.C, "clean", lambda df, *a, **k: (seen.append(df.inputFiles()), clean(df, *a, **k))[1])
+    q_clean.q_clean_full_balanced(spark, sf)
+    assert seen[0] and all("/cut-" in f for f in seen[0])
