@@ -19,7 +19,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer, ImputerModel, OneHotEncoder, OneHotEncoderModel, StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
@@ -105,6 +108,21 @@ def stored_input(df: DataFrame, prep: Prepared, target: str, fold_col: str) -> D
     return cut_lineage(base.select(*[c(x) for x in keep], c(fold_col)))
 
 
+def fit_preparation(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """``pipeline.fit``; the fill values are stored, as Spark's imputer is lazy: each transform that is called would
+    compute the means of ``train`` again."""
+    import uuid
+
+    from tabsmith.session import scratch_path
+    stages = list(pipeline.getStages())
+    for i, stage in enumerate(stages):
+        if isinstance(stage, Imputer):
+            path = scratch_path(train.sparkSession, f"imputer-{uuid.uuid4().hex}")
+            stage.fit(train).write().save(path)
+            stages[i] = ImputerModel.load(path)
+    return Pipeline(stages=stages).fit(train)
+
+
 def make_estimator(model_id: str, task: str, params: dict | None = None, n_classes: int = 2, seed: int = 42):
     """M5: candidate model ids -> Spark ML estimators."""
     p = dict(params or {})
@@ -138,6 +156,147 @@ def make_estimator(model_id: str, task: str, params: dict | None = None, n_class
     raise ValueError(f"unknown model id {model_id} for {task}")
 
 
+# Regression trees that draw neither rows nor features: a row counts only by its bins.  Parameters that mean the same for cells as for rows.
+CELL_MODELS = ("dt", "lightgbm")
+CELL_PARAMS = {"maxDepth", "maxIter", "stepSize", "minInfoGain"}
+BINS = 32         # of Spark's trees (maxBins)
+POINTS = 255      # quantiles of a fold's column
+
+
+def numeric_summaries(base: DataFrame, prep: Prepared, fold_col: str) -> dict:
+    """Per fold, from one scan: ``rows``, and per numeric feature ``known`` (rows with a value), ``values`` (all values,
+    if there are at most ``BINS``) and ``points`` (quantiles), by fixed-size sketches of all rows."""
+    at = [i / (POINTS + 1) for i in range(1, POINTS + 1)]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, x in enumerate(prep.numeric):
+        v = F.nanvl(c(f"__d_{x}"), F.lit(None).cast("double"))
+        aggs += [F.count(v).alias(f"n{i}"), F.percentile_approx(v, at, 10_000).alias(f"q{i}"),
+                 F.call_function("approx_top_k", v, F.lit(BINS + 2), F.lit(256)).alias(f"t{i}")]  # null is an item, too
+    out = {}
+    for r in base.groupBy(fold_col).agg(*aggs).collect():
+        out[r[fold_col]] = {"rows": r["rows"]}
+        for i, x in enumerate(prep.numeric):
+            values = {t["item"]: t["count"] for t in r[f"t{i}"] if t["item"] is not None}
+            whole = len(values) <= BINS and sum(values.values()) == r[f"n{i}"]
+            out[r[fold_col]][x] = {"known": r[f"n{i}"], "values": set(values) if whole else None, "points": r[f"q{i}"] or []}
+    return out
+
+
+def thresholds(parts: Sequence[dict], x: str, filled: float) -> list[float]:
+    """Where trees may split feature ``x`` of the rows that ``parts`` summarise (gaps hold ``filled``), as Spark's trees
+    choose: between all values if there are at most ``BINS``, else at quantiles."""
+    gaps = sum(p["rows"] - p[x]["known"] for p in parts)
+    if all(p[x]["values"] is not None for p in parts):
+        values = sorted(set().union(*[p[x]["values"] for p in parts]) | ({filled} if gaps else set()))
+        if len(values) <= BINS:
+            return [(a + b) / 2 for a, b in zip(values, values[1:])]
+    points = [(v, p[x]["known"] / len(p[x]["points"])) for p in parts for v in p[x]["points"]] + ([(filled, gaps)] if gaps else [])
+    points.sort()
+    total, done, out = sum(w for _, w in points), 0.0, []
+    for v, w in points:
+        done += w
+        if done >= total * (len(out) + 1) / BINS:
+            out.append(v)
+            while done >= total * (len(out) + 1) / BINS:
+                out.append(v)
+    return sorted(set(out[:BINS - 1]))
+
+
+def _bin(value: Column, cuts: Sequence[float], lo: int = 0) -> Column:
+    """How many of the ascending ``cuts`` are below ``value``, by halving."""
+    if not cuts:
+        return F.lit(float(lo))
+    mid = len(cuts) // 2
+    return F.when(value <= F.lit(float(cuts[mid])), _bin(value, cuts[:mid], lo)).otherwise(_bin(value, cuts[mid + 1:], lo + mid + 1))
+
+
+def cells_of(train: DataFrame, prep: Prepared, pm: PipelineModel, summaries: dict):
+    """The rows of a fold's training set by cell (bin of every numeric feature, every text feature's category): mean
+    label, ``__rows`` and ``__cell_features``; and the function that gives prepared rows their ``__cell_features``.
+
+    Spark's trees see a numeric feature by its bin only and choose splits by sums of the rows of a bin, so a tree of squared
+    errors is the same for rows and for their means with weights, boosted ones too (rows of a cell have one
+    prediction); only between splits that are equally good the rounding of sums may decide otherwise.  There are at most ``BINS`` to the power of the numeric features times the categories, whatever the values."""
+    from tabsmith.session import cut_lineage
+    early = PipelineModel([st for st in pm.stages if isinstance(st, (ImputerModel, StringIndexerModel))])
+    encoder = PipelineModel([st for st in pm.stages if isinstance(st, OneHotEncoderModel)])
+    fill = {}
+    for st in early.stages:
+        if isinstance(st, ImputerModel):
+            row = st.surrogateDF.first()
+            fill = {x: row[f"__d_{x}"] for x in prep.numeric}
+    bins = {f"__b_{x}": _bin(c(f"__i_{x}"), thresholds(list(summaries.values()), x, fill[x])) for x in prep.numeric}
+    assembler = VectorAssembler(inputCols=[*bins, *[f"__o_{x}" for x in prep.categorical]], outputCol="__cell_features")
+    cats = [f"__x_{x}" for x in prep.categorical]
+    found = early.transform(train).withColumns(bins).groupBy(*[c(x) for x in [*bins, *cats]]).agg(
+        F.avg("label").alias("label"), F.count("label").cast("double").alias("__rows"))
+    return assembler.transform(encoder.transform(cut_lineage(found.where(F.col("__rows") > 0)))), \
+        lambda rows: assembler.transform(rows.withColumns(bins))
+
+
+# Parameters with which Spark's linear regression sees its rows by their moments only (solver "auto", squared error).
+MOMENT_MODELS = ("lr", "ridge")
+MOMENT_PARAMS = {"regParam", "elasticNetParam", "fitIntercept", "standardization", "maxIter", "tol"}
+MOMENT_FEATURES = 64  # more features are fitted to the rows
+NO_VARIANCE = 1e-10   # of the largest along an axis of standardised features: what sums may be off
+
+
+def moments_of(train: DataFrame, prep: Prepared, pm: PipelineModel) -> DataFrame | None:
+    """A few weighted rows (``features``, ``label``, ``__rows``) whose count, means and covariances are those of the
+    prepared rows of ``train``: m + sqrt(p) s and m - sqrt(p) s for means m and each of the p columns s of the
+    covariances' root.  Least squares, penalised or not, depend on nothing else, so their fit is the same.
+    From one scan, by sums of centred values; None with more than ``MOMENT_FEATURES`` features or other preparations."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    early = PipelineModel([st for st in pm.stages if isinstance(st, (ImputerModel, StringIndexerModel))])
+    scaler, labels, centre = None, [], []
+    for st in pm.stages:
+        if isinstance(st, ImputerModel):
+            centre = [st.surrogateDF.first()[f"__d_{x}"] for x in prep.numeric]
+        elif isinstance(st, StringIndexerModel):
+            labels = [len(x) + 1 for x in st.labelsArray]  # the last is an unknown category's
+        elif isinstance(st, StandardScalerModel):
+            scaler = st
+    size = len(prep.numeric) + sum(labels)
+    if scaler is None or not 0 < size <= MOMENT_FEATURES or scaler.std.size != size:
+        return None
+    middle = train.agg(F.avg("label")).first()[0]
+    if middle is None:
+        return None
+    values = [c(f"__i_{x}") - F.lit(float(m)) for x, m in zip(prep.numeric, centre)]
+    values += [F.when(c(f"__x_{x}") == i, 1.0).otherwise(0.0) for x, n in zip(prep.categorical, labels) for i in range(n)]
+    values.append(F.col("label") - F.lit(float(middle)))
+    wide = early.transform(train).select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    n = len(values)
+    r = wide.agg(F.count(F.lit(1)).alias("n"), F.count(F.col(f"v{n - 1}")).alias("known"), *[F.sum(f"v{i}").alias(f"s{i}") for i in range(n)],
+                 *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(n) for j in range(i, n)]).first()
+    if r["known"] < r["n"]:
+        return None  # Spark refuses rows without a label
+    mean = np.array([r[f"s{i}"] for i in range(n)]) / r["n"]
+    cov = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]) / r["n"] - np.outer(mean, mean)
+    # to the scaler's features: its means are those of the rows
+    std, at = np.append(scaler.std.toArray(), 1.0), np.append(scaler.mean.toArray(), 0.0)
+    by = np.divide(1.0, std, out=np.zeros(n), where=std > 0)
+    mean = (mean + np.array([*centre, *[0.0] * sum(labels), middle]) - at) * by
+    cov = cov * np.outer(by, by)
+    if not np.isfinite(cov).all():
+        return None  # infinite values
+    # features that vary, along the axes of their covariances; along an axis without variance (as the columns of a
+    # text's categories have, which add up to 1) a little of it, apart from the label, keeps the equations solvable
+    live = np.flatnonzero(by[:-1])
+    level, axes = np.linalg.eigh(cov[np.ix_(live, live)])
+    known = level > NO_VARIANCE * level.max(initial=0.0)
+    level = np.where(known, level, 10 * NO_VARIANCE)
+    with_label = np.where(known, axes.T @ cov[live, -1], 0.0) / np.sqrt(level)
+    roots = np.zeros((n, n))
+    roots[:len(live), live] = (axes * np.sqrt(level)).T
+    roots[:len(live), -1] = with_label
+    roots[-1, -1] = np.sqrt(max(0.0, cov[-1, -1] - (with_label ** 2).sum()))
+    roots *= np.sqrt(n)
+    rows = [(Vectors.dense(v[:-1]), float(v[-1]), r["n"] / (2.0 * n)) for v in np.concatenate([mean + roots, mean - roots])]
+    return train.sparkSession.createDataFrame(rows, ["features", "label", "__rows"]).coalesce(1)
+
+
 def _dummy_predict(train: DataFrame, test: DataFrame, task: str) -> DataFrame:
     """Dummy model: training mean (regression) or most frequent class."""
     if task == "regression":
@@ -165,10 +324,14 @@ def _score_col(pred: DataFrame) -> DataFrame:
 
 def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[str], fold_col: str = "fold",
                       k: int | None = None, params: dict | None = None, parallelism: int = 4,
-                      features: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
+                      features: Sequence[str] | None = None, stored: bool = True) -> tuple[DataFrame, dict]:
     """Fit every (model, fold) on the other folds; return the held-out
     predictions of all pairs as one DataFrame (model, fold, label,
-    prediction, __score) and the fit seconds per pair."""
+    prediction, __score) and the fit seconds per pair.  ``stored=False`` leaves
+    the predictions to be made when they are read, for a reader of one scan.
+
+    All rows are learnt from; regression trees are fitted to a fold's cells (``cells_of``), linear regressions to a few
+    rows with its moments (``moments_of``)."""
     prep = build_preprocess(df, target, task, features)
     base = stored_input(df, prep, target, fold_col)
     folds = list(range(k)) if k is not None else sorted(r[0] for r in base.select(fold_col).distinct().collect())
@@ -178,39 +341,87 @@ def fit_predict_folds(df: DataFrame, target: str, task: str, models: Sequence[st
 
     def prepare(f):
         t0 = time.time()
-        return prep.pipeline.fit(base.where(F.col(fold_col) != f)), time.time() - t0
+        return fit_preparation(prep.pipeline, base.where(F.col(fold_col) != f)), time.time() - t0
 
-    def one(pair):
+    def gather(f):
+        t0 = time.time()
+        return cells_of(base.where(F.col(fold_col) != f), prep, fitted[f][0], {g: seen[g] for g in seen if g is not None and g != f}), time.time() - t0
+
+    def add_up(f):
+        t0 = time.time()
+        return moments_of(base.where(F.col(fold_col) != f), prep, fitted[f][0]), time.time() - t0
+
+    def fit(pair):
         m, f = pair
-        train, test = base.where(F.col(fold_col) != f), base.where(F.col(fold_col) == f)
         pm, prepared = fitted[f]
+        given = (params or {}).get(m)
         t0 = time.time()
-        tr, te = pm.transform(train), pm.transform(test)
         if m == "dummy":
-            pred = _dummy_predict(tr, te, task)
+            model = None
+        elif f in cells and by_cells(m):
+            (table, _), gathered = cells[f]
+            prepared += gathered
+            model = make_estimator(m, task, given, n_classes).setFeaturesCol("__cell_features").setWeightCol("__rows").fit(table)
+        elif by_moments(m) and moments[f][0] is not None:
+            table, summed = moments[f]
+            prepared += summed
+            model = make_estimator(m, task, given, n_classes).setWeightCol("__rows").fit(table)
         else:
-            est = make_estimator(m, task, (params or {}).get(m), n_classes)
-            model = est.fit(tr)
-            pred = model.transform(te)
-        secs = prepared + time.time() - t0
-        pred = _score_col(pred)
-        return m, f, secs, pred.select(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"),
-                                       F.col("label").cast("double").alias("label"),
-                                       F.col("prediction").cast("double").alias("prediction"), "__score", "__probs")
+            model = make_estimator(m, task, given, n_classes).fit(pm.transform(base.where(F.col(fold_col) != f)))
+        return model, prepared + time.time() - t0
+
+    def held_out(m, f):
+        train, test = base.where(F.col(fold_col) != f), base.where(F.col(fold_col) == f)
+        tr, te = fitted[f][0].transform(train), fitted[f][0].transform(test)
+        pred = _score_col(_dummy_predict(tr, te, task) if m == "dummy" else models_of[m, f][0].transform(te))
+        return pred.select(F.lit(m).alias("model"), F.lit(f).cast("int").alias("fold"), F.col("label").cast("double").alias("label"),
+                           F.col("prediction").cast("double").alias("prediction"), "__score", "__probs")
+
+    def held_out_by_all(f):
+        """Regression: a held-out row is prepared once and meets all models."""
+        out = fitted[f][0].transform(base.where(F.col(fold_col) == f))
+        if f in cells:
+            out = cells[f][0][1](out)
+        found = []
+        for m in models:
+            if m == "dummy":
+                mean = F.lit(base.where(F.col(fold_col) != f).agg(F.avg("label")).first()[0]).cast("double")
+            else:
+                out = models_of[m, f][0].setPredictionCol(f"__p_{m}").transform(out)
+                mean = F.col(f"__p_{m}").cast("double")
+            found.append(F.struct(F.lit(m).alias("model"), mean.alias("prediction")))
+        out = out.select(F.col("label").cast("double").alias("label"), F.inline(F.array(*found)))
+        return out.select("model", F.lit(f).cast("int").alias("fold"), "label", "prediction", F.lit(None).cast("double").alias("__score"),
+                          F.lit(None).cast("array<double>").alias("__probs"))
+
+    def by_cells(m):
+        return task == "regression" and m in CELL_MODELS and set((params or {}).get(m) or ()) <= CELL_PARAMS
+
+    def by_moments(m):
+        return task == "regression" and m in MOMENT_MODELS and set((params or {}).get(m) or ()) <= MOMENT_PARAMS
 
     pairs = [(m, f) for m in models for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         # imputation, encoding and scaling of a fold are the same for all models
         fitted = dict(zip(folds, ex.map(prepare, folds)))
-        res = list(ex.map(one, pairs))
-    out = res[0][3]
-    for r in res[1:]:
-        out = out.unionByName(r[3])
+        cells = {}
+        if any(by_cells(m) for m in models):
+            seen = numeric_summaries(base, prep, fold_col)
+            cells = dict(zip(folds, ex.map(gather, folds)))
+        moments = dict(zip(folds, ex.map(add_up, folds))) if any(by_moments(m) for m in models) else {}
+        models_of = dict(zip(pairs, ex.map(fit, pairs)))
+        parts = list(ex.map(held_out_by_all, folds)) if task == "regression" else [held_out(m, f) for m, f in pairs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    secs = {pair: s for pair, (_, s) in models_of.items()}
+    if not stored:
+        return out, secs
     # held-out predictions are small (one row per input row and pair); writing
     # them once keeps every metric job a plain scan instead of re-running all
     # fitted pipelines, and survives executor loss
     from tabsmith.session import cut_lineage
-    return cut_lineage(out), {(m, f): s for m, f, s, _ in res}
+    return cut_lineage(out), secs
 
 
 def fold_metrics(preds: DataFrame, task: str) -> DataFrame:
@@ -239,8 +450,13 @@ def cv_leaderboard(df: DataFrame, target: str, task: str, models: Sequence[str]
     if "fold" not in df.columns:
         df = (stratified_kfold(df, target, keys, k, seed) if task == "classification" and stratified
               else kfold(df, keys, k, seed))
-    preds, secs = fit_predict_folds(df, target, task, models, "fold", k, parallelism=parallelism, features=features)
+    # the metrics of a regression are one aggregate, whose few rows are kept; those of classes read the predictions often
+    preds, secs = fit_predict_folds(df, target, task, models, "fold", k, parallelism=parallelism, features=features,
+                                    stored=task != "regression")
     per = fold_metrics(preds, task)
+    if task == "regression":
+        from tabsmith.session import cut_lineage
+        per = cut_lineage(per, len(models) * k)
     names = REGRESSION_METRICS if task == "regression" else CLASSIFICATION_METRICS
     spark = df.sparkSession
     tt = spark.createDataFrame([(m, f, float(s)) for (m, f), s in secs.items()], "model string, fold int, tt double")

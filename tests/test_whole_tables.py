@@ -311,3 +311,57 @@ def test_balanced_cleaning_reads_the_documents_once(spark, sf, monkeypatch):
     monkeypatch.setattr(q_clean.C, "clean", lambda df, *a, **k: (seen.append(df.inputFiles()), clean(df, *a, **k))[1])
     q_clean.q_clean_full_balanced(spark, sf)
     assert seen[0] and all("/cut-" in f for f in seen[0])
+
+
+def _regression_rows(spark):
+    """Each fold holds all values beside all others, and no two cells are alike: between splits that are equally good
+    only the rounding of sums decides."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    effect, noise, rows = rng.normal(0, 5, (5, 4, 3)), rng.normal(0, 1, 1080), []
+    for i in range(1080):
+        x, z, g = i % 5, i // 5 % 4, i // 20 % 3
+        y = effect[x, z, g] + noise[i]
+        rows.append((i, float(x), [None, float("nan"), 3.0, 7.5][z], [None, "a", "b"][g], float(y), i // 60 % 3))
+    return spark.createDataFrame(rows, "id int, x double, z double, g string, y double, fold int")
+
+
+def test_fits_to_cells_and_moments_are_those_of_the_rows(spark):
+    from tabsmith.ml import models as MD
+    t = _regression_rows(spark)
+    names = ["lr", "ridge", "dt", "lightgbm"]
+    preds, _ = MD.fit_predict_folds(t, "y", "regression", names, "fold", 3, features=["x", "z", "g"])
+    got = {(r.model, r.fold): (r.R2, r.MAE) for r in MD.regression_metrics(preds, "label", "prediction", ["model", "fold"]).collect()}
+    p = MD.build_preprocess(t, "y", "regression", ["x", "z", "g"])
+    base = MD.model_input(t, p, "y").coalesce(1)
+    for f in (0, 1, 2):
+        pm = p.pipeline.fit(base.where(F.col("fold") != f))
+        for m in names:
+            model = MD.make_estimator(m, "regression").fit(pm.transform(base.where(F.col("fold") != f)))
+            want = MD.regression_metrics(model.transform(pm.transform(base.where(F.col("fold") == f))), "label", "prediction").first()
+            assert got[m, f] == pytest.approx((want.R2, want.MAE), rel=1e-6), (m, f)
+
+
+def test_trees_of_a_leaderboard_are_fitted_to_cells(spark, monkeypatch):
+    from pyspark.ml import Estimator
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+    from tabsmith.ml import models as MD
+    seen = {}
+    for kind in (DecisionTreeRegressor, GBTRegressor, LinearRegression):
+        monkeypatch.setattr(kind, "fit", lambda self, df, *a, k=kind.__name__: seen.setdefault(k, []).append(df.count()) or Estimator.fit(self, df, *a))
+    # 3,000 different values of two features: 32 bins each, however many values there are
+    t = spark.range(3000).selectExpr("id", "id * 1.5D AS a", "CAST((id * 7919) % 3001 AS DOUBLE) AS b", "CAST(id % 50 AS DOUBLE) AS y")
+    board, per = MD.cv_leaderboard(t, "y", "regression", ["lr", "dt", "lightgbm", "dummy"], k=2, key_cols=["id"], features=["a", "b"])
+    assert board.count() == 4 and per.count() == 8
+    assert max(seen["DecisionTreeRegressor"] + seen["GBTRegressor"]) <= 32 ** 2 and max(seen["LinearRegression"]) == 6
+
+
+def test_bins_are_between_values_or_at_quantiles(spark):
+    from tabsmith.ml import models as MD
+    t = spark.range(4000).selectExpr("CAST(id % 5 AS DOUBLE) AS few", "CAST(id AS DOUBLE) AS many", "CAST(id % 2 AS INT) AS fold", "1.0D AS y")
+    prep_ = MD.build_preprocess(t, "y", "regression", ["few", "many"])
+    seen = MD.numeric_summaries(MD.model_input(t, prep_, "y"), prep_, "fold")
+    assert MD.thresholds(list(seen.values()), "few", 2.0) == [0.5, 1.5, 2.5, 3.5]
+    cuts = MD.thresholds(list(seen.values()), "many", 2000.0)
+    sizes = [r["count"] for r in t.groupBy(MD._bin(F.col("many"), cuts).alias("b")).count().collect()]
+    assert len(cuts) == 31 and len(sizes) == 32 and max(sizes) < 2 * 4000 / 32
